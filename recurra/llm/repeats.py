@@ -1,0 +1,400 @@
+"""Exact repeated windows of a corpus, found through sampled anchors.
+
+A window is `length` consecutive units (bytes, or words) of one document.  A
+window is a repeat if the same window starts earlier: in a document with a
+smaller id, or earlier in the same document.  Rows that carry the same id are
+one document as far as order goes: neither of them is earlier.  A null text is
+empty; a null id sorts before all others.
+
+Windows are grouped into runs that share an anchor (see `textarrays.Runs`), so
+about 2/(length-gram) entries a unit are shuffled instead of one a unit:
+
+1. each part of the corpus sends one entry per distinct run;
+2. buckets of anchors meet: a run whose context is known from an earlier place
+   is a repeat as a whole, and anchors with several contexts are left open;
+3. parts send the contents of their open contexts;
+4. their windows meet, by anchor or, where one anchor has very many contexts,
+   each by its own hash, so that no group grows with the corpus;
+5. the repeated stretches go back to the documents.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import textarrays as ta
+from .common import part_of, text_parts
+
+ENTRY = (np.uint64, np.uint64, np.int64, np.int64)
+HOT_CONTEXT = np.uint64(0)
+DUPLICATE, OPEN, HOT = 1, 2, 3
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Columns of equal length as one binary value."""
+    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack(body: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(body) // sum(sizes), [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.frombuffer(body, kind, n, at))
+        at += n * size
+    return out
+
+
+def unpack_all(bodies: pa.ChunkedArray, *kinds: type) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of many values one after the other, and how many rows each gave."""
+    parts = [unpack(b, *kinds) for b in bodies.to_pylist()]
+    if not parts:
+        return [np.zeros(0, k) for k in kinds], np.zeros(0, np.int64)
+    return [np.concatenate(x) for x in zip(*parts)], np.array([len(p[0]) for p in parts])
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out) > 1:
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def cut(owner: np.ndarray) -> list[tuple[int, slice]]:
+    """Slices of a sorted column, one per value."""
+    heads = np.flatnonzero(changes(owner)) if len(owner) else np.zeros(0, int)
+    stops = np.append(heads[1:], len(owner))
+    return [(int(owner[a]), slice(a, b)) for a, b in zip(heads, stops)]
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What one search for repeats is made of; travels to the tasks."""
+
+    words: bool
+    length: int
+    gram: int
+    buckets: int
+    contexts: int = 64  # distinct contexts of an anchor in a part or bucket entry before it is hot
+
+    def rows(self, part: pa.Table) -> pa.Table:
+        """A part's rows in an order that doesn't depend on the shuffle."""
+        return part.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+    def units(self, column: pa.Array):
+        data, offsets = ta.buffers(column)
+        if not self.words:
+            return data, offsets, ta.BYTES.table[data], (data, offsets, None, None)
+        starts, ends, rows = ta.word_spans(data, offsets)
+        values = ta.word_hashes(data, starts, ends)
+        return values, rows, values, (data, offsets, starts, ends)
+
+    def runs(self, rows: pa.Table):
+        """Blocks of a part: (first row, Runs, raw units, unit offsets, text arrays)."""
+        at = 0
+        for batch in rows.combine_chunks().to_batches():
+            for block in ta.blocks(batch, "text", 1 << 20):
+                raw, offsets, values, text = self.units(block.column("text"))
+                yield at, ta.Runs(values, offsets, self.length, self.gram), raw, offsets, text
+                at += block.num_rows
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return (key % np.uint64(self.buckets)).astype(np.int32)
+
+    def part_runs(self, rows: pa.Table):
+        """All runs of a part with their ids and places, sorted; True where a context is new in the part."""
+        ids = rows.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for at, r, _, offsets, _ in self.runs(rows):
+            row = r.row + at
+            found = (r.key, r.context, ids[row], r.first - offsets[r.row], r.count, row)
+            for c, x in zip(cols, found):
+                c.append(x)
+        if not cols[0]:
+            cols = [[np.zeros(0, k)] for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
+        key, context, doc, first, count, row = (np.concatenate(c) for c in cols)
+        order = np.lexsort((first, doc, context, key))
+        key, context, doc, first, count, row = (x[order] for x in (key, context, doc, first, count, row))
+        head = changes(key, context)
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(head) else head
+        earliest = (doc == doc[lead]) & (first == first[lead]) if len(head) else head
+        return key, context, doc, first, count, row, head, earliest
+
+
+def entries(plan: Plan, key: tuple, part: pa.Table) -> pa.Table:
+    """Step 1: one entry per distinct run of the part, or one per anchor with very many contexts."""
+    k, c, doc, first, _, _, head, _ = plan.part_runs(plan.rows(part))
+    k, c, doc, first = (x[head] for x in (k, c, doc, first))
+    if len(k):
+        heads = np.flatnonzero(changes(k))
+        sizes = np.diff(np.append(heads, len(k)))
+        hot = np.repeat(sizes > plan.contexts, sizes)
+        c = np.where(hot, HOT_CONTEXT, c)
+        keep = ~hot
+        keep[heads] = True
+        k, c, doc, first = (x[keep] for x in (k, c, doc, first))
+    bucket = plan.bucket(k)
+    order = np.argsort(bucket, kind="stable")
+    k, c, doc, first = (x[order] for x in (k, c, doc, first))
+    slices = cut(bucket[order])
+    return pa.table(
+        {
+            "bucket": pa.array([b for b, _ in slices], pa.int32()),
+            "part": pa.array([key[0].as_py()] * len(slices), pa.int32()),
+            "body": pa.array([pack(k[s], c[s], doc[s], first[s]) for _, s in slices], pa.binary()),
+        }
+    )
+
+
+def answers(plan: Plan, bucket: pa.Table) -> pa.Table:
+    """Step 2: what each part has to know about its entries."""
+    (k, c, doc, first), sizes = unpack_all(bucket.column("body"), *ENTRY)
+    part = np.repeat(bucket.column("part").to_numpy(), sizes)
+    part, k, c, state = judge(k, c, doc, first, part, plan.contexts)
+    return answer_rows(part, k, c, state)
+
+
+def judge(k, c, doc, first, part, contexts: int):
+    """(part, anchor, context, state) of the entries whose anchor is met more than once."""
+    order = np.lexsort((part, first, doc, c, k))
+    k, c, doc, first, part = (x[order] for x in (k, c, doc, first, part))
+    none = np.zeros(0, np.int64)
+    if not len(k):
+        return none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint8)
+    new_key, new_run = changes(k), changes(k, c)
+    sizes = np.diff(np.append(np.flatnonzero(new_key), len(k)))
+    variety = np.repeat(np.add.reduceat(new_run, np.flatnonzero(new_key)), sizes)
+    hot = np.repeat(np.logical_or.reduceat(c == HOT_CONTEXT, np.flatnonzero(new_key)), sizes) | (variety > 16 * contexts)
+    lead = np.maximum.accumulate(np.where(new_run, np.arange(len(k)), 0))
+    earliest = (doc == doc[lead]) & (first == first[lead])
+    state = np.where(hot, HOT, np.where(~earliest, DUPLICATE, np.where(variety > 1, OPEN, 0))).astype(np.uint8)
+    c = np.where(hot, HOT_CONTEXT, c)
+    keep = state > 0
+    return part[keep], k[keep], c[keep], state[keep]
+
+
+def answer_rows(part, k, c, state) -> pa.Table:
+    order = np.argsort(part, kind="stable")
+    part, k, c, state = (x[order] for x in (part, k, c, state))
+    slices = cut(part)
+    return pa.table(
+        {
+            "part": pa.array([p for p, _ in slices], pa.int32()),
+            "body": pa.array([pack(k[s], c[s], state[s]) for _, s in slices], pa.binary()),
+        }
+    )
+
+
+def identify(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return ta.mix64(key ^ ta.mix64(context + np.uint64(0x1234567)))
+
+
+def contents(plan: Plan, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
+    """Step 3: repeated runs of the part as stretches, and the contents of its open contexts."""
+    rows = plan.rows(part)
+    (rk, rc, rs), _ = unpack_all(replies.column("body"), np.uint64, np.uint64, np.uint8)
+    k, c, doc, first, count, row, head, earliest = plan.part_runs(rows)
+    state = np.zeros(len(k), np.uint8)
+    if len(rk) and len(k):
+        hot = np.sort(rk[rs == HOT])
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+            state[hot[at] == k] = HOT
+        for what in (OPEN, DUPLICATE):
+            ids = np.sort(identify(rk[rs == what], rc[rs == what]))
+            if len(ids):
+                own = identify(k, c)
+                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                state[ids[at] == own] = what
+    whole = ~earliest | (state == DUPLICATE)
+    out_bucket, out_kind, out_body = [], [], []
+    if whole.any():
+        r, a = row[whole], first[whole]
+        b = a + count[whole] - 1 + plan.length
+        r, a, b = merged(r, a, b)
+        out_bucket.append(-1 - key[0].as_py())
+        out_kind.append(0)
+        out_body.append(pack(r.astype(np.int64), a, b))
+    opened = head & ~whole & (state > 0)
+    if opened.any():
+        wanted: dict[tuple[int, int], tuple] = {}
+        ro, fo, do, co, so, ko = (x[opened] for x in (row, first, doc, count, state, k))
+        order = np.lexsort((fo, ro))
+        ro, fo, do, co, so, ko = (x[order] for x in (ro, fo, do, co, so, ko))
+        for at, r, raw, offsets, _ in plan.runs(rows):
+            a, b = np.searchsorted(ro, [at, at + len(offsets) - 1])
+            if a == b:
+                continue
+            begin = offsets[ro[a:b] - at] + fo[a:b]
+            sent = windows_to_send(plan, raw, r.prefix, begin, fo[a:b], do[a:b], ro[a:b], co[a:b], so[a:b], ko[a:b])
+            for bucket, body in sent:
+                out_bucket.append(bucket)
+                out_kind.append(1)
+                out_body.append(body)
+    return pa.table(
+        {
+            "bucket": pa.array(out_bucket, pa.int32()),
+            "part": pa.array([key[0].as_py()] * len(out_bucket), pa.int32()),
+            "kind": pa.array(out_kind, pa.int32()),
+            "body": pa.array(out_body, pa.binary()),
+        }
+    )
+
+
+def windows_to_send(plan, raw, prefix, begin, first, doc, row, count, state, key):
+    """(bucket, contexts) of one block; a hot anchor's windows each go by their own hash."""
+    single = np.repeat(state == HOT, np.where(state == HOT, count, 1))
+    times = np.where(state == HOT, count, 1)
+    step = np.arange(len(single)) - np.repeat(np.cumsum(times) - times, times)
+    begin, first, doc, row, count, key = (np.repeat(x, times) for x in (begin, first, doc, row, count, key))
+    begin, first = begin + step, first + step
+    count = np.where(single, 1, count)
+    by = np.where(single, ta.SEQ.spans(prefix, begin, begin + plan.length), ta.mix64(key))
+    bucket = plan.bucket(by)
+    order = np.argsort(bucket, kind="stable")
+    for b, s in cut(bucket[order]):
+        i = order[s]
+        sizes = count[i] - 1 + plan.length
+        places = np.repeat(begin[i] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        head = pack(doc[i], row[i].astype(np.int64), first[i], count[i].astype(np.int64))
+        yield b, len(i).to_bytes(8, "little") + head + raw[places].tobytes()
+
+
+def merged(row, start, end):
+    """Stretches of the rows, sorted, those that touch or overlap made one."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    wide = np.int64(1) << np.int64(40)
+    reach = np.maximum.accumulate(row * wide + end)
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = row[1:] * wide + start[1:] > reach[:-1]
+    heads = np.flatnonzero(fresh)
+    stops = np.append(heads[1:], len(row)) - 1
+    return row[heads], start[heads], reach[stops] - row[heads] * wide
+
+
+def stretches(plan: Plan, bucket: pa.Table) -> pa.Table:
+    """Step 4: windows that also start earlier, as stretches by part."""
+    parts, bodies = [], []
+    kinds = bucket.column("kind").to_pylist()
+    owners = bucket.column("part").to_pylist()
+    values = bucket.column("body").to_pylist()
+    cols: list[list] = [[] for _ in range(6)]
+    unit = np.uint64 if plan.words else np.uint8
+    for kind, part, body in zip(kinds, owners, values):
+        if kind == 0:
+            parts.append(part)
+            bodies.append(body)
+            continue
+        n = int.from_bytes(body[:8], "little")
+        doc, row, first, count = unpack(body[8 : 8 + 32 * n], np.int64, np.int64, np.int64, np.int64)
+        for c, x in zip(cols, (doc, row, first, count, np.full(n, part), np.frombuffer(body, unit, -1, 8 + 32 * n))):
+            c.append(x)
+    if cols[0]:
+        doc, row, first, count, part, raw = (np.concatenate(c) for c in cols)
+        sizes = count - 1 + plan.length
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.cumsum(sizes) - sizes, count) + step
+        seq = raw if plan.words else ta.BYTES.table[raw]
+        one, two = (h.spans(h.prefix(seq), at, at + plan.length) for h in (ta.SEQ, ta.SEQ2))
+        doc, row, part = (np.repeat(x, count) for x in (doc, row, part))
+        start = np.repeat(first, count) + step
+        order = np.lexsort((start, doc, two, one))
+        one, two, doc, row, part, start = (x[order] for x in (one, two, doc, row, part, start))
+        lead = np.maximum.accumulate(np.where(changes(one, two), np.arange(len(one)), 0))
+        again = (doc != doc[lead]) | (start != start[lead])
+        row, part, start = row[again], part[again], start[again]
+        order = np.argsort(part, kind="stable")
+        row, part, start = row[order], part[order], start[order]
+        for p, s in cut(part):
+            parts.append(p)
+            bodies.append(pack(*merged(row[s], start[s], start[s] + plan.length)))
+    return pa.table({"part": pa.array(parts, pa.int32()), "body": pa.array(bodies, pa.binary())})
+
+
+RESULT = "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+
+
+def results(plan: Plan, part: pa.Table, replies: pa.Table) -> pa.Table:
+    """Step 5: what is left of each row."""
+    rows = plan.rows(part)
+    (row, start, end), _ = unpack_all(replies.column("body"), np.int64, np.int64, np.int64)
+    row, start, end = merged(row, start, end)
+    n_units, n_removed, spans, kept = [], [], [], []
+    at = 0
+    for batch in rows.combine_chunks().to_batches():
+        for block in ta.blocks(batch, "text", 1 << 20):
+            _, offsets, _, (data, bytes_at, starts, ends) = plan.units(block.column("text"))
+            view = data.tobytes()
+            edges = np.searchsorted(row, np.arange(at, at + block.num_rows + 1))
+            for i in range(block.num_rows):
+                units = int(offsets[i + 1] - offsets[i])
+                a, b = edges[i], edges[i + 1]
+                own = [(int(x), int(y)) for x, y in zip(start[a:b], end[a:b])]
+                n_units.append(units)
+                n_removed.append(sum(y - x for x, y in own))
+                spans.append([{"start": x, "end": y} for x, y in own])
+                kept.append(left(plan, view, offsets[i], units, own, starts, ends))
+            at += block.num_rows
+    return pa.table(
+        {
+            "doc_id": rows.column("doc_id"),
+            "n_units": pa.array(n_units, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            "kept": pa.array(kept, pa.binary()),
+        }
+    )
+
+
+def left(plan: Plan, view: bytes, base: int, units: int, removed: list, starts, ends) -> bytes:
+    """The units outside the removed stretches: bytes joined, or words with one space between."""
+    keep, at = [], 0
+    for a, b in [*removed, (units, units)]:
+        if a > at:
+            keep.append((at, a))
+        at = b
+    base = int(base)
+    if not plan.words:
+        return b"".join(view[base + a : base + b] for a, b in keep)
+    return b" ".join(view[starts[i] : ends[i]] for a, b in keep for i in range(base + a, base + b))
+
+
+def parts_of(docs: DataFrame, parts: int, doc_id: str, text: str) -> DataFrame:
+    """(part, doc_id, text), each part's rows together; the shuffle is shared by all steps."""
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return chosen.withColumn("part", part_of("doc_id", parts)).repartition(parts, "part")
+
+
+def plan_for(docs: DataFrame, words: bool, length: int, gram: int, text: str = "text", part_bytes: int = 8 << 20) -> Plan:
+    if not 0 < gram <= length:
+        raise ValueError("a gram has between 1 and `length` units")
+    return Plan(words, length, gram, text_parts(docs, text, part_bytes))
+
+
+def entry_table(placed: DataFrame, plan: Plan) -> DataFrame:
+    run = lambda key, part: entries(plan, key, part)
+    return placed.groupBy("part").applyInArrow(run, "bucket int, part int, body binary")
+
+
+def answer_table(found: DataFrame, plan: Plan) -> DataFrame:
+    run = lambda bucket: answers(plan, bucket)
+    return found.groupBy("bucket").applyInArrow(run, "part int, body binary")
+
+
+def finish(placed: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
+    """Steps 3 to 5."""
+    send = lambda key, part, known: contents(plan, key, part, known)
+    meet = lambda bucket: stretches(plan, bucket)
+    close = lambda part, known: results(plan, part, known)
+    sent = placed.groupBy("part").cogroup(replies.groupBy("part"))
+    sent = sent.applyInArrow(send, "bucket int, part int, kind int, body binary")
+    again = sent.groupBy("bucket").applyInArrow(meet, "part int, body binary")
+    return placed.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(close, RESULT)
