@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (substring_dedup, suffix_dedup)
 
 
 def queries() -> dict:

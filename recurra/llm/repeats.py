@@ -155,21 +155,25 @@ def answers(plan: Plan, bucket: pa.Table) -> pa.Table:
     """Step 2: what each part has to know about its entries."""
     (k, c, doc, first), sizes = unpack_all(bucket.column("body"), *ENTRY)
     part = np.repeat(bucket.column("part").to_numpy(), sizes)
-    part, k, c, state = judge(k, c, doc, first, part, plan.contexts)
-    return answer_rows(part, k, c, state)
+    return answer_rows(*judge(*in_order(k, c, doc, first, part), plan.contexts))
 
 
-def judge(k, c, doc, first, part, contexts: int):
-    """(part, anchor, context, state) of the entries whose anchor is met more than once."""
+def in_order(k, c, doc, first, part, *more):
+    """Entries by anchor, context and place."""
     order = np.lexsort((part, first, doc, c, k))
-    k, c, doc, first, part = (x[order] for x in (k, c, doc, first, part))
+    return tuple(x[order] for x in (k, c, doc, first, part, *more))
+
+
+def judge(k, c, doc, first, part, contexts: int):
+    """(part, anchor, context, state) of the sorted entries whose anchor is met more than once."""
     none = np.zeros(0, np.int64)
     if not len(k):
         return none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint8)
     new_key, new_run = changes(k), changes(k, c)
-    sizes = np.diff(np.append(np.flatnonzero(new_key), len(k)))
-    variety = np.repeat(np.add.reduceat(new_run, np.flatnonzero(new_key)), sizes)
-    hot = np.repeat(np.logical_or.reduceat(c == HOT_CONTEXT, np.flatnonzero(new_key)), sizes) | (variety > 16 * contexts)
+    heads = np.flatnonzero(new_key)
+    sizes = np.diff(np.append(heads, len(k)))
+    variety = np.repeat(np.add.reduceat(new_run.astype(np.int64), heads), sizes)
+    hot = np.repeat(np.logical_or.reduceat(c == HOT_CONTEXT, heads), sizes) | (variety > 16 * contexts)
     lead = np.maximum.accumulate(np.where(new_run, np.arange(len(k)), 0))
     earliest = (doc == doc[lead]) & (first == first[lead])
     state = np.where(hot, HOT, np.where(~earliest, DUPLICATE, np.where(variety > 1, OPEN, 0))).astype(np.uint8)
@@ -201,16 +205,12 @@ def contents(plan: Plan, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Ta
     k, c, doc, first, count, row, head, earliest = plan.part_runs(rows)
     state = np.zeros(len(k), np.uint8)
     if len(rk) and len(k):
-        hot = np.sort(rk[rs == HOT])
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
-            state[hot[at] == k] = HOT
-        for what in (OPEN, DUPLICATE):
-            ids = np.sort(identify(rk[rs == what], rc[rs == what]))
+        own = identify(k, c)
+        for what, wanted, mine in ((OPEN, identify(rk, rc), own), (HOT, rk, k), (DUPLICATE, identify(rk, rc), own)):
+            ids = np.sort(wanted[rs == what])
             if len(ids):
-                own = identify(k, c)
-                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                state[ids[at] == own] = what
+                at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+                state[ids[at] == mine] = what
     whole = ~earliest | (state == DUPLICATE)
     out_bucket, out_kind, out_body = [], [], []
     if whole.any():
@@ -222,7 +222,6 @@ def contents(plan: Plan, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Ta
         out_body.append(pack(r.astype(np.int64), a, b))
     opened = head & ~whole & (state > 0)
     if opened.any():
-        wanted: dict[tuple[int, int], tuple] = {}
         ro, fo, do, co, so, ko = (x[opened] for x in (row, first, doc, count, state, k))
         order = np.lexsort((fo, ro))
         ro, fo, do, co, so, ko = (x[order] for x in (ro, fo, do, co, so, ko))
