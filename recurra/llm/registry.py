@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import media, packing, simhash, substring_dedup, suffix_dedup
 
-MODULES = (substring_dedup, suffix_dedup)
+MODULES = (packing, media, substring_dedup, simhash, suffix_dedup)
 
 
 def queries() -> dict:
