@@ -63,25 +63,27 @@ def scan(plan: repeats.Plan, key: tuple, new: pa.Table, old: pa.Table) -> pa.Tab
 class SuffixLevels:
     """Levels of suffix arrays in the shared folder, and what was found so far.
 
-    `parts` is the number of parts a batch is dealt into, fixed for the family.
+    `parts` is the number of parts a batch is dealt into, `buckets` that of the
+    ranges of anchors in a level; both are fixed for the family.
     """
 
-    def __init__(self, spark: SparkSession, parts: int, length: int = 100, gram: int = 32):
+    def __init__(self, spark: SparkSession, parts: int, buckets: int, length: int = 100, gram: int = 32):
         if not 0 < gram <= length:
             raise ValueError("a gram has between 1 and `length` bytes")
         self.spark = spark
-        self.plan = repeats.Plan(False, length, gram, parts)
+        self.parts = parts
+        self.plan = repeats.Plan(False, length, gram, buckets)
         self.levels: list[tuple[int, str]] = []  # (batches in it, folder), largest first
         self.found: list[str] = []
         self.placed: list[DataFrame] = []
 
     def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         """Add a batch whose ids are not below those already held."""
-        base = len(self.placed) * self.plan.buckets
+        base = len(self.placed) * self.parts
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        rows = rows.withColumn("part", part_of("doc_id", self.plan.buckets) + base)
+        rows = rows.withColumn("part", part_of("doc_id", self.parts) + base)
         self.placed.append(rows)
-        array = repeats.entry_table(rows.repartition(self.plan.buckets, "part"), self.plan)
+        array = repeats.entry_table(rows.repartition(self.parts, "part"), self.plan)
         size, grown = 1, []
         while self.levels and self.levels[-1][0] == size:
             grown.append(self.levels.pop())
@@ -146,7 +148,7 @@ def remove_repeated_strings(
     kept is binary: removed stretches may begin or end inside a character.
     """
     parts = text_parts(docs, text, part_bytes)
-    levels = SuffixLevels(docs.sparkSession, -(-parts // batches), length, gram)
+    levels = SuffixLevels(docs.sparkSession, -(-parts // batches), parts, length, gram)
     number = batch_number(docs, doc_id, batches)
     for i in range(batches):
         levels.append(docs.where(number == i), doc_id, text)
