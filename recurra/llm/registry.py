@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, packing, simhash, substring_dedup, suffix_dedup
+from . import chat, decontaminate, licenses, media, packing, simhash, substring_dedup, suffix_dedup
 
-MODULES = (packing, media, substring_dedup, simhash, suffix_dedup)
+MODULES = (packing, media, substring_dedup, simhash, decontaminate, licenses, chat, suffix_dedup)
 
 
 def queries() -> dict:
