@@ -73,7 +73,7 @@ def sentences(text: Column) -> Column:
     """Normalised sentences, in order, empty ones left out."""
     marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPLIT, "\n")
     plain = F.regexp_replace(marked, r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def license_scan(
@@ -115,7 +115,7 @@ def _sql() -> str:
     )
     return f"""
 WITH k(s, id) AS (VALUES {rows}), o(id, license) AS (VALUES {one}),
-t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+[ \\t\\r\\n\\f]+|\\n+', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), x -> trim(x)), x -> x <> '') AS ss FROM documents),
+t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+[ \\t\\r\\n\\f]+|\\n+', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
 u AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM t),
 f AS (SELECT doc_id, count(*) AS n, list(DISTINCT o.license) FILTER (o.license IS NOT NULL) AS found, '|' || string_agg(k.id, '|' ORDER BY i) || '|' AS ids
   FROM u JOIN k USING (s) LEFT JOIN o ON k.id = o.id GROUP BY doc_id)
