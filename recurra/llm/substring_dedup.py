@@ -47,13 +47,13 @@ QUERIES = {"op5_substring_dedup": op5_substring_dedup}
 ORACLES = {
     "op5_substring_dedup": """
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
 p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 18, 1))) AS i FROM w),
 k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS g FROM p),
 f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM k),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE r > 1),
 a AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(words) + 1), j -> gone IS NULL OR NOT list_contains(gone, j)), j -> words[j]), ' '), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda j: gone IS NULL OR NOT list_contains(gone, j)), lambda j: words[j]), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN a ON w.doc_id = a.doc_id"""
 }
