@@ -14,6 +14,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,11 +70,29 @@ def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
 
+def cover(normals: list[str]) -> list[str]:
+    """A few words such that every sentence has one of them."""
+    left, chosen = [set(s.split()) for s in normals], []
+    while left:
+        words = {w for s in left for w in s}
+        best = max(sorted(words), key=lambda w: (sum(w in s for s in left) * (len(w) > 5), len(w)))
+        chosen.append(best)
+        left = [s for s in left if best not in s]
+    return chosen
+
+
+def any_of(value: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(value, F.lit(w)) for w in words), F.lit(False))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences, in order, empty ones left out."""
-    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPLIT, "\n")
-    plain = F.regexp_replace(marked, r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    """Lower-cased sentences, in order, blank ones left out."""
+    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT)
+    return F.filter(cut, lambda s: F.trim(s) != "")
+
+
+def normalised(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
 
 
 def license_scan(
@@ -86,7 +105,10 @@ def license_scan(
     longest = sorted(form, key=lambda x: (-x.count("|"), x))
     pattern = "(" + "|".join(re.escape(x) for x in longest) + r")(?=\|)"
     cut = docs.select(F.col(doc_id), sentences(F.col(text)).alias("__sentences"))
-    named = F.filter(F.transform("__sentences", lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    # Only sentences with a word of the catalogue's cover are normalised and looked up.
+    words = cover([normal(s) for s in catalogue.values()])
+    likely = F.filter("__sentences", lambda s: any_of(s, words))
+    named = F.filter(F.transform(likely, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
     found = cut.select(F.col(doc_id), F.size("__sentences").cast("long").alias("n_sentences"), named.alias("sentence_ids"))
     row = F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda x: F.element_at(literal_map(number), x)), "|"), F.lit("|"))
     met = F.transform(F.regexp_extract_all(row, F.lit(pattern), 1), lambda x: F.element_at(literal_map(form), x))
@@ -115,8 +137,8 @@ def _sql() -> str:
     )
     return f"""
 WITH k(s, id) AS (VALUES {rows}), o(id, license) AS (VALUES {one}),
-t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+[ \\t\\r\\n\\f]+|\\n+', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
-u AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM t),
+t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[.!?]+[ \\t\\r\\n\\f]+|\\n+'), lambda x: trim(x, ' ') <> '') AS ss FROM documents),
+u AS (SELECT doc_id, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s, i FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM t)),
 f AS (SELECT doc_id, count(*) AS n, list(DISTINCT o.license) FILTER (o.license IS NOT NULL) AS found, '|' || string_agg(k.id, '|' ORDER BY i) || '|' AS ids
   FROM u JOIN k USING (s) LEFT JOIN o ON k.id = o.id GROUP BY doc_id)
 SELECT t.doc_id, len(ss)::BIGINT AS n_sentences, coalesce(n, 0)::BIGINT AS n_license_sentences,
