@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, media, packing, simhash, substring_dedup, suffix_dedup
+from . import chat, decontaminate, licenses, media, ngram_lm, packing, simhash, substring_dedup, suffix_dedup, toxicity
 
-MODULES = (packing, media, substring_dedup, simhash, decontaminate, licenses, chat, suffix_dedup)
+MODULES = (packing, toxicity, media, ngram_lm, substring_dedup, simhash, decontaminate, licenses, chat, suffix_dedup)
 
 
 def queries() -> dict:
