@@ -81,10 +81,12 @@ class Plan:
     gram: int
     buckets: int
     contexts: int = 64  # distinct contexts of an anchor in a part or bucket entry before it is hot
+    carry: tuple[str, ...] = ()  # columns that go along to the results
 
     def rows(self, part: pa.Table) -> pa.Table:
         """A part's rows in an order that doesn't depend on the shuffle."""
-        return part.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        chosen = part.select(["doc_id", "text", *self.carry])
+        return chosen.sort_by([(c, "ascending") for c in chosen.column_names])
 
     def units(self, column: pa.Array):
         data, offsets = ta.buffers(column)
@@ -349,6 +351,7 @@ def results(plan: Plan, part: pa.Table, replies: pa.Table) -> pa.Table:
             "n_removed": pa.array(n_removed, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array(kept, pa.binary()),
+            **{c: rows.column(c) for c in plan.carry},
         }
     )
 
@@ -396,4 +399,5 @@ def finish(placed: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
     sent = placed.groupBy("part").cogroup(replies.groupBy("part"))
     sent = sent.applyInArrow(send, "bucket int, part int, kind int, body binary")
     again = sent.groupBy("bucket").applyInArrow(meet, "part int, body binary")
-    return placed.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(close, RESULT)
+    kinds = [f", `{c}` {placed.schema[c].dataType.simpleString()}" for c in plan.carry]
+    return placed.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(close, RESULT + "".join(kinds))

@@ -67,12 +67,12 @@ class SuffixLevels:
     ranges of anchors in a level; both are fixed for the family.
     """
 
-    def __init__(self, spark: SparkSession, parts: int, buckets: int, length: int = 100, gram: int = 32):
+    def __init__(self, spark: SparkSession, parts: int, buckets: int, length: int = 100, gram: int = 32, carry: tuple[str, ...] = ()):
         if not 0 < gram <= length:
             raise ValueError("a gram has between 1 and `length` bytes")
         self.spark = spark
         self.parts = parts
-        self.plan = repeats.Plan(False, length, gram, buckets)
+        self.plan = repeats.Plan(False, length, gram, buckets, carry=carry)
         self.levels: list[tuple[int, str]] = []  # (batches in it, folder), largest first
         self.found: list[str] = []
         self.placed: list[DataFrame] = []
@@ -80,7 +80,7 @@ class SuffixLevels:
     def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         """Add a batch whose ids are not below those already held."""
         base = len(self.placed) * self.parts
-        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *self.plan.carry)
         rows = rows.withColumn("part", part_of("doc_id", self.parts) + base)
         self.placed.append(rows)
         array = repeats.entry_table(rows.repartition(self.parts, "part"), self.plan)
@@ -142,13 +142,15 @@ def remove_repeated_strings(
     doc_id: str = "doc_id",
     text: str = "text",
     part_bytes: int = 8 << 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of a whole table, appended in `batches` id ranges.
 
-    kept is binary: removed stretches may begin or end inside a character.
+    kept is binary: removed stretches may begin or end inside a character.  The
+    columns of `docs` that `carry` names, plain ones that sort, come after.
     """
     parts = text_parts(docs, text, part_bytes)
-    levels = SuffixLevels(docs.sparkSession, -(-parts // batches), parts, length, gram)
+    levels = SuffixLevels(docs.sparkSession, -(-parts // batches), parts, length, gram, carry)
     number = batch_number(docs, doc_id, batches)
     for i in range(batches):
         levels.append(docs.where(number == i), doc_id, text)
@@ -156,6 +158,17 @@ def remove_repeated_strings(
     return levels.results().withColumnRenamed("n_units", "n_bytes")
 
 
+def whole_characters(kept: str) -> Column:
+    """Bytes as text, those of characters that were cut left out."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def decode(values):
+        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(kept)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_strings(table(spark, sf_dir, "documents"))
     return found.select(
