@@ -94,7 +94,7 @@ class SuffixLevels:
         run = lambda key, new, had: scan(plan, key, new, had)
         met = array.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, SCANNED)
         path = scratch(self.spark, "suffix-level")
-        met.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        met.write.partitionBy("kind").parquet(path)
         self.found.append(path)
         self.levels.append((size, path))
         del array, known, old, met
@@ -141,7 +141,7 @@ def remove_repeated_strings(
     batches: int = 4,
     doc_id: str = "doc_id",
     text: str = "text",
-    part_bytes: int = 8 << 20,
+    part_bytes: int = 4 << 20,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of a whole table, appended in `batches` id ranges.
