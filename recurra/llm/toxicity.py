@@ -182,18 +182,19 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = 64, rounds: int
     if not (labels > 0).any() or not (labels <= 0).any():
         return None
     symbols, starts, sizes, owner = units(texts)
-    raw = symbols.tobytes()
-    words = [raw[a : a + n].decode("latin-1") for a, n in zip(starts.tolist(), sizes.tolist())]
-    names, index = np.unique(np.array(words, dtype=object), return_inverse=True)
-    names = names.tolist()
-    pairs = np.unique(np.stack([owner, index]), axis=1)
+    prefix = ta.BYTES.prefix(ta.BYTES.table[symbols])
+    _, at, index = np.unique(ta.BYTES.spans(prefix, starts, starts + sizes), return_index=True, return_inverse=True)
+    names = [symbols[a : a + n].tobytes().decode("latin-1") for a, n in zip(starts[at].tolist(), sizes[at].tolist())]
+    pairs = np.stack(np.divmod(np.unique(owner * len(names) + index), max(len(names), 1)))
+    del prefix, symbols, starts, sizes, owner, index
     toxic = labels > 0
     bad = np.bincount(pairs[1][toxic[pairs[0]]], minlength=len(names))
     good = np.bincount(pairs[1], minlength=len(names)) - bad
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
     worth = odds * np.sqrt(bad)
     chosen = spread([names[i] for i in np.lexsort((np.arange(len(names)), -worth))[:2000] if worth[i] > 0], landmarks * 3 // 4)
-    usual = [names[i] for i in np.lexsort((np.arange(len(names)), -good)) if names[i] not in set(chosen)][:2000]
+    taken = set(chosen)
+    usual = [names[i] for i in np.lexsort((np.arange(len(names)), -good))[:2000] if names[i] not in taken]
     chosen += spread(usual, landmarks - len(chosen))
     spanned = landmark_table(chosen)
     values, vectors = np.linalg.eigh(kernel(chosen, spanned).astype(np.float64) + 1e-4 * np.eye(len(chosen)))
