@@ -37,8 +37,8 @@ SCANNED = "kind int, bucket int, part int, body binary"
 ANSWER, LEVEL = 0, 1
 
 
-def scan(plan: repeats.Plan, key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
-    """A bucket's new entries against all levels: answers, and the merged level."""
+def scan(plan: repeats.Plan, keep: bool, key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
+    """A bucket's new entries against all levels: answers, and with `keep` the merged level."""
     (k, c, doc, first), sizes = unpack_all(new.column("body"), *ENTRY)
     part = np.repeat(new.column("part").to_numpy(), sizes).astype(np.int32)
     (ok, oc, od, of, op), sizes = unpack_all(old.column("body"), *ENTRY, np.int32)
@@ -46,16 +46,19 @@ def scan(plan: repeats.Plan, key: tuple, new: pa.Table, old: pa.Table) -> pa.Tab
     every = [np.concatenate(x) for x in ((k, ok), (c, oc), (doc, od), (first, of), (part, op))]
     *every, joins = repeats.in_order(*every, np.concatenate((np.ones(len(k), np.int32), grows)))
     told = repeats.answer_rows(*repeats.judge(*every, plan.contexts))
-    k, c, doc, first, part = (x[joins > 0] for x in every)
-    kept = changes(k, c)
-    body = pack(*(x[kept] for x in (k, c, doc, first, part)))
-    n = told.num_rows
+    kinds, parts, bodies = [ANSWER] * told.num_rows, told.column("part").to_pylist(), told.column("body").to_pylist()
+    if keep:
+        k, c, doc, first, part = (x[joins > 0] for x in every)
+        kept = changes(k, c)
+        kinds.append(LEVEL)
+        parts.append(-1)
+        bodies.append(pack(*(x[kept] for x in (k, c, doc, first, part))))
     return pa.table(
         {
-            "kind": pa.array([ANSWER] * n + [LEVEL], pa.int32()),
-            "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
-            "part": pa.array([*told.column("part").to_pylist(), -1], pa.int32()),
-            "body": pa.array([*told.column("body").to_pylist(), body], pa.binary()),
+            "kind": pa.array(kinds, pa.int32()),
+            "bucket": pa.array([key[0].as_py()] * len(kinds), pa.int32()),
+            "part": pa.array(parts, pa.int32()),
+            "body": pa.array(bodies, pa.binary()),
         }
     )
 
@@ -77,26 +80,30 @@ class SuffixLevels:
         self.found: list[str] = []
         self.placed: list[DataFrame] = []
 
-    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Add a batch whose ids are not below those already held."""
+    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> None:
+        """Add a batch whose ids are not below those already held.
+
+        Without `keep`, for a last batch, it is only scanned against the levels.
+        """
         base = len(self.placed) * self.parts
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *self.plan.carry)
         rows = rows.withColumn("part", part_of("doc_id", self.parts) + base)
         self.placed.append(rows)
         array = repeats.entry_table(rows.repartition(self.parts, "part"), self.plan)
         size, grown = 1, []
-        while self.levels and self.levels[-1][0] == size:
+        while keep and self.levels and self.levels[-1][0] == size:
             grown.append(self.levels.pop())
             size *= 2
         old = [self._level(path, 0) for _, path in self.levels] + [self._level(path, 1) for _, path in grown]
         known = reduce(DataFrame.unionByName, old, self.spark.createDataFrame([], "bucket int, grows int, body binary"))
         plan = self.plan
-        run = lambda key, new, had: scan(plan, key, new, had)
+        run = lambda key, new, had: scan(plan, keep, key, new, had)
         met = array.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, SCANNED)
         path = scratch(self.spark, "suffix-level")
         met.write.partitionBy("kind").parquet(path)
         self.found.append(path)
-        self.levels.append((size, path))
+        if keep:
+            self.levels.append((size, path))
         del array, known, old, met
         for _, folder in grown:
             drop_folder(self.spark, f"{folder}/kind={LEVEL}")
@@ -153,7 +160,7 @@ def remove_repeated_strings(
     levels = SuffixLevels(docs.sparkSession, -(-parts // batches), parts, length, gram, carry)
     number = batch_number(docs, doc_id, batches)
     for i in range(batches):
-        levels.append(docs.where(number == i), doc_id, text)
+        levels.append(docs.where(number == i), doc_id, text, keep=i < batches - 1)
     levels.close()
     return levels.results().withColumnRenamed("n_units", "n_bytes")
 
