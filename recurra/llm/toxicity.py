@@ -177,16 +177,33 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.1)), float(w[1])
 
 
+def vocabulary(texts: pa.Array) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
+    """Distinct units as strings of symbols, and (text, unit) wherever a text has a unit; worked off in blocks."""
+    known: dict[int, str] = {}
+    rows, hashes, row = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for block in ta.blocks(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 1 << 20):
+        symbols, starts, sizes, owner = units(block.column(0))
+        if len(starts):
+            h = ta.BYTES.spans(ta.BYTES.prefix(ta.BYTES.table[symbols]), starts, starts + sizes)
+            order = np.lexsort((h, owner))
+            h, owner, starts, sizes = h[order], owner[order], starts[order], sizes[order]
+            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))
+            rows.append(owner[fresh] + row)
+            hashes.append(h[fresh])
+            found, at = np.unique(h, return_index=True)
+            for x, a, n in zip(found.tolist(), starts[at].tolist(), sizes[at].tolist()):
+                if x not in known:
+                    known[x] = symbols[a : a + n].tobytes().decode("latin-1")
+        row += block.num_rows
+    names, index = np.unique(np.concatenate(hashes), return_inverse=True)
+    return [known[x] for x in names.tolist()], (np.concatenate(rows), index)
+
+
 def train(texts: pa.Array, labels: np.ndarray, landmarks: int = 64, rounds: int = 4, background: int = 20_000) -> Model | None:
     """A model from labelled texts; None without both labels."""
     if not (labels > 0).any() or not (labels <= 0).any():
         return None
-    symbols, starts, sizes, owner = units(texts)
-    prefix = ta.BYTES.prefix(ta.BYTES.table[symbols])
-    _, at, index = np.unique(ta.BYTES.spans(prefix, starts, starts + sizes), return_index=True, return_inverse=True)
-    names = [symbols[a : a + n].tobytes().decode("latin-1") for a, n in zip(starts[at].tolist(), sizes[at].tolist())]
-    pairs = np.stack(np.divmod(np.unique(owner * len(names) + index), max(len(names), 1)))
-    del prefix, symbols, starts, sizes, owner, index
+    names, pairs = vocabulary(texts)
     toxic = labels > 0
     bad = np.bincount(pairs[1][toxic[pairs[0]]], minlength=len(names))
     good = np.bincount(pairs[1], minlength=len(names)) - bad
@@ -207,7 +224,7 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = 64, rounds: int
     made = None
     for _ in range(rounds):
         worst = []
-        for h, end in zip(heads, np.append(heads[1:], pairs.shape[1])):
+        for h, end in zip(heads, np.append(heads[1:], len(pairs[0]))):
             own = pairs[1][h:end]
             worst.append(own[np.argmax(margin[own])])
         worst = np.array(worst)
