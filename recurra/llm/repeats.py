@@ -82,6 +82,7 @@ class Plan:
     buckets: int
     contexts: int = 64  # distinct contexts of an anchor in a part or bucket entry before it is hot
     carry: tuple[str, ...] = ()  # columns that go along to the results
+    whole: bool = False  # leave out what is left of a character that was cut
 
     def rows(self, part: pa.Table) -> pa.Table:
         """A part's rows in an order that doesn't depend on the shuffle."""
@@ -342,7 +343,8 @@ def results(plan: Plan, part: pa.Table, replies: pa.Table) -> pa.Table:
                 n_units.append(units)
                 n_removed.append(sum(y - x for x, y in own))
                 spans.append([{"start": x, "end": y} for x, y in own])
-                kept.append(left(plan, view, offsets[i], units, own, starts, ends))
+                rest = left(plan, view, offsets[i], units, own, starts, ends)
+                kept.append(rest.decode("utf-8", "ignore").encode() if plan.whole else rest)
             at += block.num_rows
     return pa.table(
         {

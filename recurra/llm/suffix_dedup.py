@@ -70,12 +70,12 @@ class SuffixLevels:
     ranges of anchors in a level; both are fixed for the family.
     """
 
-    def __init__(self, spark: SparkSession, parts: int, buckets: int, length: int = 100, gram: int = 32, carry: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, parts: int, buckets: int, length: int = 100, gram: int = 32, **more):
         if not 0 < gram <= length:
             raise ValueError("a gram has between 1 and `length` bytes")
         self.spark = spark
         self.parts = parts
-        self.plan = repeats.Plan(False, length, gram, buckets, carry=carry)
+        self.plan = repeats.Plan(False, length, gram, buckets, **more)
         self.levels: list[tuple[int, str]] = []  # (batches in it, folder), largest first
         self.found: list[str] = []
         self.placed: list[DataFrame] = []
@@ -150,14 +150,15 @@ def remove_repeated_strings(
     text: str = "text",
     part_bytes: int = 4 << 20,
     carry: tuple[str, ...] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of a whole table, appended in `batches` id ranges.
 
-    kept is binary: removed stretches may begin or end inside a character.  The
-    columns of `docs` that `carry` names, plain ones that sort, come after.
+    kept is binary: removed stretches may begin or end inside a character, whose
+    other bytes go too with `whole`.  The columns of `docs` that `carry` names, plain ones that sort, come after.
     """
     parts = text_parts(docs, text, part_bytes)
-    levels = SuffixLevels(docs.sparkSession, -(-parts // batches), parts, length, gram, carry)
+    levels = SuffixLevels(docs.sparkSession, -(-parts // batches), parts, length, gram, carry=carry, whole=whole)
     number = batch_number(docs, doc_id, batches)
     for i in range(batches):
         levels.append(docs.where(number == i), doc_id, text, keep=i < batches - 1)
@@ -165,17 +166,6 @@ def remove_repeated_strings(
     return levels.results().withColumnRenamed("n_units", "n_bytes")
 
 
-def whole_characters(kept: str) -> Column:
-    """Bytes as text, those of characters that were cut left out."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def decode(values):
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode(kept)
-
-
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_strings(table(spark, sf_dir, "documents"))
     return found.select(
