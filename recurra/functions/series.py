@@ -29,10 +29,25 @@ def warped_likeness(s: np.ndarray, t: np.ndarray) -> float:
     return float(np.exp(-np.sqrt(before[n]) / max(n, m)))
 
 
-@pandas_udf("double")
-def dtw_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([warped_likeness(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)])
+def best_lag(a: np.ndarray, b: np.ndarray) -> float:
+    """The largest normalised cross-correlation over all lags, within 0 and 1."""
+    a, b = ((x - x.mean()) / (x.std() + 1e-10) for x in (a, b))
+    most = np.correlate(a, b, "full").max() / (np.sqrt((a * a).sum() * (b * b).sum()) + 1e-10)
+    return float(min(1.0, max(0.0, most)))
+
+
+def pairwise(rule):
+    """A Pandas UDF of two array columns; made on the driver when it is used."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([rule(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)], dtype="float64")
+
+    return pandas_udf(run, "double")
 
 
 def dtw(a: Column, b: Column) -> Column:
-    return dtw_likeness(a, b)
+    return pairwise(warped_likeness)(a, b)
+
+
+def xcorr(a: Column, b: Column) -> Column:
+    return pairwise(best_lag)(a, b)

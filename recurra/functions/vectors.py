@@ -26,28 +26,3 @@ def euclidean(a: Column, b: Column) -> Column:
     """exp of the distance over the root of the dimension."""
     squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return F.exp(-F.sqrt(squares) / (F.sqrt(F.size(a).cast("double")) + EPS))
-
-
-def standardised(a: Column) -> Column:
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    centred = F.transform(a, lambda x: x - mean)
-    return F.transform(centred, lambda x: x / (norm(centred) / F.sqrt(n.cast("double")) + EPS))
-
-
-def xcorr(a: Column, b: Column) -> Column:
-    """The largest normalised cross-correlation over all lags, within 0 and 1.
-
-    The standardised sides are bound once by a one-element array before the lags are gone through.
-    """
-    def best(pair: Column) -> Column:
-        x, y = pair["x"], pair["y"]
-        n = F.size(x)
-        def lag(k: Column) -> Column:
-            low, high = F.greatest(F.lit(0), k), F.least(n, n + k)
-            return dot(F.slice(x, low + 1, high - low), F.slice(y, low - k + 1, high - low))
-        most = F.array_max(F.transform(F.sequence(1 - n, n - 1), lag))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), most / (norm(x) * norm(y) + EPS)))
-
-    bound = F.array(F.struct(standardised(a).alias("x"), standardised(b).alias("y")))
-    return F.get(F.transform(bound, best), F.lit(0))

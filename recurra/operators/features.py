@@ -48,12 +48,10 @@ def prepared(windows: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS) -> Data
     return d.withColumn("q", x * x - (F.col("n") * F.col("n") - 1) / 12.0)
 
 
-def finite(x: Column) -> Column:
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
-
-
 def at_least(condition: Column, x: Column) -> Column:
-    return F.when(condition, finite(x)).otherwise(0.0)
+    """x where the group is long enough and x is finite, else 0."""
+    # NaN is greater than infinity in Spark, so one comparison leaves out nulls, NaN and both infinities.
+    return F.when(condition & (F.abs(x) < float("inf")), x).otherwise(0.0)
 
 
 def last(name: str) -> Column:

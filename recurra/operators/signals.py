@@ -86,7 +86,7 @@ def cooled_down(alerts: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
     def fold(sent: Column, t: Column) -> Column:
         return F.when((F.size(sent) == 0) | (t - F.coalesce(F.try_element_at(sent, F.lit(-1)), F.lit(0)) >= gap), F.concat(sent, F.array(t))).otherwise(sent)
     kept = alerts.groupBy("ticker").agg(F.aggregate(times, F.array().cast("array<bigint>"), fold).alias("sent"))
-    return kept.select("ticker", F.timestamp_micros(F.explode("sent")).alias("ts"))
+    return kept.select("ticker", F.explode("sent").alias("t")).select("ticker", F.timestamp_micros("t").alias("ts"))
 
 
 def scan_universe(candidates: DataFrame, cap: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EPS
+from ..functions import series
 from ..functions import vectors as V
 
 #: Query vectors that one broadcast holds at most.
@@ -41,7 +42,7 @@ def find_matches(
     c, e, x = weights
     rows = scored(patterns, queries, cross_asset)
     rows = rows.where(c * F.col("cosine") + e * F.col("euclidean") + x >= threshold)
-    rows = rows.withColumn("dtw", V.xcorr(F.col("q_vector"), F.col("vector")))
+    rows = rows.withColumn("dtw", series.xcorr(F.col("q_vector"), F.col("vector")))
     rows = rows.withColumn("composite", c * F.col("cosine") + e * F.col("euclidean") + x * F.col("dtw"))
     return ranked(rows.where(F.col("composite") >= threshold), top_n)
 
