@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .common import table
+from .textarrays import release
 
 
 class Packer:
@@ -124,9 +125,10 @@ def pack_documents(
                         full = packer.place(((doc, len(ids)), start, ids[start : start + window].copy()))
                         if full:
                             emit(full)
-                if len(rows) >= 4096:
+                if len(rows) >= 2048:
                     yield piece_batch(rows)
                     rows.clear()
+            release()
         for held in packer.drain():
             emit(held)
         if rows:

@@ -101,7 +101,7 @@ class Plan:
         """Blocks of a part: (first row, Runs, raw units, unit offsets, text arrays)."""
         at = 0
         for batch in rows.combine_chunks().to_batches():
-            for block in ta.blocks(batch, "text", 1 << 20):
+            for block in ta.blocks(batch, "text", 1 << 19):
                 raw, offsets, values, text = self.units(block.column("text"))
                 yield at, ta.Runs(values, offsets, self.length, self.gram), raw, offsets, text
                 at += block.num_rows
@@ -332,7 +332,7 @@ def results(plan: Plan, part: pa.Table, replies: pa.Table) -> pa.Table:
     n_units, n_removed, spans, kept = [], [], [], []
     at = 0
     for batch in rows.combine_chunks().to_batches():
-        for block in ta.blocks(batch, "text", 1 << 20):
+        for block in ta.blocks(batch, "text", 1 << 19):
             _, offsets, _, (data, bytes_at, starts, ends) = plan.units(block.column("text"))
             view = data.tobytes()
             edges = np.searchsorted(row, np.arange(at, at + block.num_rows + 1))
@@ -383,21 +383,26 @@ def plan_for(docs: DataFrame, words: bool, length: int, gram: int, text: str = "
     return Plan(words, length, gram, text_parts(docs, text, part_bytes))
 
 
+def released(made: pa.Table) -> pa.Table:
+    ta.release()
+    return made
+
+
 def entry_table(placed: DataFrame, plan: Plan) -> DataFrame:
-    run = lambda key, part: entries(plan, key, part)
+    run = lambda key, part: released(entries(plan, key, part))
     return placed.groupBy("part").applyInArrow(run, "bucket int, part int, body binary")
 
 
 def answer_table(found: DataFrame, plan: Plan) -> DataFrame:
-    run = lambda bucket: answers(plan, bucket)
+    run = lambda bucket: released(answers(plan, bucket))
     return found.groupBy("bucket").applyInArrow(run, "part int, body binary")
 
 
 def finish(placed: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
     """Steps 3 to 5."""
-    send = lambda key, part, known: contents(plan, key, part, known)
-    meet = lambda bucket: stretches(plan, bucket)
-    close = lambda part, known: results(plan, part, known)
+    send = lambda key, part, known: released(contents(plan, key, part, known))
+    meet = lambda bucket: released(stretches(plan, bucket))
+    close = lambda part, known: released(results(plan, part, known))
     sent = placed.groupBy("part").cogroup(replies.groupBy("part"))
     sent = sent.applyInArrow(send, "bucket int, part int, kind int, body binary")
     again = sent.groupBy("bucket").applyInArrow(meet, "part int, body binary")

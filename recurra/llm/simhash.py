@@ -96,9 +96,10 @@ def simhash(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in ta.blocks(batch, "text", 1 << 20):
+            for block in ta.blocks(batch, "text", 1 << 18):
                 made = fingerprints(block.column("text"), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(made)], ["doc_id", "simhash"])
+            ta.release()
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, simhash long")

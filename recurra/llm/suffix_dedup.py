@@ -97,7 +97,7 @@ class SuffixLevels:
         old = [self._level(path, 0) for _, path in self.levels] + [self._level(path, 1) for _, path in grown]
         known = reduce(DataFrame.unionByName, old, self.spark.createDataFrame([], "bucket int, grows int, body binary"))
         plan = self.plan
-        run = lambda key, new, had: scan(plan, keep, key, new, had)
+        run = lambda key, new, had: repeats.released(scan(plan, keep, key, new, had))
         met = array.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, SCANNED)
         path = scratch(self.spark, "suffix-level")
         met.write.partitionBy("kind").parquet(path)

@@ -7,6 +7,7 @@ and a finaliser, derived from fixed seeds so every task agrees.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,20 @@ class Rolling:
 BYTES, SEQ, SEQ2 = Rolling(11), Rolling(23), Rolling(37)
 
 
+def release() -> None:
+    """Give memory that a finished batch or group has freed back to the system.
+
+    Python workers outlive their tasks; without this each keeps the most it ever used.
+    """
+    for rolling in (BYTES, SEQ, SEQ2):
+        if len(rolling.powers) > 1 << 20:
+            rolling.powers = rolling.inverses = np.ones(1, U64)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows of at most `limit` text bytes, or one row."""
     if batch.num_rows == 0:

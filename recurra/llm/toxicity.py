@@ -84,7 +84,7 @@ def by_length(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Ite
     for n in np.unique(sizes).tolist():
         i, j, k, weight = triples(n)
         chosen = np.flatnonzero(sizes == n)
-        step = max(1, 1_000_000 // len(i))
+        step = max(1, 250_000 // len(i))
         for at in range(0, len(chosen), step):
             few = chosen[at : at + step]
             letters = symbols[starts[few][:, None] + np.arange(n)].astype(np.int32)
@@ -283,9 +283,10 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for block in ta.blocks(batch, text, 1 << 20):
+            for block in ta.blocks(batch, text, 1 << 19):
                 made = known.scores(block.column(text)) if known else np.zeros(block.num_rows)
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(made, pa.float64())], [*names, "toxicity"])
+            ta.release()
 
     if "toxicity" in names:
         raise ValueError("the input has a column `toxicity`")
