@@ -275,7 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, doc_id: str = "d
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of `docs` and `toxicity`, from 0 to 1, of each whole text."""
+    """All columns of `docs` and `toxicity`, from 0 to 1, of each whole text; a column of that name is replaced."""
+    docs = docs.drop("toxicity")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
@@ -288,8 +289,6 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(made, pa.float64())], [*names, "toxicity"])
             ta.release()
 
-    if "toxicity" in names:
-        raise ValueError("the input has a column `toxicity`")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{kinds}, toxicity double")
 
