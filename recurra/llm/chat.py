@@ -84,6 +84,11 @@ def joined(columns: list[Column]) -> Column:
     return F.array_join(F.filter(F.array(*columns), lambda x: x.isNotNull() & (x != "")), "\n\n")
 
 
+def listed(items: Column, role: str, text: str) -> Column:
+    """Turns of a list of messages, by the names of their two fields."""
+    return F.transform(items, lambda m: turn(role_of(m[role]), m[text]))
+
+
 def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     """(conv_id, turns) of a table in a known layout; `key` is an id column that is not part of the layout."""
     kind = T.StructType([f for f in df.schema.fields if f.name != key])
@@ -98,7 +103,7 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     ident = F.col(key) if key else F.monotonically_increasing_id()
     if mapping[0] == "list":
         _, column, role, text = mapping
-        turns = F.transform(F.col(column), lambda m: turn(role_of(m[role]), m[text]))
+        turns = listed(F.col(column), role, text)
     else:
         turns = F.array(*(turn(F.lit(role), joined([F.col(f) for f in fields])) for role, *fields in mapping[1:]))
     return df.select(ident.alias("conv_id"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
@@ -112,13 +117,12 @@ def record_turns(records: DataFrame, key: str, column: str) -> DataFrame:
     record = F.col(column)
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
     lists = {m[1] for m in MAPPINGS.values() if m[0] == "list"}
-    nested = [
-        F.transform(
-            F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>")),
-            lambda k, name=name: F.concat(F.lit(f"{name}[]."), k),
-        )
-        for name in sorted(lists)
-    ]
+
+    def inner(name: str) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    nested = [inner(name) for name in sorted(lists)]
     plain = F.filter(top, lambda k: ~k.isin(*lists))
     found = records.select(
         F.col(key).alias("conv_id"), record.alias("record"), F.sha2(F.array_join(F.array_sort(F.concat(plain, *nested)), "\n"), 256).alias("layout")
@@ -129,7 +133,7 @@ def record_turns(records: DataFrame, key: str, column: str) -> DataFrame:
             _, name, role, text = mapping
             kind = f"array<struct<`{role}`:string,`{text}`:string>>"
             items = F.from_json(F.get_json_object("record", f"$.{name}"), kind)
-            made = F.transform(items, lambda m, role=role, text=text: turn(role_of(m[role]), m[text]))
+            made = listed(items, role, text)
         elif mapping[0] == "pair":
             fields = lambda names: joined([F.get_json_object("record", f"$.{n}") for n in names])
             made = F.array(*(turn(F.lit(role), fields(names)) for role, *names in mapping[1:]))
