@@ -60,25 +60,36 @@ def distribution(matches: DataFrame, label: str = "outcome_label") -> DataFrame:
     )
 
 
-def failure_cases(matches: DataFrame) -> DataFrame:
-    """Matches that went wrong, with type and severity."""
+def marked(matches: DataFrame) -> DataFrame:
+    """All matches with failure_type and severity, null where nothing went wrong."""
     names = {"ret": RET, "dd": DD, "ru": RU}
     kind = F.expr(L.case_sql(L.FAILURE_RULES, "NULL", **names))
     whens = " ".join(f"WHEN {L.filled(r[0], **names)} THEN least(1.0D, {L.filled(r[2], **names)})" for r in L.FAILURE_RULES)
-    rows = matches.withColumn("failure_type", kind).withColumn("severity", F.expr(f"CASE {whens} END"))
-    return rows.where(F.col("failure_type").isNotNull()).withColumn("divergence_bar", F.col(TTR))
+    return matches.withColumn("failure_type", kind).withColumn("severity", F.expr(f"CASE {whens} END"))
+
+
+def failure_cases(matches: DataFrame) -> DataFrame:
+    """Matches that went wrong, with type and severity."""
+    return marked(matches).where(F.col("failure_type").isNotNull()).withColumn("divergence_bar", F.col(TTR))
+
+
+def risk_of() -> Column:
+    """0 to 1, an aggregate over marked matches."""
+    rate = F.count("failure_type") / F.count("*")
+    spread = F.least(F.lit(1.0), F.stddev_pop(RET) / 0.1)
+    risk = 0.4 * rate + 0.3 * F.coalesce(F.avg("severity"), F.lit(0.0)) + 0.3 * spread
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk))
 
 
 def failure_summary(matches: DataFrame) -> DataFrame:
     """(query_id, rates, risk score)."""
-    bad = failure_cases(matches).groupBy("query_id").agg(F.count("*").alias("n_bad"), F.avg("severity").alias("avg_s"), F.max("severity").alias("max_s"))
-    whole = matches.groupBy("query_id").agg(F.count("*").alias("n"), F.stddev_pop(RET).alias("sd"))
-    rate, severity = F.coalesce("n_bad", F.lit(0)) / F.col("n"), F.coalesce("avg_s", F.lit(0.0))
-    risk = 0.4 * rate + 0.3 * severity + 0.3 * F.least(F.lit(1.0), F.col("sd") / 0.1)
-    return whole.join(bad, "query_id", "left").select(
-        "query_id", rate.alias("failure_rate"), severity.alias("avg_severity"), F.coalesce("max_s", F.lit(0.0)).alias("max_severity"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)).alias("failure_risk_score"), F.coalesce("n_bad", F.lit(0)).alias("n_failure_cases"),
-    )
+    return marked(matches).groupBy("query_id").agg(
+        (F.count("failure_type") / F.count("*")).alias("failure_rate"),
+        F.coalesce(F.avg("severity"), F.lit(0.0)).alias("avg_severity"),
+        F.coalesce(F.max("severity"), F.lit(0.0)).alias("max_severity"),
+        risk_of().alias("failure_risk_score"),
+        F.count("failure_type").alias("n_failure_cases"),
+    )
 
 
 def normal_test(n: Column, skew: Column, kurtosis: Column) -> Column:

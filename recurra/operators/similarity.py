@@ -6,7 +6,7 @@ q_vector) are few and are broadcast block by block, patterns are only scanned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EPS
@@ -66,8 +66,13 @@ def rerank(matches: DataFrame, diversity: bool = True) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(query.orderBy(F.desc("adjusted"), "rank")).cast("int")).drop("adjusted")
 
 
-def confidence(matches: DataFrame) -> DataFrame:
-    """(query_id, confidence): of the first score, the mean and the spread."""
+def confidence_of() -> Column:
+    """Of the first score, the mean and the spread; an aggregate over a query's matches."""
     first = F.min_by("composite", "rank")
     value = 0.5 * first + 0.3 * F.avg("composite") + 0.2 * (1 - F.least(F.stddev_pop("composite"), F.lit(1.0)))
-    return matches.groupBy("query_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("confidence"))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
+def confidence(matches: DataFrame) -> DataFrame:
+    """(query_id, confidence)."""
+    return matches.groupBy("query_id").agg(confidence_of().alias("confidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
+from ..config import EPS, EngineConfig
 from ..operators import features, labels, outcomes, similarity
 from ..operators.windows import KEY, forward_outcomes, latest_window, rolling_windows
 
@@ -28,13 +28,19 @@ def scan(bars: DataFrame, patterns: DataFrame, config: EngineConfig = EngineConf
     newest = features.fingerprint(latest_window(bars, config.window), config.window)
     queries = newest.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"), F.col("vector").alias("q_vector"))
     matches = similarity.rerank(similarity.find_matches(patterns, queries, config.top_n, config.min_similarity, True, config.weights)).drop("q_vector", "vector")
-    best = F.col("rank") <= 10
-    over = lambda f, c: f(F.when(best, F.col(c)))
-    kind = matches.groupBy("query_id").agg(over(F.avg, "forward_return").alias("r"), over(F.avg, "max_drawdown").alias("d"), over(F.stddev_pop, "forward_return").alias("s"))
-    kind = kind.select("query_id", labels.echo_type("r", "d", "s").alias("echo_type"))
-    stats = outcomes.statistics(matches).select("query_id", "n_matches", "weighted_return", "win_rate", "sharpe")
-    risk = outcomes.failure_summary(matches).select("query_id", "failure_risk_score")
-    sure = similarity.confidence(matches)
-    whole = stats.join(kind, "query_id").join(sure, "query_id").join(risk, "query_id")
+    top = lambda f, c: f(F.when(F.col("rank") <= 10, F.col(c)))
+    ret = F.col("forward_return")
+    # Everything about a query in one grouped pass over its few matches.
+    found = outcomes.marked(matches).groupBy("query_id").agg(
+        F.count("*").alias("n_matches"),
+        (F.sum(F.col("composite") * ret) / (F.sum("composite") + EPS)).alias("weighted_return"),
+        outcomes.share(ret > 0).alias("win_rate"),
+        (F.avg(ret) / (F.stddev_pop(ret) + EPS)).alias("sharpe"),
+        top(F.avg, "forward_return").alias("r"),
+        top(F.avg, "max_drawdown").alias("d"),
+        top(F.stddev_pop, "forward_return").alias("s"),
+        similarity.confidence_of().alias("confidence"),
+        outcomes.risk_of().alias("failure_risk_score"),
+    )
     overall = 0.6 * F.col("confidence") + 0.4 * (1 - F.col("failure_risk_score"))
-    return whole.withColumn("overall_confidence", overall)
+    return found.withColumn("echo_type", labels.echo_type("r", "d", "s")).withColumn("overall_confidence", overall).drop("r", "d", "s")
