@@ -53,7 +53,7 @@ def directives(price: Column, expected: Column, avg_drawdown: Column, config: En
     """target, stop and reward to risk; null without a price or expectation."""
     buffer = F.greatest(F.lit(config.risk_floor), avg_drawdown * config.risk_scale)
     usable = expected.isNotNull() & (price > 0)
-    stop = F.when(expected >= 0, price * (1 - buffer)).otherwise(price * (1 + buffer))
+    stop = F.when(expected > 0, price * (1 - buffer)).otherwise(price * (1 + buffer))
     return [F.when(usable, price * (1 + expected)).alias("target"), F.when(usable, stop).alias("stop"), F.when(usable, F.abs(expected / buffer)).alias("reward_risk")]
 
 

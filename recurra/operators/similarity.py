@@ -6,6 +6,8 @@ q_vector) are few and are broadcast block by block, patterns are only scanned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,22 @@ from ..config import EPS
 from ..functions import series
 from ..functions import vectors as V
 
-#: Query vectors that one broadcast holds at most.
+#: Query vectors that one broadcast holds, or about so many when there are more.
 QUERY_BLOCK = 10_000
 
 
+def paired(patterns: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Every pattern with every query; beyond one block the queries are dealt by their hash, and each block scans the patterns."""
+    if len(queries.select("query_id").head(block + 1)) <= block:
+        return patterns.join(F.broadcast(queries))
+    blocks = -(-queries.count() // block)
+    turn = F.pmod(F.xxhash64("query_id", "q_vector"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [patterns.join(F.broadcast(queries.where(turn == b))) for b in range(blocks)])
+
+
 def scored(patterns: DataFrame, queries: DataFrame, cross_asset: bool = True) -> DataFrame:
     """Every pattern with every query of a stated set: cosine, euclidean."""
-    pairs = patterns.join(F.broadcast(queries.limit(QUERY_BLOCK)))
+    pairs = paired(patterns, queries)
     if not cross_asset:
         pairs = pairs.where(F.coalesce(F.col("q_ticker"), F.lit("")).isin("") | (F.col("ticker") == F.col("q_ticker")))
     a, b = F.col("q_vector"), F.col("vector")
@@ -49,7 +60,7 @@ def find_matches(
 
 def find_matches_batch(patterns: DataFrame, queries: DataFrame, top_n: int = 20, threshold: float = 0.5) -> DataFrame:
     """Without cross-correlation, whose weight goes to the other two in equal parts; all tickers."""
-    pairs = patterns.join(F.broadcast(queries.limit(QUERY_BLOCK)))
+    pairs = paired(patterns, queries)
     a, b = F.col("q_vector"), F.col("vector")
     cosine = V.dot(a, b) / ((V.norm(a) + EPS) * (V.norm(b) + EPS))
     rows = pairs.withColumn("cosine", cosine).withColumn("euclidean", V.euclidean(a, b)).withColumn("dtw", F.lit(0.0))

@@ -514,7 +514,7 @@ _SCORE = f"""g AS (SELECT query_id, min_by(composite, rank) AS sim, avg(forward_
 s AS (SELECT *, round(30 * sim + 0.25 * greatest(0, least(100, mean / greatest(0.01, std) * 50)) + 20 * p + 0.15 * greatest(0, 100 - least({_DAY}, 147 - {_DAY}) * (100 / 30.0::DOUBLE)) + 10 * conf, 1) AS score FROM g)"""
 
 
-@query("signals", windowed_sql(f"SELECT query_id, score, CASE {' '.join(f'WHEN score >= {v} THEN {chr(39)}{n}{chr(39)}' for n, v in signals.CONFIG.grades)} ELSE 'F' END AS grade, {rounded('100 * (1 + mean)', 'target')}, {rounded('CASE WHEN mean >= 0 THEN 100 * (1 - greatest(0.02, dd * 1.5)) ELSE 100 * (1 + greatest(0.02, dd * 1.5)) END', 'stop')}, {rounded('abs(mean / greatest(0.02, dd * 1.5))', 'reward_risk')} FROM s", f"{OUTCOMES}, {MATCHES}, {_SCORE}"))
+@query("signals", windowed_sql(f"SELECT query_id, score, CASE {' '.join(f'WHEN score >= {v} THEN {chr(39)}{n}{chr(39)}' for n, v in signals.CONFIG.grades)} ELSE 'F' END AS grade, {rounded('100 * (1 + mean)', 'target')}, {rounded('CASE WHEN mean > 0 THEN 100 * (1 - greatest(0.02, dd * 1.5)) ELSE 100 * (1 + greatest(0.02, dd * 1.5)) END', 'stop')}, {rounded('abs(mean / greatest(0.02, dd * 1.5))', 'reward_risk')} FROM s", f"{OUTCOMES}, {MATCHES}, {_SCORE}"))
 def signal_scores(spark, d):
     s = _scored(spark, d)
     return shown(s.select("query_id", "score", signals.grade(F.col("score")).alias("grade"), *signals.directives(F.lit(100.0), F.col("mean"), F.col("dd"))))

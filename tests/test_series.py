@@ -109,6 +109,23 @@ def test_normalisers(spark):
     assert 0 < value["rank"].min() and value["rank"].max() < 1
 
 
+def test_ranks_are_those_of_one_sort(spark):
+    x = np.round(np.random.default_rng(0).normal(size=(300, 3)), 1)
+    x[:, 2] = 1.0
+    got = {r.pattern_id: r.vector for r in normalize.normalised(vectors(spark, x), "rank").collect()}
+    for i, row in enumerate(x):
+        want = [((x[:, d] < v).sum() + ((x[:, d] == v).sum() + 1) / 2) / 301 for d, v in enumerate(row)]
+        assert got[i] == pytest.approx(want)
+    assert normalize.normalised(vectors(spark, x).where("false"), "rank").count() == 0
+
+
+def test_queries_beyond_one_block_are_all_answered(spark):
+    x = np.random.default_rng(1).normal(size=(30, 4))
+    p = vectors(spark, x)
+    whole, parts = (similarity.paired(p, asked(p), block).select("query_id", "pattern_id").collect() for block in (30, 7))
+    assert len(parts) == 900 and sorted(whole) == sorted(parts)
+
+
 def test_matching(spark):
     x = np.random.default_rng(0).normal(size=(40, 42))
     p = vectors(spark, x)
