@@ -29,6 +29,7 @@ class EngineConfig:
     grades: tuple[tuple[str, int], ...] = (("A+", 93), ("A", 87), ("B+", 83), ("B", 75), ("C+", 67), ("C", 55), ("D", 40))
     min_confidence: float = 0.60
     max_price: float = 350.0
+    small_prices: tuple[float, float] = (1.0, 15.0)
     cooldown_hours: int = 8
     risk_floor: float = 0.02
     risk_scale: float = 1.5

@@ -41,23 +41,19 @@ def statistics(matches: DataFrame, reversal: float = -0.02, failure: float = -0.
 
 
 def distribution(matches: DataFrame, label: str = "outcome_label") -> DataFrame:
-    """(query_id, class shares, moments, percentiles); moments are null without spread or for one match."""
+    """(query_id, class shares, moments, percentiles); one match alone counts as neutral with zeros, and moments without spread are null."""
     ret, name = F.col(RET), F.col(label)
     known = name.isin(*L.CONTINUATIONS, "full_reversal", "fake_breakout_failure")
     p = F.percentile(ret, F.array(*(F.lit(q) for q in (0.05, 0.25, 0.75, 0.95))))
     spread = F.stddev_pop(ret) > 0
-    return matches.groupBy("query_id").agg(
-        share(name.isin(*L.CONTINUATIONS)).alias("continuation"),
-        share(name == "full_reversal").alias("reversal"),
-        share(name == "fake_breakout_failure").alias("failure"),
-        share(~known).alias("neutral"),
-        F.avg(ret).alias("mean_return"),
-        F.median(ret).alias("median_return"),
-        F.stddev_pop(ret).alias("std_return"),
-        F.when(spread, F.skewness(ret)).alias("skew"),
-        F.when(spread, F.kurtosis(ret)).alias("kurtosis"),
-        *(p[i].alias(f"percentile_{q}") for i, q in enumerate((5, 25, 75, 95))),
-    )
+    values = {
+        "continuation": share(name.isin(*L.CONTINUATIONS)), "reversal": share(name == "full_reversal"), "failure": share(name == "fake_breakout_failure"),
+        "neutral": share(~known), "mean_return": F.avg(ret), "median_return": F.median(ret), "std_return": F.stddev_pop(ret),
+        "skew": F.when(spread, F.skewness(ret)), "kurtosis": F.when(spread, F.kurtosis(ret)),
+        **{f"percentile_{q}": p[i] for i, q in enumerate((5, 25, 75, 95))},
+    }
+    alone = lambda n: F.lit(1.0 if n == "neutral" else 0.0)
+    return matches.groupBy("query_id").agg(*(F.when(F.count(ret) < 2, alone(n)).otherwise(v).alias(n) for n, v in values.items()))
 
 
 def marked(matches: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ SETUPS = {
     "explosive_continuation": "Structural Surge", "slow_grind_continuation": "Absorption Grind", "full_reversal": "Regime Rejection",
     "fake_breakout_failure": "Expansion Trap", "volatility_expansion_directionless": "Volatility Squeeze", "whipsaw_continuation": "Shakeout Resolution",
 }
+# Colours as RGB numbers.
+COLORS = {"up": 0x00FF88, "down": 0xFF4444, "flat": 0x888888}
 MINUTES = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "4h": 240, "1d": 1440, "1w": 10080}
 
 
@@ -57,6 +59,39 @@ def directives(price: Column, expected: Column, avg_drawdown: Column, config: En
     return [F.when(usable, price * (1 + expected)).alias("target"), F.when(usable, stop).alias("stop"), F.when(usable, F.abs(expected / buffer)).alias("reward_risk")]
 
 
+def direction_color(expected: Column) -> Column:
+    """Green for a gain, red for a loss, grey for neither."""
+    return F.when(expected > 0, COLORS["up"]).when(expected < 0, COLORS["down"]).otherwise(COLORS["flat"])
+
+
+def rank_tier(ticker: Column, price: Column, mega_caps: tuple[str, ...] = (), config: EngineConfig = CONFIG) -> Column:
+    """ALPHA for small prices, BENCHMARK for mega caps and high prices, else BETA."""
+    large = ticker.isin(*mega_caps) | (price > config.max_price) if mega_caps else price > config.max_price
+    return F.when(price.between(*config.small_prices), "ALPHA").when(large, "BENCHMARK").otherwise("BETA")
+
+
+def trade_cards(projections: DataFrame, as_of: Column, mega_caps: tuple[str, ...] = (), config: EngineConfig = CONFIG) -> DataFrame:
+    """(query_id, score, grade, card): projections (with the newest match's close as `price`) as JSON cards.
+
+    No matches or no confidence make a card of grade F that only says so.
+    """
+    c, day = F.col, cycle_day(as_of, config)
+    p = c("primary.expected_return")
+    value = score(c("similarity"), c("mean_return"), c("return_std"), c("primary.probability"), day, c("confidence"), config)
+    usable = F.coalesce((c("n_matches") > 0) & (c("confidence") > 0), F.lit(False))
+    found = projections.withColumn("score", F.when(usable, value).otherwise(0.0)).withColumn("grade", F.when(usable, grade(value, config)).otherwise("F"))
+    stamp = F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")
+    levels = F.struct(c("price").alias("entry"), *directives(c("price"), p, c("avg_drawdown"), config))
+    full = F.struct(
+        F.concat(c("q_ticker"), F.lit(" ("), c("timeframe"), F.lit(")")).alias("title"), direction_color(p).alias("color"),
+        rank_tier(c("q_ticker"), c("price"), mega_caps, config).alias("rank"), setup_name(c("echo_type")).alias("setup"), c("grade"), c("score"),
+        c("confidence"), p.alias("expected_return"), c("primary.probability").alias("probability"), c("time_horizon"), cycle_phase(day, config).alias("cycle_phase"),
+        F.when(c("price") > 0, levels).alias("directives"), c("narrative"), stamp,
+    )
+    short = F.struct(F.concat(F.lit("No usable data: "), c("q_ticker")).alias("title"), F.lit(COLORS["down"]).alias("color"), c("grade"), stamp)
+    return found.select("query_id", "score", "grade", F.when(usable, F.to_json(full)).otherwise(F.to_json(short)).alias("card"))
+
+
 def time_horizon(bars: Column, timeframe: Column) -> Column:
     """Text of a number of bars; unknown timeframes count as an hour."""
     each = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in MINUTES.items() for x in pair)), timeframe), F.lit(60))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import series
-from .operators import features, labels, normalize, outcomes, replay, signals, similarity
+from .operators import features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity
 from .operators import windows as W
 from .plans import scan as plans
 from .sources import bars as B
@@ -452,7 +452,7 @@ _DIST = {
 }
 
 
-@query("distribution_stats", matches_sql(f"SELECT query_id, {', '.join(rounded(e, n) for n, e in _DIST.items())} FROM (SELECT *, avg(forward_return) OVER (PARTITION BY query_id) AS mu FROM m) GROUP BY query_id"))
+@query("distribution_stats", matches_sql(f"SELECT query_id, {', '.join(rounded(f"CASE WHEN count(*) < 2 THEN {int(n == 'neutral')} ELSE {e} END", n) for n, e in _DIST.items())} FROM (SELECT *, avg(forward_return) OVER (PARTITION BY query_id) AS mu FROM m) GROUP BY query_id"))
 def distribution_stats(spark, d):
     return shown(outcomes.distribution(matched(spark, d)))
 
@@ -498,6 +498,36 @@ def clusters(spark, d):
     return shown(outcomes.cluster_summary(outcomes.clustered(matched(spark, d))))
 
 
+@query("scenarios")
+def scenarios(spark, d):
+    return shown(projection.scenarios(outcomes.clustered(matched(spark, d))))
+
+
+def projected(spark, d):
+    """Twelve queries, of which two have no matches."""
+    queries = asked(spark, d, "pattern_id < 12").select("query_id", "q_ticker")
+    return projection.projections(matched(spark, d), queries)
+
+
+@query("projections")
+def projections(spark, d):
+    found = projected(spark, d).withColumn("alternatives", F.size("alternatives"))
+    return shown(found.select("query_id", "primary.label", "primary.probability", "primary.expected_return", "alternatives", "overall_confidence", "time_horizon", "narrative"))
+
+
+@query("trade_cards")
+def trade_cards(spark, d):
+    cards = signals.trade_cards(projected(spark, d).withColumn("price", F.lit(100.0)), F.to_timestamp(F.lit(AS_OF)), ("1", "2"))
+    return cards
+
+
+@query("pca")
+def pca(spark, d):
+    found = vectors(spark, d)
+    near = reduction.reduced(found, reduction.fit(found, 8))
+    return shown(near.select("pattern_id", F.posexplode("vector").alias("component", "value")))
+
+
 # --- signals and replay --------------------------------------------------------------------------------------------
 _DAY = f"((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(TIMESTAMP '2021-01-27')) / 86400e6) % 147"
 
@@ -526,6 +556,17 @@ def cycle_phase(spark, d):
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), signals.cycle_phase(signals.cycle_day(F.col("day"))).alias("phase"))
 
 
+@query("direction_colors", windowed_sql("SELECT ticker, k::BIGINT AS k, CASE WHEN forward_return > 0 THEN 65416 WHEN forward_return < 0 THEN 16729156 ELSE 8947848 END AS color FROM lab", OUTCOMES))
+def direction_colors(spark, d):
+    return labelled(spark, d).select("ticker", F.col("k").cast("long").alias("k"), signals.direction_color(F.col("forward_return")).alias("color"))
+
+
+@query("rank_tiers", "SELECT p_partkey, CASE WHEN p_retailprice / 5 BETWEEN 1 AND 15 THEN 'ALPHA' WHEN p_brand IN ('Brand#11', 'Brand#12') OR p_retailprice / 5 > 350 THEN 'BENCHMARK' ELSE 'BETA' END AS tier FROM part")
+def rank_tiers(spark, d):
+    tier = signals.rank_tier(F.col("p_brand"), F.col("p_retailprice") / 5, ("Brand#11", "Brand#12"))
+    return table(spark, d, "part").select("p_partkey", tier.alias("tier"))
+
+
 @query("setup_names", windowed_sql(f"SELECT DISTINCT outcome_label, CASE {' '.join(f'WHEN outcome_label = {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in signals.SETUPS.items())} ELSE 'Structural Recurrence' END AS setup FROM lab", OUTCOMES))
 def setup_names(spark, d):
     return labelled(spark, d).select("outcome_label", signals.setup_name(F.col("outcome_label")).alias("setup")).distinct()

@@ -1,6 +1,7 @@
 """Windows, outcomes and fingerprints against numpy, degenerate input, and the scan chain."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recurra.config import EngineConfig, stride
 from recurra.functions import series
-from recurra.operators import features, labels, normalize, outcomes, signals, similarity
+from recurra.operators import features, labels, normalize, outcomes, projection, reduction, signals, similarity
 from recurra.operators import windows as W
 from recurra.plans import scan as plans
 from recurra.sources import bars as B
@@ -163,7 +164,28 @@ def test_clusters(spark):
         assert {r.query_id: round(r.p, 9) for r in found} == {1: 1.0, 2: 1.0}
         assert {r.query_id: r.n for r in found}[1] <= 5
     assert all(0 <= r.failure_risk_score <= 1 for r in outcomes.failure_summary(m).collect())
-    assert outcomes.distribution(m.where("query_id = 2")).first().skew is None
+    alone = outcomes.distribution(m.where("query_id = 2")).first()
+    assert (alone.skew, alone.neutral, alone.mean_return) == (0.0, 1.0, 0.0)
+    asked = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "query_id long, q_ticker string")
+    found = projection.projections(m, asked)
+    by_id = {r.query_id: r for r in found.collect()}
+    assert by_id[3].primary.label == "insufficient_data" and by_id[3].overall_confidence == 0 and "No precedents for C" in by_id[3].narrative
+    assert by_id[1].primary.probability == max(s.probability for s in [by_id[1].primary, *by_id[1].alternatives])
+    assert by_id[1].narrative.startswith("A on 1h") and not by_id[2].alternatives and by_id[2].primary.resolution == "3 bars"
+    cards = {r.query_id: r for r in signals.trade_cards(found.withColumn("price", F.lit(10.0)), F.lit(dt.datetime(2024, 2, 1))).collect()}
+    assert cards[3].grade == "F" and "No usable data: C" in cards[3].card and json.loads(cards[1].card)["rank"] == "ALPHA"
+    assert json.loads(cards[2].card)["directives"]["target"] == pytest.approx(11.0)
+
+
+def test_reduction_is_that_of_singular_vectors(spark):
+    x = np.random.default_rng(0).normal(size=(60, 5)) * [5, 4, 3, 2, 1] + 7
+    table = vectors(spark, x)
+    got = np.array([r.vector for r in reduction.reduced(table, reduction.fit(table, 3)).orderBy("pattern_id").collect()])
+    v = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:3]
+    v = v * np.sign(v[np.arange(3), np.abs(v).argmax(1)])[:, None]
+    assert got == pytest.approx((x - x.mean(0)) @ v.T)
+    with pytest.raises(ValueError):
+        reduction.fit(table, 6)
 
 
 def test_normal_test_against_known_values(spark):
