@@ -16,10 +16,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def cosine_of(product: Column, size_a: Column, size_b: Column) -> Column:
+    """From a dot product and two norms; 0 if a side is (nearly) zero."""
+    return F.when((size_a < EPS) | (size_b < EPS), 0.0).otherwise(F.try_divide(product, size_a * size_b))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """0 if a side is (nearly) zero."""
-    size = norm(a) * norm(b)
-    return F.when((norm(a) < EPS) | (norm(b) < EPS), 0.0).otherwise(F.try_divide(dot(a, b), size))
+    return cosine_of(dot(a, b), norm(a), norm(b))
 
 
 def euclidean(a: Column, b: Column) -> Column:

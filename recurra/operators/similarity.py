@@ -20,7 +20,12 @@ QUERY_BLOCK = 10_000
 
 
 def paired(patterns: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """Every pattern with every query; beyond one block the queries are dealt by their hash, and each block scans the patterns."""
+    """Every pattern with every query and the norms of both, worked out once a row, not once a pair.
+
+    Beyond one block the queries are dealt by their hash, and each block scans the patterns.
+    """
+    patterns = patterns.withColumn("norm", V.norm(F.col("vector")))
+    queries = queries.withColumn("q_norm", V.norm(F.col("q_vector")))
     if len(queries.select("query_id").head(block + 1)) <= block:
         return patterns.join(F.broadcast(queries))
     blocks = -(-queries.count() // block)
@@ -34,7 +39,8 @@ def scored(patterns: DataFrame, queries: DataFrame, cross_asset: bool = True) ->
     if not cross_asset:
         pairs = pairs.where(F.coalesce(F.col("q_ticker"), F.lit("")).isin("") | (F.col("ticker") == F.col("q_ticker")))
     a, b = F.col("q_vector"), F.col("vector")
-    return pairs.withColumn("cosine", V.cosine(a, b)).withColumn("euclidean", V.euclidean(a, b))
+    cosine = V.cosine_of(V.dot(a, b), F.col("q_norm"), F.col("norm"))
+    return pairs.withColumn("cosine", cosine).withColumn("euclidean", V.euclidean(a, b)).drop("norm", "q_norm")
 
 
 def ranked(rows: DataFrame, top_n: int) -> DataFrame:
@@ -62,8 +68,8 @@ def find_matches_batch(patterns: DataFrame, queries: DataFrame, top_n: int = 20,
     """Without cross-correlation, whose weight goes to the other two in equal parts; all tickers."""
     pairs = paired(patterns, queries)
     a, b = F.col("q_vector"), F.col("vector")
-    cosine = V.dot(a, b) / ((V.norm(a) + EPS) * (V.norm(b) + EPS))
-    rows = pairs.withColumn("cosine", cosine).withColumn("euclidean", V.euclidean(a, b)).withColumn("dtw", F.lit(0.0))
+    cosine = V.dot(a, b) / ((F.col("q_norm") + EPS) * (F.col("norm") + EPS))
+    rows = pairs.withColumn("cosine", cosine).drop("norm", "q_norm").withColumn("euclidean", V.euclidean(a, b)).withColumn("dtw", F.lit(0.0))
     rows = rows.withColumn("composite", 0.6 * F.col("cosine") + 0.4 * F.col("euclidean"))
     return ranked(rows.where(F.col("composite") >= threshold), top_n)
 
