@@ -76,6 +76,23 @@ def test_pipeline_keeps_columns(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    own = lambda i: " ".join(f"t{i}w{j * (i + 3) % 701}" for j in range(40))
+    clean = [(None, own(1)), (None, own(2)), (None, own(3)), (7, own(4)), (7, own(5)), (8, own(6))]
+    leak = " ".join(f"item{j}" for j in range(12))
+    rows = [*clean, (None, f"{own(7)} {leak}"), (7, f"{own(8)} {leak}")]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "length(text) AS n_chars")
+    docs.withColumn("n_chars", docs.n_chars.cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        kept = {(r.doc_id, r.text) for r in docs.collect()}
+        assert set(clean) <= kept, name
+    assert kept == set(clean)
+
+
 @pytest.mark.parametrize("make", [lambda d: packing.pack_documents(d, 0), lambda d: media.encode_text(d, "zip"), lambda d: decontaminate.contamination(d, d, 3, 4)])
 def test_bad_parameters(spark, make):
     with pytest.raises(ValueError):
