@@ -14,7 +14,8 @@ about 2/(length-gram) entries a unit are shuffled instead of one a unit:
    is a repeat as a whole, and anchors with several contexts are left open;
 3. parts send the contents of their open contexts;
 4. their windows meet, by anchor or, where one anchor has very many contexts,
-   each by its own hash, so that no group grows with the corpus;
+   each by its own hash; of equal ones a part sends the earliest place alone and
+   settles the others itself, so a group has one place a part for each window;
 5. the repeated stretches go back to the documents.
 """
 
@@ -97,23 +98,27 @@ class Plan:
         values = ta.word_hashes(data, starts, ends)
         return values, rows, values, (data, offsets, starts, ends)
 
-    def runs(self, rows: pa.Table):
-        """Blocks of a part: (first row, Runs, raw units, unit offsets, text arrays)."""
+    def blocks(self, rows: pa.Table):
+        """Blocks of a part: (first row, raw units, unit offsets, values to hash)."""
         at = 0
         for batch in rows.combine_chunks().to_batches():
             for block in ta.blocks(batch, "text", 1 << 19):
-                raw, offsets, values, text = self.units(block.column("text"))
-                yield at, ta.Runs(values, offsets, self.length, self.gram), raw, offsets, text
+                raw, offsets, values, _ = self.units(block.column("text"))
+                yield at, raw, offsets, values
                 at += block.num_rows
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         return (key % np.uint64(self.buckets)).astype(np.int32)
 
+    def ids(self, rows: pa.Table) -> np.ndarray:
+        return rows.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
     def part_runs(self, rows: pa.Table):
         """All runs of a part with their ids and places, sorted; True where a context is new in the part."""
-        ids = rows.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        ids = self.ids(rows)
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for at, r, _, offsets, _ in self.runs(rows):
+        for at, _, offsets, values in self.blocks(rows):
+            r = ta.Runs(values, offsets, self.length, self.gram)
             row = r.row + at
             found = (r.key, r.context, ids[row], r.first - offsets[r.row], r.count, row)
             for c, x in zip(cols, found):
@@ -215,26 +220,33 @@ def contents(plan: Plan, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Ta
                 at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
                 state[ids[at] == mine] = what
     whole = ~earliest | (state == DUPLICATE)
+    opened = head & ~whole & (state > 0)
+    hot = opened & (state == HOT)
+    wo, wr, wf, again = hot_windows(plan, rows, row[hot], first[hot], count[hot], doc[hot])
+    r = np.concatenate((row[whole], wr[again]))
+    a = np.concatenate((first[whole], wf[again]))
+    b = np.concatenate((first[whole] + count[whole] - 1, wf[again])) + plan.length
     out_bucket, out_kind, out_body = [], [], []
-    if whole.any():
-        r, a = row[whole], first[whole]
-        b = a + count[whole] - 1 + plan.length
+    if len(r):
         r, a, b = merged(r, a, b)
         out_bucket.append(-1 - key[0].as_py())
         out_kind.append(0)
         out_body.append(pack(r.astype(np.int64), a, b))
-    opened = head & ~whole & (state > 0)
-    if opened.any():
-        ro, fo, do, co, so, ko = (x[opened] for x in (row, first, doc, count, state, k))
+    plain, wo, wr, wf = opened & ~hot, wo[~again], wr[~again], wf[~again]
+    ro = np.concatenate((row[plain], wr))
+    fo = np.concatenate((first[plain], wf))
+    co = np.concatenate((count[plain], np.ones(len(wr), np.int64)))
+    by = np.concatenate((ta.mix64(k[plain]), wo))
+    if len(ro):
         order = np.lexsort((fo, ro))
-        ro, fo, do, co, so, ko = (x[order] for x in (ro, fo, do, co, so, ko))
-        for at, r, raw, offsets, _ in plan.runs(rows):
+        ro, fo, co, by = (x[order] for x in (ro, fo, co, by))
+        do = plan.ids(rows)[ro]
+        for at, raw, offsets, _ in plan.blocks(rows):
             a, b = np.searchsorted(ro, [at, at + len(offsets) - 1])
             if a == b:
                 continue
             begin = offsets[ro[a:b] - at] + fo[a:b]
-            sent = windows_to_send(plan, raw, r.prefix, begin, fo[a:b], do[a:b], ro[a:b], co[a:b], so[a:b], ko[a:b])
-            for bucket, body in sent:
+            for bucket, body in windows_to_send(plan, raw, begin, fo[a:b], do[a:b], ro[a:b], co[a:b], by[a:b]):
                 out_bucket.append(bucket)
                 out_kind.append(1)
                 out_body.append(body)
@@ -248,15 +260,36 @@ def contents(plan: Plan, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Ta
     )
 
 
-def windows_to_send(plan, raw, prefix, begin, first, doc, row, count, state, key):
-    """(bucket, contexts) of one block; a hot anchor's windows each go by their own hash."""
-    single = np.repeat(state == HOT, np.where(state == HOT, count, 1))
-    times = np.where(state == HOT, count, 1)
-    step = np.arange(len(single)) - np.repeat(np.cumsum(times) - times, times)
-    begin, first, doc, row, count, key = (np.repeat(x, times) for x in (begin, first, doc, row, count, key))
-    begin, first = begin + step, first + step
-    count = np.where(single, 1, count)
-    by = np.where(single, ta.SEQ.spans(prefix, begin, begin + plan.length), ta.mix64(key))
+def hot_windows(plan: Plan, rows: pa.Table, row, first, count, doc):
+    """(hash, row, start, again) of the windows of a part's hot runs; again: the window starts earlier in this part."""
+    order = np.lexsort((first, row))
+    row, first, count, doc = (x[order] for x in (row, first, count, doc))
+    cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+    for at, _, offsets, values in plan.blocks(rows) if len(row) else ():
+        a, b = np.searchsorted(row, [at, at + len(offsets) - 1])
+        if a == b:
+            continue
+        times = count[a:b]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        start = np.repeat(first[a:b], times) + step
+        place = np.repeat(offsets[row[a:b] - at], times) + start
+        one, two = (h.spans(h.prefix(values), place, place + plan.length) for h in (ta.SEQ, ta.SEQ2))
+        for c, x in zip(cols, (one, two, np.repeat(doc[a:b], times), np.repeat(row[a:b], times), start)):
+            c.append(x)
+    one, two, doc, row, start = (np.concatenate(c) for c in cols)
+    order = np.lexsort((start, doc, two, one))
+    one, two, doc, row, start = (x[order] for x in (one, two, doc, row, start))
+    return one, row, start, later(one, two, doc, start)
+
+
+def later(one, two, doc, start) -> np.ndarray:
+    """True where a window, sorted by hashes and place, starts after the first of its equals."""
+    lead = np.maximum.accumulate(np.where(changes(one, two), np.arange(len(one)), 0))
+    return (doc != doc[lead]) | (start != start[lead])
+
+
+def windows_to_send(plan, raw, begin, first, doc, row, count, by):
+    """(bucket, contexts) of one block."""
     bucket = plan.bucket(by)
     order = np.argsort(bucket, kind="stable")
     for b, s in cut(bucket[order]):
@@ -310,8 +343,7 @@ def stretches(plan: Plan, bucket: pa.Table) -> pa.Table:
         start = np.repeat(first, count) + step
         order = np.lexsort((start, doc, two, one))
         one, two, doc, row, part, start = (x[order] for x in (one, two, doc, row, part, start))
-        lead = np.maximum.accumulate(np.where(changes(one, two), np.arange(len(one)), 0))
-        again = (doc != doc[lead]) | (start != start[lead])
+        again = later(one, two, doc, start)
         row, part, start = row[again], part[again], start[again]
         order = np.argsort(part, kind="stable")
         row, part, start = row[order], part[order], start[order]

@@ -69,6 +69,27 @@ def test_repeats(spark, monkeypatch, contexts):
             assert bytes(r.kept) == bytes(b for b, g in zip(own, expected[r.doc_id]) if not g)
 
 
+def test_hot_line_is_sent_once_a_part():
+    rng = random.Random(3)
+    line = " ".join(f"common{i}" for i in range(21))
+    texts = [f"{rng.random()} {rng.random()} {line} {rng.random()} {rng.random()}" for _ in range(200)]
+    plan, sent = repeats.Plan(True, 20, 8, 8, contexts=4), []
+    for p in range(5):
+        part = pa.table({"doc_id": pa.array(range(p * 40, p * 40 + 40), pa.int64()), "text": texts[p * 40 : p * 40 + 40]})
+        k = plan.part_runs(plan.rows(part))[0]
+        k = np.unique(k)
+        known = pa.table({"body": pa.array([repeats.pack(k, np.zeros(len(k), np.uint64), np.full(len(k), repeats.HOT, np.uint8))], pa.binary())})
+        sent.append(repeats.contents(plan, (pa.scalar(p),), part, known))
+    again = collections.Counter()
+    for bucket in pa.concat_tables(sent).combine_chunks().to_pylist():
+        if bucket["kind"]:
+            body = bucket["body"]
+            n = int.from_bytes(body[:8], "little")
+            raw = np.frombuffer(body, np.uint64, -1, 8 + 32 * n)
+            again.update(map(bytes, raw.reshape(n, 20)))
+    assert max(again.values()) == 5
+
+
 def test_levels_double(spark):
     levels = suffix_dedup.SuffixLevels(spark, 2, 4)
     docs = spark.createDataFrame(corpus(), SCHEMA)
