@@ -210,7 +210,7 @@ def contents(plan: Plan, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Ta
     """Step 3: repeated runs of the part as stretches, and the contents of its open contexts."""
     rows = plan.rows(part)
     (rk, rc, rs), _ = unpack_all(replies.column("body"), np.uint64, np.uint64, np.uint8)
-    k, c, doc, first, count, row, head, earliest = plan.part_runs(rows)
+    k, c, doc, first, count, row, _, earliest = plan.part_runs(rows)
     state = np.zeros(len(k), np.uint8)
     if len(rk) and len(k):
         own = identify(k, c)
@@ -220,7 +220,8 @@ def contents(plan: Plan, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Ta
                 at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
                 state[ids[at] == mine] = what
     whole = ~earliest | (state == DUPLICATE)
-    opened = head & ~whole & (state > 0)
+    # Rows that repeat an id and have the same run at the same place are all sent: what else they hold may differ.
+    opened = ~whole & (state > 0)
     hot = opened & (state == HOT)
     wo, wr, wf, again = hot_windows(plan, rows, row[hot], first[hot], count[hot], doc[hot])
     r = np.concatenate((row[whole], wr[again]))

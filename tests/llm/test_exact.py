@@ -90,6 +90,21 @@ def test_hot_line_is_sent_once_a_part():
     assert max(again.values()) == 5
 
 
+@pytest.mark.parametrize("contexts", [1, 64])
+def test_rows_that_repeat_an_id_lose_the_same(spark, monkeypatch, contexts):
+    made = repeats.Plan
+    for module in (repeats, suffix_dedup.repeats):
+        monkeypatch.setattr(module, "Plan", lambda *a, **k: made(*a, contexts=contexts, **k))
+    word = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    shared = word("s", 45)
+    rows = [(1, f"{word('a', 30)} {shared} {word('b', 30)}")] + [(2, f"{word('c', 30)} {shared} {word('d', 30)}")] * 2 + [(2, f"{word('c', 30)} {shared} {word('e', 30)}")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = [r.n_removed for r in substring_dedup.remove_repeated_spans(docs).collect() if r.doc_id == 2]
+    assert left == [45] * 3
+    found = [r for r in suffix_dedup.remove_repeated_strings(docs).collect() if r.doc_id == 2]
+    assert [r.n_removed for r in found] == [len(shared) + 4] * 3  # with "29 " before and " " after, which are equal too
+
+
 def test_levels_double(spark):
     levels = suffix_dedup.SuffixLevels(spark, 2, 4)
     docs = spark.createDataFrame(corpus(), SCHEMA)
