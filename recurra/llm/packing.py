@@ -8,8 +8,9 @@ stream, so nothing is shuffled; when a partition ends, its few open windows are
 topped up by cutting the least filled ones, which leaves at most one short.
 
 Edge cases: null or empty text is the end id alone; repeated rows are packed
-as often as they occur; an empty table gives no pieces; ids may be null; other
-columns are ignored.
+as often as they occur; an empty table gives no pieces; ids may be null; strings
+of the tokenizer's added tokens have their ids; texts are encoded whole, however
+long, one at a time; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -178,10 +178,34 @@ def test_token_ids(text):
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
     assert bpe.encoder()(text) == known.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["x<|endoftext|>y", "<|endoftext|><|endoftext|>", "a" + " " * 300_000 + "b", "\n" * 200_000, " \t\u00a0\u3000" * 40_000 + "x  "])
+def test_token_ids_of_added_tokens_and_long_blanks(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert bpe.encoder()(text) == known.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_packing_takes_the_level_of_least_squares(sizes):
+    packer = packing.Packer(40, 0)
+    for n, size in enumerate(sizes):
+        if size < 40:
+            costs = {}
+            for level in [0, *[x for x in range(1, 40 - size + 1) if packer.counts[x]]]:
+                after = packer.counts.copy()
+                after[level] -= level > 0
+                after[level + size] += level + size < 40
+                costs[level] = int((after[1:40] ** 2).sum())
+            assert costs[packer.level_for(size)] == min(costs.values())
+        packer.place(((n, size), 0, np.zeros(size, "<u4")))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3000), st.sampled_from(["none", "lzw", "deflate", "packbits"]), st.booleans())
 def test_tiff_round_trip(data, compression, predictor):
