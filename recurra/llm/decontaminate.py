@@ -1,107 +1,104 @@
 """Benchmark passages in training documents, found by winnowing.
 
-Each window of `window` words keeps the least hash of its `gram`-word grams.
-Equal windows keep equal hashes, so joining the kept hashes of documents and
-benchmark finds every shared window; a hit is then extended to its whole window
-and compared word by word.  An item with fewer words than a window is one
-window of its own length, kept by the hash of all of it.
-
-Document windows are expanded, joined with the broadcast benchmark windows and
-compared in one stage without a shuffle; only hits and one row a document are
-grouped.  The broadcast side is cut into blocks of a fixed number of windows.
-
-The hashes are of fully lower-cased words, which can only add candidates; the
-comparison is of words with A-Z alone lower-cased, as asked.
+Of the hashes of a text's `gram`-word grams, winnowing keeps those that are the
+least of some window of `window` words (all of equal ones), about two in
+window-gram+2.  What is kept depends on the window's words alone, so a window
+that documents and benchmark share keeps the same gram at the same place in
+both, and joining the fingerprints finds it.  A hit is then extended: the words
+around both grams, which travel with the fingerprints, are compared for every
+window that holds the gram.  An item with fewer words than a window is one
+window of its own length and its own fingerprint.
+
+Documents are read once.  While the benchmark has at most `broadcast_prints`
+fingerprints they are broadcast, and documents are expanded, joined and compared
+in one stage without a shuffle; beyond that both sides are shuffled by
+fingerprint, with what has to be compared, and joined there.  Either way only
+hits and one row a document are grouped.
 
 Edge cases: null or empty text has no words and is not contaminated; items
-without words have no window; equal windows of several items name all of them;
-repeated rows are judged one by one; other columns are ignored.
+without words have no window; equal passages of several items name all of them;
+repeated rows are judged one by one; a long text costs in proportion to its
+length; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: What lies between words, with and without upper-case letters counted as part of words.
+#: What lies between words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = 100_000
+PRINT = "array<struct<length:int,hash:bigint,start:int,lead:int,near:array<string>>>"
 
 
-def words_of(text: Column, between: str) -> Column:
-    return F.array_remove(F.split(text, between), "")
+def fold_ascii(text: Column) -> Column:
+    """A-Z lower-cased; in a text of ASCII alone that is the plain lower case."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def fold_ascii(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(fold_ascii(text), BETWEEN), "")
 
 
-def kept_hashes(words: Column, window: int, gram: int) -> Column:
-    """The least gram hash of each window, by window start; empty if there is no window."""
-    size = F.size(words)
+def with_grams(df: DataFrame, window: int, gram: int) -> DataFrame:
+    """`grams`, the hash at each place of `words`, and `least`, the least hash of each window."""
+    size, across = F.size("words"), window - gram + 1
+    none = F.array().cast("array<bigint>")
+    hashed = F.transform(F.sequence(F.lit(0), size - gram), lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(gram))))
+    df = df.withColumn("grams", F.when(size >= window, hashed).otherwise(none))
+    lowest = F.transform(F.sequence(F.lit(0), size - window), lambda i: F.least(*(F.get("grams", i + j) for j in range(across)))) if across > 1 else F.col("grams")
+    return df.withColumn("least", F.when(size >= window, lowest).otherwise(none))
 
-    def gram_hash(i: Column) -> Column:
-        return F.xxhash64(*(F.get(words, i + j) for j in range(gram)))
 
-    grams = F.when(size >= window, F.transform(F.sequence(F.lit(0), size - gram), gram_hash))
-    return F.coalesce(grams, F.array().cast("array<bigint>"))
+def winnowed(window: int, gram: int) -> Column:
+    """Fingerprints of a row with_grams: (length, hash, start, lead, near); near has the words of all windows around, `lead` of them before the gram."""
+    across = window - gram + 1
 
+    def kept(x: Column, i: Column) -> Column:
+        over = [F.get("least", i - j) for j in range(across)]
+        lead = F.least(i, F.lit(across - 1))
+        near = F.slice("words", i - lead + 1, lead + window)
+        made = F.struct(F.lit(window).alias("length"), x.alias("hash"), i.alias("start"), lead.alias("lead"), near.alias("near"))
+        return F.when((F.greatest(*over) if across > 1 else over[0]) == x, made)
 
-def least_of(grams: Column, window: int, gram: int) -> Column:
-    last = F.size(grams) - (window - gram + 1)
-    if window == gram:
-        return grams
-    least = F.transform(F.sequence(F.lit(0), last), lambda i: F.least(*(F.get(grams, i + j) for j in range(window - gram + 1))))
-    return F.when(last >= 0, least).otherwise(F.array().cast("array<bigint>"))
+    return F.filter(F.transform("grams", kept), lambda p: p.isNotNull()).cast(PRINT)
 
 
-def benchmark_windows(items: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
-    """(length, words, exact, items): each distinct window, and the items that it occurs in."""
-    found = items.select(F.col(item_id).cast("string").alias("item"), words_of(fold_ascii(F.col(text)), BETWEEN).alias("own"))
-    found = found.where(F.size("own") > 0).withColumn("length", F.least(F.size("own"), F.lit(window)))
-    starts = F.explode(F.sequence(F.lit(1), F.size("own") - F.col("length") + 1))
-    found = found.select("item", "own", "length", starts.alias("start"))
-    exact = F.array_join(F.expr("slice(own, start, length)"), " ")
-    return found.groupBy("length", exact.alias("exact")).agg(F.collect_set("item").alias("items"))
+def whole_prints(length: int) -> Column:
+    """Fingerprints of all windows of `length` words, as items of so few words have them."""
 
+    def made(i: Column) -> Column:
+        hashed = F.xxhash64(*(F.get("words", i + j) for j in range(length)))
+        return F.struct(F.lit(length).alias("length"), hashed.alias("hash"), i.alias("start"), F.lit(0).alias("lead"), F.slice("words", i + 1, length).alias("near"))
 
-def document_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, doc_id, text, low, n_words, start, hash) of every window, and one row with start -1 for each document."""
-    low = docs.withColumn("low", words_of(F.lower("text"), BETWEEN)).withColumn("n_words", F.size("low"))
-    hashed = low.withColumn("grams", kept_hashes(F.col("low"), length, gram))
-    hashed = hashed.withColumn("kept", F.concat(F.array(F.lit(0).cast("bigint")), least_of(F.col("grams"), length, gram)))
-    # The list is never empty; the outer form keeps Spark from testing that with a second copy of all expressions.
-    chosen = hashed.select("row", "doc_id", "text", "low", "n_words", F.posexplode_outer("kept").alias("place", "hash"))
-    return chosen.withColumn("start", F.col("place") - 1).drop("place")
+    every = F.transform(F.sequence(F.lit(0), F.size("words") - length), made)
+    return F.when(F.size("words") >= length, every).otherwise(F.array()).cast(PRINT)
 
 
-def hits_of(docs: DataFrame, known: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of document_windows that are benchmark windows, and each document's own row."""
-    keyed = known.where(F.col("length") == length).withColumn("found", F.split("exact", " "))
-    keyed = keyed.withColumn("low_found", F.transform("found", lambda x: F.lower(x)))
-    grams = F.transform(
-        F.sequence(F.lit(0), F.lit(length - gram)),
-        lambda i: F.xxhash64(*(F.get(F.col("low_found"), i + j) for j in range(gram))),
-    )
-    keyed = keyed.select(F.array_min(grams).alias("hash"), "low_found", "exact", "items")
-    own = docs.sparkSession.range(1).select(
-        F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast("array<string>").alias("low_found"),
-        F.lit(None).cast("string").alias("exact"), F.lit(None).cast("array<string>").alias("items"),
-    )
-    windows = document_windows(docs, length, gram)
-    met = windows.join(F.broadcast(keyed.unionByName(own)), "hash")
-    itself = (F.col("start") < 0) & F.col("exact").isNull()
-    alike = (F.col("start") >= 0) & (F.slice("low", F.col("start") + 1, length) == F.col("low_found"))
-    met = met.where(itself | alike)
-    said = F.array_join(F.slice(words_of(F.col("text"), BETWEEN_ANY_CASE), F.col("start") + 1, length), " ")
-    met = met.where(F.col("exact").isNull() | (fold_ascii(said) == F.col("exact")))
-    return met.select("row", "doc_id", "n_words", "start", F.lit(length).alias("length"), "items")
+def benchmark_prints(items: DataFrame, window: int, gram: int, item_id: str, text: str) -> DataFrame:
+    """(item, length, hash, lead, near) of all items."""
+    found = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text).cast("string")).alias("words"))
+    found = with_grams(found.where(F.size("words") > 0), window, gram)
+    prints = winnowed(window, gram)
+    for length in range(1, window):
+        prints = F.when(F.size("words") == length, whole_prints(length)).otherwise(prints)
+    return found.select("item", F.explode(prints).alias("p")).select("item", "p.length", "p.hash", "p.lead", "p.near").distinct()
+
+
+def shared_starts(window: int, gram: int) -> Column:
+    """Starts of the document windows around a gram that the benchmark has too, by comparing words."""
+    found = []
+    for k in range(window - gram + 1):
+        held = (F.col("lead") >= k) & (F.col("known_lead") >= k)
+        mine = F.slice("near", F.greatest(F.col("lead") - k, F.lit(0)) + 1, F.col("length"))
+        known = F.slice("known", F.greatest(F.col("known_lead") - k, F.lit(0)) + 1, F.col("length"))
+        found.append(F.when(held & (F.size(mine) == F.col("length")) & (mine == known), F.col("start") - k))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def contamination(
@@ -113,30 +110,34 @@ def contamination(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    broadcast_prints: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items): words inside benchmark windows, and the items found, sorted as strings."""
     if not 0 < gram <= window:
         raise ValueError("a gram has between 1 and `window` words")
-    known = benchmark_windows(benchmark, window, item_id, item_text)
-    counts = {r["length"]: r["n"] for r in known.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    counts.setdefault(window, 0)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = []
-    for length, n in sorted(counts.items()):
-        blocks = max(1, -(-n // BROADCAST_WINDOWS))
-        for b in range(blocks):
-            block = known.where(F.pmod(F.xxhash64("exact"), F.lit(blocks)) == b)
-            found.append(hits_of(rows, block, length, gram if length == window else length))
-    hits = reduce(DataFrame.unionByName, found)
-    place = F.when(F.col("start") >= 0, F.struct("start", "length"))
-    grouped = hits.groupBy("row", "doc_id").agg(
-        F.coalesce(F.max("n_words"), F.lit(0)).cast("long").alias("n_words"),
-        F.collect_set(place).alias("places"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    prints = benchmark_prints(benchmark, window, gram, item_id, item_text)
+    sizes = {r["length"]: r["n"] for r in prints.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    known = prints.groupBy("length", "hash", F.col("lead").alias("known_lead"), F.col("near").alias("known")).agg(F.collect_set("item").alias("items"))
+    # One more row meets the row that each document sends for itself.
+    itself = docs.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(0).alias("known_lead"), F.lit(None).cast("array<string>").alias("known"), F.array().cast("array<string>").alias("items"))
+    known = known.unionByName(itself)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text).cast("string")).alias("words"))
+    rows = with_grams(rows, window, gram)
+    own = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("start"), F.lit(0).alias("lead"), F.array().cast("array<string>").alias("near"))).cast(PRINT)
+    every = F.concat(own, winnowed(window, gram), *(whole_prints(n) for n in sorted(sizes) if n < window))
+    # The list is never empty; the outer form keeps Spark from testing that with a second copy of all expressions.
+    sent = rows.select("row", "doc_id", F.greatest(F.size("words"), F.lit(0)).alias("n_words"), F.explode_outer(every).alias("p"))
+    sent = sent.select("row", "doc_id", "n_words", "p.*")
+    few = sum(sizes.values()) <= broadcast_prints
+    met = sent.join(F.broadcast(known) if few else known.hint("merge"), ["length", "hash"])
+    met = met.withColumn("starts", shared_starts(window, gram)).where((F.col("start") < 0) | (F.size("starts") > 0))
+    grouped = met.groupBy("row", "doc_id").agg(
+        F.max("n_words").cast("long").alias("n_words"),
+        F.collect_set(F.when(F.col("start") >= 0, F.struct("starts", "length"))).alias("places"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("start") >= 0, F.col("items")))))).alias("items"),
     )
-    covered = F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1)))
-    hit = F.size(F.array_distinct(covered)).cast("long")
-    return grouped.select("doc_id", F.greatest("n_words", F.lit(0)).alias("n_words"), hit.alias("n_hit"), "items")
+    inside = F.flatten(F.transform("places", lambda p: F.flatten(F.transform(p["starts"], lambda s: F.sequence(s, s + p["length"] - 1)))))
+    return grouped.select("doc_id", "n_words", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), "items")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

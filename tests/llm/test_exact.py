@@ -278,11 +278,16 @@ def test_language_model(spark):
         assert 0.97 < mass < 1.0001
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_contamination(spark, most):
     rows, items = corpus(7), [(i, " ".join(t.split()[5:30]).upper()) for i, t in corpus(7)[:20]] + [(90, "x"), (91, "Éa b c"), (92, None)]
     rows.append((99, "éA b c X. Éa B-C x"))
+    ten = " one two three four five six seven eight nine"
+    items += [(93, "ΑΣ.Α" + ten + " ten"), (94, "three four five six seven"), (95, "same " * 14)]
+    rows += [(100, "ΑΣ.Α" + ten + " ten"), (101, "αΣ" + ten), (102, "x same" * 3 + " same" * 30)]
     word = lambda t: [w for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) if w]
-    found = decontaminate.contamination(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = decontaminate.contamination(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), broadcast_prints=most).collect()
+    assert next(r.n_hit for r in found if r.doc_id == 100) == 12
     for r in found:
         own, hit, names = word(dict(rows)[r.doc_id]), set(), set()
         for i, t in items:
@@ -296,6 +301,13 @@ def test_contamination(spark):
         assert (r.n_words, r.n_hit, list(r.items)) == (len(own), len(hit), sorted(names))
 
 
+def test_contamination_of_a_long_text(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(400_000)]
+    items = [(1, " ".join(words[200_000:200_030]))]
+    r = decontaminate.contamination(spark.createDataFrame([(1, " ".join(words))], SCHEMA), spark.createDataFrame(items, "item_id long, text string")).first()
+    assert (r.n_words, list(r.items)) == (400_000, ["1"]) and r.n_hit == 30 * sum(words[i : i + 30] == words[200_000:200_030] for i in range(399_971))
+
+
 def test_licenses(spark):
     s = licenses.SENTENCES
     mit = ". ".join((s["mit-title"], s["mit-grant"], s["mit-notice"], s["as-is-mit"]))
