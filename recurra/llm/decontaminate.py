@@ -32,7 +32,7 @@ from .common import table
 
 #: What lies between words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PRINT = "array<struct<length:int,hash:bigint,start:int,lead:int,near:array<string>>>"
+PRINT = "array<struct<length:int,hash:bigint,start:int,near:array<string>>>"
 
 
 def fold_ascii(text: Column) -> Column:
@@ -55,49 +55,53 @@ def with_grams(df: DataFrame, window: int, gram: int) -> DataFrame:
     return df.withColumn("least", F.when(size >= window, lowest).otherwise(none))
 
 
+def print_of(length: int, hashed: Column, i: Column, first: int, last: int) -> Column:
+    """One fingerprint; near has the words from `first` to before `last` after place i, null outside the text.
+
+    Words are taken one by one, since a slice costs as much as the whole array.
+    """
+    near = F.array(*(F.get("words", i + j) for j in range(first, last)))
+    return F.struct(F.lit(length).alias("length"), hashed.alias("hash"), i.alias("start"), near.alias("near"))
+
+
 def winnowed(window: int, gram: int) -> Column:
-    """Fingerprints of a row with_grams: (length, hash, start, lead, near); near has the words of all windows around, `lead` of them before the gram."""
+    """Fingerprints of a row with_grams, with the words of all windows around."""
     across = window - gram + 1
 
     def kept(x: Column, i: Column) -> Column:
         over = [F.get("least", i - j) for j in range(across)]
-        lead = F.least(i, F.lit(across - 1))
-        near = F.slice("words", i - lead + 1, lead + window)
-        made = F.struct(F.lit(window).alias("length"), x.alias("hash"), i.alias("start"), lead.alias("lead"), near.alias("near"))
-        return F.when((F.greatest(*over) if across > 1 else over[0]) == x, made)
+        return F.when((F.greatest(*over) if across > 1 else over[0]) == x, print_of(window, x, i, 1 - across, window))
 
     return F.filter(F.transform("grams", kept), lambda p: p.isNotNull()).cast(PRINT)
 
 
 def whole_prints(length: int) -> Column:
     """Fingerprints of all windows of `length` words, as items of so few words have them."""
-
-    def made(i: Column) -> Column:
-        hashed = F.xxhash64(*(F.get("words", i + j) for j in range(length)))
-        return F.struct(F.lit(length).alias("length"), hashed.alias("hash"), i.alias("start"), F.lit(0).alias("lead"), F.slice("words", i + 1, length).alias("near"))
-
-    every = F.transform(F.sequence(F.lit(0), F.size("words") - length), made)
+    hashed = lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(length)))
+    every = F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda i: print_of(length, hashed(i), i, 0, length))
     return F.when(F.size("words") >= length, every).otherwise(F.array()).cast(PRINT)
 
 
 def benchmark_prints(items: DataFrame, window: int, gram: int, item_id: str, text: str) -> DataFrame:
-    """(item, length, hash, lead, near) of all items."""
+    """(item, length, hash, near) of all items."""
     found = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text).cast("string")).alias("words"))
     found = with_grams(found.where(F.size("words") > 0), window, gram)
     prints = winnowed(window, gram)
     for length in range(1, window):
         prints = F.when(F.size("words") == length, whole_prints(length)).otherwise(prints)
-    return found.select("item", F.explode(prints).alias("p")).select("item", "p.length", "p.hash", "p.lead", "p.near").distinct()
+    return found.select("item", F.explode(prints).alias("p")).select("item", "p.length", "p.hash", "p.near").distinct()
 
 
 def shared_starts(window: int, gram: int) -> Column:
     """Starts of the document windows around a gram that the benchmark has too, by comparing words."""
     found = []
     for k in range(window - gram + 1):
-        held = (F.col("lead") >= k) & (F.col("known_lead") >= k)
-        mine = F.slice("near", F.greatest(F.col("lead") - k, F.lit(0)) + 1, F.col("length"))
-        known = F.slice("known", F.greatest(F.col("known_lead") - k, F.lit(0)) + 1, F.col("length"))
-        found.append(F.when(held & (F.size(mine) == F.col("length")) & (mine == known), F.col("start") - k))
+        # Where the k-th window before the gram begins in `near`; shorter windows have nothing before them.
+        at = F.when(F.col("length") == window, F.lit(window - gram - k)).when(F.lit(k == 0), F.lit(0))
+        last = at + F.col("length") - 1
+        whole = F.get("near", at).isNotNull() & F.get("near", last).isNotNull()
+        same = F.slice("near", at + 1, F.col("length")) == F.slice("known", at + 1, F.col("length"))
+        found.append(F.when(at.isNotNull() & whole & same, F.col("start") - k))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
@@ -117,13 +121,13 @@ def contamination(
         raise ValueError("a gram has between 1 and `window` words")
     prints = benchmark_prints(benchmark, window, gram, item_id, item_text)
     sizes = {r["length"]: r["n"] for r in prints.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    known = prints.groupBy("length", "hash", F.col("lead").alias("known_lead"), F.col("near").alias("known")).agg(F.collect_set("item").alias("items"))
+    known = prints.groupBy("length", "hash", F.col("near").alias("known")).agg(F.collect_set("item").alias("items"))
     # One more row meets the row that each document sends for itself.
-    itself = docs.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(0).alias("known_lead"), F.lit(None).cast("array<string>").alias("known"), F.array().cast("array<string>").alias("items"))
+    itself = docs.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast("array<string>").alias("known"), F.array().cast("array<string>").alias("items"))
     known = known.unionByName(itself)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text).cast("string")).alias("words"))
     rows = with_grams(rows, window, gram)
-    own = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("start"), F.lit(0).alias("lead"), F.array().cast("array<string>").alias("near"))).cast(PRINT)
+    own = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("start"), F.array().cast("array<string>").alias("near"))).cast(PRINT)
     every = F.concat(own, winnowed(window, gram), *(whole_prints(n) for n in sorted(sizes) if n < window))
     # The list is never empty; the outer form keeps Spark from testing that with a second copy of all expressions.
     sent = rows.select("row", "doc_id", F.greatest(F.size("words"), F.lit(0)).alias("n_words"), F.explode_outer(every).alias("p"))

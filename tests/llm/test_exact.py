@@ -302,10 +302,10 @@ def test_contamination(spark, most):
 
 
 def test_contamination_of_a_long_text(spark):
-    words = [f"w{i * 7919 % 100_003}" for i in range(400_000)]
-    items = [(1, " ".join(words[200_000:200_030]))]
+    words = [f"w{i}" for i in range(150_000)]
+    items = [(1, " ".join(words[70_000:70_030]))]
     r = decontaminate.contamination(spark.createDataFrame([(1, " ".join(words))], SCHEMA), spark.createDataFrame(items, "item_id long, text string")).first()
-    assert (r.n_words, list(r.items)) == (400_000, ["1"]) and r.n_hit == 30 * sum(words[i : i + 30] == words[200_000:200_030] for i in range(399_971))
+    assert (r.n_words, r.n_hit, list(r.items)) == (150_000, 30, ["1"])
 
 
 def test_licenses(spark):
