@@ -126,11 +126,11 @@ def contamination(
     itself = docs.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast("array<string>").alias("known"), F.array().cast("array<string>").alias("items"))
     known = known.unionByName(itself)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text).cast("string")).alias("words"))
-    rows = with_grams(rows, window, gram)
+    rows = with_grams(rows.withColumn("n_words", F.greatest(F.size("words"), F.lit(0))), window, gram)
     own = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("start"), F.array().cast("array<string>").alias("near"))).cast(PRINT)
     every = F.concat(own, winnowed(window, gram), *(whole_prints(n) for n in sorted(sizes) if n < window))
     # The list is never empty; the outer form keeps Spark from testing that with a second copy of all expressions.
-    sent = rows.select("row", "doc_id", F.greatest(F.size("words"), F.lit(0)).alias("n_words"), F.explode_outer(every).alias("p"))
+    sent = rows.select("row", "doc_id", "n_words", F.explode_outer(every).alias("p"))
     sent = sent.select("row", "doc_id", "n_words", "p.*")
     few = sum(sizes.values()) <= broadcast_prints
     met = sent.join(F.broadcast(known) if few else known.hint("merge"), ["length", "hash"])
