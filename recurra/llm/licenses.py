@@ -1,14 +1,20 @@
 """Licences of documents by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, everything but
-a-z and 0-9 one space), and known sentences get their identifiers.  The row of
-identifiers is then matched against ordered rules, longest rule first, from the
-left, without overlap.  The catalogue is a small literal in the plan, so the
+Comment signs at the start of lines are dropped, list items begin paragraphs,
+and single line breaks are blanks, so wrapped headers and whole licence texts
+read as running text.  It is cut into sentences (at blank lines and behind
+. ! ? ; before white space); since short notices also stand on a line of their
+own without a full stop, the lines are cut a second time, each for itself.  A
+sentence is normalised (lower case, everything but a-z and 0-9 one space) and
+mapped to its identifier, or to none.  Each row of identifiers is matched against
+ordered rules, the longest first, from the left, without overlap; between two
+sentences of a rule at most three unknown ones may stand.  A document's licences
+are those of both rows.  The catalogue is a small literal in the plan, so the
 whole scan is one projection without a shuffle.
 
-Edge cases: null or empty text has no sentences; a document may match a rule
-several times and names it once; repeated rows are judged one by one; other
-columns are ignored.
+Edge cases: null or empty text has no sentences, and neither has text without
+letters a-z; a document may match a rule several times and names it once;
+repeated rows are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,42 +29,109 @@ from .common import table
 
 # Well-known licence sentences, by identifier, and the rules made of them.
 SENTENCES = {
-    "mit-name": "Released under the MIT License",
-    "mit-name-2": "Licensed under the MIT License",
     "mit-title": "The MIT License",
+    "mit-title-2": "MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "as-is-mit": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
-    "apache-name": "Licensed under the Apache License, Version 2.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "apache-header": "Licensed under the Apache License, Version 2.0 (the \"License\")",
     "apache-use": "you may not use this file except in compliance with the License",
     "apache-copy": "You may obtain a copy of the License at",
-    "gpl3-name": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
-    "cc-by-nc-name": "Licensed under CC BY-NC 4.0",
-    "cc-by-name": "Licensed under CC BY 4.0",
+    "gpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "later-2": "either version 2 of the License, or (at your option) any later version",
+    "later-2.1": "either version 2.1 of the License, or (at your option) any later version",
+    "later-3": "either version 3 of the License, or (at your option) any later version",
+    "only-2": "version 2 of the License",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "mpl2-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
 }
-RULES = (
-    ("MIT", ("mit-name",)),
-    ("MIT", ("mit-name-2",)),
+RULES = [
     ("MIT", ("mit-title", "mit-grant", "mit-notice")),
+    ("MIT", ("mit-title-2", "mit-grant", "mit-notice")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-grant", "mit-notice", "as-is-mit")),
-    ("Apache-2.0", ("apache-name",)),
-    ("Apache-2.0", ("apache-name", "apache-use", "apache-copy")),
-    ("GPL-3.0", ("gpl3-name",)),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
-    ("CC-BY-NC-4.0", ("cc-by-nc-name",)),
-    ("CC-BY-4.0", ("cc-by-name",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-2",)),
+    ("Apache-2.0", ("apache-header",)),
+    ("Apache-2.0", ("apache-header", "apache-use", "apache-copy")),
+    ("GPL-3.0-or-later", ("gpl3-free",)),
+    ("GPL-3.0-or-later", ("gpl3-free", "gpl-hope", "gpl-implied")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("GPL-2.0-or-later", ("gpl-terms", "later-2")),
+    ("GPL-2.0-only", ("gpl-terms", "only-2")),
+    ("GPL-3.0-or-later", ("gpl-terms", "later-3")),
+    ("LGPL-2.0-or-later", ("lgpl-terms", "later-2")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "later-2.1")),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "later-3")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
-)
-SPLIT = r"[.!?]+[ \t\r\n\f]+|\n+"
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy-2")),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+]
+# Names that notices give, and what they say of them; and identifiers of tags.
+NAMED = {
+    "the MIT License": "MIT",
+    "the ISC License": "ISC",
+    "the Apache License, Version 2.0": "Apache-2.0",
+    "the Apache License 2.0": "Apache-2.0",
+    "the GNU General Public License, version 2": "GPL-2.0",
+    "the GNU General Public License, version 3": "GPL-3.0",
+    "the GNU Lesser General Public License, version 3": "LGPL-3.0",
+    "the GNU Affero General Public License, version 3": "AGPL-3.0",
+    "the BSD 2-Clause License": "BSD-2-Clause",
+    "the BSD 3-Clause License": "BSD-3-Clause",
+    "the Mozilla Public License 2.0": "MPL-2.0",
+    "the Boost Software License, Version 1.0": "BSL-1.0",
+    "CC BY 4.0": "CC-BY-4.0",
+    "CC BY-SA 4.0": "CC-BY-SA-4.0",
+    "CC BY-NC 4.0": "CC-BY-NC-4.0",
+}
+SAID = ("Released under", "Licensed under", "Distributed under", "This work is licensed under", "This project is licensed under")
+TAGS = (
+    "MIT", "ISC", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0",
+    "Unlicense", "Zlib", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+)
+for _name, _license in NAMED.items():
+    for _n, _said in enumerate(SAID):
+        SENTENCES[f"{_license}: {_name}, {_n}"] = f"{_said} {_name}"
+        RULES.append((_license, (f"{_license}: {_name}, {_n}",)))
+for _license in TAGS:
+    SENTENCES[f"tag {_license}"] = f"SPDX-License-Identifier: {_license}"
+    RULES.append((_license, (f"tag {_license}",)))
+
+#: At line starts: comment signs, and marks of list items.
+COMMENT = r"(^|\n)[ \t]*(?://+|#+|/?\*+/?|;+|--+|%+)[ \t]?"
+ITEM = r"(^|\n)[ \t]*(?:[0-9]+[.)]|\([a-z0-9]\)|-)[ \t]+"
+PARAGRAPH = r"\n[ \t\r\f]*\n"
+SENTENCE_END = r"[.!?;]+[ \t\r\n\f]+"
+GAP = 3
 
 
 def normal(sentence: str) -> str:
@@ -85,34 +158,45 @@ def any_of(value: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(value, F.lit(w)) for w in words), F.lit(False))
 
 
-def sentences(text: Column) -> Column:
-    """Lower-cased sentences, in order, blank ones left out."""
-    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT)
-    return F.filter(cut, lambda s: F.trim(s) != "")
+def with_letters(cut: Column) -> Column:
+    return F.filter(cut, lambda s: F.rlike(s, F.lit("[a-z]")))
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
 
 
+def rule_pattern(numbers: list[str]) -> str:
+    """A rule's sentences, |n| each, with at most GAP unknown ones, |-|, between two."""
+    return rf"(?:\|-\|){{0,{GAP}}}".join(rf"\|{n}\|" for n in numbers)
+
+
 def license_scan(
-    docs: DataFrame, catalogue: dict[str, str] = SENTENCES, rules: tuple = RULES, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, catalogue: dict[str, str] = SENTENCES, rules: list | tuple = tuple(RULES), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_sentences, sentence_ids, licenses): known sentences in order, licences found, sorted."""
+    """(doc_id, n_sentences, sentence_ids, licenses): running sentences, the known ones in order, and the licences found, sorted."""
     number = {name: str(i) for i, name in enumerate(catalogue)}
-    known = literal_map({normal(s): name for name, s in catalogue.items()})
-    form = {"|".join(["", *(number[x] for x in ids)]): license for license, ids in rules}
-    longest = sorted(form, key=lambda x: (-x.count("|"), x))
-    pattern = "(" + "|".join(re.escape(x) for x in longest) + r")(?=\|)"
-    cut = docs.select(F.col(doc_id), sentences(F.col(text)).alias("__sentences"))
+    known = literal_map({normal(s): f"|{number[name]}|" for name, s in catalogue.items()})
+    form = {"".join(f"|{number[x]}|" for x in ids): license for license, ids in rules}
+    ordered = sorted(([number[x] for x in ids] for _, ids in rules), key=lambda ids: (-len(ids), ids))
+    pattern = "(" + "|".join(rule_pattern(ids) for ids in ordered) + ")"
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COMMENT, "$1")
+    cut = docs.select(F.col(doc_id), F.regexp_replace(clean, ITEM, "\n\n").alias("__text"))
+    running = F.split(F.col("__text"), f"{SENTENCE_END}|{PARAGRAPH}")
+    cut = cut.select(doc_id, with_letters(running).alias("__sentences"), with_letters(F.split("__text", rf"{SENTENCE_END}|\n+")).alias("__lines"))
     # Only sentences with a word of the catalogue's cover are normalised and looked up.
     words = cover([normal(s) for s in catalogue.values()])
-    likely = F.filter("__sentences", lambda s: any_of(s, words))
-    named = F.filter(F.transform(likely, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
-    found = cut.select(F.col(doc_id), F.size("__sentences").cast("long").alias("n_sentences"), named.alias("sentence_ids"))
-    row = F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda x: F.element_at(literal_map(number), x)), "|"), F.lit("|"))
-    met = F.transform(F.regexp_extract_all(row, F.lit(pattern), 1), lambda x: F.element_at(literal_map(form), x))
-    return found.withColumn("licenses", F.array_sort(F.array_distinct(met)))
+    name = lambda s: F.when(any_of(s, words), F.coalesce(F.try_element_at(known, normalised(s)), F.lit("|-|"))).otherwise("|-|")
+    rows = [F.array_join(F.transform(c, name), "") for c in ("__sentences", "__lines")]
+    found = cut.select(doc_id, F.size("__sentences").cast("long").alias("n_sentences"), rows[0].alias("__running"), rows[1].alias("__single"))
+    met = []
+    for row in ("__running", "__single"):
+        # Rows without a known sentence are not searched.
+        hits = F.when(F.rlike(row, F.lit("[0-9]")), F.regexp_extract_all(F.col(row), F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
+        met.append(F.transform(hits, lambda x: F.element_at(literal_map(form), F.replace(x, F.lit("|-|"), F.lit("")))))
+    names = literal_map({n: name for name, n in number.items()})
+    ids = F.transform(F.regexp_extract_all("__running", F.lit("([0-9]+)"), 1), lambda n: F.element_at(names, n))
+    return found.select(doc_id, "n_sentences", ids.alias("sentence_ids"), F.array_sort(F.array_distinct(F.concat(*met))).alias("licenses"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,24 +210,26 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    names = {normal(s): name for name, s in SENTENCES.items()}
-    single = {ids[0]: license for license, ids in RULES if len(ids) == 1}
-    several = [(license, ids) for license, ids in RULES if len(ids) > 1]
-    rows = ", ".join(f"('{k}', '{v}')" for k, v in names.items())
-    # Without a sequence of several rules' sentences, rules of one sentence decide; longer ones are told apart by containment.
-    one = ", ".join(f"('{k}', '{v}')" for k, v in single.items())
-    more = " ".join(
-        f"WHEN contains(ids, '|{'|'.join(ids)}|') THEN ['{license}']" for license, ids in sorted(several, key=lambda r: -len(r[1]))
-    )
+    """The scan over joined rows: the catalogue and the rules are tables, their texts are those above."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    names = ", ".join(f"({quote(normal(s))}, {quote(name)})" for name, s in SENTENCES.items())
+    number = {name: str(i) for i, name in enumerate(SENTENCES)}
+    ordered = sorted(([number[x] for x in ids] for _, ids in RULES), key=lambda ids: (-len(ids), ids))
+    pattern = "|".join(rule_pattern(ids) for ids in ordered)
+    by_number = ", ".join(f"({quote(''.join(f'|{number[x]}|' for x in ids))}, {quote(license)})" for license, ids in RULES)
+    numbered = ", ".join(f"({quote(name)}, {quote(n)})" for name, n in number.items())
     return f"""
-WITH k(s, id) AS (VALUES {rows}), o(id, license) AS (VALUES {one}),
-t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[.!?]+[ \\t\\r\\n\\f]+|\\n+'), lambda x: trim(x, ' ') <> '') AS ss FROM documents),
-u AS (SELECT doc_id, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s, i FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM t)),
-f AS (SELECT doc_id, count(*) AS n, list(DISTINCT o.license) FILTER (o.license IS NOT NULL) AS found, '|' || string_agg(k.id, '|' ORDER BY i) || '|' AS ids
-  FROM u JOIN k USING (s) LEFT JOIN o ON k.id = o.id GROUP BY doc_id)
-SELECT t.doc_id, len(ss)::BIGINT AS n_sentences, coalesce(n, 0)::BIGINT AS n_license_sentences,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), CASE {more} ELSE [] END))), ','), '') AS licenses
-FROM t LEFT JOIN f ON t.doc_id = f.doc_id"""
+WITH k(s, name) AS (VALUES {names}), m(name, n) AS (VALUES {numbered}), r(ids, license) AS (VALUES {by_number}),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '{COMMENT}', '\\1', 'g'), '{ITEM}', chr(10) || chr(10), 'g') AS t FROM documents),
+u AS (SELECT doc_id, list_filter(string_split_regex(t, '{SENTENCE_END}|{PARAGRAPH}'), lambda x: regexp_matches(x, '[a-z]')) AS ss,
+  list_filter(string_split_regex(t, '{SENTENCE_END}|\\n+'), lambda x: regexp_matches(x, '[a-z]')) AS ls FROM c),
+e AS (SELECT doc_id, 1 AS kind, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM u UNION ALL SELECT doc_id, 2, unnest(ls), generate_subscripts(ls, 1) FROM u),
+f AS (SELECT doc_id, kind, count(n) AS n, string_agg('|' || coalesce(n, '-') || '|', '' ORDER BY i) AS row
+  FROM e LEFT JOIN k ON k.s = trim(regexp_replace(e.s, '[^a-z0-9]+', ' ', 'g')) LEFT JOIN m USING (name) GROUP BY doc_id, kind),
+h AS (SELECT doc_id, unnest(regexp_extract_all(row, '{pattern}')) AS hit FROM f WHERE n > 0),
+l AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM h JOIN r ON r.ids = replace(hit, '|-|', '') GROUP BY doc_id)
+SELECT u.doc_id, len(ss)::BIGINT AS n_sentences, coalesce(f.n, 0)::BIGINT AS n_license_sentences, coalesce(licenses, '') AS licenses
+FROM u LEFT JOIN f ON u.doc_id = f.doc_id AND f.kind = 1 LEFT JOIN l ON u.doc_id = l.doc_id"""
 
 
 QUERIES = {"op8_licenses": op8_licenses}

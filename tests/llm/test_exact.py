@@ -309,12 +309,24 @@ def test_contamination_of_a_long_text(spark):
 
 
 def test_licenses(spark):
+    import textwrap
+
     s = licenses.SENTENCES
-    mit = ". ".join((s["mit-title"], s["mit-grant"], s["mit-notice"], s["as-is-mit"]))
-    bsd = "\n".join(s[x] for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"))
-    rows = [(1, mit + "."), (2, bsd), (3, "text. " + s["apache-name"] + ". more"), (4, "nothing"), (5, s["bsd-binary"] + "\n" + s["bsd-grant"])]
+    mit = ". ".join((s["mit-title"], s["mit-grant"] + "\n\n" + s["mit-notice"], s["as-is-mit"]))
+    bsd = "\n".join(("", s["bsd-grant"], "1. " + s["bsd-source"] + ".", "2. " + s["bsd-binary"] + ".", "3. " + s["bsd-endorse"] + "."))
+    fill = lambda t, mark="": "\n".join(textwrap.wrap(t, 70, initial_indent=mark, subsequent_indent=mark))
+    whole = "\n\n".join(("MIT License", "Copyright (c) 2020 Some One. All rights reserved.", fill(s["mit-grant"]), fill(s["mit-notice"] + "."), fill(s["as-is-mit"] + ".")))
+    header = s["apache-header"] + "; " + s["apache-use"] + ". " + s["apache-copy"]
+    gpl2 = "This program is free software; " + "; ".join((s["gpl-terms"], s["later-2"])) + ". " + s["gpl-hope"] + "; " + s["gpl-implied"] + "."
+    far = s["bsd-grant"] + "\n\n" + "Other words here. " * 5 + s["bsd-source"] + ". " + s["bsd-binary"] + "."
+    rows = [
+        (1, mit + "."), (2, bsd), (3, "text. Licensed under the Apache License, Version 2.0. more"), (4, "nothing"), (5, s["bsd-binary"] + "\n" + s["bsd-grant"]),
+        (6, whole), (7, fill(whole.replace("\n\n", ". "), " * ")), (8, "#!/bin/sh\n" + fill(header, "# ") + "\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"), (9, "/*\n" + fill(gpl2, " * ") + "\n */"),
+        (10, "// SPDX-License-Identifier: MIT\nint x;"), (11, "no stop before\nReleased under the MIT License\nnor after"), (12, far), (13, None),
+        (14, fill(s["mpl2-subject"] + ". 2.0. " + s["mpl2-copy"] + ".", "// ")),
+    ]
     got = {r.doc_id: list(r.licenses) for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["Apache-2.0"], 4: [], 5: []}
+    assert got == {1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["Apache-2.0"], 4: [], 5: [], 6: ["MIT"], 7: ["MIT"], 8: ["Apache-2.0"], 9: ["GPL-2.0-or-later"], 10: ["MIT"], 11: ["MIT"], 12: [], 13: [], 14: ["MPL-2.0"]}
 
 
 def test_chat_round_trip(spark):
