@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from recurra.llm import bpe, chat, decontaminate, eliasfano, licenses, media, ngram_lm, packing, repeats, simhash, substring_dedup, suffix_dedup, tiff, toxicity
+from recurra.llm import bpe, chat, decontaminate, eliasfano, licenses, media, ngram_lm, packing, simhash, substring_dedup, suffix_dedup, tiff, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,21 +50,26 @@ def repeated(units, length):
 
 
 @pytest.mark.parametrize("contexts", [1, 64])
-def test_repeats(spark, monkeypatch, contexts):
-    rows = corpus()
-    made = repeats.Plan
-    for module in (repeats, suffix_dedup.repeats):
-        monkeypatch.setattr(module, "Plan", lambda *a, **k: made(*a, contexts=contexts, **k))
+def test_repeated_words(spark, monkeypatch, contexts):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 400)
+    rows = corpus() + [(200, "zz " + corpus()[60][1] + " yy" * 700), (201, "q\u00a0r\n\t é " * 40)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    words = [(i, t.split()) for i, t in rows]
+    words = [(i, re.findall(r"[^\x20\x09-\x0d]+", t)) for i, t in rows]
     expected = repeated(words, 20)
-    for r in substring_dedup.remove_repeated_spans(docs).collect():
+    for r in substring_dedup.remove_repeated_spans(docs, contexts=contexts).collect():
         own = dict(words)[r.doc_id]
         assert r.n_removed == sum(expected[r.doc_id]) and r.kept == " ".join(w for w, g in zip(own, expected[r.doc_id]) if not g)
+
+
+@pytest.mark.parametrize("contexts", [1, 64])
+def test_repeated_bytes(spark, monkeypatch, contexts):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    rows = corpus() + [(200, "Ünïcode \u0000 😀 " * 40), (201, "Ünïcode \u0000 😀 " * 20), (202, "zz" + corpus()[60][1] + "yy" * 400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     data = [(i, t.encode()) for i, t in rows]
     expected = repeated(data, 100)
     for batches in (1, 3, 5):
-        for r in suffix_dedup.remove_repeated_strings(docs, batches=batches).collect():
+        for r in suffix_dedup.remove_repeated_strings(docs, batches=batches, contexts=contexts).collect():
             own = dict(data)[r.doc_id]
             assert bytes(r.kept) == bytes(b for b, g in zip(own, expected[r.doc_id]) if not g)
 
@@ -73,41 +78,55 @@ def test_hot_line_is_sent_once_a_part():
     rng = random.Random(3)
     line = " ".join(f"common{i}" for i in range(21))
     texts = [f"{rng.random()} {rng.random()} {line} {rng.random()} {rng.random()}" for _ in range(200)]
-    plan, sent = repeats.Plan(True, 20, 8, 8, contexts=4), []
+    shape, sent = substring_dedup.Shape(20, 8, 8, 4), collections.Counter()
     for p in range(5):
         part = pa.table({"doc_id": pa.array(range(p * 40, p * 40 + 40), pa.int64()), "text": texts[p * 40 : p * 40 + 40]})
-        k = plan.part_runs(plan.rows(part))[0]
-        k = np.unique(k)
-        known = pa.table({"body": pa.array([repeats.pack(k, np.zeros(len(k), np.uint64), np.full(len(k), repeats.HOT, np.uint8))], pa.binary())})
-        sent.append(repeats.contents(plan, (pa.scalar(p),), part, known))
-    again = collections.Counter()
-    for bucket in pa.concat_tables(sent).combine_chunks().to_pylist():
-        if bucket["kind"]:
-            body = bucket["body"]
-            n = int.from_bytes(body[:8], "little")
-            raw = np.frombuffer(body, np.uint64, -1, 8 + 32 * n)
-            again.update(map(bytes, raw.reshape(n, 20)))
-    assert max(again.values()) == 5
+        k = np.unique(substring_dedup.part_paths(shape, shape.rows(part))[0])
+        known = pa.table({"body": pa.array([substring_dedup.pack(k, np.zeros(len(k), np.uint64), np.full(len(k), substring_dedup.HOT, np.uint8))], pa.binary())})
+        found = substring_dedup.part_edges(shape, (pa.scalar(p),), part, known)
+        sent.update(x for x in found.column("one").to_pylist() if x is not None)
+    assert max(sent.values()) == 5
+
+
+def test_paths_compact(spark):
+    """A chain of nine edges with a branch at the end of the fifth, whose count differs from there on."""
+    rows = [(i, i, i + 1, 4 if i < 5 else 3, 7, i) for i in range(9)] + [(50, 5, 60, 2, 8, 3), (51, 60, 61, 2, 8, 4)]
+    edges = spark.createDataFrame(rows, "edge long, source long, target long, n long, doc long, start int")
+    paths = substring_dedup.compacted(edges)
+    got = {r.edge: (r.path, r.place) for r in paths.collect()}
+    assert got == {i: (0, i) for i in range(5)} | {5 + i: (5, i) for i in range(4)} | {50: (50, 0), 51: (50, 1)}
+    found = {r.path: (r.doc, r.start, r.n_edges, r.n) for r in substring_dedup.path_table(edges, paths).collect()}
+    assert found == {0: (7, 0, 5, 4), 5: (7, 5, 4, 3), 50: (8, 3, 2, 2)}
 
 
 @pytest.mark.parametrize("contexts", [1, 64])
-def test_rows_that_repeat_an_id_lose_the_same(spark, monkeypatch, contexts):
-    made = repeats.Plan
-    for module in (repeats, suffix_dedup.repeats):
-        monkeypatch.setattr(module, "Plan", lambda *a, **k: made(*a, contexts=contexts, **k))
+def test_rows_that_repeat_an_id_lose_the_same(spark, contexts):
     word = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
     shared = word("s", 45)
     rows = [(1, f"{word('a', 30)} {shared} {word('b', 30)}")] + [(2, f"{word('c', 30)} {shared} {word('d', 30)}")] * 2 + [(2, f"{word('c', 30)} {shared} {word('e', 30)}")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    left = [r.n_removed for r in substring_dedup.remove_repeated_spans(docs).collect() if r.doc_id == 2]
+    left = [r.n_removed for r in substring_dedup.remove_repeated_spans(docs, contexts=contexts).collect() if r.doc_id == 2]
     assert left == [45] * 3
-    found = [r for r in suffix_dedup.remove_repeated_strings(docs).collect() if r.doc_id == 2]
+    found = [r for r in suffix_dedup.remove_repeated_strings(docs, contexts=contexts).collect() if r.doc_id == 2]
     assert [r.n_removed for r in found] == [len(shared) + 4] * 3  # with "29 " before and " " after, which are equal too
 
 
+def test_suffix_order():
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 3, 400, dtype=np.uint8)
+    found = suffix_dedup.strings_at(raw, np.arange(380), 20)
+    order = np.argsort(suffix_dedup.order_keys(found, np.zeros(380, np.uint64), np.zeros(380, np.int64), np.arange(380)), kind="stable")
+    own = [raw[i : i + 20].tobytes() for i in range(380)]
+    assert order.tolist() == sorted(range(380), key=lambda i: (own[i], i))
+    import os
+
+    lcp = suffix_dedup.common_prefix(found[order])
+    assert lcp[1:].tolist() == [len(os.path.commonprefix([own[a], own[b]])) for a, b in zip(order, order[1:])]
+
+
 def test_levels_double(spark):
-    levels = suffix_dedup.SuffixLevels(spark, 2, 4)
     docs = spark.createDataFrame(corpus(), SCHEMA)
+    levels = suffix_dedup.SuffixLevels(spark, 2, suffix_dedup.suffix_bounds(docs, 4, 100, 24))
     for i in range(5):
         levels.append(docs.where(f"doc_id DIV 13 = {i}"))
     assert [n for n, _ in levels.levels] == [4, 1]
