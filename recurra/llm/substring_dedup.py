@@ -75,16 +75,6 @@ def blocks(rows: pa.Table):
             at += block.num_rows
 
 
-def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, some words at a time."""
-    out = np.empty(len(starts), np.uint64)
-    for a in range(0, len(starts), BLOCK // 8):
-        b = min(len(starts), a + BLOCK // 8)
-        low, high = starts[a], ends[b - 1]
-        out[a:b] = ta.word_hashes(data[low:high], starts[a:b] - low, ends[a:b] - low)
-    return out
-
-
 def pieces(values: np.ndarray, offsets: np.ndarray, length: int):
     """A block's word hashes, or those of a long text in pieces that overlap by length-1 words: (hashes, offsets, place)."""
     if len(offsets) > 2 or len(values) <= BLOCK:
@@ -100,7 +90,7 @@ def part_paths(shape: Shape, rows: pa.Table):
     ids = ids_of(rows)
     cols: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in (*ENTRY, np.int64, np.int64)]
     for at, data, starts, ends, offsets in blocks(rows):
-        for piece, bounds, shift in pieces(word_values(data, starts, ends), offsets, shape.length):
+        for piece, bounds, shift in pieces(ta.word_hashes(data, starts, ends), offsets, shape.length):
             r = ta.Runs(piece, bounds, shape.length, shape.gram)
             row = r.row + at
             for c, x in zip(cols, (r.key, r.context, ids[row], r.first - bounds[r.row] + shift, r.count, row)):
@@ -191,7 +181,7 @@ def part_edges(shape: Shape, key: tuple, part: pa.Table, replies: pa.Table) -> p
         a, b = np.searchsorted(of[0], [at, at + len(offsets) - 1])
         if a == b:
             continue
-        values = word_values(data, starts, ends)
+        values = ta.word_hashes(data, starts, ends)
         r, f, n, d, h = (x[a:b] for x in of)
         found = hashes_of(values, spread(offsets[r - at] + f, n), shape.length)
         for col, x in zip(cols, (*found, np.repeat(d, n), np.repeat(r, n), spread(f, n), np.repeat(h, n))):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Position bits kept below the hash when a sliding minimum must name its place.
+#: Position bits kept below the hash when a sliding minimum must name its place; callers cut what they hash long before.
 POS_BITS = 28
 POS_MASK = U64((1 << POS_BITS) - 1)
 BLOCK_BYTES = 1 << 21
@@ -147,10 +147,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per word."""
-    prefix = BYTES.prefix(BYTES.table[data])
-    return BYTES.spans(prefix, starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """One 64-bit hash per word; words are in order, and worked off some at a time."""
+    out = np.empty(len(starts), U64)
+    for a in range(0, len(starts), step):
+        b = min(len(starts), a + step)
+        low, high = starts[a], ends[b - 1]
+        prefix = BYTES.prefix(BYTES.table[data[low:high]])
+        out[a:b] = BYTES.spans(prefix, starts[a:b] - low, ends[a:b] - low)
+    return out
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -175,6 +180,8 @@ class Runs:
 
     def __init__(self, values: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         self.length, self.gram = length, gram
+        if len(values) > int(POS_MASK):
+            raise ValueError("too many values for one search; cut them")
         self.prefix = SEQ.prefix(values)
         n = len(values) - length + 1
         none = np.zeros(0, np.int64)

@@ -26,7 +26,7 @@ def every(docs, labels, bench):
         "toxicity": toxicity.score(docs, toxicity.fit(docs, labels)),
         "media": media.digest_media(media.encode_text(docs)),
         "pages": media.read_pages(media.encode_text(docs)),
-        "lm": ngram_lm.lm_scores(docs, docs),
+        "lm": ngram_lm.lm_scores(docs),
         "words": substring_dedup.remove_repeated_spans(docs),
         "simhash": simhash.near_duplicates(docs),
         "contamination": decontaminate.contamination(docs, bench),
