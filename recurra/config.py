@@ -33,10 +33,18 @@ class EngineConfig:
     cooldown_hours: int = 8
     risk_floor: float = 0.02
     risk_scale: float = 1.5
+    days_back: int = 30
 
     def __post_init__(self) -> None:
         if not 20 <= self.window <= 200 or not 0 <= self.overlap <= 0.9 or not 1 <= self.top_n <= 100:
             raise ValueError("window 20 to 200, overlap 0 to 0.9, top_n 1 to 100")
+        if not 1 <= self.days_back <= 1000:
+            raise ValueError("days_back 1 to 1000")
+
+    @property
+    def bars_back(self) -> int:
+        """Bars that an ingest takes of each series."""
+        return self.days_back * 24
 
     @property
     def stride(self) -> int:
@@ -46,3 +54,10 @@ class EngineConfig:
 def stride(window: int, overlap: float) -> int:
     """Bars between window starts; the product is truncated as a float."""
     return max(1, int(window * (1 - overlap)))
+
+
+def batch(tickers: list[str], top_n: int = 10) -> list[str]:
+    """The instruments of a batch scan, checked: 1 to 50 of them, and at most 50 matches each."""
+    if not 1 <= len(tickers) <= 50 or not 1 <= top_n <= 50:
+        raise ValueError("1 to 50 tickers, top_n 1 to 50")
+    return tickers

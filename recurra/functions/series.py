@@ -1,4 +1,4 @@
-"""Series distances that need a dynamic programme; Arrow batches, vectorised over rows of the table."""
+"""Series distances that built-in functions can't express; Arrow batches, each worked off as a whole."""
 
 from __future__ import annotations
 
@@ -8,39 +8,58 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
-def warped_likeness(s: np.ndarray, t: np.ndarray) -> float:
-    """exp of the root of the warping cost over the longer length; 0 for an empty side."""
-    n, m = len(s), len(t)
+def standard(x: np.ndarray) -> np.ndarray:
+    """Rows without mean and with unit deviation."""
+    return (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-10)
+
+
+def warped_likeness(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Of each row of s and t: exp of the root of the warping cost over the longer length; 0 for an empty side."""
+    (rows, n), m = s.shape, t.shape[1]
     if not n or not m:
-        return 0.0
-    s, t = ((x - x.mean()) / (x.std() + 1e-10) for x in (s, t))
+        return np.zeros(rows)
+    s, t = standard(s), standard(t)
     # Along anti-diagonals every cell depends on the two before only.
-    before = np.full(n + 1, np.inf)
-    before[0] = 0.0
-    two = np.full(n + 1, np.inf)
+    two, before = np.full((rows, n + 1), np.inf), np.full((rows, n + 1), np.inf)
+    two[:, 0] = 0.0
     for d in range(2, n + m + 1):
-        now = np.full(n + 1, np.inf)
+        now = np.full((rows, n + 1), np.inf)
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        cost = (s[i - 1] - t[d - i - 1]) ** 2
-        corner = before if d == 2 else two
-        step = np.minimum(before[i - 1], before[i]) if d > 2 else np.full(len(i), np.inf)
-        now[i] = cost + np.minimum(step, corner[i - 1])
-        two, before = (before if d > 2 else np.full(n + 1, np.inf)), now
-    return float(np.exp(-np.sqrt(before[n]) / max(n, m)))
+        cost = (s[:, i - 1] - t[:, d - i - 1]) ** 2
+        now[:, i] = cost + np.minimum(np.minimum(before[:, i - 1], before[:, i]), two[:, i - 1])
+        two, before = before, now
+    return np.exp(-np.sqrt(before[:, n]) / max(n, m))
+
+
+def best_lag(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of a and b: the largest normalised cross-correlation over all lags, within 0 and 1."""
+    if not a.shape[1] or not b.shape[1]:
+        return np.zeros(len(a))
+    a, b = standard(a), standard(b)
+    size = a.shape[1] + b.shape[1] - 1
+    product = np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size))
+    most = np.fft.irfft(product, size).max(1)
+    return np.clip(most / (np.sqrt((a * a).sum(1) * (b * b).sum(1)) + 1e-10), 0.0, 1.0)
 
 
-def best_lag(a: np.ndarray, b: np.ndarray) -> float:
-    """The largest normalised cross-correlation over all lags, within 0 and 1."""
-    a, b = ((x - x.mean()) / (x.std() + 1e-10) for x in (a, b))
-    most = np.correlate(a, b, "full").max() / (np.sqrt((a * a).sum() * (b * b).sum()) + 1e-10)
-    return float(min(1.0, max(0.0, most)))
+def batched(rule, a: pd.Series, b: pd.Series, rows: int = 4096) -> pd.Series:
+    """The rule over all pairs of equal lengths at once; null where a side is null."""
+    out = np.full(len(a), np.nan)
+    known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    lengths = [(len(a.iloc[i]), len(b.iloc[i])) for i in known]
+    for pair in set(lengths):
+        own = np.array([i for i, p in zip(known, lengths) if p == pair])
+        for few in np.split(own, range(rows, len(own), rows)):
+            x, y = (np.array([np.asarray(v.iloc[i], float) for i in few]).reshape(len(few), n) for v, n in zip((a, b), pair))
+            out[few] = rule(x, y)
+    return pd.Series(out).where(~np.isnan(out), None).astype("Float64")
 
 
 def pairwise(rule):
     """A Pandas UDF of two array columns; made on the driver when it is used."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([rule(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)], dtype="float64")
+        return batched(rule, a, b)
 
     return pandas_udf(run, "double")
 

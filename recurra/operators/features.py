@@ -184,7 +184,7 @@ def position() -> dict[str, Column]:
 def cycle(start: str = "2021-01-27", days: float = 147.0) -> dict[str, Column]:
     since = (F.unix_micros(F.max("ts")) - F.unix_micros(F.to_timestamp(F.lit(start)))) / 86_400e6
     phase = since * (2 * F.pi()) / days
-    return {"cycle_sin": F.sin(phase), "cycle_cos": F.cos(phase)}
+    return {"cycle_sin": F.coalesce(F.sin(phase), F.lit(0.0)), "cycle_cos": F.coalesce(F.cos(phase), F.lit(0.0))}
 
 
 GROUPS = {

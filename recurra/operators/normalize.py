@@ -44,17 +44,27 @@ def places_of(long: DataFrame, slices: int = SLICES) -> DataFrame:
     return ranked.select("d", "x", (F.col("lower") + F.col("inside") + (F.col("same") + 1) / 2.0).alias("place"))
 
 
-def normalised(vectors: DataFrame, method: str = "combined", key: str = "pattern_id", column: str = "vector") -> DataFrame:
-    """(key, column) by method; the fitted statistics are one row, broadcast."""
+def transform(vectors: DataFrame, fitted: DataFrame, method: str = "combined", column: str = "vector") -> DataFrame:
+    """The table with its vectors normalised by statistics that were fitted to another one (the row of `fit`, broadcast).
+
+    A single vector has no ranks, so `rank` is the logistic of its standard score.
+    """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
-    if method == "rank":
-        long = vectors.select(key, F.posexplode(column).alias("d", "x"))
-        count = vectors.select(F.count("*").alias("n"))
-        places = places_of(long).select(F.col("d").alias("pd"), F.col("x").alias("px"), "place")
-        placed = long.join(places, (F.col("d") == F.col("pd")) & F.col("x").eqNullSafe(F.col("px"))).join(F.broadcast(count))
-        entry = F.struct("d", (F.col("place") / (F.col("n") + 1)).alias("v"))
-        return placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias(column))
     z = lambda x, s: (x - s["mean"]) / s["std"]
-    rule = {"zscore": z, "minmax": lambda x, s: (x - s["low"]) / (s["high"] - s["low"] + EPS), "combined": lambda x, s: sigmoid(z(x, s))}[method]
-    return vectors.join(F.broadcast(fit(vectors, column))).select(key, F.zip_with(column, "stats", rule).alias(column))
+    rules = {"zscore": z, "minmax": lambda x, s: (x - s["low"]) / (s["high"] - s["low"] + EPS)}
+    rule = rules.get(method, lambda x, s: sigmoid(z(x, s)))
+    held = fitted.select(F.col("stats").alias("__stats"))
+    return vectors.join(F.broadcast(held)).withColumn(column, F.zip_with(column, "__stats", rule)).drop("__stats")
+
+
+def normalised(vectors: DataFrame, method: str = "combined", key: str = "pattern_id", column: str = "vector") -> DataFrame:
+    """(key, column): a population normalised by its own statistics, or by the ranks in it."""
+    if method != "rank":
+        return transform(vectors.select(key, column), fit(vectors, column), method, column)
+    long = vectors.select(key, F.posexplode(column).alias("d", "x"))
+    count = vectors.select(F.count("*").alias("n"))
+    places = places_of(long).select(F.col("d").alias("pd"), F.col("x").alias("px"), "place")
+    placed = long.join(places, (F.col("d") == F.col("pd")) & F.col("x").eqNullSafe(F.col("px"))).join(F.broadcast(count))
+    entry = F.struct("d", (F.col("place") / (F.col("n") + 1)).alias("v"))
+    return placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias(column))

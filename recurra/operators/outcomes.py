@@ -40,20 +40,30 @@ def statistics(matches: DataFrame, reversal: float = -0.02, failure: float = -0.
     )
 
 
-def distribution(matches: DataFrame, label: str = "outcome_label") -> DataFrame:
-    """(query_id, class shares, moments, percentiles); one match alone counts as neutral with zeros, and moments without spread are null."""
-    ret, name = F.col(RET), F.col(label)
+def distribution(clustered: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """(query_id, class shares, moments, percentiles) of matches with a cluster.
+
+    A class has the probabilities of the clusters whose own label belongs to it.  One match alone counts as neutral
+    with zeros, and moments without spread are null.
+    """
+    ret, name, p = F.col(RET), F.col("label"), F.col("probability")
     known = name.isin(*L.CONTINUATIONS, "full_reversal", "fake_breakout_failure")
-    p = F.percentile(ret, F.array(*(F.lit(q) for q in (0.05, 0.25, 0.75, 0.95))))
+    of = lambda c: F.coalesce(F.sum(F.when(c, p)), F.lit(0.0))
+    classes = cluster_summary(clustered, cluster).groupBy("query_id").agg(
+        of(name.isin(*L.CONTINUATIONS)).alias("continuation"), of(name == "full_reversal").alias("reversal"),
+        of(name == "fake_breakout_failure").alias("failure"), of(~known).alias("neutral"),
+    )
+    at = F.percentile(ret, F.array(*(F.lit(q) for q in (0.05, 0.25, 0.75, 0.95))))
     spread = F.stddev_pop(ret) > 0
     values = {
-        "continuation": share(name.isin(*L.CONTINUATIONS)), "reversal": share(name == "full_reversal"), "failure": share(name == "fake_breakout_failure"),
-        "neutral": share(~known), "mean_return": F.avg(ret), "median_return": F.median(ret), "std_return": F.stddev_pop(ret),
+        "mean_return": F.avg(ret), "median_return": F.median(ret), "std_return": F.stddev_pop(ret),
         "skew": F.when(spread, F.skewness(ret)), "kurtosis": F.when(spread, F.kurtosis(ret)),
-        **{f"percentile_{q}": p[i] for i, q in enumerate((5, 25, 75, 95))},
+        **{f"percentile_{q}": at[i] for i, q in enumerate((5, 25, 75, 95))},
     }
-    alone = lambda n: F.lit(1.0 if n == "neutral" else 0.0)
-    return matches.groupBy("query_id").agg(*(F.when(F.count(ret) < 2, alone(n)).otherwise(v).alias(n) for n, v in values.items()))
+    shape = clustered.groupBy("query_id").agg(F.count(ret).alias("__n"), *(F.when(F.count(ret) < 2, 0.0).otherwise(v).alias(n) for n, v in values.items()))
+    names = ("continuation", "reversal", "failure", "neutral")
+    shares = [F.when(F.col("__n") < 2, float(n == "neutral")).otherwise(F.col(n)).alias(n) for n in names]
+    return shape.join(classes, "query_id").select("query_id", *shares, *values)
 
 
 def marked(matches: DataFrame) -> DataFrame:
@@ -77,15 +87,30 @@ def risk_of() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk))
 
 
-def failure_summary(matches: DataFrame) -> DataFrame:
-    """(query_id, rates, risk score)."""
-    return marked(matches).groupBy("query_id").agg(
+#: What is said of a query without matches.
+NO_DATA = "too few precedents for a failure analysis"
+
+
+def failure_summary(matches: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, rates, risk score); with `queries` one row for each of them, zeros where nothing matched."""
+    found = marked(matches).groupBy("query_id").agg(
         (F.count("failure_type") / F.count("*")).alias("failure_rate"),
         F.coalesce(F.avg("severity"), F.lit(0.0)).alias("avg_severity"),
         F.coalesce(F.max("severity"), F.lit(0.0)).alias("max_severity"),
         risk_of().alias("failure_risk_score"),
         F.count("failure_type").alias("n_failure_cases"),
     )
+    if queries is None:
+        return found
+    zeros = {n: 0.0 for n in ("failure_rate", "avg_severity", "max_severity", "failure_risk_score")}
+    return queries.select("query_id").distinct().join(found, "query_id", "left").fillna(zeros | {"n_failure_cases": 0})
+
+
+def failure_analysis(matches: DataFrame, queries: DataFrame, label: str = "outcome_label") -> DataFrame:
+    """(query_id, rates, risk score, signals, risks) of every query; one without matches has zeros and says so."""
+    none = F.array().cast("array<string>")
+    found = failure_summary(matches, queries).join(warnings(matches, label), "query_id", "left")
+    return found.withColumn("signals", F.coalesce("signals", F.array(F.lit(NO_DATA)))).withColumn("risks", F.coalesce("risks", none))
 
 
 def normal_test(n: Column, skew: Column, kurtosis: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,9 +105,20 @@ def time_horizon(bars: Column, timeframe: Column) -> Column:
     return F.when(m < 60, F.concat(text(m), F.lit(" minutes"))).when(m < 1440, F.concat(text(m / 60), F.lit(" hours"))).when(m < 10080, span(m / 1440, "sessions")).otherwise(span(m / 10080, "weeks"))
 
 
-def alert_gate(scans: DataFrame, mega_caps: tuple[str, ...] = (), config: EngineConfig = CONFIG) -> DataFrame:
-    """Scans (ticker, cycle, confidence, score, price) that may alert; one mega cap a cycle, the first by ticker."""
+def alert_gate(
+    scans: DataFrame, mega_caps: tuple[str, ...] = (), config: EngineConfig = CONFIG, sent: DataFrame | None = None, now: Column | None = None
+) -> DataFrame:
+    """Scans (ticker, cycle, confidence, score, price) that may alert; one mega cap a cycle, the first by ticker.
+
+    An unknown price counts as 0.  With `sent` (ticker, ts) and the time `now`, tickers whose last alert is within the
+    cooldown are left out first.
+    """
     least = dict(config.grades)
+    if sent is not None and now is not None:
+        last = sent.groupBy("ticker").agg(F.max("ts").alias("__last"))
+        hours = F.make_interval(hours=F.lit(config.cooldown_hours))
+        scans = scans.join(last, "ticker", "left").where(F.col("__last").isNull() | (now >= F.col("__last") + hours)).drop("__last")
+    scans = scans.withColumn("price", F.coalesce("price", F.lit(0.0)))
     good = scans.where((F.col("confidence") >= config.min_confidence) & (F.col("score") >= least["C+"]))
     good = good.where((F.col("price") <= config.max_price) | (F.col("score") >= least["A+"]))
     mega = F.col("ticker").isin(*mega_caps) if mega_caps else F.lit(False)
@@ -114,17 +129,56 @@ def alert_gate(scans: DataFrame, mega_caps: tuple[str, ...] = (), config: Engine
 def cooled_down(alerts: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
     """Alerts (ticker, ts) of which none is within the cooldown of the last one sent for its ticker.
 
-    What was sent decides what is next, so each ticker's times are folded in order.
+    What was sent decides what is next, so each ticker's times are read in order; a task holds one batch and one time.
+    """
+    gap = pd.Timedelta(hours=config.cooldown_hours)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ticker, last = None, None
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for i, (name, ts) in enumerate(zip(batch["ticker"], batch["ts"])):
+                name = None if pd.isna(name) else name
+                if i == 0 and last is None or name != ticker or ts - last >= gap:
+                    ticker, last, keep[i] = name, ts, True
+            yield batch[keep]
+
+    known = alerts.select("ticker", "ts").where(F.col("ts").isNotNull())
+    return known.repartition("ticker").sortWithinPartitions("ticker", "ts").mapInPandas(run, "ticker string, ts timestamp")
+
+
+def tier_due(last_run: Column, now: Column, minutes: int) -> Column:
+    """Whether a tier that last ran then is to run again; one that never ran is."""
+    return last_run.isNull() | (now >= last_run + F.make_interval(mins=F.lit(minutes)))
+
+
+def scan_universe(
+    candidates: DataFrame, cap: int = 5, cycle: int | None = None, batch: int = 5, tiers: DataFrame | None = None, conservation: bool = False,
+    benchmark: str = "SPY", fallback: tuple[str, ...] = ("SPY", "QQQ", "IWM"),
+) -> DataFrame:
+    """Symbols (symbol, priority) to scan, by least priority, then name, up to the cap.
+
+    candidates: (symbol, priority), the small feed of a cycle.  With `cycle` they are a queue that turns by `batch`
+    symbols a cycle, and `tiers`, one row (beta boolean, benchmark boolean), says which tiers are due; while
+    `conservation` lasts only the candidates themselves are.  Without candidates the queue is the fallback.
     """
-    gap = config.cooldown_hours * 3_600_000_000
-    times = F.array_sort(F.collect_set(F.unix_micros("ts")))
-    def fold(sent: Column, t: Column) -> Column:
-        return F.when((F.size(sent) == 0) | (t - F.coalesce(F.try_element_at(sent, F.lit(-1)), F.lit(0)) >= gap), F.concat(sent, F.array(t))).otherwise(sent)
-    kept = alerts.groupBy("ticker").agg(F.aggregate(times, F.array().cast("array<bigint>"), fold).alias("sent"))
-    return kept.select("ticker", F.explode("sent").alias("t")).select("ticker", F.timestamp_micros("t").alias("ts"))
-
-
-def scan_universe(candidates: DataFrame, cap: int = 5) -> DataFrame:
-    """Distinct symbols (symbol, priority) by least priority, then name, up to the cap."""
-    best = candidates.groupBy("symbol").agg(F.min("priority").alias("priority"))
-    return best.orderBy("priority", "symbol").limit(cap)
+    spark = candidates.sparkSession
+    best = candidates.groupBy("symbol").agg(F.min("priority").cast("long").alias("priority"))
+    if cycle is None:
+        return best.orderBy("priority", "symbol").limit(cap)
+    spare = spark.createDataFrame([(s, i) for i, s in enumerate(fallback)], "symbol string, priority long")
+    queue = best.unionByName(spare) if best.isEmpty() else best
+    # The feed of a cycle is a few hundred symbols, so one task may number them.
+    turn = Window.orderBy("priority", "symbol")
+    queue = queue.withColumn("place", F.row_number().over(turn) - 1).withColumn("size", F.count("*").over(Window.partitionBy()))
+    rounds = F.ceil(F.col("size") / batch)
+    chosen = queue.where(F.floor(F.col("place") / batch) == F.lit(cycle) % rounds).select("symbol", (F.col("priority") + 1_000_000).alias("priority"))
+    last = spark.createDataFrame([(benchmark, 2_000_000)], "symbol string, priority long")
+    extra = chosen.select("*", F.lit("beta").alias("tier")).unionByName(last.select("*", F.lit("benchmark").alias("tier")))
+    if conservation:
+        extra = extra.limit(0)
+    elif tiers is not None:
+        due = tiers.select(F.explode(F.map_from_arrays(F.array(F.lit("beta"), F.lit("benchmark")), F.array("beta", "benchmark"))).alias("tier", "due"))
+        extra = extra.join(F.broadcast(due.where("due")), "tier", "left_semi")
+    every = best.unionByName(extra.select("symbol", "priority")).groupBy("symbol").agg(F.min("priority").alias("priority"))
+    return every.orderBy("priority", "symbol").limit(cap)

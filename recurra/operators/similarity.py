@@ -19,23 +19,26 @@ from ..functions import vectors as V
 QUERY_BLOCK = 10_000
 
 
-def paired(patterns: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """Every pattern with every query and the norms of both, worked out once a row, not once a pair.
+def paired(patterns: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK, but_itself: bool = False) -> DataFrame:
+    """Every pattern with every query of a stated set and the norms of both, worked out once a row, not once a pair.
+
+    but_itself leaves out pairs of equal ids, for queries that are patterns too.
 
     Beyond one block the queries are dealt by their hash, and each block scans the patterns.
     """
     patterns = patterns.withColumn("norm", V.norm(F.col("vector")))
     queries = queries.withColumn("q_norm", V.norm(F.col("q_vector")))
+    other = F.col("pattern_id") != F.col("query_id") if but_itself else None
     if len(queries.select("query_id").head(block + 1)) <= block:
-        return patterns.join(F.broadcast(queries))
+        return patterns.join(F.broadcast(queries), other)
     blocks = -(-queries.count() // block)
     turn = F.pmod(F.xxhash64("query_id", "q_vector"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [patterns.join(F.broadcast(queries.where(turn == b))) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, [patterns.join(F.broadcast(queries.where(turn == b)), other) for b in range(blocks)])
 
 
-def scored(patterns: DataFrame, queries: DataFrame, cross_asset: bool = True) -> DataFrame:
+def scored(patterns: DataFrame, queries: DataFrame, cross_asset: bool = True, but_itself: bool = False) -> DataFrame:
     """Every pattern with every query of a stated set: cosine, euclidean."""
-    pairs = paired(patterns, queries)
+    pairs = paired(patterns, queries, but_itself=but_itself)
     if not cross_asset:
         pairs = pairs.where(F.coalesce(F.col("q_ticker"), F.lit("")).isin("") | (F.col("ticker") == F.col("q_ticker")))
     a, b = F.col("q_vector"), F.col("vector")
@@ -50,23 +53,24 @@ def ranked(rows: DataFrame, top_n: int) -> DataFrame:
 
 
 def find_matches(
-    patterns: DataFrame, queries: DataFrame, top_n: int = 20, threshold: float = 0.5, cross_asset: bool = True, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)
+    patterns: DataFrame, queries: DataFrame, top_n: int = 20, threshold: float = 0.5, cross_asset: bool = True,
+    weights: tuple[float, float, float] = (0.5, 0.3, 0.2), but_itself: bool = False,
 ) -> DataFrame:
     """Exact composite of cosine, euclidean and cross-correlation.
 
     Cross-correlation is at most 1, so patterns that can't reach the threshold are dropped before it is worked out.
     """
     c, e, x = weights
-    rows = scored(patterns, queries, cross_asset)
+    rows = scored(patterns, queries, cross_asset, but_itself)
     rows = rows.where(c * F.col("cosine") + e * F.col("euclidean") + x >= threshold)
     rows = rows.withColumn("dtw", series.xcorr(F.col("q_vector"), F.col("vector")))
     rows = rows.withColumn("composite", c * F.col("cosine") + e * F.col("euclidean") + x * F.col("dtw"))
     return ranked(rows.where(F.col("composite") >= threshold), top_n)
 
 
-def find_matches_batch(patterns: DataFrame, queries: DataFrame, top_n: int = 20, threshold: float = 0.5) -> DataFrame:
+def find_matches_batch(patterns: DataFrame, queries: DataFrame, top_n: int = 20, threshold: float = 0.5, but_itself: bool = False) -> DataFrame:
     """Without cross-correlation, whose weight goes to the other two in equal parts; all tickers."""
-    pairs = paired(patterns, queries)
+    pairs = paired(patterns, queries, but_itself=but_itself)
     a, b = F.col("q_vector"), F.col("vector")
     cosine = V.dot(a, b) / ((F.col("q_norm") + EPS) * (F.col("norm") + EPS))
     rows = pairs.withColumn("cosine", cosine).drop("norm", "q_norm").withColumn("euclidean", V.euclidean(a, b)).withColumn("dtw", F.lit(0.0))

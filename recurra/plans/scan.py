@@ -1,13 +1,14 @@
-"""The fixed chains: ingest bars, scan the newest window, replay."""
+"""The fixed chains: ingest bars into the store, scan the newest window."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EPS, EngineConfig
-from ..operators import features, labels, outcomes, similarity
+from ..config import EngineConfig
+from ..operators import features, labels, projection, signals, similarity
 from ..operators.windows import KEY, forward_outcomes, latest_window, rolling_windows
+from ..sources import store
 
 
 def patterns_of(bars: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -17,30 +18,39 @@ def patterns_of(bars: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
     prints = features.fingerprint(windows, config.window)
     marks = labels.profiles(*(F.col(c) for c in ("vol_z_5", "mean_accel_5", "volume_slope", "concentration")))
     prints = prints.select(*KEY, "vector", *marks)
-    return found.join(prints, list(KEY)).withColumn("window_size", F.lit(config.window)).withColumn("pattern_id", F.xxhash64(*KEY))
+    found = found.join(prints, list(KEY)).withColumn("window_size", F.lit(config.window))
+    return store.with_ids(found)
 
 
-def scan(bars: DataFrame, patterns: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """One row per series: how its newest window went before, in short.
+def ingest(bars: DataFrame, path: str, config: EngineConfig = EngineConfig()) -> int:
+    """Bars to stored patterns; how many were written.  An id depends on a pattern's key, so what is ingested twice is read once."""
+    return store.store(patterns_of(bars, config), path)
 
-    query_id is the ticker; see the operators for the single steps.
-    """
+
+def matches_of(bars: DataFrame, patterns: DataFrame, config: EngineConfig = EngineConfig(), cross_asset: bool = True) -> DataFrame:
+    """The best stored patterns for the newest window of each series, re-ranked; query_id is the ticker."""
     newest = features.fingerprint(latest_window(bars, config.window), config.window)
     queries = newest.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"), F.col("vector").alias("q_vector"))
-    matches = similarity.rerank(similarity.find_matches(patterns, queries, config.top_n, config.min_similarity, True, config.weights)).drop("q_vector", "vector")
-    top = lambda f, c: f(F.when(F.col("rank") <= 10, F.col(c)))
-    ret = F.col("forward_return")
-    # Everything about a query in one grouped pass over its few matches.
-    found = outcomes.marked(matches).groupBy("query_id").agg(
-        F.count("*").alias("n_matches"),
-        (F.sum(F.col("composite") * ret) / (F.sum("composite") + EPS)).alias("weighted_return"),
-        outcomes.share(ret > 0).alias("win_rate"),
-        (F.avg(ret) / (F.stddev_pop(ret) + EPS)).alias("sharpe"),
-        top(F.avg, "forward_return").alias("r"),
-        top(F.avg, "max_drawdown").alias("d"),
-        top(F.stddev_pop, "forward_return").alias("s"),
-        similarity.confidence_of().alias("confidence"),
-        outcomes.risk_of().alias("failure_risk_score"),
-    )
-    overall = 0.6 * F.col("confidence") + 0.4 * (1 - F.col("failure_risk_score"))
-    return found.withColumn("echo_type", labels.echo_type("r", "d", "s")).withColumn("overall_confidence", overall).drop("r", "d", "s")
+    found = similarity.find_matches(patterns, queries, config.top_n, config.min_similarity, cross_asset, config.weights)
+    return similarity.rerank(found).drop("q_vector", "vector")
+
+
+def scan(bars: DataFrame, patterns: DataFrame, as_of: Column | None = None, config: EngineConfig = EngineConfig(), timeframe: str = "1h", cross_asset: bool = True) -> DataFrame:
+    """One row per series whose newest window could be taken: how it went before, whatever was found.
+
+    Matches are re-ranked, clustered and summed up: statistics, the distribution by clusters, failures with their
+    signals, scenarios and the projection, and the score with its grade.  `as_of` is the time of the score, by default
+    that of the last bar.
+    """
+    # top_n rows a series, which a dozen aggregates read.
+    matches = matches_of(bars, patterns, config, cross_asset).persist()
+    last = latest_window(bars, config.window).groupBy("ticker").agg(F.max("ts").alias("last_ts"))
+    queries = last.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"), "last_ts")
+    price = matches.groupBy("query_id").agg(F.min_by("last_close", "rank").alias("price"))
+    found = projection.projections(matches, queries.select("query_id", "q_ticker"), timeframe, config.clusters)
+    found = found.join(queries.select("query_id", "last_ts"), "query_id").join(price, "query_id", "left")
+    day = signals.cycle_day(F.col("last_ts") if as_of is None else as_of, config)
+    score = signals.score(F.col("similarity"), F.col("mean_return"), F.col("return_std"), F.col("primary.probability"), day, F.col("confidence"), config)
+    usable = F.coalesce((F.col("n_matches") > 0) & (F.col("confidence") > 0), F.lit(False))
+    found = found.withColumn("score", F.when(usable, score).otherwise(0.0))
+    return found.withColumn("grade", F.when(usable, signals.grade(F.col("score"), config)).otherwise("F"))

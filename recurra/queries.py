@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import series
-from .operators import features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity
+from .operators import encoder, features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity
 from .operators import windows as W
 from .plans import scan as plans
 from .sources import bars as B
+from .sources import store
 
 PLACES = 6
 AS_OF = "2024-02-01 00:00:00"
@@ -49,6 +50,26 @@ bars AS (SELECT ticker, {unit} AS ts, min_by(price, event_id) AS open, max(price
   max_by(price, event_id) AS close, sum(size) AS volume FROM t GROUP BY 1, 2)"""
 
 
+# The rules of the survey, written out again for the SQL side.
+OUTCOME_CASE = """CASE WHEN forward_return > 0.05 AND max_drawdown > -0.03 THEN 'explosive_continuation'
+  WHEN forward_return > 0.02 AND abs(max_drawdown) < 0.03 THEN 'slow_grind_continuation'
+  WHEN forward_return < -0.03 THEN 'full_reversal'
+  WHEN max_runup > 0.03 AND forward_return < 0 THEN 'fake_breakout_failure'
+  WHEN abs(forward_return) < 0.02 AND abs(max_drawdown) > 0.03 THEN 'volatility_expansion_directionless'
+  WHEN forward_return > 0 AND max_drawdown < -0.04 THEN 'whipsaw_continuation' ELSE 'mixed_regime' END"""
+CLUSTER_CASE = """CASE WHEN avg_return > 0.05 AND avg_drawdown > -0.03 THEN 'explosive_continuation'
+  WHEN avg_return > 0.02 AND avg_drawdown > -0.02 THEN 'slow_grind_continuation'
+  WHEN avg_return < -0.03 THEN 'full_reversal'
+  WHEN abs(avg_return) < 0.02 AND avg_runup > 0.03 AND avg_drawdown < -0.03 THEN 'volatility_expansion_directionless'
+  WHEN avg_runup > 0.03 AND avg_return < 0 THEN 'fake_breakout_failure'
+  WHEN avg_return > 0 AND avg_drawdown < -0.04 THEN 'whipsaw_continuation' ELSE 'mixed_regime' END"""
+ECHO_CASE = """CASE WHEN r > 0.05 AND d > -0.03 THEN 'explosive_continuation' WHEN r > 0.02 AND s < 0.05 THEN 'slow_grind_continuation'
+  WHEN r < -0.02 AND d < -0.05 THEN 'full_reversal' WHEN abs(r) < 0.02 AND s > 0.05 THEN 'volatility_expansion_directionless'
+  WHEN r > 0 AND d < -0.04 THEN 'whipsaw_continuation' WHEN r < 0 AND d < -0.02 THEN 'late_stage_compression' ELSE 'mixed_regime' END"""
+FAILURE_CASE = """CASE WHEN max_runup > 0.03 AND forward_return < 0 THEN {0}
+  WHEN max_drawdown < -0.08 THEN {1}
+  WHEN forward_return < -0.03 AND abs(max_drawdown) < 0.05 THEN {2}
+  WHEN abs(max_runup) > 0.03 AND abs(max_drawdown) > 0.03 AND abs(forward_return) < 0.02 THEN {3} END"""
 WINDOWS = """pos AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars),
 wb AS (SELECT *, pos - k * 30 AS i FROM (SELECT *, unnest(range(greatest(0, ceil((pos - 79) / 30.0)::BIGINT), pos // 30 + 1)) AS k FROM pos) WHERE k * 30 + 80 <= n)"""
 OUTCOMES = f"""ent AS (SELECT *, max(CASE WHEN i = 59 THEN close END) OVER (PARTITION BY ticker, k) AS e FROM wb),
@@ -56,10 +77,11 @@ mv AS (SELECT *, (close - e) / e AS m FROM ent),
 oc AS (SELECT ticker, k, min(CASE WHEN i = 0 THEN ts END) AS start_time, max(CASE WHEN i = 59 THEN ts END) AS end_time,
   max_by(m, i) FILTER (i >= 60) AS forward_return, min(m) FILTER (i >= 60) AS max_drawdown, max(m) FILTER (i >= 60) AS max_runup,
   (min_by(i, (-abs(m), i)) FILTER (i >= 60) - 59)::INT AS time_to_resolution FROM mv GROUP BY ticker, k),
-lab AS (SELECT *, {labels.case_sql(labels.OUTCOME_RULES, "'mixed_regime'", ret="forward_return", dd="max_drawdown", ru="max_runup")} AS outcome_label FROM oc)"""
+lab AS (SELECT *, {OUTCOME_CASE} AS outcome_label FROM oc)"""
 STAMP = "strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
 
 
+
 def windowed_sql(select: str, more: str = "", price: str = RUNNING) -> str:
     return f"WITH {bars_sql(price)}, {WINDOWS}{', ' + more if more else ''} {select}"
 
@@ -83,8 +105,13 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def asked(spark: SparkSession, d: str, ids: str = "pattern_id = 0") -> DataFrame:
-    found = vectors(spark, d).where(ids)
+#: The stated query set: every pattern whose id is divisible by 20, against all patterns but itself.
+ASKED = "pattern_id % 20 = 0"
+PAIRS = "FROM v AS q, v WHERE q.pattern_id % 20 = 0 AND v.pattern_id <> q.pattern_id"
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    found = vectors(spark, d).where(ASKED)
     return found.select(F.col("pattern_id").alias("query_id"), F.col("ticker").alias("q_ticker"), F.col("vector").alias("q_vector"))
 
 
@@ -94,20 +121,25 @@ EUC = "exp(-list_distance(q.vector, v.vector) / (sqrt(len(v.vector)) + 1e-10))"
 
 
 def matched(spark: SparkSession, d: str) -> DataFrame:
-    """Ten queries' best embeddings, each with the outcome of a window chosen by its id."""
-    found = similarity.find_matches_batch(vectors(spark, d).where("pattern_id >= 10"), asked(spark, d, "pattern_id < 10"), 20, 0.3)
-    past = labelled(spark, d).select("ticker", "k", "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label")
-    order = past.agg(F.array_sort(F.collect_list(F.struct("ticker", "k", "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label"))).alias("all"))
-    rows = found.drop("vector", "q_vector").join(F.broadcast(order))
-    rows = rows.withColumn("o", F.get("all", (F.col("pattern_id") % F.size("all")).cast("int")))
-    return rows.select("query_id", "pattern_id", "ticker", "composite", "rank", "o.forward_return", "o.max_drawdown", "o.max_runup", "o.time_to_resolution", "o.outcome_label")
+    """The queries' best embeddings, each with the outcome of a window chosen by its id.
 
+    With t tickers and n windows of the (id mod t)-th, it is that ticker's window (id div t) mod n.
+    """
+    found = similarity.find_matches_batch(vectors(spark, d), asked(spark, d), 20, 0.3, True)
+    past = labelled(spark, d).select(F.col("ticker").alias("o_ticker"), F.col("k").alias("slot"), "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label")
+    owners = past.groupBy("o_ticker").agg(F.count("*").alias("n"))
+    owners = owners.withColumn("turn", F.row_number().over(Window.orderBy("o_ticker")) - 1)  # a row for each ticker, no more
+    rows = found.drop("vector", "q_vector").join(F.broadcast(owners.agg(F.count("*").alias("t"))))
+    rows = rows.withColumn("turn", (F.col("pattern_id") % F.col("t")).cast("int")).join(owners, "turn")
+    rows = rows.withColumn("slot", (F.floor(F.col("pattern_id") / F.col("t")) % F.col("n")).cast("int")).join(past, ["o_ticker", "slot"])
+    return rows.select("query_id", "pattern_id", "ticker", "composite", "rank", "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label")
 
-MATCHES = f"""{V_SQL}, sc AS (SELECT q.pattern_id AS query_id, v.pattern_id, v.ticker, 0.6 * {COS} + 0.4 * {EUC} AS composite
-  FROM v AS q, v WHERE q.pattern_id < 10 AND v.pattern_id >= 10),
+
+MATCHES = f"""{V_SQL}, sc AS (SELECT q.pattern_id AS query_id, v.pattern_id, v.ticker, 0.6 * {COS} + 0.4 * {EUC} AS composite {PAIRS}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, pattern_id) AS rank FROM sc WHERE composite >= 0.3 QUALIFY rank <= 20),
-num AS (SELECT *, row_number() OVER (ORDER BY ticker, k) - 1 AS slot, count(*) OVER () AS cnt FROM lab),
-m AS (SELECT rk.*, forward_return, max_drawdown, max_runup, time_to_resolution, outcome_label FROM rk JOIN num ON rk.pattern_id % cnt = slot)"""
+ow AS (SELECT ticker AS o_ticker, count(*) AS n, row_number() OVER (ORDER BY ticker) - 1 AS turn, count(*) OVER () AS t FROM lab GROUP BY ticker),
+m AS (SELECT rk.*, forward_return, max_drawdown, max_runup, time_to_resolution, outcome_label
+  FROM rk JOIN ow ON rk.pattern_id % t = turn JOIN lab ON lab.ticker = o_ticker AND lab.k = (rk.pattern_id // t) % n)"""
 
 
 def matches_sql(select: str) -> str:
@@ -149,15 +181,14 @@ def bars_events(spark, d):
     return shown(B.bars_events(table(spark, d, "events")).drop("timeframe"))
 
 
-#: Means of cents over few events can lie half-way between two roundings; this moves them off.
-NUDGE = 3e-8
-NUDGED = f"SELECT ticker, {STAMP.format(c='ts')}, {', '.join(rounded(f'{c} + {NUDGE}', c) for c in ('open', 'high', 'low', 'close'))}, {rounded('volume', 'volume')} FROM bars"
+#: Means of up to 200 amounts of cents that end, end within nine places, so no engine has to break a tie there.
+EXACT = f"SELECT ticker, {STAMP.format(c='ts')}, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars"
 
 
-@query("bars_smooth", f"WITH {bars_sql()} {NUDGED}")
+@query("bars_smooth", f"WITH {bars_sql()} {EXACT}")
 def bars_smooth(spark, d):
-    found = smooth(spark, d).drop("timeframe")
-    return shown(found.withColumns({c: F.col(c) + NUDGE for c in ("open", "high", "low", "close")}))
+    found = smooth(spark, d).drop("timeframe").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return found.withColumns({c: F.round(c, 9) + 0.0 for c in ("open", "high", "low", "close", "volume")})
 
 
 @query("bars_4h", f"WITH {bars_sql('value', chr(32).join(['time_bucket(INTERVAL', chr(39) + '4 hours' + chr(39) + ', ts, TIMESTAMP', chr(39) + '1970-01-01' + chr(39) + ')']))} {BAR_SQL}")
@@ -312,10 +343,36 @@ for _group, (_more, _from, _exprs) in FEATURE_SQL.items():
     query(f"feat_{_group}", windowed_sql(f"SELECT ticker, k::BIGINT AS k, {_select} FROM {_from} GROUP BY ticker, k", _more, "value"))(group_query(_group))
 
 
-@query("fingerprint")
+def _joined(groups: tuple[str, ...], select: str) -> str:
+    """Several groups' SQL side by side, each with its own common tables."""
+    parts = []
+    for g in groups:
+        more, source, exprs = FEATURE_SQL[g]
+        names = ", ".join(f"{e} AS {n}" for n, e in exprs.items())
+        parts.append(f"g_{g} AS (WITH {more} SELECT ticker, k, {names} FROM {source} GROUP BY ticker, k)")
+    first, *rest = (f"g_{g}" for g in groups)
+    return windowed_sql(f"{select} FROM {first} {' '.join(f'JOIN {g} USING (ticker, k)' for g in rest)}", ", ".join(parts), "value")
+
+
+def raw_windows(spark: SparkSession, d: str) -> DataFrame:
+    return W.rolling_windows(B.bars_events(table(spark, d, "events")))
+
+
+SLOTS = [n for g in features.GROUPS for n in FEATURE_SQL[g][2]]
+
+
+@query("fingerprint", _joined(tuple(features.GROUPS), f"SELECT ticker, k::BIGINT AS k, unnest(range(49))::INT AS slot, round(unnest([{', '.join(f'({n})::DOUBLE' for n in SLOTS)}]), 6) + 0.0 AS value"))
 def fingerprint(spark, d):
-    found = features.fingerprint(windows(spark, d))
-    return shown(found.select("ticker", "k", F.posexplode("vector").alias("slot", "value")))
+    found = features.fingerprint(raw_windows(spark, d))
+    return shown(found.select("ticker", F.col("k").cast("long"), F.posexplode("vector").alias("slot", "value")))
+
+
+@query("encoded")
+def encoded(spark, d):
+    """Warped, fitted to all windows, normalised and along eight principal directions."""
+    found = windows(spark, d)
+    fitted = encoder.Encoder().fit(found).with_directions(found, 8)
+    return shown(fitted.encode(found).select("ticker", "k", F.posexplode("vector").alias("slot", "value")))
 
 
 @query("fingerprint_warped")
@@ -333,9 +390,12 @@ def time_warp(spark, d):
     return shown(features.time_warp(windows(spark, d)).select("ticker", F.col("k").cast("long"), "i", "close"))
 
 
-@query("profiles")
+@query("profiles", _joined(("volatility", "momentum", "volume"), """SELECT ticker, k::BIGINT AS k, CASE WHEN vol_z_5 < -0.5 THEN 'contracting' WHEN vol_z_5 > 0.5 THEN 'expanding' ELSE 'stable' END AS volatility_profile,
+CASE WHEN mean_accel_5 > 0.01 THEN 'accelerating' WHEN mean_accel_5 < -0.01 THEN 'decelerating' ELSE 'neutral' END AS momentum_profile,
+CASE WHEN concentration > 0.35 AND volume_slope > 0.1 THEN 'climactic' WHEN volume_slope < -0.05 THEN 'dry' WHEN volume_slope > 0.05 THEN 'accumulating' ELSE 'neutral' END AS volume_profile"""))
 def profiles(spark, d):
-    return plans.patterns_of(smooth(spark, d)).select("ticker", "k", "volatility_profile", "momentum_profile", "volume_profile")
+    found = plans.patterns_of(B.bars_events(table(spark, d, "events")))
+    return found.select("ticker", F.col("k").cast("long").alias("k"), "volatility_profile", "momentum_profile", "volume_profile")
 
 
 # --- normalisers and similarity ------------------------------------------------------------------------------------
@@ -358,57 +418,78 @@ for _method, _rule in _NORM.items():
     query(f"norm_{_method}", f"WITH {_LONG} SELECT pattern_id, l.d::INT AS d, {rounded(f'({_rule})::DOUBLE', 'value')} FROM l JOIN s ON l.d = s.d")(norm_query(_method))
 
 
-@query("sim_pairs", f"WITH {V_SQL} SELECT v.pattern_id, {rounded(COS, 'cosine')}, {rounded(EUC, 'euclidean')} FROM v AS q, v WHERE q.pattern_id = 0")
+_FITTED = _NORM | {"rank": _NORM["combined"]}
+
+
+def fitted_query(method: str):
+    def run(spark, d):
+        asked_ = vectors(spark, d).where(ASKED)
+        found = normalize.transform(asked_, normalize.fit(vectors(spark, d)), method)
+        return shown(found.select("pattern_id", F.posexplode("vector").alias("d", "value")))
+
+    return run
+
+
+for _method, _rule in _FITTED.items():
+    query(f"fitted_{_method}", f"WITH {_LONG} SELECT pattern_id, l.d::INT AS d, {rounded(f'({_rule})::DOUBLE', 'value')} FROM l JOIN s ON l.d = s.d WHERE pattern_id % 20 = 0")(fitted_query(_method))
+
+
+@query("sim_pairs", f"WITH {V_SQL} SELECT q.pattern_id AS query_id, v.pattern_id, {rounded(COS, 'cosine')}, {rounded(EUC, 'euclidean')} {PAIRS}")
 def sim_pairs(spark, d):
-    return shown(similarity.scored(vectors(spark, d), asked(spark, d)).select("pattern_id", "cosine", "euclidean"))
+    return shown(similarity.scored(vectors(spark, d), asked(spark, d), but_itself=True).select("query_id", "pattern_id", "cosine", "euclidean"))
 
 
 @query("sim_xcorr", f"""WITH {V_SQL}, z AS (SELECT pattern_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v),
 s AS (SELECT pattern_id, avg(x) AS m, stddev_pop(x) + 1e-10 AS sd FROM z GROUP BY pattern_id), n AS (SELECT pattern_id, i, (x - m) / sd AS x FROM z JOIN s USING (pattern_id)),
-c AS (SELECT b.pattern_id, a.i - b.i AS lag, sum(a.x * b.x) AS dot FROM n AS a, n AS b WHERE a.pattern_id = 0 GROUP BY 1, 2),
+c AS (SELECT a.pattern_id AS query_id, b.pattern_id, a.i - b.i AS lag, sum(a.x * b.x) AS dot FROM n AS a, n AS b WHERE a.pattern_id % 20 = 0 AND a.pattern_id <> b.pattern_id GROUP BY 1, 2, 3),
 e AS (SELECT pattern_id, sum(x * x) AS q FROM n GROUP BY pattern_id)
-SELECT c.pattern_id, {rounded('greatest(0, least(1, max(dot) / (sqrt(max(e.q) * max(f.q)) + 1e-10)))', 'xcorr')} FROM c JOIN e ON c.pattern_id = e.pattern_id, e AS f WHERE f.pattern_id = 0 GROUP BY c.pattern_id""")
+SELECT query_id, c.pattern_id, {rounded('greatest(0, least(1, max(dot) / (sqrt(max(e.q) * max(f.q)) + 1e-10)))', 'xcorr')} FROM c JOIN e ON c.pattern_id = e.pattern_id JOIN e AS f ON f.pattern_id = query_id GROUP BY query_id, c.pattern_id""")
 def sim_xcorr(spark, d):
-    pairs = similarity.scored(vectors(spark, d), asked(spark, d))
-    return shown(pairs.select("pattern_id", series.xcorr(F.col("q_vector"), F.col("vector")).alias("xcorr")))
+    pairs = similarity.scored(vectors(spark, d), asked(spark, d), but_itself=True)
+    return shown(pairs.select("query_id", "pattern_id", series.xcorr(F.col("q_vector"), F.col("vector")).alias("xcorr")))
 
 
 @query("sim_dtw")
 def sim_dtw(spark, d):
-    pairs = similarity.scored(vectors(spark, d), asked(spark, d))
-    return shown(pairs.select("pattern_id", series.dtw(F.col("q_vector"), F.col("vector")).alias("dtw")))
-
+    pairs = similarity.scored(vectors(spark, d), asked(spark, d), but_itself=True)
+    return shown(pairs.select("query_id", "pattern_id", series.dtw(F.col("q_vector"), F.col("vector")).alias("dtw")))
 
-_TOP = f"SELECT query_id, pattern_id, {rounded('composite', 'composite')}, rank::INT AS rank FROM ({{0}}) QUALIFY rank <= {{1}}"
 
-
-def _topk_sql(where: str, threshold: float, n: int) -> str:
-    return f"""WITH {V_SQL}, sc AS (SELECT q.pattern_id AS query_id, v.pattern_id, 0.6 * {COS} + 0.4 * {EUC} AS composite FROM v AS q, v WHERE {where}),
+def _topk_sql(threshold: float, n: int) -> str:
+    return f"""WITH {V_SQL}, sc AS (SELECT q.pattern_id AS query_id, v.pattern_id, 0.6 * {COS} + 0.4 * {EUC} AS composite {PAIRS}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, pattern_id) AS rank FROM sc WHERE composite >= {threshold})
 SELECT query_id, pattern_id, {rounded('composite', 'composite')}, rank::INT AS rank FROM rk WHERE rank <= {n}"""
 
 
-@query("topk_batch", _topk_sql("q.pattern_id = 0 AND v.pattern_id > 0", 0.5, 20))
+@query("topk_batch", _topk_sql(0.5, 20))
 def topk_batch(spark, d):
-    found = similarity.find_matches_batch(vectors(spark, d).where("pattern_id > 0"), asked(spark, d))
+    found = similarity.find_matches_batch(vectors(spark, d), asked(spark, d), but_itself=True)
     return shown(found.select("query_id", "pattern_id", "composite", "rank"))
 
 
-@query("topk_per_query", _topk_sql("q.pattern_id < 50", 0.2, 5))
+@query("topk_per_query", _topk_sql(0.2, 5))
 def topk_per_query(spark, d):
-    found = similarity.find_matches_batch(vectors(spark, d), asked(spark, d, "pattern_id < 50"), 5, 0.2)
+    found = similarity.find_matches_batch(vectors(spark, d), asked(spark, d), 5, 0.2, True)
     return shown(found.select("query_id", "pattern_id", "composite", "rank"))
 
 
-@query("topk_exact")
+@query("topk_exact", f"""WITH {V_SQL}, z AS (SELECT pattern_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v),
+s AS (SELECT pattern_id, avg(x) AS m, stddev_pop(x) + 1e-10 AS sd FROM z GROUP BY pattern_id), n AS (SELECT pattern_id, i, (x - m) / sd AS x FROM z JOIN s USING (pattern_id)),
+c AS (SELECT a.pattern_id AS query_id, b.pattern_id, a.i - b.i AS lag, sum(a.x * b.x) AS dot FROM n AS a, n AS b WHERE a.pattern_id % 20 = 0 AND a.pattern_id <> b.pattern_id GROUP BY 1, 2, 3),
+e AS (SELECT pattern_id, sum(x * x) AS q FROM n GROUP BY pattern_id),
+x AS (SELECT query_id, c.pattern_id, greatest(0, least(1, max(dot) / (sqrt(max(e.q) * max(f.q)) + 1e-10))) AS dtw FROM c JOIN e ON c.pattern_id = e.pattern_id JOIN e AS f ON f.pattern_id = query_id GROUP BY query_id, c.pattern_id),
+p AS (SELECT q.pattern_id AS query_id, v.pattern_id, {COS} AS cosine, {EUC} AS euclidean {PAIRS}),
+r AS (SELECT *, 0.5 * cosine + 0.3 * euclidean + 0.2 * dtw AS composite FROM p JOIN x USING (query_id, pattern_id))
+SELECT query_id, pattern_id, {', '.join(rounded(c, c) for c in ('cosine', 'euclidean', 'dtw', 'composite'))}, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, pattern_id)::INT AS rank
+FROM r WHERE composite >= 0.4 QUALIFY rank <= 20""")
 def topk_exact(spark, d):
-    found = similarity.find_matches(vectors(spark, d).where("pattern_id > 0"), asked(spark, d), 20, 0.4)
+    found = similarity.find_matches(vectors(spark, d), asked(spark, d), 20, 0.4, but_itself=True)
     return shown(found.select("query_id", "pattern_id", "cosine", "euclidean", "dtw", "composite", "rank"))
 
 
-@query("cross_asset_filter", f"WITH {V_SQL} SELECT q.pattern_id AS query_id, v.pattern_id FROM v AS q, v WHERE q.pattern_id < 5 AND q.ticker = v.ticker")
+@query("cross_asset_filter", f"WITH {V_SQL} SELECT q.pattern_id AS query_id, v.pattern_id {PAIRS} AND q.ticker = v.ticker")
 def cross_asset_filter(spark, d):
-    return similarity.scored(vectors(spark, d), asked(spark, d, "pattern_id < 5"), False).select("query_id", "pattern_id")
+    return similarity.scored(vectors(spark, d), asked(spark, d), False, True).select("query_id", "pattern_id")
 
 
 # --- ranking and outcomes ------------------------------------------------------------------------------------------
@@ -423,7 +504,7 @@ def confidence(spark, d):
     return shown(similarity.confidence(matched(spark, d)))
 
 
-@query("echo_type", matches_sql(f"SELECT query_id, {labels.case_sql(labels.ECHO_RULES, chr(39) + 'mixed_regime' + chr(39), ret='r', dd='d', sd='s')} AS echo_type FROM (SELECT query_id, avg(forward_return) AS r, avg(max_drawdown) AS d, stddev_pop(forward_return) AS s FROM m WHERE rank <= 10 GROUP BY query_id)"))
+@query("echo_type", matches_sql(f"SELECT query_id, {ECHO_CASE} AS echo_type FROM (SELECT query_id, avg(forward_return) AS r, avg(max_drawdown) AS d, stddev_pop(forward_return) AS s FROM m WHERE rank <= 10 GROUP BY query_id)"))
 def echo_type(spark, d):
     top = matched(spark, d).where("rank <= 10").groupBy("query_id").agg(F.avg("forward_return").alias("r"), F.avg("max_drawdown").alias("d"), F.stddev_pop("forward_return").alias("s"))
     return top.select("query_id", labels.echo_type("r", "d", "s").alias("echo_type"))
@@ -443,23 +524,33 @@ def outcome_stats(spark, d):
     return shown(outcomes.statistics(matched(spark, d)))
 
 
-_CONT = ", ".join(f"'{x}'" for x in labels.CONTINUATIONS)
+_CONT = "'explosive_continuation', 'slow_grind_continuation', 'whipsaw_continuation'"
+_CLASSES = {
+    "continuation": f"label IN ({_CONT})", "reversal": "label = 'full_reversal'", "failure": "label = 'fake_breakout_failure'",
+    "neutral": f"label NOT IN ({_CONT}, 'full_reversal', 'fake_breakout_failure')",
+}
 _DIST = {
-    "continuation": f"avg((outcome_label IN ({_CONT}))::INT)", "reversal": "avg((outcome_label = 'full_reversal')::INT)", "failure": "avg((outcome_label = 'fake_breakout_failure')::INT)",
-    "neutral": f"avg((outcome_label NOT IN ({_CONT}, 'full_reversal', 'fake_breakout_failure'))::INT)", "mean_return": "avg(forward_return)", "median_return": "median(forward_return)",
+    "mean_return": "avg(forward_return)", "median_return": "median(forward_return)",
     "std_return": "stddev_pop(forward_return)", "skew": "sum((forward_return - mu) ** 3) / count(*) / stddev_pop(forward_return) ** 3", "kurtosis": "kurtosis_pop(forward_return)",
     **{f"percentile_{q}": f"quantile_cont(forward_return, {q / 100})" for q in (5, 25, 75, 95)},
 }
+_CLUSTERED = f"""ca AS (SELECT query_id, outcome_label AS cluster_id, count(*)::BIGINT AS n_members, avg(forward_return) AS avg_return, avg(max_drawdown) AS avg_drawdown, avg(max_runup) AS avg_runup,
+  avg(time_to_resolution) AS avg_time_to_resolution, quantile_cont(forward_return, 0.1) AS return_low, quantile_cont(forward_return, 0.9) AS return_high FROM m GROUP BY query_id, outcome_label),
+cl AS (SELECT *, n_members / sum(n_members) OVER (PARTITION BY query_id) AS probability, {CLUSTER_CASE} AS label FROM ca)"""
 
 
-@query("distribution_stats", matches_sql(f"SELECT query_id, {', '.join(rounded(f"CASE WHEN count(*) < 2 THEN {int(n == 'neutral')} ELSE {e} END", n) for n, e in _DIST.items())} FROM (SELECT *, avg(forward_return) OVER (PARTITION BY query_id) AS mu FROM m) GROUP BY query_id"))
+@query("distribution_stats", windowed_sql(f"""SELECT query_id, {', '.join(rounded(f"CASE WHEN n < 2 THEN {int(c == 'neutral')} ELSE {c} END", c) for c in _CLASSES)}, {', '.join(rounded(f"CASE WHEN n < 2 THEN 0 ELSE {c} END", c) for c in _DIST)}
+FROM (SELECT query_id, {', '.join(f"coalesce(sum(probability) FILTER ({e}), 0) AS {c}" for c, e in _CLASSES.items())} FROM cl GROUP BY query_id)
+JOIN (SELECT query_id, count(*) AS n, {', '.join(f"{e} AS {c}" for c, e in _DIST.items())} FROM (SELECT *, avg(forward_return) OVER (PARTITION BY query_id) AS mu FROM m) GROUP BY query_id) USING (query_id)""", f"{OUTCOMES}, {MATCHES}, {_CLUSTERED}"))
 def distribution_stats(spark, d):
-    return shown(outcomes.distribution(matched(spark, d)))
+    """The outcome classes stand in for clusters, since numbers of clusters hang on a random generator."""
+    return shown(outcomes.distribution(matched(spark, d).withColumn("cluster_id", F.col("outcome_label"))))
 
 
-_NAMES = {"ret": "forward_return", "dd": "max_drawdown", "ru": "max_runup"}
-_KIND = labels.case_sql(labels.FAILURE_RULES, "NULL", **_NAMES)
-_SEVERITY = "CASE " + " ".join(f"WHEN {labels.filled(r[0], **_NAMES)} THEN least(1, {labels.filled(r[2], **_NAMES)})" for r in labels.FAILURE_RULES) + " END"
+_KIND = FAILURE_CASE.format("'false_breakout'", "'severe_drawdown'", "'slow_bleed'", "'whipsaw'")
+_SEVERITY = FAILURE_CASE.format(
+    "least(1, abs(forward_return - max_runup) / 0.1)", "least(1, abs(max_drawdown) / 0.15)", "least(1, abs(forward_return) / 0.08)", "least(1, (abs(max_runup) + abs(max_drawdown)) / 0.15)"
+)
 _BAD = f"(SELECT *, {_KIND} AS failure_type, {_SEVERITY} AS severity FROM m)"
 
 
@@ -474,21 +565,40 @@ def failure_summary(spark, d):
     return shown(outcomes.failure_summary(matched(spark, d)))
 
 
-@query("warnings")
+_OMNIBUS = """n1 AS (SELECT query_id, count(*)::DOUBLE AS n, stddev_pop(forward_return) AS sd, avg(forward_return) AS mu, avg((max_drawdown < -0.03 AND forward_return > 0)::INT) AS rescued,
+  count(*) FILTER (rank <= 5 AND forward_return < -0.03) AS lost FROM m GROUP BY query_id),
+n2 AS (SELECT query_id, sum((forward_return - mu) ** 3) / any_value(n) / any_value(sd) ** 3 AS g1, sum((forward_return - mu) ** 4) / any_value(n) / any_value(sd) ** 4 - 3 AS g2 FROM m JOIN n1 USING (query_id) GROUP BY query_id),
+n3 AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2,
+  (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM n1 JOIN n2 USING (query_id) WHERE n >= 10 AND sd > 0),
+n4 AS (SELECT query_id, asinh(y / sqrt(2 / (sqrt(2 * (b2 - 1)) - 2))) / sqrt(0.5 * ln(sqrt(2 * (b2 - 1)) - 1)) AS z1, x, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / sb ** 2)) AS a FROM n3),
+n5 AS (SELECT query_id, exp(-(z1 ** 2 + ((1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * cbrt((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))) ** 2) / 2) AS p FROM n4),
+nl AS (SELECT query_id, count(*) AS clusters, max(c) AS largest FROM (SELECT query_id, outcome_label, count(*) AS c FROM m GROUP BY ALL) GROUP BY query_id),
+nt AS (SELECT query_id, count(*) AS tickers, max(r) AS best, min(r) AS worst FROM (SELECT query_id, ticker, avg(forward_return) AS r FROM m GROUP BY ALL) GROUP BY query_id)"""
+
+
+@query("warnings", windowed_sql("""SELECT query_id, concat_ws('; ', CASE WHEN p < 0.05 THEN 'return distribution is not normal' END, CASE WHEN sd > 0.08 THEN 'outcomes are widely spread' END,
+  CASE WHEN clusters >= 2 AND largest / n < 0.4 THEN 'no outcome prevails' END, CASE WHEN rescued > 0.3 THEN 'gains came after drawdowns' END) AS signals,
+concat_ws('; ', CASE WHEN n >= 5 AND g1 < -0.5 THEN 'left-skewed returns' END, CASE WHEN lost >= 3 THEN 'best matches lost' END, CASE WHEN tickers > 1 AND best > 0.03 AND worst < -0.03 THEN 'instruments disagree' END) AS risks
+FROM n1 JOIN n2 USING (query_id) LEFT JOIN n5 USING (query_id) JOIN nl USING (query_id) JOIN nt USING (query_id)""", f"{OUTCOMES}, {MATCHES}, {_OMNIBUS}"))
 def warnings(spark, d):
     found = outcomes.warnings(matched(spark, d))
     return found.select("query_id", F.array_join("signals", "; ").alias("signals"), F.array_join("risks", "; ").alias("risks"))
 
 
-_CLUSTER = {
-    "probability": "count(*) / max(total)", "avg_return": "avg(forward_return)", "avg_drawdown": "avg(max_drawdown)", "avg_runup": "avg(max_runup)", "avg_time_to_resolution": "avg(time_to_resolution)",
-    "return_low": "quantile_cont(forward_return, 0.1)", "return_high": "quantile_cont(forward_return, 0.9)", "confidence": "least(1, count(*) / max(total) * count(*) / 5)",
-}
+@query("failure_analysis")
+def failure_analysis(spark, d):
+    """All queries, those of another market too, which nothing matches."""
+    matches = matched(spark, d)
+    more = asked(spark, d).select(F.col("query_id")).unionByName(asked(spark, d).select((-1 - F.col("query_id")).alias("query_id")))
+    found = outcomes.failure_analysis(matches, more)
+    return shown(found.withColumns({c: F.array_join(c, "; ") for c in ("signals", "risks")}))
+
+
+_CLUSTER = ("probability", "avg_return", "avg_drawdown", "avg_runup", "avg_time_to_resolution", "return_low", "return_high")
 
 
-@query("cluster_summary", matches_sql(f"""SELECT query_id, outcome_label AS cluster_id, count(*)::BIGINT AS n_members, {', '.join(rounded(e, n) for n, e in _CLUSTER.items())},
-{labels.case_sql(labels.CLUSTER_RULES, chr(39) + 'mixed_regime' + chr(39), ret='avg(forward_return)', dd='avg(max_drawdown)', ru='avg(max_runup)')} AS label
-FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM m) GROUP BY query_id, outcome_label"""))
+@query("cluster_summary", windowed_sql(f"SELECT query_id, cluster_id, n_members, {', '.join(rounded(c, c) for c in _CLUSTER)}, {rounded('least(1, probability * n_members / 5)', 'confidence')}, label FROM cl", f"{OUTCOMES}, {MATCHES}, {_CLUSTERED}"))
 def cluster_summary(spark, d):
     return shown(outcomes.cluster_summary(matched(spark, d).withColumn("cluster_id", F.col("outcome_label"))))
 
@@ -504,8 +614,7 @@ def scenarios(spark, d):
 
 
 def projected(spark, d):
-    """Twelve queries, of which two have no matches."""
-    queries = asked(spark, d, "pattern_id < 12").select("query_id", "q_ticker")
+    queries = asked(spark, d).select("query_id", "q_ticker")
     return projection.projections(matched(spark, d), queries)
 
 
@@ -587,7 +696,9 @@ def alert_gate(spark, d):
     return signals.alert_gate(best, ("c1", "c2", "c3")).select("ticker", "cycle", "score", "special")
 
 
-@query("cooldown")
+@query("cooldown", f"""WITH RECURSIVE e AS (SELECT DISTINCT event_type AS ticker, ts FROM events), s AS (SELECT ticker, min(ts) AS ts FROM e GROUP BY ticker
+  UNION ALL SELECT n.ticker, n.ts FROM (SELECT s.ticker, (SELECT min(e.ts) FROM e WHERE e.ticker = s.ticker AND e.ts >= s.ts + INTERVAL 8 HOUR) AS ts FROM s) AS n WHERE n.ts IS NOT NULL)
+SELECT ticker, {STAMP.format(c='ts')} FROM s""")
 def cooldown(spark, d):
     found = signals.cooled_down(table(spark, d, "events").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts")))
     return shown(found)
@@ -599,18 +710,32 @@ def scan_universe(spark, d):
     return signals.scan_universe(found, 3)
 
 
-@query("time_horizons", windowed_sql("SELECT DISTINCT time_to_resolution AS bars, CASE WHEN time_to_resolution * 60 < 1440 THEN time_to_resolution || ' hours' ELSE '1-2 sessions' END AS horizon FROM lab WHERE time_to_resolution < 24", OUTCOMES))
+@query("universe_turn", """WITH q AS (SELECT 's' || (o_custkey % 23) AS symbol, min(o_orderkey % 7) AS priority FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY priority, symbol) - 1 AS place, count(*) OVER () AS size FROM q),
+u AS (SELECT symbol, priority FROM q UNION ALL SELECT symbol, priority + 1000000 FROM n WHERE place // 5 = 7 % ceil(size / 5) UNION ALL SELECT 'SPY', 2000000)
+SELECT symbol, min(priority)::BIGINT AS priority FROM u GROUP BY symbol ORDER BY 2, 1 LIMIT 30""")
+def universe_turn(spark, d):
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    found = urgent.select(F.concat(F.lit("s"), F.col("o_custkey") % 23).alias("symbol"), (F.col("o_orderkey") % 7).alias("priority"))
+    due = spark.range(1).select(F.lit(True).alias("beta"), F.lit(True).alias("benchmark"))
+    return signals.scan_universe(found, 30, cycle=7, tiers=due)
+
+
+@query("time_horizons", windowed_sql("""SELECT DISTINCT time_to_resolution AS bars, timeframe, CASE WHEN m < 60 THEN m || ' minutes' WHEN m < 1440 THEN round_even(m / 60, 0)::BIGINT || ' hours'
+  WHEN m < 10080 THEN round_even(m / 1440, 0)::BIGINT || '-' || round_even(m / 1440 + 1, 0)::BIGINT || ' sessions' ELSE round_even(m / 10080, 0)::BIGINT || '-' || round_even(m / 10080 + 1, 0)::BIGINT || ' weeks' END AS horizon
+FROM (SELECT time_to_resolution, timeframe, time_to_resolution * minutes AS m FROM lab, (VALUES ('1m', 1), ('5m', 5), ('15m', 15), ('1h', 60), ('4h', 240), ('1d', 1440), ('1w', 10080)) AS f(timeframe, minutes))""", OUTCOMES))
 def time_horizons(spark, d):
-    rows = labelled(spark, d).where("time_to_resolution < 24").select(F.col("time_to_resolution").alias("bars")).distinct()
-    return rows.select("bars", signals.time_horizon(F.col("bars"), F.lit("1h")).alias("horizon"))
+    frames = F.explode(F.array(*(F.lit(x) for x in ("1m", "5m", "15m", "1h", "4h", "1d", "1w")))).alias("timeframe")
+    rows = labelled(spark, d).select(F.col("time_to_resolution").alias("bars")).distinct().select("bars", frames)
+    return rows.select("bars", "timeframe", signals.time_horizon(F.col("bars"), F.col("timeframe")).alias("horizon"))
 
 
-@query("replay_timeline", windowed_sql(f"SELECT ticker, k::INT AS index, {STAMP.format(c='start_time')}, round(forward_return, 4) + 0.0 AS forward_return, round(max_drawdown, 4) + 0.0 AS max_drawdown, outcome_label FROM lab WHERE k < 100", OUTCOMES))
+@query("replay_timeline", windowed_sql(f"SELECT ticker, '1h' AS timeframe, k::INT AS index, {STAMP.format(c='start_time')}, {STAMP.format(c='end_time')}, {rounded('round_even(forward_return, 4)', 'forward_return')}, {rounded('round_even(max_drawdown, 4)', 'max_drawdown')}, outcome_label, NULL::VARCHAR AS volatility_profile, NULL::VARCHAR AS momentum_profile FROM lab WHERE k < 100", OUTCOMES))
 def replay_timeline(spark, d):
     return shown(replay.timeline(labelled(spark, d)))
 
 
-@query("regime_transitions", windowed_sql(f"SELECT ticker, k::INT AS index, {STAMP.format(c='start_time')}, before AS from_label, outcome_label AS to_label FROM (SELECT *, lag(outcome_label) OVER (PARTITION BY ticker ORDER BY k) AS before FROM lab) WHERE before <> outcome_label", OUTCOMES))
+@query("regime_transitions", windowed_sql(f"SELECT ticker, '1h' AS timeframe, k::INT AS index, {STAMP.format(c='start_time')}, before AS from_label, outcome_label AS to_label FROM (SELECT *, lag(outcome_label) OVER (PARTITION BY ticker ORDER BY k) AS before FROM lab) WHERE before <> outcome_label", OUTCOMES))
 def regime_transitions(spark, d):
     return shown(replay.transitions(labelled(spark, d)))
 
@@ -623,7 +748,16 @@ def count_patterns(spark, d):
 @query("scan")
 def scan(spark, d):
     bars = smooth(spark, d)
-    return shown(plans.scan(bars, plans.patterns_of(bars)))
+    found = plans.scan(bars, plans.patterns_of(bars)).withColumn("alternatives", F.size("alternatives"))
+    flat = found.select("query_id", "n_matches", "weighted_return", "win_rate", "sharpe", "echo_type", "confidence", "failure_rate", "failure_risk_score", "overall_confidence", "primary.label", "primary.probability", "primary.expected_return", "alternatives", "distribution.*", "score", "grade", "narrative")
+    return shown(flat)
+
+
+@query("ingest_counts", windowed_sql("SELECT ticker, count(*)::BIGINT AS n_rows, count(DISTINCT start_time)::BIGINT AS n_ids FROM lab GROUP BY ticker", OUTCOMES))
+def ingest_counts(spark, d):
+    """Patterns as they would be stored, with the ids that keep a second ingest from counting twice."""
+    found = store.with_ids(labelled(spark, d).withColumn("window_size", F.lit(60)))
+    return found.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.count_distinct("pattern_id").alias("n_ids"))
 
 
 @query("synthetic_bars")

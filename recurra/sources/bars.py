@@ -93,13 +93,15 @@ def tail(bars: DataFrame, n: int) -> DataFrame:
 
 
 def synthetic_bars(spark: SparkSession, tickers: list[str], n: int = 300, regime: str = "trending", seed: int = 7) -> DataFrame:
-    """Seeded random walks: trending, volatile and compression by regime, mean_reverting without drift back.
+    """Seeded random walks by regime.
 
-    The walk is a product of independent steps, so a windowed sum of logarithms gives it.
+    A walk is a product of independent steps, so a windowed sum of logarithms gives it.  mean_reverting is pulled back
+    to its first price: its relative distance is a sum of steps that fade by a constant rate, a windowed sum too.
     """
     names = F.explode(F.array(*(F.lit(t) for t in tickers))).alias("ticker")
     rows = spark.range(n).select(names, F.col("id").alias("i"))
     phase = (F.col("i") / 50).cast("int") % 3
+    # Drift and noise of the regimes.
     drift = {"trending": F.lit(0.0005), "volatile": F.element_at(F.array(F.lit(0.001), F.lit(-0.001), F.lit(0.0)), phase + 1), "compression": F.lit(0.0001)}
     noise = {"trending": F.lit(0.015), "mean_reverting": F.lit(0.012), "volatile": F.element_at(F.array(F.lit(0.025), F.lit(0.03), F.lit(0.01)), phase + 1), "compression": 0.025 * (1 - F.col("i") / n) + 0.005}
 
@@ -112,7 +114,12 @@ def synthetic_bars(spark: SparkSession, tickers: list[str], n: int = 300, regime
     rows = rows.withColumn("ret", F.when(F.col("i") == 0, 0.0).otherwise(F.greatest(step, F.lit(-0.9))))
     path = Window.partitionBy("ticker").orderBy("i")
     base = 10 + F.pmod(F.xxhash64("ticker", F.lit(seed)), F.lit(490))
-    rows = rows.withColumn("close", base * F.exp(F.sum(F.log1p("ret")).over(path)))
+    if regime == "mean_reverting":
+        fade = 1 - 0.3 / n  # fixed value: the share of the distance that each step takes back
+        away = F.sum(F.col("ret") * F.pow(F.lit(fade), -F.col("i"))).over(path) * F.pow(F.lit(fade), F.col("i"))
+        rows = rows.withColumn("close", base * F.greatest(1 + away, F.lit(0.05)))
+    else:
+        rows = rows.withColumn("close", base * F.exp(F.sum(F.log1p("ret")).over(path)))
     spread = F.abs(0.005 * normal(10))
     stamp = F.timestamp_seconds(F.lit(1577836800) + F.col("i") * 3600)
     volume = F.exp(10 + 0.5 * normal(20)) * (1 + 5 * F.abs("ret"))

@@ -13,7 +13,7 @@ from ..sources.bars import bar_length
 
 def stream_bars(ticks: DataFrame, timeframe: str = "1h", delay: str = "2 hours") -> DataFrame:
     """Bars of a stream of (ticker, ts, price, size, event_id); late ticks within `delay` count."""
-    by = F.struct("ts", "event_id")
+    by = F.struct("event_id")  # as in the bars of a table
     marked = ticks.withWatermark("ts", delay)
     found = marked.groupBy("ticker", F.window("ts", bar_length(timeframe))).agg(
         F.min_by("price", by).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", by).alias("close"), F.sum("size").alias("volume")

@@ -4,12 +4,14 @@ import datetime as dt
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from recurra import config
 from recurra.config import EngineConfig, stride
 from recurra.functions import series
-from recurra.operators import features, labels, normalize, outcomes, projection, reduction, signals, similarity
+from recurra.operators import encoder, features, labels, normalize, outcomes, projection, reduction, signals, similarity
 from recurra.operators import windows as W
 from recurra.plans import scan as plans
 from recurra.sources import bars as B
@@ -141,9 +143,15 @@ def test_matching(spark):
 
 def test_series_likeness():
     t = np.linspace(0, 6, 50)
-    assert series.best_lag(np.sin(t), np.sin(t + 0.1)) > 0.5
-    assert series.warped_likeness(t, t) == pytest.approx(1.0)
-    assert series.warped_likeness(t, t[:0]) == 0.0
+    alone = lambda rule, a, b: float(rule(a[None], b[None])[0])
+    assert alone(series.best_lag, np.sin(t), np.sin(t + 0.1)) > 0.5
+    assert alone(series.warped_likeness, t, t) == pytest.approx(1.0)
+    assert alone(series.warped_likeness, t, t[:0]) == 0.0
+    x, y = np.random.default_rng(3).normal(size=(2, 30, 17))
+    lags = [np.correlate(*((v - v.mean()) / v.std() for v in p), "full").max() / 17 for p in zip(x, y)]
+    assert series.best_lag(x, y) == pytest.approx(np.clip(lags, 0, 1))
+    mixed = series.batched(series.best_lag, pd.Series([x[0], None, x[1][:5]]), pd.Series([y[0], y[1], y[1]]))
+    assert mixed[0] == pytest.approx(lags[0]) and pd.isna(mixed[1]) and 0 <= mixed[2] <= 1
     a, b = np.random.default_rng(0).normal(size=(2, 12))
     a, b = ((v - v.mean()) / (v.std() + 1e-10) for v in (a, b[:9]))
     d = np.full((13, 10), np.inf)
@@ -151,7 +159,8 @@ def test_series_likeness():
     for i in range(1, 13):
         for j in range(1, 10):
             d[i, j] = (a[i - 1] - b[j - 1]) ** 2 + min(d[i - 1, j], d[i, j - 1], d[i - 1, j - 1])
-    assert series.warped_likeness(a, b) == pytest.approx(np.exp(-np.sqrt(d[12, 9]) / 12), rel=1e-6)
+    both = series.warped_likeness(np.stack([a, a]), np.stack([b, b]))
+    assert both == pytest.approx(np.full(2, np.exp(-np.sqrt(d[12, 9]) / 12)), rel=1e-6)
 
 
 def test_clusters(spark):
@@ -164,7 +173,9 @@ def test_clusters(spark):
         assert {r.query_id: round(r.p, 9) for r in found} == {1: 1.0, 2: 1.0}
         assert {r.query_id: r.n for r in found}[1] <= 5
     assert all(0 <= r.failure_risk_score <= 1 for r in outcomes.failure_summary(m).collect())
-    alone = outcomes.distribution(m.where("query_id = 2")).first()
+    parts = {r.query_id: r for r in outcomes.distribution(outcomes.clustered(m)).collect()}
+    assert sum((parts[1].continuation, parts[1].reversal, parts[1].failure, parts[1].neutral)) == pytest.approx(1.0)
+    alone = parts[2]
     assert (alone.skew, alone.neutral, alone.mean_return) == (0.0, 1.0, 0.0)
     asked = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "query_id long, q_ticker string")
     found = projection.projections(m, asked)
@@ -202,6 +213,65 @@ def test_cooldown_and_gate(spark):
     assert got == [0, 8, 16]
 
 
+def test_gate_with_what_was_sent(spark):
+    now = dt.datetime(2024, 1, 2)
+    scans = spark.createDataFrame([(t, 1, 0.9, 95.0, p) for t, p in (("A", None), ("B", 10.0), ("C", 900.0), ("M", 20.0), ("N", 20.0))], "ticker string, cycle int, confidence double, score double, price double")
+    sent = spark.createDataFrame([("B", now - dt.timedelta(hours=7)), ("C", now - dt.timedelta(hours=8)), ("M", now - dt.timedelta(hours=1))], "ticker string, ts timestamp")
+    got = signals.alert_gate(scans, ("M", "N"), sent=sent, now=F.lit(now)).collect()
+    assert sorted(r.ticker for r in got) == ["A", "C", "N"]
+
+
+def test_universe(spark):
+    queue = spark.createDataFrame([(f"s{i}", i) for i in range(12)], "symbol string, priority int")
+    symbols = lambda **k: [r.symbol for r in signals.scan_universe(queue.where("priority < 2"), 9, **k).collect()]
+    due = lambda b, m: spark.createDataFrame([(b, m)], "beta boolean, benchmark boolean")
+    assert symbols() == ["s0", "s1"] and symbols(cycle=0, tiers=due(False, True)) == ["s0", "s1", "SPY"]
+    assert symbols(cycle=0, conservation=True) == ["s0", "s1"]
+    turn = [r.symbol for r in signals.scan_universe(queue.where("false"), 9, cycle=0).collect()]
+    assert turn == ["SPY", "QQQ", "IWM"]
+    later = spark.range(1).select(signals.tier_due(F.lit(dt.datetime(2024, 1, 1)), F.lit(dt.datetime(2024, 1, 1, 0, 15)), 15), signals.tier_due(F.lit(None).cast("timestamp"), F.lit(dt.datetime(2024, 1, 1)), 60)).first()
+    assert tuple(later) == (True, True)
+
+
+def test_fitted_normaliser(spark):
+    x, y = np.random.default_rng(0).normal(size=(2, 20, 4))
+    fitted = normalize.fit(vectors(spark, x))
+    for method, rule in (("zscore", lambda v: (v - x.mean(0)) / x.std(0)), ("rank", lambda v: 1 / (1 + np.exp(-(v - x.mean(0)) / x.std(0)))), ("minmax", lambda v: (v - x.min(0)) / (x.max(0) - x.min(0)))):
+        got = [r.vector for r in normalize.transform(vectors(spark, y), fitted, method).orderBy("pattern_id").collect()]
+        assert np.array(got) == pytest.approx(rule(y), abs=1e-6)
+
+
+def test_encoder(spark):
+    windows = W.rolling_windows(B.synthetic_bars(spark, ["AAA"], 260, "volatile"))
+    raw = encoder.Encoder().encode(windows).collect()
+    assert all(len(r.vector) == 49 and r.vector[47] == r.vector[48] == 0 for r in raw)
+    timed = encoder.Encoder(warp_drops_time=False).encode(windows).first()
+    assert timed.vector[47] ** 2 + timed.vector[48] ** 2 == pytest.approx(1)
+    fitted = encoder.Encoder().fit(windows)
+    made = np.array([r.vector for r in fitted.encode(windows).collect()])
+    assert made.shape[1] == 49 and 0 < made.min() and made.max() < 1
+    assert len(fitted.with_directions(windows, 3).encode(windows).first().vector) == 3
+
+
+def test_failure_analysis_of_nothing(spark):
+    m = spark.createDataFrame([(1, 1, "A", 0.9, 1, 0.1, -0.01, 0.1, 3, "mixed_regime")], "query_id long, pattern_id long, ticker string, composite double, rank int, forward_return double, max_drawdown double, max_runup double, time_to_resolution int, outcome_label string")
+    got = {r.query_id: r for r in outcomes.failure_analysis(m, spark.createDataFrame([(1,), (2,)], "query_id long")).collect()}
+    assert got[2].failure_rate == 0 and got[2].n_failure_cases == 0 and list(got[2].signals) == [outcomes.NO_DATA] and not got[2].risks
+    assert not got[1].signals
+
+
+def test_mean_reversion_stays_near(spark):
+    spread = {r: B.synthetic_bars(spark, ["AAA", "BBB"], 3000, r, 5).groupBy("ticker").agg((F.stddev("close") / F.first("close")).alias("s")).agg(F.avg("s")).first()[0] for r in ("mean_reverting", "trending")}
+    assert spread["mean_reverting"] < spread["trending"]
+
+
+def test_settings():
+    assert config.EngineConfig(days_back=1000).bars_back == 24_000 and config.batch(["A"]) == ["A"]
+    for bad in (lambda: config.EngineConfig(days_back=0), lambda: config.batch([]), lambda: config.batch(["A"], 51)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_symbols_and_timeframes(spark):
     assert spark.range(1).select(B.symbol(F.lit("btc-usd"))).first()[0] == "X:BTCUSD"
     assert B.bar_length("4 H") == "4 hours"
@@ -214,11 +284,15 @@ def test_symbols_and_timeframes(spark):
 def test_store_and_scan(spark, tmp_path):
     bars = B.synthetic_bars(spark, ["AAA", "BBB"], 300, "volatile")
     patterns = plans.patterns_of(bars)
-    store.store(patterns.drop("pattern_id"), f"{tmp_path}/p")
-    store.store(patterns.drop("pattern_id"), f"{tmp_path}/p")
+    n = patterns.count()
+    assert plans.ingest(bars, f"{tmp_path}/p") == n and store.store(patterns.drop("pattern_id"), f"{tmp_path}/p") == n
+    assert store.load(spark, f"{tmp_path}/p", limit=3).count() == 3
     held = store.load(spark, f"{tmp_path}/p", timeframe="1h")
     assert held.count() == patterns.count()
-    found = plans.scan(bars, held).collect()
+    other = B.synthetic_bars(spark, ["CCC"], 60, "trending")  # too few for a pattern, enough for a query
+    found = plans.scan(bars.unionByName(other), held).collect()
+    assert sorted(r.query_id for r in found) == ["AAA", "BBB", "CCC"]
+    assert all(r.distribution is not None and r.grade and r.narrative for r in found if r.n_matches)
     assert all(0 <= r.confidence <= 1 and 0 <= r.failure_risk_score <= 1 for r in found)
 
 
