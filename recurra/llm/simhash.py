@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -214,6 +214,170 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 512, doc_id:
     return found.join(named, "simhash").select("doc_id", "simhash", "component_id")
 
 
+#: Segments of the wide fingerprints, all of the Golay code's own 23 bits.
+WIDE = 16
+
+
+def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the distinct shingles of each text of a block, sorted; a text of fewer words is one shingle."""
+    data, offsets = ta.buffers(column)
+    data = ta.lower_ascii(data)
+    starts, ends, rows = ta.word_spans(data, offsets)
+    words = ta.word_hashes(data, starts, ends)
+    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    at = np.arange(len(words))
+    first = np.flatnonzero((at + shingle <= rows[1:][owner]) | (at == rows[:-1][owner]))
+    last = np.minimum(first + shingle, rows[1:][owner[first]])
+    hashes = ta.SEQ.spans(ta.SEQ.prefix(words), first, last)
+    order = np.lexsort((hashes, owner[first]))
+    hashes, whose = hashes[order], owner[first][order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (whose[1:] != whose[:-1])
+    return hashes[fresh], np.append(0, np.cumsum(np.bincount(whose[fresh], minlength=len(rows) - 1)))
+
+
+def wide_words(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, WIDE) segments of 23 bits: SimHash over several hashes of each shingle, some texts at a time."""
+    bits = WIDE * 23
+    seeds = ta.mix64(np.arange(-(-bits // 64), dtype=np.uint64) + np.uint64(77))
+    out = np.zeros((len(offsets) - 1, WIDE), np.uint32)
+    at = 0
+    while at < len(out):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 14), "right")) - 1)
+        own, size = hashes[offsets[at] : offsets[end]], np.diff(offsets[at : end + 1])
+        full = np.flatnonzero(size)
+        if len(full):
+            counts = np.zeros((len(full), bits), np.int32)
+            heads = (offsets[at:end] - offsets[at])[full]
+            # A long text's shingles are counted in pieces.
+            for a in range(0, len(own), 1 << 14):
+                few = ta.mix64(own[a : a + (1 << 14), None] ^ seeds)
+                flags = np.unpackbits(few.astype("<u8").view(np.uint8).reshape(len(few), -1), axis=1, count=bits, bitorder="little")
+                inside = np.flatnonzero((heads < a + len(few)) & (heads + size[full] > a))
+                counts[inside] += np.add.reduceat(flags, np.maximum(heads[inside] - a, 0), axis=0, dtype=np.int32)
+            flags = (2 * counts > size[full, None]).reshape(len(full), WIDE, 23)
+            out[at + full] = flags @ (1 << np.arange(23, dtype=np.uint32))
+        at = end
+    return out
+
+
+def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, same, print): a hash of each text's set of shingles, and its wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in ta.blocks(batch, "text", 1 << 19):
+                hashes, offsets = shingle_sets(block.column("text"), shingle)
+                words = wide_words(hashes, offsets)
+                total = np.append(np.uint64(0), np.cumsum(ta.mix64(hashes + np.uint64(1)), dtype=np.uint64))
+                same = ta.mix64(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+                prints = pa.array([w.tobytes() for w in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(same.view(np.int64)), prints], ["doc_id", "same", "print"])
+            ta.release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, print binary")
+
+
+def wide_keys(prints: DataFrame) -> DataFrame:
+    """(key, same): the codeword indices of every two segments of a wide fingerprint."""
+    pairs = [(i, j) for i in range(WIDE) for j in range(i)]
+    number = np.arange(len(pairs), dtype=np.int64) << 24
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = decoder()
+        first, second = np.array(pairs).T
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                few = batch.slice(i, 2048)
+                words = np.frombuffer(b"".join(few.column(1).to_pylist()), np.uint32).reshape(-1, WIDE)
+                index = table_[words].astype(np.int64)
+                keys = number | (index[:, first] << 12) | index[:, second]
+                same = np.repeat(few.column(0).to_numpy(), len(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(same)], ["key", "same"])
+
+    return prints.select("same", "print").mapInArrow(run, "key long, same long")
+
+
+def alike(prints: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of shingle sets whose Jaccard similarity is `similarity` or more, by comparing the sets."""
+    # Fingerprints of sets as like as that differ in a share of acos(cosine)/pi of their bits; five deviations more are let through.
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = WIDE * 23
+    most = int(bits * share + 5 * np.sqrt(bits * share * (1 - share)))
+    of = lambda name: prints.select(F.col("same").alias(name), F.col("print").alias(f"print_{name}"))
+    met = pairs.join(of("u"), "u").join(of("v"), "v")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            near = np.unpackbits(a ^ b, axis=1).sum(1) <= most
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in (0, 1)], ["u", "v"])
+
+    few = checkpoint(met.select("u", "v", "print_u", "print_v").mapInArrow(close, "u long, v long"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in ta.blocks(batch, "text", 1 << 19):
+                hashes, offsets = shingle_sets(block.column("text"), shingle)
+                made = pa.array([hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([block.column("same"), made], ["same", "hashes"])
+            ta.release()
+
+    wanted = few.select(F.col("u").alias("same")).unionByName(few.select(F.col("v").alias("same"))).distinct()
+    held = texts.join(wanted, "same", "left_semi").select("same", "text").mapInArrow(sets, "same long, hashes binary")
+    held = checkpoint(held)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["u", "v"])
+
+    of = lambda name: held.select(F.col("same").alias(name), F.col("hashes").alias(f"hashes_{name}"))
+    met = few.join(of("u"), "u").join(of("v"), "v")
+    return met.select("u", "v", "hashes_u", "hashes_v").mapInArrow(compare, "u long, v long")
+
+
+def near_texts(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 24, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, component_id) of documents that share `similarity` of their shingles, directly or through others.
+
+    doc_id is a key of rows.  Fingerprints of 16 segments are filed under the codeword indices of every two segments,
+    so those of texts as like as that meet under some of 120 keys even with a sixth of their bits apart; every link is
+    then held to the exact similarity of the shingle sets.  Texts with equal sets are one from the start.  Under one
+    key all pairs are compared up to `crowd` texts; beyond that, each text with the least of the key and with the ones
+    next to it by fingerprint under each key that they share, so that links grow with texts and not with their square.
+    """
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = checkpoint(wide_prints(chosen, shingle))
+    sets = found.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"))
+    sets = checkpoint(sets)
+    keys = wide_keys(sets)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("first")).where("n > 1")
+    filed = checkpoint(keys.join(shared, "key"))
+    star = filed.where("same <> first").select(F.col("same").alias("u"), F.col("first").alias("v"))
+    small = filed.where(F.col("n").between(3, crowd)).select("key", "same")
+    every = small.select("key", F.col("same").alias("u")).join(small.select("key", F.col("same").alias("v")), "key").where("u > v").select("u", "v")
+    order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print")
+    large = filed.where(F.col("n") > crowd).join(sets.select("same", "print"), "same")
+    beside = [large.select(F.col("same").alias("u"), F.lag("same", k).over(order).alias("v")) for k in (1, 2)]
+    pairs = star.unionByName(every)
+    for more in beside:
+        pairs = pairs.unionByName(more.where("v IS NOT NULL"))
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    texts = chosen.join(sets.select(F.col("least").alias("doc_id"), "same"), "doc_id")
+    member = components(alike(sets, pairs, texts, shingle, similarity))
+    root = sets.select("same", "least").join(member.withColumnRenamed("u", "same"), "same", "left")
+    root = checkpoint(root.select("same", "least", F.coalesce("v", "same").alias("root")))
+    ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = root.join(ids, "root").select("same", "component_id")
+    return found.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     print_of = F.lower(F.lpad(F.hex("simhash"), 16, "0"))

@@ -164,6 +164,39 @@ def test_simhash(spark):
         assert got == {i: (prints[i], find(i)) for i in prints}
 
 
+@pytest.mark.parametrize("crowd", [2, 24])
+def test_near_texts(spark, crowd):
+    """Edited copies are found by exact similarity, and nothing else is linked."""
+    rng = random.Random(11)
+    word = lambda: f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(900)}"
+    base = [[word() for _ in range(rng.randrange(60, 400))] for _ in range(40)]
+    rows, number = [], 0
+    for b in base:
+        for _ in range(5):
+            own = list(b)
+            for _ in range(rng.randrange(0, max(1, len(b) // 50))):
+                own[rng.randrange(len(own))] = word()
+            rows.append((number, " ".join(own)))
+            number += 1
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "One  two")]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    like = lambda a, b: len(a & b) / max(1, len(a | b)) if a or b else 1
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, SCHEMA), crowd=crowd).collect()}
+    close = [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b]) >= 0.8]
+    assert sum(got[a] == got[b] for a, b in close) >= 0.97 * len(close)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in close:
+        if find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(i) == find(c) for i, c in got.items())
+
+
 def test_golay_code():
     table = simhash.decoder()
     assert len(np.unique(table)) == 4096 and (np.bincount(table) == 2048).all()
