@@ -9,7 +9,7 @@ text under the loss mask can be read back exactly.
 Edge cases: null text or role is empty; turns with equal numbers are ordered by
 role and text; repeated rows are turns of their own; a null conversation id is
 an id like any other; an unknown layout is an error for a table, and null turns
-for a record; other columns change the fingerprint and so have to be dropped by
+for a record, as a record that isn't JSON has; other columns change the fingerprint and so have to be dropped by
 the caller.
 """
 
@@ -40,6 +40,8 @@ LAYOUTS: tuple[tuple[tuple[str, ...], tuple], ...] = (
     (("instruction", "output"), ("pair", ("user", "instruction"), ("assistant", "output"))),
     (("input", "instruction", "output"), ("pair", ("user", "instruction", "input"), ("assistant", "output"))),
     (("answer", "question"), ("pair", ("user", "question"), ("assistant", "answer"))),
+    (("messages[].content[].text", "messages[].content[].type", "messages[].role"), ("blocks", "messages", "role", "content", "text")),
+    (("data.messages[].content", "data.messages[].role"), ("list", "data.messages", "role", "content")),
     (("completion", "prompt", "system"), ("pair", ("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
 )
 #: Other names of roles, as layouts have them.
@@ -64,6 +66,23 @@ def fingerprint(field_paths: list[str] | tuple[str, ...]) -> str:
 MAPPINGS = {fingerprint(p): mapping for p, mapping in LAYOUTS}
 
 
+def shape(field_paths: tuple[str, ...]) -> str:
+    """Nested paths as Spark writes the schema of a JSON value, with * for what isn't nested."""
+    if field_paths == ("",):
+        return "*"
+    if all(p.startswith("[]") for p in field_paths):
+        return f"ARRAY<{shape(tuple(p[2:].removeprefix('.') for p in field_paths))}>"
+    held: dict[str, list[str]] = {}
+    for p in field_paths:
+        name = p.split(".")[0].split("[")[0]
+        held.setdefault(name, []).append(p[len(name) :].removeprefix("."))
+    return f"OBJECT<{', '.join(f'{name}: {shape(tuple(rest))}' for name, rest in sorted(held.items()))}>"
+
+
+#: What schemas say of values that aren't nested; values that differ in kind are VARIANT and stay so.
+PLAIN = r"\b(?!VARIANT\b)[A-Z_]+(\(\d+,\s?\d+\))?(?=[,>]|$)"
+
+
 def replaced(value: Column, pairs: tuple, back: bool = False) -> Column:
     for a, b in reversed(pairs) if back else pairs:
         value = F.replace(value, F.lit(b if back else a), F.lit(a if back else b))
@@ -89,6 +108,11 @@ def listed(items: Column, role: str, text: str) -> Column:
     return F.transform(items, lambda m: turn(role_of(m[role]), m[text]))
 
 
+def joined_blocks(items: Column, role: str, blocks: str, text: str) -> Column:
+    """Turns of a list of messages whose texts come in blocks, with an empty line between."""
+    return F.transform(items, lambda m: turn(role_of(m[role]), F.array_join(F.transform(m[blocks], lambda x: x[text]), "\n\n")))
+
+
 def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     """(conv_id, turns) of a table in a known layout; `key` is an id column that is not part of the layout."""
     kind = T.StructType([f for f in df.schema.fields if f.name != key])
@@ -104,6 +128,9 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     if mapping[0] == "list":
         _, column, role, text = mapping
         turns = listed(F.col(column), role, text)
+    elif mapping[0] == "blocks":
+        _, column, role, list_, text = mapping
+        turns = joined_blocks(F.col(column), role, list_, text)
     else:
         turns = F.array(*(turn(F.lit(role), joined([F.col(f) for f in fields])) for role, *fields in mapping[1:]))
     return df.select(ident.alias("conv_id"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
@@ -112,28 +139,25 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
 def record_turns(records: DataFrame, key: str, column: str) -> DataFrame:
     """(conv_id, layout, turns) of JSON records, each in a layout of its own.
 
-    layout is the fingerprint of the record's paths; turns is null where it is unknown.
+    layout is the fingerprint of the record's nested paths, over all elements of its lists; it is null where the record
+    can't be read.  turns is null where the layout is unknown, as it is where elements of a list differ.
     """
     record = F.col(column)
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    lists = {m[1] for m in MAPPINGS.values() if m[0] == "list"}
-
-    def inner(name: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
-        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
-
-    nested = [inner(name) for name in sorted(lists)]
-    plain = F.filter(top, lambda k: ~k.isin(*lists))
-    found = records.select(
-        F.col(key).alias("conv_id"), record.alias("record"), F.sha2(F.array_join(F.array_sort(F.concat(plain, *nested)), "\n"), 256).alias("layout")
-    )
+    said = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), PLAIN, "*")
+    marks = F.create_map(*(F.lit(x) for p, _ in LAYOUTS for x in (shape(p), fingerprint(p))))
+    found = records.select(F.col(key).alias("conv_id"), record.alias("record"), said.alias("said"))
+    found = found.withColumn("layout", F.coalesce(F.try_element_at(marks, F.coalesce("said", F.lit(""))), F.sha2("said", 256)))
     turns = F.lit(None).cast(TURNS)
     for mark, mapping in MAPPINGS.items():
         if mapping[0] == "list":
             _, name, role, text = mapping
             kind = f"array<struct<`{role}`:string,`{text}`:string>>"
+            made = listed(F.from_json(F.get_json_object("record", f"$.{name}"), kind), role, text)
+        elif mapping[0] == "blocks":
+            _, name, role, list_, text = mapping
+            kind = f"array<struct<`{role}`:string,`{list_}`:array<struct<`{text}`:string>>>>"
             items = F.from_json(F.get_json_object("record", f"$.{name}"), kind)
-            made = listed(items, role, text)
+            made = joined_blocks(items, role, list_, text)
         elif mapping[0] == "pair":
             fields = lambda names: joined([F.get_json_object("record", f"$.{n}") for n in names])
             made = F.array(*(turn(F.lit(role), fields(names)) for role, *names in mapping[1:]))

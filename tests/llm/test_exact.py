@@ -420,10 +420,15 @@ def test_layouts(spark):
         (1, json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]})),
         (2, json.dumps({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]})),
         (3, json.dumps({"instruction": "q", "output": "a"})), (4, json.dumps({"prompt": "q", "completion": "a"})), (5, json.dumps({"other": 1})), (6, None),
+        (7, json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]})),
+        (8, json.dumps({"data": {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}})),
+        (9, json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]})), (10, '{"prompt": "q"'), (11, "{}"),
     ]
     got = {r.id: r.turns for r in chat.record_turns(spark.createDataFrame(records, "id int, j string"), "id", "j").selectExpr("conv_id AS id", "turns").collect()}
-    assert all([(t.role, t.text) for t in got[i]] == [("user", "q"), ("assistant", "a")] for i in range(1, 5))
-    assert got[5] is None and got[6] is None
+    assert all([(t.role, t.text) for t in got[i]] == [("user", "q"), ("assistant", "a")] for i in (1, 2, 3, 4, 7, 8))
+    assert all(got[i] is None for i in (5, 6, 9, 10, 11))
+    marks = {r.conv_id: r.layout for r in chat.record_turns(spark.createDataFrame(records, "id int, j string"), "id", "j").collect()}
+    assert marks[1] == chat.fingerprint(("messages[].role", "messages[].content")) and marks[10] is None and marks[1] != marks[7] and marks[9] not in (marks[1], marks[7])
     table = spark.createDataFrame([("q", "", "a")], "instruction string, input string, output string")
     assert [(t.role, t.text) for t in chat.canonical_turns(table).first().turns] == [("user", "q"), ("assistant", "a")]
     with pytest.raises(ValueError):
