@@ -149,25 +149,46 @@ def summed(rows: np.ndarray) -> np.ndarray:
     return np.cumsum(rows, axis=1, dtype=np.uint8)
 
 
-def write(pages: list[np.ndarray], compression: str = "deflate", predictor: bool = False, rows_per_strip: int = 128) -> bytes:
-    """A little-endian file with one directory per (height, width, samples) page, in strips."""
+#: What reading bytes that are no readable TIFF file may raise.
+BROKEN = (ValueError, struct.error, KeyError, IndexError, TypeError, StopIteration, RuntimeError, MemoryError, OverflowError, zlib.error)
+
+
+def blocks_of(page: np.ndarray, across: int, down: int, padded: bool) -> Iterator[np.ndarray]:
+    """A page cut into strips or tiles, row by row; tiles are padded with zeros."""
+    height, width, samples = page.shape
+    for top in range(0, height, down):
+        for left in range(0, width, across):
+            block = page[top : top + down, left : left + across]
+            if padded:
+                whole = np.zeros((down, across, samples), np.uint8)
+                whole[: block.shape[0], : block.shape[1]] = block
+                block = whole
+            yield block
+
+
+def write(pages: list[np.ndarray], compression: str = "deflate", predictor: bool = False, rows_per_strip: int = 128, tile: int | None = None) -> bytes:
+    """A little-endian file with one directory per (height, width, samples) page, in strips or in square tiles."""
+    if tile is not None and (tile < 16 or tile % 16):
+        raise ValueError("a tile's side is a multiple of 16")
     out = bytearray(b"II*\0" + bytes(4))
     link = 4
     code = NAMES[compression]
     for page in pages:
         height, width, samples = page.shape
         offsets, counts = [], []
-        for top in range(0, height, rows_per_strip):
-            rows = page[top : top + rows_per_strip]
+        for rows in blocks_of(page, tile or width, tile or rows_per_strip, tile is not None):
             data = ENCODE[code]((difference(rows) if predictor else rows).tobytes())
             offsets.append(len(out))
             counts.append(len(data))
             out += data
         tags = {
             WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [8] * samples), COMPRESSION: (3, [code]),
-            PHOTOMETRIC: (3, [2 if samples == 3 else 1]), STRIP_OFFSETS: (4, offsets), SAMPLES: (3, [samples]),
-            ROWS_PER_STRIP: (4, [rows_per_strip]), STRIP_COUNTS: (4, counts), PLANAR: (3, [1]), PREDICTOR: (3, [1 + predictor]),
+            PHOTOMETRIC: (3, [2 if samples == 3 else 1]), SAMPLES: (3, [samples]), PLANAR: (3, [1]), PREDICTOR: (3, [1 + predictor]),
         }
+        if tile:
+            tags |= {TILE_WIDTH: (4, [tile]), TILE_HEIGHT: (4, [tile]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)}
+        else:
+            tags |= {STRIP_OFFSETS: (4, offsets), ROWS_PER_STRIP: (4, [rows_per_strip]), STRIP_COUNTS: (4, counts)}
         fields = b""
         for tag, (kind, values) in sorted(tags.items()):
             data = struct.pack(f"<{len(values)}{FIELD[kind]}", *values)

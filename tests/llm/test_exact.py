@@ -259,12 +259,12 @@ def test_packing_takes_the_level_of_least_squares(sizes):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=3000), st.sampled_from(["none", "lzw", "deflate", "packbits"]), st.booleans())
-def test_tiff_round_trip(data, compression, predictor):
+@given(st.binary(max_size=3000), st.sampled_from(["none", "lzw", "deflate", "packbits"]), st.booleans(), st.sampled_from([None, 16, 48, 64]))
+def test_tiff_round_trip(data, compression, predictor, tile):
     rows = max(1, -(-len(data) // 192))
     image = np.frombuffer(data.ljust(rows * 192, b" "), np.uint8).reshape(rows, 64, 3)
     pages = [image, image[:1]]
-    back = list(tiff.pages(tiff.write(pages, compression, predictor, rows_per_strip=5)))
+    back = list(tiff.pages(tiff.write(pages, compression, predictor, rows_per_strip=5, tile=tile)))
     assert all((a == b).all() for a, b in zip(pages, back)) and len(back) == 2
 
 
@@ -291,6 +291,39 @@ def test_tiles_and_big_endian():
     assert page.shape == (10, 20, 1) and (page[:, :16, 0] == tile[:10]).all() and (page[:, 16:, 0] == tile[:10, :4]).all()
 
 
+def test_media_digests(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(8, 40))] + [(100, None), (101, ""), (102, "é" * 5000), (103, "x" * (192 * 1030))]
+    found = {r.doc_id: r for r in media.digest_media(media.encode_text(spark.createDataFrame(rows, SCHEMA), "mixed")).collect()}
+    for i, t in rows:
+        data = (t or "").encode()
+        payload = data.ljust(max(1, -(-len(data) // 192)) * 192, b" ")
+        r = found[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        kind, differ, tile = media.LAYOUTS[zlib.crc32(data) % len(media.LAYOUTS)]
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+        stored = tiff.write([image[a : a + 512] for a in range(0, len(image), 512)], kind, differ, tile=tile)
+        assert (r.media_bytes, r.media_sha256, r.n_pages) == (len(stored), hashlib.sha256(stored).hexdigest(), -(-len(image) // 512))
+    assert len({zlib.crc32((t or "").encode()) % len(media.LAYOUTS) for _, t in rows}) == len(media.LAYOUTS)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.binary(max_size=4), st.sampled_from(["lzw", "deflate", "packbits"]))
+def test_broken_files_say_so(at, change, compression):
+    made = bytearray(tiff.write([np.arange(768, dtype=np.uint8).reshape(4, 64, 3)] * 2, compression))
+    made[at % len(made) : at % len(made) + 4] = change
+    try:
+        list(tiff.pages(bytes(made)))
+    except tiff.BROKEN:
+        pass
+
+
+def test_broken_media(spark):
+    good = tiff.write([np.zeros((2, 64, 3), np.uint8)])
+    rows = [(1, b""), (2, b"plain text"), (3, good[:-40]), (4, good), (5, None)]
+    found = media.read_pages(spark.createDataFrame(rows, "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.page, r.error is None) for r in found] == [(1, None, False), (2, None, False), (3, None, False), (4, 0, True)]
+
+
 def test_pages(spark):
     text = "x" * (192 * 1100)
     pages = media.read_pages(media.encode_text(spark.createDataFrame([(1, text), (2, None)], SCHEMA))).orderBy("doc_id", "page").collect()
