@@ -10,8 +10,9 @@ window that holds the gram.  An item with fewer words than a window is one
 window of its own length and its own fingerprint.
 
 Documents are read once.  While the benchmark has at most `broadcast_prints`
-fingerprints they are broadcast, and documents are expanded, joined and compared
-in one stage without a shuffle; beyond that both sides are shuffled by
+fingerprints they are broadcast, and a bit table of their hashes lets hardly any
+other fingerprint of a document pass; what does is joined and compared in the
+same stage without a shuffle.  Beyond that both sides are shuffled by
 fingerprint, with what has to be compared, and joined there.  Either way only
 hits and one row a document are grouped.
 
@@ -24,6 +25,7 @@ length; other columns are ignored.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,21 +66,42 @@ def print_of(length: int, hashed: Column, i: Column, first: int, last: int) -> C
     return F.struct(F.lit(length).alias("length"), hashed.alias("hash"), i.alias("start"), near.alias("near"))
 
 
-def winnowed(window: int, gram: int) -> Column:
-    """Fingerprints of a row with_grams, with the words of all windows around."""
+def sieve(hashes: list[int], least: int = 1 << 14) -> Callable[[Column], Column]:
+    """A test that all of these hashes pass and few others: one bit of a literal for each, at most about a 64th of them set."""
+    words = max(least // 64, 1 << len(hashes).bit_length())
+    bits = [0] * words
+    for h in hashes:
+        bits[(h >> 6) & (words - 1)] |= 1 << (h & 63)
+    signed = ",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)
+    table_ = F.from_json(F.lit(f"[{signed}]"), "array<bigint>")
+
+    def passes(x: Column) -> Column:
+        word = F.get(table_, F.shiftright(x, 6).bitwiseAND(words - 1).cast("int"))
+        return F.getbit(word, x.bitwiseAND(63).cast("int")) == 1
+
+    return passes
+
+
+def everything(x: Column) -> Column:
+    return F.lit(True)
+
+
+def winnowed(window: int, gram: int, passes: Callable[[Column], Column] = everything) -> Column:
+    """Fingerprints of a row with_grams that pass, with the words of all windows around."""
     across = window - gram + 1
 
     def kept(x: Column, i: Column) -> Column:
         over = [F.get("least", i - j) for j in range(across)]
-        return F.when((F.greatest(*over) if across > 1 else over[0]) == x, print_of(window, x, i, 1 - across, window))
+        return F.when(((F.greatest(*over) if across > 1 else over[0]) == x) & passes(x), print_of(window, x, i, 1 - across, window))
 
     return F.filter(F.transform("grams", kept), lambda p: p.isNotNull()).cast(PRINT)
 
 
-def whole_prints(length: int) -> Column:
-    """Fingerprints of all windows of `length` words, as items of so few words have them."""
+def whole_prints(length: int, passes: Callable[[Column], Column] = everything) -> Column:
+    """Fingerprints of all windows of `length` words that pass, as items of so few words have them."""
     hashed = lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(length)))
-    every = F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda i: print_of(length, hashed(i), i, 0, length))
+    every = F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda i: F.when(passes(hashed(i)), print_of(length, hashed(i), i, 0, length)))
+    every = F.filter(every, lambda p: p.isNotNull())
     return F.when(F.size("words") >= length, every).otherwise(F.array()).cast(PRINT)
 
 
@@ -128,11 +151,12 @@ def contamination(
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text).cast("string")).alias("words"))
     rows = with_grams(rows.withColumn("n_words", F.greatest(F.size("words"), F.lit(0))), window, gram)
     own = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("start"), F.array().cast("array<string>").alias("near"))).cast(PRINT)
-    every = F.concat(own, winnowed(window, gram), *(whole_prints(n) for n in sorted(sizes) if n < window))
+    few = sum(sizes.values()) <= broadcast_prints
+    passes = sieve([r["hash"] for r in prints.select("hash").distinct().collect()]) if few else everything
+    every = F.concat(own, winnowed(window, gram, passes), *(whole_prints(n, passes) for n in sorted(sizes) if n < window))
     # The list is never empty; the outer form keeps Spark from testing that with a second copy of all expressions.
     sent = rows.select("row", "doc_id", "n_words", F.explode_outer(every).alias("p"))
     sent = sent.select("row", "doc_id", "n_words", "p.*")
-    few = sum(sizes.values()) <= broadcast_prints
     met = sent.join(F.broadcast(known) if few else known.hint("merge"), ["length", "hash"])
     met = met.withColumn("starts", shared_starts(window, gram)).where((F.col("start") < 0) | (F.size("starts") > 0))
     grouped = met.groupBy("row", "doc_id").agg(
