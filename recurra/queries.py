@@ -196,9 +196,12 @@ def bars_4h(spark, d):
     return shown(B.bars_events(table(spark, d, "events"), "4h").drop("timeframe"))
 
 
-@query("bars_lineitem", f"""WITH t AS (SELECT l_suppkey::VARCHAR AS ticker, date_trunc('day', l_shipdate) AS ts, l_extendedprice / l_quantity AS price, l_quantity AS size,
+LINEITEM_BARS = """t AS (SELECT l_suppkey::VARCHAR AS ticker, date_trunc('day', l_shipdate) AS ts, l_extendedprice / l_quantity AS price, l_quantity AS size,
   (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS o FROM lineitem),
-bars AS (SELECT ticker, ts, min_by(price, o) AS open, max(price) AS high, min(price) AS low, max_by(price, o) AS close, sum(size) AS volume FROM t GROUP BY 1, 2) {BAR_SQL}""")
+bars AS (SELECT ticker, ts, min_by(price, o) AS open, max(price) AS high, min(price) AS low, max_by(price, o) AS close, sum(size) AS volume FROM t GROUP BY 1, 2)"""
+
+
+@query("bars_lineitem", f"WITH {LINEITEM_BARS} {BAR_SQL}")
 def bars_lineitem(spark, d):
     return shown(B.bars_lineitem(table(spark, d, "lineitem")).drop("timeframe"))
 
@@ -343,7 +346,7 @@ for _group, (_more, _from, _exprs) in FEATURE_SQL.items():
     query(f"feat_{_group}", windowed_sql(f"SELECT ticker, k::BIGINT AS k, {_select} FROM {_from} GROUP BY ticker, k", _more, "value"))(group_query(_group))
 
 
-def _joined(groups: tuple[str, ...], select: str) -> str:
+def _joined(groups: tuple[str, ...], select: str, bars: str = "") -> str:
     """Several groups' SQL side by side, each with its own common tables."""
     parts = []
     for g in groups:
@@ -351,7 +354,7 @@ def _joined(groups: tuple[str, ...], select: str) -> str:
         names = ", ".join(f"{e} AS {n}" for n, e in exprs.items())
         parts.append(f"g_{g} AS (WITH {more} SELECT ticker, k, {names} FROM {source} GROUP BY ticker, k)")
     first, *rest = (f"g_{g}" for g in groups)
-    return windowed_sql(f"{select} FROM {first} {' '.join(f'JOIN {g} USING (ticker, k)' for g in rest)}", ", ".join(parts), "value")
+    return f"WITH {bars or bars_sql('value')}, {WINDOWS}, {', '.join(parts)} {select} FROM {first} {' '.join(f'JOIN {g} USING (ticker, k)' for g in rest)}"
 
 
 def raw_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +364,16 @@ def raw_windows(spark: SparkSession, d: str) -> DataFrame:
 SLOTS = [n for g in features.GROUPS for n in FEATURE_SQL[g][2]]
 
 
-@query("fingerprint", _joined(tuple(features.GROUPS), f"SELECT ticker, k::BIGINT AS k, unnest(range(49))::INT AS slot, round(unnest([{', '.join(f'({n})::DOUBLE' for n in SLOTS)}]), 6) + 0.0 AS value"))
+_SLOTS_SQL = f"SELECT ticker, k::BIGINT AS k, unnest(range(49))::INT AS slot, round(unnest([{', '.join(f'({n})::DOUBLE' for n in SLOTS)}]), 6) + 0.0 AS value"
+
+
+@query("fingerprint_lineitem", _joined(tuple(features.GROUPS), _SLOTS_SQL, LINEITEM_BARS))
+def fingerprint_lineitem(spark, d):
+    found = features.fingerprint(W.rolling_windows(B.bars_lineitem(table(spark, d, "lineitem"))))
+    return shown(found.select("ticker", F.col("k").cast("long"), F.posexplode("vector").alias("slot", "value")))
+
+
+@query("fingerprint", _joined(tuple(features.GROUPS), _SLOTS_SQL))
 def fingerprint(spark, d):
     found = features.fingerprint(raw_windows(spark, d))
     return shown(found.select("ticker", F.col("k").cast("long"), F.posexplode("vector").alias("slot", "value")))
