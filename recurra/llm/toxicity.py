@@ -8,7 +8,7 @@ the likeness but don't end it.  Landmark units span the feature space (the
 kernel matrix among them, inverted and rooted, maps kernel values to features);
 a squared-hinge SVM is trained there on the sentences of labelled documents:
 of a toxic document its most suspicious unit, of clean ones their most
-suspicious units and a share of all others, over a few rounds.  A document's
+suspicious units and a fixed number of others, over a few rounds.  A document's
 margin is that of its worst unit, made a probability by a fitted logistic.
 
 A trained model is linear in the subsequences, so it ships as one table of
@@ -199,8 +199,14 @@ def vocabulary(texts: pa.Array) -> tuple[list[str], tuple[np.ndarray, np.ndarray
     return [known[x] for x in names.tolist()], (np.concatenate(rows), index)
 
 
-def train(texts: pa.Array, labels: np.ndarray, landmarks: int = 64, rounds: int = 4, background: int = 20_000) -> Model | None:
-    """A model from labelled texts; None without both labels."""
+def train(
+    texts: pa.Array, labels: np.ndarray, landmarks: int = 64, rounds: int = 4, background: int = 20_000, candidates: int = 2000
+) -> Model | None:
+    """A model from labelled texts; None without both labels.
+
+    Bounds of the fit, as its sample has one: landmarks are chosen among the `candidates` units that speak most for
+    either label, and `background` units of clean texts stand for all of them beside their most suspicious ones.
+    """
     if not (labels > 0).any() or not (labels <= 0).any():
         return None
     names, pairs = vocabulary(texts)
@@ -209,9 +215,9 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = 64, rounds: int
     good = np.bincount(pairs[1], minlength=len(names)) - bad
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
     worth = odds * np.sqrt(bad)
-    chosen = spread([names[i] for i in np.lexsort((np.arange(len(names)), -worth))[:2000] if worth[i] > 0], landmarks * 3 // 4)
+    chosen = spread([names[i] for i in np.lexsort((np.arange(len(names)), -worth))[:candidates] if worth[i] > 0], landmarks * 3 // 4)
     taken = set(chosen)
-    usual = [names[i] for i in np.lexsort((np.arange(len(names)), -good))[:2000] if names[i] not in taken]
+    usual = [names[i] for i in np.lexsort((np.arange(len(names)), -good))[:candidates] if names[i] not in taken]
     chosen += spread(usual, landmarks - len(chosen))
     spanned = landmark_table(chosen)
     values, vectors = np.linalg.eigh(kernel(chosen, spanned).astype(np.float64) + 1e-4 * np.eye(len(chosen)))
@@ -246,7 +252,7 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = 64, rounds: int
 
 
 def spread(words: list[str], n: int, alike: float = 0.75) -> list[str]:
-    """The first n words of which no two are too alike; if there are not enough, the others fill up."""
+    """The first n words of which no two are too alike; if there are not enough, the others fill up.  The first 600 are compared."""
     chosen: list[str] = []
     if not words or n <= 0:
         return chosen

@@ -29,6 +29,7 @@ def every(docs, labels, bench):
         "lm": ngram_lm.lm_scores(docs),
         "words": substring_dedup.remove_repeated_spans(docs),
         "simhash": simhash.near_duplicates(docs),
+        "near": simhash.near_texts(docs),
         "contamination": decontaminate.contamination(docs, bench),
         "licenses": licenses.license_scan(docs),
         "bytes": suffix_dedup.remove_repeated_strings(docs, carry=("lang", "source")),
@@ -48,6 +49,7 @@ def test_edge_rows(spark):
     words = {r.doc_id: (r.n_words, r.n_removed) for r in found["words"]}
     assert words[1] == (0, 0) and words[4][1] > 10_000 and words[6] == (2, 0)
     assert {r.component_id for r in found["simhash"] if r.doc_id in (5, 6)} == {5}
+    assert len(found["near"]) == len(ROWS) and {r.component_id for r in found["near"] if r.doc_id in (5, 6)} == {5}
 
 
 def test_no_rows(spark):
@@ -97,3 +99,20 @@ def test_pipeline_decides_by_row(spark, tmp_path):
 def test_bad_parameters(spark, make):
     with pytest.raises(ValueError):
         make(tables(spark)[0])
+
+
+def test_very_long_texts(spark):
+    """Texts of a few million bytes, twice and with much that repeats inside; blanks and lines without end."""
+    long = " ".join(f"v{i * 7919 % 500_009}" for i in range(300_000))
+    rows = [(1, long), (2, "x" * 3_000_000), (3, long[1000:] + " tail"), (4, "\n" * 1_000_000)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'en' AS lang", "'s' AS source")
+    bench = spark.createDataFrame([(1, long[500_000:500_200])], "item_id long, text string")
+    gone = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_strings(docs).collect()}
+    assert gone == {1: 0, 2: 3_000_000 - 1, 3: len(long) - 1000, 4: 1_000_000 - 1} or gone[3] == len(long) - 1000 + 1
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeated_spans(docs).collect()}
+    n = len(long[1000:].split())
+    assert words[1] == (300_000, 0) and words[2] == (1, 0) and words[4] == (0, 0) and words[3][0] == n + 1 and n - 1 <= words[3][1] <= n
+    hits = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).collect()}
+    assert hits[1] == hits[3] > 20 and hits[2] == 0
+    for df in (licenses.license_scan(docs), simhash.near_duplicates(docs), simhash.near_texts(docs), ngram_lm.lm_scores(docs), media.digest_media(media.encode_text(docs))):
+        assert df.count() == 4

@@ -468,6 +468,42 @@ def test_layouts(spark):
         chat.canonical_turns(spark.range(1))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcdef", min_size=3, max_size=12), min_size=1, max_size=6), st.lists(st.text("abcdef", min_size=3, max_size=12), min_size=1, max_size=4))
+def test_kernel_is_that_of_shared_subsequences(words, landmarks):
+    import itertools
+
+    def weights(word):
+        found = collections.Counter()
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i < toxicity.MAX_SPAN:
+                found[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i + 1)
+        return found
+
+    def length(word):  # a unit's places, each by itself, have length one together
+        return math.sqrt(sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, _, k in itertools.combinations(range(len(word)), 3) if k - i < toxicity.MAX_SPAN))
+
+    symbols = lambda w: "".join(chr(ord(c) - ord("a")) for c in w)
+    got = toxicity.kernel([symbols(w) for w in words], toxicity.landmark_table([symbols(w) for w in landmarks]))
+    want = [[sum(n * weights(b)[x] for x, n in weights(a).items()) / length(a) / length(b) for b in landmarks] for a in words]
+    assert got == pytest.approx(np.array(want), rel=1e-4, abs=1e-6)
+
+
+def test_held_out_toxicity(spark):
+    """Labels of the fold that is never learnt from, over tables with few and with more of them."""
+    import os
+
+    for size, least in (("sf0.01", 0.75), ("sf0.1", 0.85)):
+        where = f"/root/testdata/{size}"
+        if not os.path.isdir(where):
+            pytest.skip("no test tables")
+        got = toxicity.op2_toxicity(spark, where).where("held_out").join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").where("toxic IS NOT NULL").select("score", "toxic").collect()
+        bad, good = ([r.score for r in got if r.toxic == x] for x in (1, 0))
+        area = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / max(1, len(bad) * len(good))
+        print(size, len(bad), len(good), round(area, 3))
+        assert area > least
+
+
 def test_toxicity_tolerates_gaps():
     rng = random.Random(0)
     usual = ["".join(rng.choice(("th", "er", "on", "an", "re", "in", "es")) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
