@@ -23,9 +23,19 @@ def unpack(body: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def unpack_all(bodies: pa.ChunkedArray, *kinds) -> tuple[list[np.ndarray], np.ndarray]:
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Columns of equal length as one compressed value."""
+    body = pack(*arrays)
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def stretched(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+
+
+def unpack_all(bodies: pa.ChunkedArray, *kinds, squeezed: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """The columns of many values one after the other, and how many rows each gave."""
-    parts = [unpack(b, *kinds) for b in bodies.to_pylist()]
+    parts = [unpack(stretched(b) if squeezed else b, *kinds) for b in bodies.to_pylist()]
     if not parts:
         return [np.zeros(0, k) for k in kinds], np.zeros(0, np.int64)
     return [np.concatenate(x) for x in zip(*parts)], np.array([len(p[0]) for p in parts])

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .bodies import by_part, changes, cut, ids_of, leads, merged, pack, sorted_rows, spread, unpack, unpack_all
+from .bodies import by_part, changes, cut, ids_of, leads, merged, pack, sorted_rows, spread, squeeze, unpack, unpack_all
 from .common import drop_folder, part_of, scratch, table, text_parts
 
 BLOCK = 1 << 19
@@ -179,7 +179,7 @@ def suffix_array(shape: Shape, key: tuple, part: pa.Table) -> pa.Table:
         {
             "bucket": pa.array([b for b, _ in own], pa.int32()),
             "part": pa.array([key[0].as_py()] * len(own), pa.int32()),
-            "body": pa.array([pack(gram[s], context[s], doc[s], first[s]) for _, s in own], pa.binary()),
+            "body": pa.array([squeeze(gram[s], context[s], doc[s], first[s]) for _, s in own], pa.binary()),
         }
     )
 
@@ -204,9 +204,9 @@ def judge(gram, context, doc, first, part, contexts: int):
 
 def merge_scan(shape: Shape, keep: bool, key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     """A bucket's new runs merged with all levels: answers, and with `keep` the level that comes of those that grow."""
-    columns, sizes = unpack_all(new.column("body"), *shape.entry)
+    columns, sizes = unpack_all(new.column("body"), *shape.entry, squeezed=True)
     part = np.repeat(new.column("part").to_numpy(), sizes).astype(np.int32)
-    held, sizes = unpack_all(old.column("body"), *shape.entry, np.int32)
+    held, sizes = unpack_all(old.column("body"), *shape.entry, np.int32, squeezed=True)
     grows = np.concatenate((np.ones(len(part), np.int32), np.repeat(old.column("grows").to_numpy(), sizes).astype(np.int32)))
     every = [np.concatenate(x) for x in zip((*columns, part), held)]
     # All runs are sorted: a stable sort finds and merges them.
@@ -220,7 +220,7 @@ def merge_scan(shape: Shape, keep: bool, key: tuple, new: pa.Table, old: pa.Tabl
         kept = changes(level[0], level[1])
         kinds.append(LEVEL)
         parts.append(-1)
-        bodies.append(pack(*(x[kept] for x in level)))
+        bodies.append(squeeze(*(x[kept] for x in level)))
     return pa.table(
         {
             "kind": pa.array(kinds, pa.int32()),
