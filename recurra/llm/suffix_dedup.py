@@ -536,4 +536,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_array_dedup": op10_suffix_array_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i FROM d)),
+f AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+j AS (SELECT *, coalesce(i > lag(i) OVER w + 100, true) AS fresh FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM j) GROUP BY doc_id, n),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM r GROUP BY doc_id),
+q AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS x, a AS y FROM q),
+k AS (SELECT e.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x, y) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+}
