@@ -571,8 +571,11 @@ def failure_cases(spark, d):
     return shown(outcomes.failure_cases(matched(spark, d)).select("query_id", "pattern_id", "failure_type", "severity", "divergence_bar"))
 
 
-@query("failure_summary", matches_sql(f"""SELECT query_id, {rounded('count(failure_type) / count(*)', 'failure_rate')}, {rounded('coalesce(avg(severity), 0)', 'avg_severity')}, {rounded('coalesce(max(severity), 0)', 'max_severity')},
-{rounded('greatest(0, least(1, 0.4 * count(failure_type) / count(*) + 0.3 * coalesce(avg(severity), 0) + 0.3 * least(1, stddev_pop(forward_return) / 0.1)))', 'failure_risk_score')}, count(failure_type)::BIGINT AS n_failure_cases FROM {_BAD} GROUP BY query_id"""))
+_FAILURES = f"""SELECT query_id, {rounded('count(failure_type) / count(*)', 'failure_rate')}, {rounded('coalesce(avg(severity), 0)', 'avg_severity')}, {rounded('coalesce(max(severity), 0)', 'max_severity')},
+{rounded('greatest(0, least(1, 0.4 * count(failure_type) / count(*) + 0.3 * coalesce(avg(severity), 0) + 0.3 * least(1, stddev_pop(forward_return) / 0.1)))', 'failure_risk_score')}, count(failure_type)::BIGINT AS n_failure_cases FROM {_BAD} GROUP BY query_id"""
+
+
+@query("failure_summary", matches_sql(_FAILURES))
 def failure_summary(spark, d):
     return shown(outcomes.failure_summary(matched(spark, d)))
 
@@ -589,16 +592,21 @@ nl AS (SELECT query_id, count(*) AS clusters, max(c) AS largest FROM (SELECT que
 nt AS (SELECT query_id, count(*) AS tickers, max(r) AS best, min(r) AS worst FROM (SELECT query_id, ticker, avg(forward_return) AS r FROM m GROUP BY ALL) GROUP BY query_id)"""
 
 
-@query("warnings", windowed_sql("""SELECT query_id, concat_ws('; ', CASE WHEN p < 0.05 THEN 'return distribution is not normal' END, CASE WHEN sd > 0.08 THEN 'outcomes are widely spread' END,
+_WARNINGS = """SELECT query_id, concat_ws('; ', CASE WHEN p < 0.05 THEN 'return distribution is not normal' END, CASE WHEN sd > 0.08 THEN 'outcomes are widely spread' END,
   CASE WHEN clusters >= 2 AND largest / n < 0.4 THEN 'no outcome prevails' END, CASE WHEN rescued > 0.3 THEN 'gains came after drawdowns' END) AS signals,
 concat_ws('; ', CASE WHEN n >= 5 AND g1 < -0.5 THEN 'left-skewed returns' END, CASE WHEN lost >= 3 THEN 'best matches lost' END, CASE WHEN tickers > 1 AND best > 0.03 AND worst < -0.03 THEN 'instruments disagree' END) AS risks
-FROM n1 JOIN n2 USING (query_id) LEFT JOIN n5 USING (query_id) JOIN nl USING (query_id) JOIN nt USING (query_id)""", f"{OUTCOMES}, {MATCHES}, {_OMNIBUS}"))
+FROM n1 JOIN n2 USING (query_id) LEFT JOIN n5 USING (query_id) JOIN nl USING (query_id) JOIN nt USING (query_id)"""
+
+
+@query("warnings", windowed_sql(_WARNINGS, f"{OUTCOMES}, {MATCHES}, {_OMNIBUS}"))
 def warnings(spark, d):
     found = outcomes.warnings(matched(spark, d))
     return found.select("query_id", F.array_join("signals", "; ").alias("signals"), F.array_join("risks", "; ").alias("risks"))
 
 
-@query("failure_analysis")
+@query("failure_analysis", windowed_sql(f"""SELECT query_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('failure_rate', 'avg_severity', 'max_severity', 'failure_risk_score', 'n_failure_cases'))},
+coalesce(signals, 'too few precedents for a failure analysis') AS signals, coalesce(risks, '') AS risks
+FROM (SELECT unnest([pattern_id, -1 - pattern_id]) AS query_id FROM v WHERE pattern_id % 20 = 0) LEFT JOIN ({_FAILURES}) USING (query_id) LEFT JOIN ({_WARNINGS}) USING (query_id)""", f"{OUTCOMES}, {MATCHES}, {_OMNIBUS}"))
 def failure_analysis(spark, d):
     """All queries, those of another market too, which nothing matches."""
     matches = matched(spark, d)
