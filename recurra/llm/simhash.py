@@ -342,15 +342,15 @@ def alike(prints: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, s
 
 
 def near_texts(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 24, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, beside: int = 3, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) of documents that share `similarity` of their shingles, directly or through others.
 
     doc_id is a key of rows.  Fingerprints of 16 segments are filed under the codeword indices of every two segments,
     so those of texts as like as that meet under some of 120 keys even with a sixth of their bits apart; every link is
-    then held to the exact similarity of the shingle sets.  Texts with equal sets are one from the start.  Under one
-    key all pairs are compared up to `crowd` texts; beyond that, each text with the least of the key and with the ones
-    next to it by fingerprint under each key that they share, so that links grow with texts and not with their square.
+    then held to the exact similarity of the shingle sets.  Texts with equal sets are one from the start.  Under each
+    of its keys a text is compared with the least of the key and with the `beside` ones before it by fingerprint, so
+    that links grow with texts and not with the square of those under a key.
     """
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = checkpoint(wide_prints(chosen, shingle))
@@ -360,14 +360,11 @@ def near_texts(
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("first")).where("n > 1")
     filed = checkpoint(keys.join(shared, "key"))
     star = filed.where("same <> first").select(F.col("same").alias("u"), F.col("first").alias("v"))
-    small = filed.where(F.col("n").between(3, crowd)).select("key", "same")
-    every = small.select("key", F.col("same").alias("u")).join(small.select("key", F.col("same").alias("v")), "key").where("u > v").select("u", "v")
-    order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print")
-    large = filed.where(F.col("n") > crowd).join(sets.select("same", "print"), "same")
-    beside = [large.select(F.col("same").alias("u"), F.lag("same", k).over(order).alias("v")) for k in (1, 2)]
-    pairs = star.unionByName(every)
-    for more in beside:
-        pairs = pairs.unionByName(more.where("v IS NOT NULL"))
+    order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print", "same")
+    several = filed.where("n > 2").join(sets.select("same", "print"), "same")
+    before = F.array(*(F.lag("same", k).over(order) for k in range(1, beside + 1)))
+    near = several.select(F.col("same").alias("u"), F.explode(before).alias("v")).where("v IS NOT NULL")
+    pairs = star.unionByName(near)
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     texts = chosen.join(sets.select(F.col("least").alias("doc_id"), "same"), "doc_id")
     member = components(alike(sets, pairs, texts, shingle, similarity))

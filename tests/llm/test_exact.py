@@ -164,8 +164,8 @@ def test_simhash(spark):
         assert got == {i: (prints[i], find(i)) for i in prints}
 
 
-@pytest.mark.parametrize("crowd", [2, 24])
-def test_near_texts(spark, crowd):
+@pytest.mark.parametrize("beside", [1, 3])
+def test_near_texts(spark, beside):
     """Edited copies are found by exact similarity, and nothing else is linked."""
     rng = random.Random(11)
     word = lambda: f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(900)}"
@@ -181,7 +181,7 @@ def test_near_texts(spark, crowd):
     rows += [(900, None), (901, ""), (902, "one two"), (903, "One  two")]
     sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
     like = lambda a, b: len(a & b) / max(1, len(a | b)) if a or b else 1
-    got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, SCHEMA), crowd=crowd).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, SCHEMA), beside=beside).collect()}
     close = [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b]) >= 0.8]
     assert sum(got[a] == got[b] for a, b in close) >= 0.97 * len(close)
     parent = {i: i for i in sets}
