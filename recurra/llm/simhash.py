@@ -363,7 +363,7 @@ def near_texts(
     order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print", "same")
     several = filed.where("n > 2").join(sets.select("same", "print"), "same")
     before = F.array(*(F.lag("same", k).over(order) for k in range(1, beside + 1)))
-    near = several.select(F.col("same").alias("u"), F.explode(before).alias("v")).where("v IS NOT NULL")
+    near = several.select(F.col("same").alias("u"), before.alias("before")).select("u", F.explode("before").alias("v")).where("v IS NOT NULL")
     pairs = star.unionByName(near)
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     texts = chosen.join(sets.select(F.col("least").alias("doc_id"), "same"), "doc_id")
