@@ -277,7 +277,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, doc_id: str = "d
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "id")
     rows = chosen.orderBy("id", "text").select("label", "text").toArrow()
-    return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy())
+    made = train(rows.column("text").combine_chunks(), rows.column("label").to_numpy())
+    del rows
+    ta.release()
+    return made
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
