@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, licenses, media, ngram_lm, packing, simhash, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontaminate, divergence, filter_audit, licenses, media, ngram_lm, packing, simhash, substring_dedup, suffix_dedup, token_files, toxicity
 
-MODULES = (packing, toxicity, media, ngram_lm, substring_dedup, simhash, decontaminate, licenses, chat, suffix_dedup)
+MODULES = (packing, toxicity, media, ngram_lm, substring_dedup, simhash, decontaminate, licenses, chat, suffix_dedup, divergence, token_files, filter_audit)
 
 
 def queries() -> dict:
