@@ -13,7 +13,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies use for bytes."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -39,7 +39,7 @@ def encoder(path: str | None = None):
     with open(path or default_path(), encoding="utf-8") as f:
         spec = json.load(f)
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    byte = _byte_of_char()
+    byte = byte_of_char()
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     made = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     marks = [t for t in added if t]

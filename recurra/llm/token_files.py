@@ -15,8 +15,10 @@ Spark commits, names the files that count; attempts that were lost or repeated
 leave files that nothing names.  Files go to any store that Arrow has a driver
 for, by the URI of the folder; only local ones can be mapped.
 
-Equal words are encoded once a worker: the tokenizer drops white space and no
-token crosses it, so a text's ids are those of its words, one after the other.
+Tokenizer files that lower-case and drop white space are read in parts: the words
+of a block are made distinct and cut into pre-tokens, and the library's model
+encodes each distinct one.  Words with other letters than Latin-1's, and other
+tokenizer files, go through the library whole.
 
 Edge cases: null or empty text is the end id alone; null ids come first; rows
 that repeat an id go by a hash of the text and then the text, and are documents
@@ -31,7 +33,9 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .bodies import spread
+from .bpe import byte_of_char
 from .common import scratch, table, text_parts
 
 MANIFEST = "file int, ids_uri string, docs_uri string, n_ids long, n_docs long, sequences long"
@@ -54,67 +59,158 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def drops_blanks(spec: dict) -> bool:
-    """Whether a tokenizer file drops white space and lets no token cross it, so that words can be encoded singly."""
-    def steps(x: dict | None, inner: str) -> list[dict]:
-        return [] if x is None else x[inner] if inner in x else [x]
-
-    split = [s for s in steps(spec.get("pre_tokenizer"), "pretokenizers") if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
-    # Each alternative of the pattern names what a token holds, and none of these holds a blank.
-    safe = all(s["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" for s in split)
-    added = spec.get("added_tokens", [])
-    plain = all(not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
-    local = all(s["type"] in ("NFC", "Lowercase", "Replace") for s in steps(spec.get("normalizer"), "normalizers"))
-    return bool(split) and safe and plain and local and not spec.get("truncation")
+#: What a pre-token is in the tokenizer files that are read in parts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def in_parts(spec: dict) -> bool:
+    """Whether a tokenizer file composes, lower-cases and cuts texts as `parts_of` does, dropping white space."""
+    made = lambda x, inner: [] if x is None else x.get(inner, [x])
+    steps = [s["type"] for s in made(spec.get("normalizer"), "normalizers")]
+    cuts = made(spec.get("pre_tokenizer"), "pretokenizers")
+    added, model = spec.get("added_tokens", []), spec["model"]
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0] == {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"]))) for t in added)
+        and model["type"] == "BPE" and not model["dropout"] and not spec.get("truncation")
+    )
+
+
+#: Kinds of bytes: letters, digits, other printable ones; the rest has words go to the library whole.
+_LETTER, _DIGIT, _OTHER, _REST = 0, 1, 2, 3
+_KIND = np.full(256, _REST, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+
+
+def parts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, part offsets, plain): the pre-tokens of plain words, in lower case; other words are one part, unchanged.
+
+    Plain words are of printable ASCII and the letters from U+00C0 to U+00FF, whose first byte is 0xC3; they are
+    composed already.  Words that may hold an added token are not plain.
+    """
+    n = len(data)
+    before, after = np.append(np.uint8(0), data[:-1]), np.append(data[1:], np.uint8(0))
+    kind = _KIND[data]
+    kind[(data == 0xC3) & (after != 0x97) & (after != 0xB7)] = _LETTER
+    accent = (before == 0xC3) & (data != 0x97) & (data != 0xB7)
+    kind[accent] = _LETTER
+    bad = (kind == _REST) | ((data == 0x3C) & (after == 0x7C))
+    word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    plain = np.bincount(word[bad], minlength=len(offsets) - 1) == 0
+    low = np.where(accent & (data <= 0x9E), data + np.uint8(0x20), ta.lower_ascii(data))
+    data = np.where(plain[word], low, data)
+    start = np.ones(n, bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+    start[heads] = True
+    first = np.zeros(n + 3, bool)  # of a word, so that what follows is known to be of the same
+    first[heads] = True
+    first[n:] = True
+    # An apostrophe that begins a run of others takes one or two letters with it.
+    quote = np.flatnonzero((data == 0x27) & start)
+    c = [np.append(data, np.zeros(3, np.uint8))[quote + k] for k in (1, 2)]
+    same = [~first[quote + 1], ~first[quote + 1] & ~first[quote + 2]]
+    one = same[0] & np.isin(c[0], np.frombuffer(b"stmd", np.uint8))
+    two = same[1] & np.logical_or.reduce([(c[0] == a) & (c[1] == b) for a, b in (b"re", b"ve", b"ll")])
+    for taken, size in ((one, 1), (two, 2)):
+        at = quote[taken]
+        start[at + 1] = False
+        start[(at + size + 1)[at + size + 1 < n]] = True
+    start &= plain[word]
+    start[heads] = True
+    return data, np.append(np.flatnonzero(start), n), plain
 
 
 class WordEncoder:
-    """Ids of whole texts by the `tokenizers` library; keeps the ids of short words."""
+    """Ids of whole texts by the `tokenizers` library.
+
+    Where the tokenizer file allows it, a text is cut into its pre-tokens here and the library's model encodes each
+    distinct one; short ones are kept for later texts.
+    """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_word = drops_blanks(json.load(f))
+            self.parted = in_parts(json.load(f))
         self.library = Tokenizer.from_file(path)
-        self.kept: dict[bytes, np.ndarray] = {}
+        self.model = self.library.model
+        shown = {b: c for c, b in byte_of_char().items()}
+        self.shown = {b: shown[b] for b in range(256)}
+        self.kept: dict[bytes, bytes] = {}
         self.keep = keep
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.kept]
-        if len(self.kept) + len(new) > self.keep:
+    def parts(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens."""
+        if len(self.kept) > self.keep:
             self.kept.clear()
-            new = words
-        out = {}
-        for i in range(0, len(new), 20_000):
-            few = new[i : i + 20_000]
-            out.update(zip(few, self.encode([w.decode() for w in few])))
-        self.kept.update((w, x) for w, x in out.items() if len(w) <= 64)
-        return [out[w] if w in out else self.kept[w] for w in words]
+        kept, tokenize, shown, code = self.kept, self.model.tokenize, self.shown, "H" if self.kind.itemsize == 2 else "I"
+        out = [*map(kept.get, parts)]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            part = parts[i]
+            text = part.decode("latin-1")
+            out[i] = ids = array(code, [t.id for t in tokenize(text if text.isascii() else text.translate(shown))]).tobytes()
+            if len(part) <= 32:
+                kept[part] = ids
+        return out
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct words."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        data, bounds, plain = parts_of(data, offsets)
+        owner = np.searchsorted(offsets, bounds[:-1], "right") - 1
+        coded = ta.word_array(data, bounds[:-1], bounds[1:]).dictionary_encode()
+        at, whole = coded.indices.to_numpy().astype(np.int64), ~plain[owner]
+        # A word that goes to the library whole may look like a pre-token; it is numbered behind all of these.
+        mine = np.unique(at[~whole])
+        number = np.zeros(len(coded.dictionary), np.int64)
+        number[mine] = np.arange(len(mine))
+        each = self.parts(coded.dictionary.take(pa.array(mine)).to_pylist())
+        others = coded.dictionary.take(pa.array(at[whole])).to_pylist()
+        for i in range(0, len(others), 20_000):
+            each += [x.tobytes() for x in self.encode([w.decode() for w in others[i : i + 20_000]])]
+        number = number[at]
+        number[whole] = len(mine) + np.arange(len(others))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+        flat, first = np.frombuffer(b"".join(each), self.kind), np.cumsum(sizes) - sizes
+        per_word = np.bincount(owner, sizes[number], len(words)).astype(np.int64)
+        return flat[spread(first[number], sizes[number])], np.append(0, np.cumsum(per_word))
 
     def block(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a block's texts, each with the end id behind it."""
-        if not self.by_word:
+        if not self.parted:
             each = [np.append(x, self.kind.type(end_id)) for x in self.encode([t or "" for t in texts.to_pylist()])]
             return (np.concatenate(each) if each else np.zeros(0, self.kind)), np.append(0, np.cumsum([len(x) for x in each])).astype(np.int64)
         data, offsets = ta.buffers(texts)
         starts, ends, rows = ta.word_spans(data, offsets)
         coded = ta.word_array(data, starts, ends).dictionary_encode()
-        each = self.words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate([*each, np.array([end_id], self.kind)])
+        flat, bounds = self.words(coded.dictionary)
         # The end of a text is one more word with one id.
-        first, count = np.append(np.cumsum(sizes) - sizes, len(flat) - 1), np.append(sizes, 1)
-        order = np.insert(coded.indices.to_numpy().astype(np.int64), rows[1:], len(each))
+        flat = np.append(flat, self.kind.type(end_id))
+        first, count = np.append(bounds[:-1], len(flat) - 1), np.append(np.diff(bounds), 1)
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), rows[1:], len(first) - 1)
         ends_at = rows[1:] + np.arange(1, len(rows))
         return flat[spread(first[order], count[order])], np.append(0, np.cumsum(count[order])[ends_at - 1])
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One for each Python worker, which outlives its tasks."""
+    return WordEncoder(path)
+
+
 class TokenWriter:
     """One file of sequences and its index, written as ids come in."""
 
@@ -226,7 +322,7 @@ def write_token_files(
         writer, encoder = None, None
         for batch in batches:
             for block in ta.blocks(batch, "text", 4 << 20):
-                encoder = encoder or WordEncoder(path)
+                encoder = encoder or encoder_of(path)
                 writer = writer or TokenWriter(folder, TaskContext.get().partitionId(), encoder.kind, length, rows)
                 writer.write(block.column("doc_id"), *encoder.block(block.column("text"), end_id))
             ta.release()

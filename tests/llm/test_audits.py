@@ -146,10 +146,12 @@ def test_sequences_are_views_of_the_file(spark, tmp_path):
 def test_words_give_the_ids_of_texts():
     """Encoding word by word, as the files are written, against the library on whole texts."""
     rng = random.Random(4)
-    chars = "aAbz 's'll'd  \t\n09.,!-_<|>éÉßΣσς́̀  ​\U0001f600中文İıſ"
-    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    some = "aAbz 's'll'd  \t\n09.,!-_<|>éÉßΣσς́̀  ​\U0001f600中文İıſ×÷µÿÞ"
+    plain = "stmdrvelSTMDRVELaé'' ,1 "
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(60))) for chars in (some, plain) for _ in range(3000)]
+    texts += ["we'll they'VE 'tis ''s rock'n'roll x's't I'm,'d 'r 'v 'l '", "<|endoftext|>'s <|startoftext|", "\x01a\x7f b\x00", *(chr(c) * 2 + "e" for c in range(0x21, 0x250))]
     encoder = token_files.WordEncoder(token_files.default_path(), keep=500)
-    assert encoder.by_word
+    assert encoder.parted
     ids, offsets = encoder.block(pa.array(texts), 2)
     library = Tokenizer.from_file(token_files.default_path())
     for i, t in enumerate(texts):
