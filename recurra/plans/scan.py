@@ -29,12 +29,42 @@ def ingest(bars: DataFrame, path: str, config: EngineConfig = EngineConfig()) ->
 
 def matches_of(bars: DataFrame, patterns: DataFrame, config: EngineConfig = EngineConfig(), cross_asset: bool = True) -> DataFrame:
     """The best stored patterns for the newest window of each series, re-ranked; query_id is the ticker."""
-    newest = features.fingerprint(latest_window(bars, config.window), config.window)
+    return matches_of_windows(latest_window(bars, config.window), patterns, config, cross_asset)
+
+
+def matches_of_windows(newest: DataFrame, patterns: DataFrame, config: EngineConfig = EngineConfig(), cross_asset: bool = True) -> DataFrame:
+    """The same for windows (ticker, timeframe, k, i, bar) that are at hand, one of each ticker."""
+    newest = features.fingerprint(newest, config.window)
     queries = newest.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"), F.col("vector").alias("q_vector"))
     found = similarity.find_matches(patterns, queries, config.top_n, config.min_similarity, cross_asset, config.weights)
     return similarity.rerank(found).drop("q_vector", "vector")
 
 
+#: What a result keeps of a match.
+MATCH_FIELDS = ("rank", "pattern_id", "ticker", "start_time", "composite", "cosine", "euclidean", "dtw", "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label")
+
+
+def echoes(newest: DataFrame, patterns: DataFrame, config: EngineConfig = EngineConfig(), cross_asset: bool = True) -> DataFrame:
+    """One result per window: its matches, re-ranked, as an array, with confidence and type; windows without matches too.
+
+    A series has at most top_n matches, which one aggregate gathers and sums up.
+    """
+    top = lambda f, name: f(F.when(F.col("rank") <= 10, F.col(name)))
+    match = F.struct(*MATCH_FIELDS)
+    found = matches_of_windows(newest, patterns, config, cross_asset).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(match)).alias("matches"), F.count("*").cast("int").alias("n_matches"), F.min_by("composite", "rank").alias("similarity"),
+        similarity.confidence_of().alias("confidence"), F.avg("forward_return").alias("mean_return"), F.avg("max_drawdown").alias("mean_drawdown"),
+        top(F.avg, "forward_return").alias("r"), top(F.avg, "max_drawdown").alias("d"), top(F.stddev_pop, "forward_return").alias("s"),
+    )
+    whole = newest.groupBy("ticker", "timeframe").agg(F.max("ts").alias("as_of"))
+    rows = whole.join(found, F.col("ticker") == F.col("query_id"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return rows.select(
+        "ticker", "timeframe", "as_of", F.lit(config.window).alias("window_size"), labels.echo_type("r", "d", "s").alias("echo_type"), zero("similarity"), zero("confidence"),
+        F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "mean_return", "mean_drawdown", F.coalesce("matches", F.array().cast(found.schema["matches"].dataType)).alias("matches"),
+    )
+
+
 def scan(bars: DataFrame, patterns: DataFrame, as_of: Column | None = None, config: EngineConfig = EngineConfig(), timeframe: str = "1h", cross_asset: bool = True) -> DataFrame:
     """One row per series whose newest window could be taken: how it went before, whatever was found.
 
