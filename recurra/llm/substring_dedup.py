@@ -21,7 +21,10 @@ anything is shuffled:
 4. Every occurrence is held against the source coordinates of its path, and
    those that start later are the repeated spans that go back to the documents.
 
-Edges are compared by 128-bit hashes of their words.
+Paths and edges are equal if their words are: both are compared by cryptographic
+128-bit digests of the words themselves, those at the source coordinates and those
+of each occurrence alike, before anything is removed.  The rolling hashes choose
+minimisers and name nodes, which decides where work is done and nothing more.
 
 Edge cases: null text has no words; documents shorter than a window lose
 nothing; a null id comes first; rows repeating an id are one document as far as
@@ -44,7 +47,8 @@ from .bodies import by_part, changes, cut, ids_of, leads, merged, pack, sorted_r
 from .common import drop_folder, part_of, scratch, table, text_parts
 
 BLOCK = 1 << 19
-ENTRY = (np.uint64, np.uint64, np.int64, np.int64)
+#: Minimiser, both halves of a path's digest, document, first edge.
+ENTRY = (np.uint64, np.uint64, np.uint64, np.int64, np.int64)
 HOT_PATH = np.uint64(0)
 DUPLICATE, OPEN, HOT = 1, 2, 3
 #: Settled stretches have no edge; edges end where they start.
@@ -86,91 +90,96 @@ def pieces(values: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def part_paths(shape: Shape, rows: pa.Table):
-    """Paths of a part: (minimiser, path, doc, first edge, edges, row), sorted, with where paths are new and places the earliest."""
+    """Paths of a part: (minimiser, digest in halves, doc, first edge, edges, row), sorted, with where paths are new and places the earliest."""
     ids = ids_of(rows)
     cols: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in (*ENTRY, np.int64, np.int64)]
     for at, data, starts, ends, offsets in blocks(rows):
+        text, bounds_of = ta.spaced(data, starts, ends)
         for piece, bounds, shift in pieces(ta.word_hashes(data, starts, ends), offsets, shape.length):
             r = ta.Runs(piece, bounds, shape.length, shape.gram)
-            row = r.row + at
-            for c, x in zip(cols, (r.key, r.context, ids[row], r.first - bounds[r.row] + shift, r.count, row)):
+            row, head = r.row + at, r.first + shift
+            one, two = ta.digests(text, bounds_of[head], bounds_of[head + r.count + shape.length - 1] - 1)
+            # Where the minimiser stands in it is part of a path: windows are cut into paths around it.
+            one = one ^ ta.mix64((r.anchor - r.first).astype(np.uint64) << np.uint64(32) | r.count.astype(np.uint64))
+            for c, x in zip(cols, (r.key, one, two, ids[row], r.first - bounds[r.row] + shift, r.count, row)):
                 c.append(x)
-    key, path, doc, first, count, row = (np.concatenate(c) for c in cols)
-    order = np.lexsort((first, doc, path, key))
-    key, path, doc, first, count, row = (x[order] for x in (key, path, doc, first, count, row))
-    head = changes(key, path)
+    key, one, two, doc, first, count, row = (np.concatenate(c) for c in cols)
+    order = np.lexsort((first, doc, two, one, key))
+    key, one, two, doc, first, count, row = (x[order] for x in (key, one, two, doc, first, count, row))
+    head = changes(key, one, two)
     lead = leads(head)
-    return key, path, doc, first, count, row, head, (doc == doc[lead]) & (first == first[lead])
+    return key, one, two, doc, first, count, row, head, (doc == doc[lead]) & (first == first[lead])
 
 
 def path_entries(shape: Shape, key: tuple, part: pa.Table) -> pa.Table:
     """One entry per distinct path of the part, or one per minimiser with very many, by bucket."""
-    k, c, doc, first, _, _, head, _ = part_paths(shape, shape.rows(part))
-    k, c, doc, first = (x[head] for x in (k, c, doc, first))
+    k, c, c2, doc, first, _, _, head, _ = part_paths(shape, shape.rows(part))
+    k, c, c2, doc, first = (x[head] for x in (k, c, c2, doc, first))
     if len(k):
         heads = np.flatnonzero(changes(k))
         sizes = np.diff(np.append(heads, len(k)))
         hot = np.repeat(sizes > shape.contexts, sizes)
         keep = ~hot
         keep[heads] = True
-        k, c, doc, first = (x[keep] for x in (k, np.where(hot, HOT_PATH, c), doc, first))
+        k, c, c2, doc, first = (x[keep] for x in (k, np.where(hot, HOT_PATH, c), np.where(hot, HOT_PATH, c2), doc, first))
     bucket = (k % np.uint64(shape.buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    k, c, doc, first = (x[order] for x in (k, c, doc, first))
+    k, c, c2, doc, first = (x[order] for x in (k, c, c2, doc, first))
     slices = cut(bucket[order])
     return pa.table(
         {
             "bucket": pa.array([b for b, _ in slices], pa.int32()),
             "part": pa.array([key[0].as_py()] * len(slices), pa.int32()),
-            "body": pa.array([pack(k[s], c[s], doc[s], first[s]) for _, s in slices], pa.binary()),
+            "body": pa.array([pack(k[s], c[s], c2[s], doc[s], first[s]) for _, s in slices], pa.binary()),
         }
     )
 
 
 def branches(shape: Shape, bucket: pa.Table) -> pa.Table:
     """For each part: which of its paths repeat as a whole, and which belong to a minimiser with several."""
-    (k, c, doc, first), sizes = unpack_all(bucket.column("body"), *ENTRY)
+    (k, c, c2, doc, first), sizes = unpack_all(bucket.column("body"), *ENTRY)
     part = np.repeat(bucket.column("part").to_numpy(), sizes)
-    order = np.lexsort((first, doc, c, k))
-    k, c, doc, first, part = (x[order] for x in (k, c, doc, first, part))
+    order = np.lexsort((first, doc, c2, c, k))
+    k, c, c2, doc, first, part = (x[order] for x in (k, c, c2, doc, first, part))
     state = np.zeros(0, np.uint8)
     if len(k):
-        fresh = changes(k, c)
+        fresh = changes(k, c, c2)
         heads = np.flatnonzero(changes(k))
         sizes = np.diff(np.append(heads, len(k)))
         variety = np.repeat(np.add.reduceat(fresh.astype(np.int64), heads), sizes)
-        hot = np.repeat(np.logical_or.reduceat(c == HOT_PATH, heads), sizes) | (variety > 16 * shape.contexts)
+        hot = np.repeat(np.logical_or.reduceat((c == HOT_PATH) & (c2 == HOT_PATH), heads), sizes) | (variety > 16 * shape.contexts)
         lead = leads(fresh)
         later = (doc != doc[lead]) | (first != first[lead])
         state = np.where(hot, HOT, np.where(later, DUPLICATE, np.where(variety > 1, OPEN, 0))).astype(np.uint8)
-        c = np.where(hot, HOT_PATH, c)
     keep = state > 0
-    return by_part(part[keep], k[keep], c[keep], state[keep])
+    return by_part(part[keep], k[keep], c[keep], c2[keep], state[keep])
 
 
-def hashes_of(values: np.ndarray, begin: np.ndarray, length: int):
-    """(one, two, source, target) of the edges that begin at these words: 128 bits of each, and its two nodes."""
-    one_at, two_at = ta.SEQ.prefix(values), ta.SEQ2.prefix(values)
-    return (
-        ta.SEQ.spans(one_at, begin, begin + length),
-        ta.SEQ2.spans(two_at, begin, begin + length),
-        ta.SEQ.spans(one_at, begin, begin + length - 1),
-        ta.SEQ.spans(one_at, begin + 1, begin + length),
-    )
+def hashes_of(values: np.ndarray, text: np.ndarray, bounds: np.ndarray, begin: np.ndarray, length: int):
+    """(one, two, source, target) of the edges that begin at these words: a digest of their words, and the names of both nodes."""
+    prefix = ta.SEQ.prefix(values)
+    one, two = ta.digests(text, bounds[begin], bounds[begin + length] - 1)
+    return one, two, ta.SEQ.spans(prefix, begin, begin + length - 1), ta.SEQ.spans(prefix, begin + 1, begin + length)
+
+
+def states_of(k: np.ndarray, c: np.ndarray, c2: np.ndarray, known: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The state that the replies (minimiser, digest, state) give each path; a hot minimiser's holds for all its paths."""
+    rk, rc, rc2, rs = known
+    columns = [np.append(a, b) for a, b in ((rk, k), (rc, c), (rc2, c2))]
+    order = np.lexsort(columns[::-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(changes(*(x[order] for x in columns))) - 1
+    told = np.zeros(len(order), np.uint8)
+    told[number[: len(rk)]] = np.where(rs == HOT, 0, rs)
+    return np.where(np.isin(k, rk[rs == HOT]), np.uint8(HOT), told[number[len(rk) :]])
 
 
 def part_edges(shape: Shape, key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
     """Rows of FOUND: stretches of the part that are settled, and the single edges of paths that are not."""
     rows = shape.rows(part)
-    (rk, rc, rs), _ = unpack_all(replies.column("body"), np.uint64, np.uint64, np.uint8)
-    k, c, doc, first, count, row, _, earliest = part_paths(shape, rows)
-    state = np.zeros(len(k), np.uint8)
-    both = lambda a, b: ta.mix64(a ^ ta.mix64(b + np.uint64(0x1234567)))
-    for what, wanted, mine in ((OPEN, both(rk, rc), both(k, c)), (HOT, rk, k), (DUPLICATE, both(rk, rc), both(k, c))):
-        ids = np.sort(wanted[rs == what])
-        if len(ids) and len(mine):
-            at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
-            state[ids[at] == mine] = what
+    known, _ = unpack_all(replies.column("body"), np.uint64, np.uint64, np.uint64, np.uint8)
+    k, c, c2, doc, first, count, row, _, earliest = part_paths(shape, rows)
+    state = states_of(k, c, c2, known)
     whole = ~earliest | (state == DUPLICATE)
     # Rows that repeat an id and have the same path at the same place are all sent: what else they hold may differ.
     opened = ~whole & (state > 0)
@@ -183,7 +192,8 @@ def part_edges(shape: Shape, key: tuple, part: pa.Table, replies: pa.Table) -> p
             continue
         values = ta.word_hashes(data, starts, ends)
         r, f, n, d, h = (x[a:b] for x in of)
-        found = hashes_of(values, spread(offsets[r - at] + f, n), shape.length)
+        text, bounds = ta.spaced(data, starts, ends)
+        found = hashes_of(values, text, bounds, spread(offsets[r - at] + f, n), shape.length)
         for col, x in zip(cols, (*found, np.repeat(d, n), np.repeat(r, n), spread(f, n), np.repeat(h, n))):
             col.append(x)
     one, two, source, target, doc_e, row_e, start, hot = (np.concatenate(x) for x in cols)
@@ -261,11 +271,8 @@ def results(shape: Shape, part: pa.Table, replies: pa.Table) -> pa.Table:
     row, start, end = merged(*(replies.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "end")))
     n_words, n_removed, spans, kept = [], [], [], []
     for at, data, starts, ends, offsets in blocks(rows):
-        # The words of the block, one space behind each.
-        sizes = ends - starts
-        text = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
-        text[spread(np.cumsum(sizes + 1) - sizes - 1, sizes)] = data[spread(starts, sizes)]
-        view, bounds = memoryview(text), np.append(0, np.cumsum(sizes + 1))
+        text, bounds = ta.spaced(data, starts, ends)
+        view = memoryview(text)
         edges = np.searchsorted(row, np.arange(at, at + len(offsets)))
         for i in range(len(offsets) - 1):
             base, size, gone, rest, last = int(offsets[i]), int(offsets[i + 1] - offsets[i]), [], [], 0

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
 #: Position bits kept below the hash when a sliding minimum must name its place; callers cut what they hash long before.
@@ -148,24 +150,51 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPA
 
 
 def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The words of spans in order as one binary column."""
-    sizes = ends - starts
-    offsets = np.append(0, np.cumsum(sizes))
-    chars = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
+    """The words of spans, which are in order and do not overlap, as one binary column."""
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts] += 1
+    change[ends] -= 1
+    chars = data[np.cumsum(change[:-1], dtype=np.int8).view(bool)]
+    offsets = np.append(0, np.cumsum(ends - starts))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-    """One 64-bit hash per word; words are in order, and worked off some at a time."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """One 64-bit XXH3 hash per word, each distinct one of some words hashed once.
+
+    Not of the polynomial kind, under which two words can be made to collide whatever the constants.
+    """
     out = np.empty(len(starts), U64)
     for a in range(0, len(starts), step):
         b = min(len(starts), a + step)
         low, high = starts[a], ends[b - 1]
-        prefix = BYTES.prefix(BYTES.table[data[low:high]])
-        out[a:b] = BYTES.spans(prefix, starts[a:b] - low, ends[a:b] - low)
+        coded = word_array(data[low:high], starts[a:b] - low, ends[a:b] - low).dictionary_encode()
+        own = np.fromiter((xxh3_64_intdigest(w, 0x5EED) for w in coded.dictionary.to_pylist()), U64, len(coded.dictionary))
+        out[a:b] = own[coded.indices.to_numpy()]
     return out
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds): the words with one space behind each; word i is bytes[bounds[i] : bounds[i + 1] - 1]."""
+    bounds = np.append(0, np.cumsum(ends - starts + 1))
+    text = np.full(int(bounds[-1]), 0x20, np.uint8)
+    inside = np.ones(len(text), bool)
+    inside[bounds[1:] - 1] = False
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts] += 1
+    change[ends] -= 1
+    text[inside] = data[np.cumsum(change[:-1], dtype=np.int8).view(bool)]
+    return text, bounds
+
+
+def digests(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a cryptographic 128-bit digest of each text[start:end]: equal ones are equal bytes."""
+    view = memoryview(np.ascontiguousarray(text))
+    made = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    halves = np.frombuffer(made, U64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every run of `width` consecutive keys."""
     out, have = keys, 1
