@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 512, doc_id:
 
 
 #: Segments of the wide fingerprints, all of the Golay code's own 23 bits.
-WIDE = 16
+WIDE = 20
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -346,8 +346,8 @@ def near_texts(
 ) -> DataFrame:
     """(doc_id, component_id) of documents that share `similarity` of their shingles, directly or through others.
 
-    doc_id is a key of rows.  Fingerprints of 16 segments are filed under the codeword indices of every two segments,
-    so those of texts as like as that meet under some of 120 keys even with a sixth of their bits apart; every link is
+    doc_id is a key of rows.  Fingerprints of 20 segments are filed under the codeword indices of every two segments,
+    so those of texts as like as that meet under some of 190 keys even with a sixth of their bits apart; every link is
     then held to the exact similarity of the shingle sets.  Texts with equal sets are one from the start.  Under each
     of its keys a text is compared with the least of the key and with the `beside` ones before it by fingerprint, so
     that links grow with texts and not with the square of those under a key.
