@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from recurra.llm import bpe, chat, decontaminate, eliasfano, licenses, media, ngram_lm, packing, simhash, substring_dedup, suffix_dedup, tiff, toxicity
 
@@ -82,7 +83,7 @@ def test_hot_line_is_sent_once_a_part():
     for p in range(5):
         part = pa.table({"doc_id": pa.array(range(p * 40, p * 40 + 40), pa.int64()), "text": texts[p * 40 : p * 40 + 40]})
         k = np.unique(substring_dedup.part_paths(shape, shape.rows(part))[0])
-        known = pa.table({"body": pa.array([substring_dedup.pack(k, np.zeros(len(k), np.uint64), np.full(len(k), substring_dedup.HOT, np.uint8))], pa.binary())})
+        known = pa.table({"body": pa.array([substring_dedup.pack(k, np.zeros(len(k), np.uint64), np.zeros(len(k), np.uint64), np.full(len(k), substring_dedup.HOT, np.uint8))], pa.binary())})
         found = substring_dedup.part_edges(shape, (pa.scalar(p),), part, known)
         sent.update(x for x in found.column("one").to_pylist() if x is not None)
     assert max(sent.values()) == 5
@@ -372,19 +373,58 @@ def test_language_model(spark, lookup):
             p = max(triples[a, b, c] - 0.75, 0) / contexts[a, b] + 0.75 * kinds3[a, b] / contexts[a, b] * p
         return p
 
+    # One shard a word, and shards so small that most words are dealt over several.
     found = ngram_lm.lm_scores(docs, ngram_lm.fold("doc_id") != 1, lookup=lookup, shard_bytes=10**9).collect()
-    assert len(found) == len(rows)
-    for r in found:
+    again = ngram_lm.lm_scores(docs.repartition(5), ngram_lm.fold("doc_id") != 1, lookup=lookup, shard_bytes=400).collect()
+    assert len(found) == len(again) == len(rows)
+    for r in (*found, *again):
         words = split(dict(rows)[r.doc_id])
         base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
         assert r.base_score == pytest.approx(base) and r.n_tokens == len(words)
         assert r.n_known == sum(counts[w] > 0 for w in words) and r.train_tokens == total
         score = sum(math.log10(probability(*x)) for x in zip([None, None, *words], [None, *words], words))
         assert r.score == pytest.approx(score, abs=0.002 * len(words))
-    # Words that fill more than a shard are dealt out; what single tokens count for stays exact.
-    again = {r.doc_id: r for r in ngram_lm.lm_scores(docs, ngram_lm.fold("doc_id") != 1, lookup=lookup, shard_bytes=400).collect()}
-    for r in found:
-        assert again[r.doc_id].base_score == pytest.approx(r.base_score) and again[r.doc_id].n_known == r.n_known
+    same = {r.doc_id: r.score for r in again}
+    assert all(r.score == pytest.approx(same[r.doc_id], abs=1e-6) for r in found)
+
+
+def test_one_model_whatever_the_partitions(spark):
+    """Equal scores for any number of shards and order of rows, and for equal texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    learn = F.col("doc_id") < 1_000_000
+    docs = docs.unionByName(docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+
+    def scores(rows, partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            return {r.doc_id: r.score for r in ngram_lm.lm_scores(rows, learn).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+    one = scores(docs, 1)
+    assert all(one[i] == pytest.approx(one[i + 1_000_000], abs=1e-6) for i in one if i < 1_000_000)
+    for rows, partitions in ((docs, 97), (docs.repartition(7), 8), (docs.orderBy(F.desc("doc_id")), 200)):
+        many = scores(rows, partitions)
+        assert many.keys() == one.keys() and all(many[i] == pytest.approx(one[i], abs=1e-6) for i in one)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [64, 512, 4096])
+def test_words_that_only_polynomial_hashes_take_for_one(spark, size):
+    """Two such words are different words, to repeated spans, to sets of shingles and to counts."""
+    one, rest = thue_morse(size), " ".join(f"word{i}" for i in range(25))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest} end")], SCHEMA)
+    for contexts in (1, 64):
+        found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeated_spans(docs, contexts=contexts).collect()}
+        assert found == {1: (26, 0, f"{one} {rest}"), 2: (26, 25, other), 3: (27, 26, "end")}
+    known = {r.doc_id: r.n_known for r in ngram_lm.lm_scores(docs, F.col("doc_id") == 1).collect()}
+    assert known == {1: 27, 2: 26, 3: 26}
+    pair = spark.createDataFrame([(1, one), (2, other)], SCHEMA)
+    assert {r.component_id for r in simhash.near_texts(pair).collect()} == {1, 2}
 
 
 @pytest.mark.parametrize("most", [100_000, 0])
