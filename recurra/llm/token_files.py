@@ -6,7 +6,7 @@ sequences of `length`: an Arrow file whose batches have two fixed-size-list
 columns, `ids` and `mask`.  All batches but the last have the same number of
 rows, so sequence i is row i % rows of batch i // rows, and a reader that maps
 the file hands out views of it; nothing is parsed or copied.  Only a file's last
-sequence is padded (mask 0).  Beside each lies a file with one row per document:
+sequence is padded (mask false; a bit an id).  Beside each lies a file with one row per document:
 where its ids start and how many it has.  Ids take two bytes where the
 vocabulary allows it, else four.
 
@@ -222,7 +222,7 @@ class TokenWriter:
         self.outs = [store.open_output_stream(f"{path}/{name}.{x}.arrow") for x in ("ids", "docs")]
         self.kind, self.length, self.rows = kind, length, rows
         item = pa.field("item", pa.from_numpy_dtype(kind), nullable=False)
-        on = pa.field("item", pa.uint8(), nullable=False)
+        on = pa.field("item", pa.bool_(), nullable=False)
         self.schema = pa.schema([pa.field("ids", pa.list_(item, length), False), pa.field("mask", pa.list_(on, length), False)], {"length": str(length), "rows": str(rows)})
         self.ids = pa.ipc.new_file(self.outs[0], self.schema)
         self.docs = pa.ipc.new_file(self.outs[1], INDEX)
@@ -244,7 +244,7 @@ class TokenWriter:
             self.waiting = len(self.held[0])
 
     def batch(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         self.ids.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema)], schema=self.schema))
         self.sequences += len(ids) // self.length
 
@@ -279,11 +279,11 @@ class TokenFile:
         self.kind = self.reader.schema.field("ids").type.value_type.to_pandas_dtype()
         self.at, self.views = -1, ()
 
-    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of a batch as views of the file."""
+    def batch(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids by sequence, mask of all) of a batch as views of the file."""
         if i != self.at:
-            found = self.reader.get_batch(i)
-            self.views = tuple(c.values.to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in found.columns)
+            ids, mask = self.reader.get_batch(i).columns
+            self.views = ids.values.to_numpy(zero_copy_only=True).reshape(-1, self.length), mask.values
             self.at = i
         return self.views
 
@@ -291,10 +291,10 @@ class TokenFile:
         n = self.reader.num_record_batches
         return 0 if not n else (n - 1) * self.rows + len(self.batch(n - 1)[0])
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of sequence i, without a copy."""
         ids, mask = self.batch(i // self.rows)
-        return ids[i % self.rows], mask[i % self.rows]
+        return ids[i % self.rows], mask.slice(i % self.rows * self.length, self.length)
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The n ids from a place of the stream on, as views, a batch at a time."""
