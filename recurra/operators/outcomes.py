@@ -197,21 +197,35 @@ def groups_of(points: np.ndarray, k: int, seed: int = 42, starts: int = 10) -> n
 
 
 def merged_groups(points: np.ndarray, k: int) -> np.ndarray:
-    """Agglomerative clustering that adds the least variance with each merge."""
+    """Agglomerative clustering that adds the least variance with each merge.
+
+    Of equal costs the pair with the earliest first members is merged: groups stay in the order of their first point,
+    and a merged one takes the earlier place.  Groups are numbered in that order.
+    """
+    means, sizes = points.copy(), np.ones(len(points))
     members = [[i] for i in range(len(points))]
     while len(members) > k:
-        means = np.array([points[m].mean(0) for m in members])
-        sizes = np.array([len(m) for m in members], float)
-        cost = ((means[:, None] - means) ** 2).sum(2) * (sizes[:, None] * sizes) / (sizes[:, None] + sizes)
-        np.fill_diagonal(cost, np.inf)
+        gap = means[:, None] - means
+        square = np.zeros(gap.shape[:2])
+        for d in range(points.shape[1]):  # one after the other, so that sums are those of any engine that adds in order
+            square = square + gap[:, :, d] * gap[:, :, d]
+        cost = square * (sizes[:, None] * sizes / (sizes[:, None] + sizes))
+        cost[np.tril_indices(len(members))] = np.inf
         i, j = divmod(int(cost.argmin()), len(members))
-        members[min(i, j)] += members.pop(max(i, j))
+        means[i] = (means[i] * sizes[i] + means[j] * sizes[j]) / (sizes[i] + sizes[j])
+        sizes[i] += sizes[j]
+        members[i] += members.pop(j)
+        means, sizes = np.delete(means, j, 0), np.delete(sizes, j)
     own = np.zeros(len(points), int)
     for j, m in enumerate(members):
         own[m] = j
     return own
 
 
+#: Standardised outcomes are rounded to so many places before they are merged, so that ties are ties in any engine.
+TIE_PLACES = 9
+
+
 def clustered(matches: DataFrame, clusters: int = 5, least: int = 3, method: str = "kmeans") -> DataFrame:
     """Matches with a cluster_id; a query's matches are few (its top_n), so one task has them all."""
     if method not in ("kmeans", "hierarchical"):
@@ -227,6 +241,6 @@ def clustered(matches: DataFrame, clusters: int = 5, least: int = 3, method: str
         spread = points.std(0)
         points = (points - points.mean(0)) / np.where(spread > 0, spread, 1)
         k = min(n, max(2, min(clusters, n // 3)))
-        return rows.assign(cluster_id=groups_of(points, k) if method == "kmeans" else merged_groups(points, k))
+        return rows.assign(cluster_id=groups_of(points, k) if method == "kmeans" else merged_groups(points.round(TIE_PLACES), k))
 
     return matches.groupBy("query_id").applyInPandas(run, schema)

@@ -19,6 +19,7 @@ SETUPS = {
 }
 # Colours as RGB numbers.
 COLORS = {"up": 0x00FF88, "down": 0xFF4444, "flat": 0x888888}
+# Minutes of a bar by label; labels that are not here count as an hour.
 MINUTES = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "4h": 240, "1d": 1440, "1w": 10080}
 
 
@@ -129,24 +130,106 @@ def alert_gate(
 def cooled_down(alerts: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
     """Alerts (ticker, ts) of which none is within the cooldown of the last one sent for its ticker.
 
-    What was sent decides what is next, so each ticker's times are read in order; a task holds one batch and one time.
+    What was sent decides what is next, so each ticker's times are read in order; a task holds one batch and one time,
+    and goes from one alert that is sent to the first one past its cooldown.
     """
-    gap = pd.Timedelta(hours=config.cooldown_hours)
+    gap = np.timedelta64(config.cooldown_hours, "h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ticker, last = None, None
         for batch in batches:
             keep = np.zeros(len(batch), bool)
-            for i, (name, ts) in enumerate(zip(batch["ticker"], batch["ts"])):
-                name = None if pd.isna(name) else name
-                if i == 0 and last is None or name != ticker or ts - last >= gap:
-                    ticker, last, keep[i] = name, ts, True
+            for name, a, b in runs_of(batch["ticker"]):
+                if name != ticker:
+                    ticker, last = name, None
+                sent, last = jumps(batch["ts"].to_numpy()[a:b], last, gap)
+                keep[a + sent] = True
             yield batch[keep]
 
     known = alerts.select("ticker", "ts").where(F.col("ts").isNotNull())
     return known.repartition("ticker").sortWithinPartitions("ticker", "ts").mapInPandas(run, "ticker string, ts timestamp")
 
 
+def runs_of(names: pd.Series) -> Iterator[tuple[str | None, int, int]]:
+    """(name, first, end) of each run of equal names; the name None is one like others."""
+    codes = names.fillna("\0").to_numpy()
+    heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, int)
+    for a, b in zip(heads, np.append(heads[1:], len(codes))):
+        yield codes[a], int(a), int(b)
+
+
+def jumps(ts: np.ndarray, last: np.datetime64 | None, gap: np.timedelta64) -> tuple[np.ndarray, np.datetime64 | None]:
+    """Which of the sorted times are sent, each at least `gap` after the one before, and the last of them."""
+    sent, at = [], 0 if last is None else int(np.searchsorted(ts, last + gap))
+    while at < len(ts):
+        sent.append(at)
+        last = ts[at]
+        at = max(at + 1, int(np.searchsorted(ts, last + gap)))
+    return np.array(sent, np.int64), last
+
+
+def alert_history(scans: DataFrame, mega_caps: tuple[str, ...] = (), config: EngineConfig = CONFIG) -> DataFrame:
+    """Every scan (ticker, cycle, ts, confidence, score, price) with its `fate`, over all cycles in order.
+
+    A scan within the cooldown of its ticker's last alert that was sent stays silent (cooldown); others need the
+    confidence, the grade, and a price under the ceiling or the best grade (confidence, grade, price); of mega caps one
+    a cycle is sent, in order of tickers (throttle).  The rest is sent and begins a cooldown.
+
+    Ordinary tickers do not touch each other and are worked off side by side.  Mega caps share a cycle's one place, so
+    what one may do hangs on what the others were sent; they are one chain, read in order with one time a ticker as its
+    state.  A task holds one batch of its chains.  Rows need a time; a null price counts as 0, other nulls fail.
+    """
+    least, gap = dict(config.grades), np.timedelta64(config.cooldown_hours, "h")
+    c = F.col
+    price = F.coalesce(c("price"), F.lit(0.0))
+    held = F.when(~F.coalesce(c("confidence") >= config.min_confidence, F.lit(False)), "confidence").when(~F.coalesce(c("score") >= least["C+"], F.lit(False)), "grade")
+    held = held.when((price > config.max_price) & (c("score") < least["A+"]), "price").otherwise("sent")
+    mega = F.coalesce(c("ticker").isin(*mega_caps), F.lit(False)) if mega_caps else F.lit(False)
+    rows = scans.where("ts IS NOT NULL").select("ticker", "cycle", "ts", held.alias("fate"), mega.alias("mega"), F.when(mega, "").otherwise(F.concat(F.lit("."), F.coalesce("ticker", F.lit("")))).alias("chain"))
+
+    def ordinary(ts: np.ndarray, fate: np.ndarray, last: np.datetime64 | None) -> np.datetime64 | None:
+        """Marks cooldowns in `fate`; what was sent before counts."""
+        able = np.flatnonzero(fate == "sent")
+        sent, newest = jumps(ts[able], last, gap)
+        sent = able[sent]
+        before = np.searchsorted(sent, np.arange(len(ts))) - 1  # the last one sent above each row
+        times = np.append(ts[sent], np.datetime64("NaT") if last is None else last)
+        quiet = ts < times[before] + gap
+        quiet[sent] = False
+        fate[quiet] = "cooldown"
+        return newest
+
+    def shared(rows: pd.DataFrame, fate: np.ndarray, sent: dict, taken: object) -> object:
+        """The same for mega caps, row by row; `taken` is the cycle whose place is gone."""
+        for i, (ticker, cycle, ts) in enumerate(zip(rows["ticker"], rows["cycle"], rows["ts"].to_numpy())):
+            if ticker in sent and ts < sent[ticker] + gap:
+                fate[i] = "cooldown"
+            elif fate[i] == "sent":
+                if cycle == taken:
+                    fate[i] = "throttle"
+                else:
+                    taken = cycle
+                    sent[ticker] = ts
+        return taken
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, last, sent, taken = None, None, {}, None
+        for batch in batches:
+            fate, ts = batch["fate"].to_numpy(object), batch["ts"].to_numpy()
+            for name, a, b in runs_of(batch["chain"]):
+                if name != chain:
+                    chain, last, sent, taken = name, None, {}, None
+                if name == "":
+                    taken = shared(batch.iloc[a:b], fate[a:b], sent, taken)
+                else:
+                    last = ordinary(ts[a:b], fate[a:b], last)
+            yield batch.assign(fate=fate)[["ticker", "cycle", "ts", "mega", "fate"]]
+
+    kind = scans.schema["cycle"].dataType.simpleString()
+    ordered = rows.repartition("chain").sortWithinPartitions("chain", "ts", "cycle", "ticker")
+    return ordered.mapInPandas(run, f"ticker string, cycle {kind}, ts timestamp, mega boolean, fate string")
+
+
 def tier_due(last_run: Column, now: Column, minutes: int) -> Column:
     """Whether a tier that last ran then is to run again; one that never ran is."""
     return last_run.isNull() | (now >= last_run + F.make_interval(mins=F.lit(minutes)))

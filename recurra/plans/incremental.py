@@ -36,22 +36,31 @@ def arrivals(source: DataFrame, archive: Archive, timeframe: str = "1h", config:
 
 
 def _places(archive: Archive, new: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
-    """(plan, bars): of each series with new bars the window to cut from, and all bars from that window's start on."""
-    size = config.window + config.horizon
+    """(plan, bars): of each series with new bars the window to cut from, and all bars from that window's start on.
+
+    The archive's own bars are read only if a series has late ones, and then only the slots of such series.
+    """
     touched = new.groupBy(*SERIES).agg(F.min("ts").alias("first_new"))
-    state = touched.join(archive.tails(), SERIES, "left")
+    fresh = new.select(*BAR_COLUMNS)
+    if archive.last is None:
+        return touched.select(*SERIES, F.lit(0).cast("long").alias("k0"), F.lit(0).cast("long").alias("next_k")), fresh
+    state = touched.join(archive.tails(), SERIES, "left").persist()  # one row a series
+    on_time = state.where("last_ts IS NULL OR first_new > last_ts")
+    plan = on_time.select(*SERIES, F.coalesce("next_k", F.lit(0)).alias("k0"), F.coalesce("next_k", F.lit(0)).alias("next_k"))
+    old = on_time.select(*SERIES, F.inline("bars")).select(*BAR_COLUMNS)
     late = state.where("first_new <= last_ts").select(*SERIES, "first_new", "next_k")
-    # How many bars lie before the first late one, among those of the series that have one.
-    held = archive.bars().join(late, SERIES)
-    before = held.groupBy(*SERIES).agg(F.count_if(F.col("ts") < F.col("first_new")).alias("before"), F.first("next_k").alias("next_k"))
-    moved = F.greatest(F.lit(0), F.floor((F.col("before") - size) / config.stride) + 1)
-    again = before.select(*SERIES, F.least(moved, F.col("next_k")).alias("k0"))
-    place = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")) - 1
-    old = held.select(*BAR_COLUMNS).withColumn("place", place).join(again, SERIES).where(F.col("place") >= F.col("k0") * config.stride).select(*BAR_COLUMNS)
-    on_time = state.where("last_ts IS NULL OR first_new > last_ts").select(*SERIES, F.coalesce("next_k", F.lit(0)).alias("k0"), F.coalesce("next_k", F.lit(0)).alias("next_k"), "bars")
-    tail = on_time.select(*SERIES, F.inline("bars")).select(*BAR_COLUMNS)
-    plan = on_time.select(*SERIES, "k0", "next_k").unionByName(again.join(late.select(*SERIES, "next_k"), SERIES).select(*SERIES, "k0", "next_k"))
-    every = tail.unionByName(old).withColumn("fresh", F.lit(0)).unionByName(new.select(*BAR_COLUMNS).withColumn("fresh", F.lit(1)))
+    slots = [r[0] for r in late.select(archive.slot(F.col("ticker"))).distinct().collect()]  # no more than the archive has
+    if slots:
+        size = config.window + config.horizon
+        place = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")) - 1
+        held = archive.bars(slots=slots).join(late, SERIES).withColumn("place", place)
+        # How many bars lie before the first late one says which windows are the first to change.
+        before = held.groupBy(*SERIES).agg(F.count_if(F.col("ts") < F.col("first_new")).alias("before"), F.first("next_k").alias("next_k"))
+        moved = F.greatest(F.lit(0), F.floor((F.col("before") - size) / config.stride) + 1)
+        again = before.select(*SERIES, F.least(moved, F.col("next_k")).alias("k0"), "next_k")
+        old = old.unionByName(held.drop("next_k").join(again, SERIES).where(F.col("place") >= F.col("k0") * config.stride).select(*BAR_COLUMNS))
+        plan = plan.unionByName(again)
+    every = old.withColumn("fresh", F.lit(0)).unionByName(fresh.withColumn("fresh", F.lit(1)))
     bars = every.groupBy(*SERIES, "ts").agg(F.max_by(F.struct(*VALUES), "fresh").alias("b")).select(*SERIES, "ts", "b.*")
     return plan, bars
 

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from .functions import series
 from .operators import encoder, features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity
 from .operators import windows as W
+from .plans import incremental
 from .plans import scan as plans
 from .sources import bars as B
-from .sources import store
+from .sources import results, store
+from .sources.archive import Archive
+from .sources.folders import shared_folder
+from .streaming import live
 
 PLACES = 6
 AS_OF = "2024-02-01 00:00:00"
@@ -196,6 +200,13 @@ def bars_4h(spark, d):
     return shown(B.bars_events(table(spark, d, "events"), "4h").drop("timeframe"))
 
 
+@query("bars_all_timeframes", f"""WITH t AS ({TICKS.format(price='value')}), f(timeframe, s) AS (VALUES ('1m', 60), ('2m', 120), ('5m', 300), ('10m', 600), ('15m', 900), ('30m', 1800), ('1h', 3600), ('2h', 7200), ('4h', 14400), ('1d', 86400), ('1w', 604800)),
+bars AS (SELECT ticker, timeframe, make_timestamp(epoch_us(ts) // (s * 1000000::BIGINT) * s * 1000000) AS ts, min_by(price, event_id) AS open, max(price) AS high, min(price) AS low, max_by(price, event_id) AS close, sum(size) AS volume FROM t, f GROUP BY 1, 2, 3)
+SELECT timeframe, {BAR_SQL.removeprefix('SELECT ')}""")
+def bars_all_timeframes(spark, d):
+    return shown(B.bars_of_all(B.event_ticks(table(spark, d, "events")), ["event_id"]))
+
+
 LINEITEM_BARS = """t AS (SELECT l_suppkey::VARCHAR AS ticker, date_trunc('day', l_shipdate) AS ts, l_extendedprice / l_quantity AS price, l_quantity AS size,
   (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS o FROM lineitem),
 bars AS (SELECT ticker, ts, min_by(price, o) AS open, max(price) AS high, min(price) AS low, max_by(price, o) AS close, sum(size) AS volume FROM t GROUP BY 1, 2)"""
@@ -628,6 +639,49 @@ def clusters(spark, d):
     return shown(outcomes.cluster_summary(outcomes.clustered(matched(spark, d))))
 
 
+def _summed(ids: str) -> str:
+    """Clusters of matches by `cluster_id` of a table, with label, as `ck`."""
+    return f"""cj AS (SELECT m.*, w.cluster_id FROM m JOIN {ids} AS w USING (query_id, pattern_id)),
+cs AS (SELECT query_id, cluster_id, count(*)::BIGINT AS n_members, avg(forward_return) AS avg_return, avg(max_drawdown) AS avg_drawdown, avg(max_runup) AS avg_runup,
+  avg(time_to_resolution) AS avg_time_to_resolution, quantile_cont(forward_return, 0.1) AS return_low, quantile_cont(forward_return, 0.9) AS return_high FROM cj GROUP BY query_id, cluster_id),
+ck AS (SELECT *, n_members / sum(n_members) OVER (PARTITION BY query_id) AS probability, {CLUSTER_CASE} AS label FROM cs)"""
+
+
+# Groups are merged one pair a step: the cheapest, of equals that with the earliest members.
+_COST = " + ".join(f"(g[i].c[{d}] - g[j].c[{d}]) * (g[i].c[{d}] - g[j].c[{d}])" for d in (1, 2, 3, 4))
+_MEAN = ", ".join(f"(g[b.i].c[{d}] * g[b.i].n + g[b.j].c[{d}] * g[b.j].n) / (g[b.i].n + g[b.j].n)" for d in (1, 2, 3, 4))
+_POINT = ", ".join(f"round(({c} - avg({c}) OVER w) / (CASE WHEN stddev_pop({c}) OVER w > 0 THEN stddev_pop({c}) OVER w ELSE 1 END), 9)" for c in ("forward_return", "max_drawdown", "max_runup", "time_to_resolution"))
+WARD = f"""pt AS (SELECT query_id, pattern_id, rank, [{_POINT}] AS c FROM m WINDOW w AS (PARTITION BY query_id)),
+wd AS (SELECT query_id, CASE WHEN count(*) < 3 THEN 1 ELSE least(count(*), greatest(2, least(5, count(*) // 3))) END AS k, count(*) < 3 AS few,
+  list({{'n': 1.0::DOUBLE, 'c': c, 'm': [pattern_id]}} ORDER BY rank) AS g FROM pt GROUP BY query_id
+  UNION ALL SELECT query_id, k, few, list_transform(list_filter(range(1, len(g) + 1), lambda x: x <> b.j),
+    lambda x: CASE WHEN x = b.i THEN {{'n': g[b.i].n + g[b.j].n, 'c': [{_MEAN}], 'm': list_concat(g[b.i].m, g[b.j].m)}} ELSE g[x] END)
+  FROM (SELECT *, list_min(flatten(list_transform(range(1, len(g)), lambda i: list_transform(range(i + 1, len(g) + 1),
+    lambda j: {{'cost': ({_COST}) * (g[i].n * g[j].n / (g[i].n + g[j].n)), 'i': i, 'j': j}})))) AS b FROM wd WHERE len(g) > k)),
+wi AS (SELECT query_id, (x - 1)::INT AS cluster_id, unnest(g[x].m) AS pattern_id FROM (SELECT query_id, g, unnest(range(1, len(g) + 1)) AS x FROM wd WHERE len(g) = k))"""
+
+
+def ward_sql(select: str, more: str = "") -> str:
+    return windowed_sql(select, f"{OUTCOMES}, {MATCHES}, {WARD}, {_summed('wi')}{', ' + more if more else ''}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("clusters_hierarchical", ward_sql(f"SELECT query_id, cluster_id, n_members, {', '.join(rounded(c, c) for c in _CLUSTER)}, {rounded('least(1, probability * n_members / 5)', 'confidence')}, label FROM ck"))
+def clusters_hierarchical(spark, d):
+    return shown(outcomes.cluster_summary(outcomes.clustered(matched(spark, d), method="hierarchical")))
+
+
+_SAID = """CASE label WHEN 'explosive_continuation' THEN 'Precedents ran on strongly with little drawdown' WHEN 'slow_grind_continuation' THEN 'Precedents drifted on with little movement against them'
+  WHEN 'full_reversal' THEN 'Precedents broke down' WHEN 'fake_breakout_failure' THEN 'Precedents rose first and then gave it all back' WHEN 'volatility_expansion_directionless' THEN 'Precedents swung both ways without a result'
+  WHEN 'whipsaw_continuation' THEN 'Precedents went on after a deep drawdown' ELSE 'Precedents ended in different ways' END"""
+
+
+@query("scenarios_hierarchical", ward_sql(f"""SELECT query_id, cluster_id, label, {rounded('probability', 'probability')}, {rounded('avg_return', 'expected_return')}, {rounded('return_low', 'return_low')}, {rounded('return_high', 'return_high')},
+round_even(avg_time_to_resolution, 0)::BIGINT || ' bars' AS resolution, {rounded('least(1, probability * n_members / 5)', 'confidence')},
+{_SAID} || ': mean return ' || printf('%+.1f%%', round_even(avg_return * 100, 1)) || ', mean drawdown ' || printf('%.1f%%', round_even(avg_drawdown * 100, 1)) || ', ' || n_members || ' cases.' AS description FROM ck"""))
+def scenarios_hierarchical(spark, d):
+    return shown(projection.scenarios(outcomes.clustered(matched(spark, d), method="hierarchical")))
+
+
 @query("scenarios")
 def scenarios(spark, d):
     return shown(projection.scenarios(outcomes.clustered(matched(spark, d))))
@@ -644,6 +698,20 @@ def projections(spark, d):
     return shown(found.select("query_id", "primary.label", "primary.probability", "primary.expected_return", "alternatives", "overall_confidence", "time_horizon", "narrative"))
 
 
+_HORIZON = """CASE WHEN h < 60 THEN round_even(h, 0)::BIGINT || ' minutes' WHEN h < 1440 THEN round_even(h / 60, 0)::BIGINT || ' hours'
+  WHEN h < 10080 THEN round_even(h / 1440, 0)::BIGINT || '-' || round_even(h / 1440 + 1, 0)::BIGINT || ' sessions' ELSE round_even(h / 10080, 0)::BIGINT || '-' || round_even(h / 10080 + 1, 0)::BIGINT || ' weeks' END"""
+
+
+@query("projections_hierarchical", ward_sql(f"""SELECT query_id, label, {rounded('probability', 'probability')}, {rounded('avg_return', 'expected_return')}, alternatives,
+{rounded('0.6 * conf + 0.4 * (1 - failure_risk_score)', 'overall_confidence')}, {_HORIZON} AS time_horizon FROM px""",
+f"""pf AS (SELECT query_id, greatest(0, least(1, 0.4 * count(failure_type) / count(*) + 0.3 * coalesce(avg(severity), 0) + 0.3 * least(1, stddev_pop(forward_return) / 0.1))) AS failure_risk_score FROM {_BAD} GROUP BY query_id), pg AS (SELECT query_id, avg(time_to_resolution) * 60 AS h, greatest(0, least(1, 0.5 * min_by(composite, rank) + 0.3 * avg(composite) + 0.2 * (1 - least(stddev_pop(composite), 1)))) AS conf FROM m GROUP BY query_id),
+px AS (SELECT *, (count(*) OVER (PARTITION BY query_id) - 1)::INT AS alternatives FROM ck JOIN pg USING (query_id) JOIN pf USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY probability DESC, cluster_id) = 1)"""))
+def projections_hierarchical(spark, d):
+    queries = asked(spark, d).select("query_id", "q_ticker").join(matched(spark, d).select("query_id").distinct(), "query_id", "left_semi")
+    found = projection.projections(matched(spark, d), queries, method="hierarchical").withColumn("alternatives", F.size("alternatives"))
+    return shown(found.select("query_id", "primary.label", "primary.probability", "primary.expected_return", "alternatives", "overall_confidence", "time_horizon"))
+
+
 @query("trade_cards")
 def trade_cards(spark, d):
     cards = signals.trade_cards(projected(spark, d).withColumn("price", F.lit(100.0)), F.to_timestamp(F.lit(AS_OF)), ("1", "2"))
@@ -716,6 +784,30 @@ def alert_gate(spark, d):
     return signals.alert_gate(best, ("c1", "c2", "c3")).select("ticker", "cycle", "score", "special")
 
 
+_SCANS = """SELECT 'c' || (user_id % 40) AS ticker, epoch(date_trunc('hour', ts))::BIGINT // 3600 AS cycle, date_trunc('hour', ts) AS ts,
+  max(0.5 + event_id % 50 / 100.0::DOUBLE) AS confidence, max(60.0::DOUBLE + event_id % 40) AS score, max(value * 3) AS price FROM events GROUP BY 1, 2, 3"""
+
+
+@query("alert_history", f"""WITH RECURSIVE s AS ({_SCANS}), g AS (SELECT *, ticker IN ('c1', 'c2', 'c3') AS mega, CASE WHEN ticker IN ('c1', 'c2', 'c3') THEN '' ELSE ticker END AS chain,
+  CASE WHEN confidence < 0.6 THEN 'confidence' WHEN score < 67 THEN 'grade' WHEN price > 350 AND score < 93 THEN 'price' ELSE 'sent' END AS fate FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY ts, ticker) AS n FROM g WHERE fate = 'sent'),
+r AS (SELECT chain, n, ticker, ts, 'sent' AS fate, MAP {{ticker: ts}} AS sent, cycle AS taken FROM k WHERE n = 1
+  UNION ALL SELECT chain, n, ticker, ts, f, CASE WHEN f = 'sent' THEN map_concat(sent, MAP {{ticker: ts}}) ELSE sent END, CASE WHEN f = 'sent' THEN cycle ELSE taken END
+  FROM (SELECT k.*, r.sent, r.taken, CASE WHEN k.ts < r.sent[k.ticker] + INTERVAL 8 HOUR THEN 'cooldown' WHEN k.mega AND r.taken = k.cycle THEN 'throttle' ELSE 'sent' END AS f
+    FROM r JOIN k ON k.chain = r.chain AND k.n = r.n + 1)),
+q AS (SELECT ticker, ts FROM r WHERE fate = 'sent')
+SELECT ticker, cycle, mega, CASE WHEN EXISTS (SELECT 1 FROM q WHERE q.ticker = g.ticker AND q.ts < g.ts AND g.ts < q.ts + INTERVAL 8 HOUR) THEN 'cooldown' WHEN r.fate IS NOT NULL THEN r.fate ELSE g.fate END AS fate
+FROM g LEFT JOIN r USING (ticker, ts)""")
+def alert_history(spark, d):
+    e = table(spark, d, "events")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    scans = e.groupBy(F.concat(F.lit("c"), F.col("user_id") % 40).alias("ticker"), hour.alias("ts")).agg(
+        F.max(0.5 + F.col("event_id") % 50 / 100).alias("confidence"), F.max(60.0 + F.col("event_id") % 40).alias("score"), F.max(F.col("value") * 3).alias("price")
+    )
+    scans = scans.withColumn("cycle", F.floor(F.unix_seconds("ts") / 3600))
+    return signals.alert_history(scans, ("c1", "c2", "c3")).select("ticker", "cycle", "mega", "fate")
+
+
 @query("cooldown", f"""WITH RECURSIVE e AS (SELECT DISTINCT event_type AS ticker, ts FROM events), s AS (SELECT ticker, min(ts) AS ts FROM e GROUP BY ticker
   UNION ALL SELECT n.ticker, n.ts FROM (SELECT s.ticker, (SELECT min(e.ts) FROM e WHERE e.ticker = s.ticker AND e.ts >= s.ts + INTERVAL 8 HOUR) AS ts FROM s) AS n WHERE n.ts IS NOT NULL)
 SELECT ticker, {STAMP.format(c='ts')} FROM s""")
@@ -773,6 +865,97 @@ def scan(spark, d):
     return shown(flat)
 
 
+# --- the archive, stored results and the stream --------------------------------------------------------------------
+def archived(spark: SparkSession, d: str) -> Archive:
+    """Event bars in an archive, ingested in three parts: most, what came after, and every seventh hour of the first ten days, late."""
+    bars = B.bars_events(table(spark, d, "events"))
+    held_back = (F.col("ts") < "2024-01-11") & (F.floor(F.unix_seconds("ts") / 3600) % 7 == 3)
+    archive = Archive(spark, shared_folder(spark, "archive"))
+    for part in ((F.col("ts") < "2024-01-19") & ~held_back, F.col("ts") >= "2024-01-19", held_back):
+        incremental.ingest(bars.where(part), archive)
+    return archive
+
+
+@query("archive_patterns", windowed_sql(f"SELECT {LABEL_SQL} FROM lab", OUTCOMES, "value"))
+def archive_patterns(spark, d):
+    """What three ingests with late bars have left is what one cut of all bars gives."""
+    return shown(archived(spark, d).patterns("1h").select(*LABEL_COLUMNS))
+
+
+@query("archive_counts", windowed_sql(f"SELECT ticker, count(*)::BIGINT AS n, {STAMP.format(c='first_time')} FROM (SELECT ticker, min(start_time) OVER (PARTITION BY ticker) AS first_time FROM lab) GROUP BY ticker, first_time", OUTCOMES, "value"))
+def archive_counts(spark, d):
+    """Counted from what the archive says of its ingests, without a look at patterns."""
+    return shown(archived(spark, d).counts().drop("timeframe"))
+
+
+def echo_sql(newest: str) -> str:
+    """Results with a row a match, of windows (k < 0) beside the patterns' windows; `newest` selects which bars they are cut from."""
+    groups = tuple(features.GROUPS)
+    rolled = WINDOWS.replace("wb AS", "w0 AS")
+    cut = f"""nb AS ({newest}), nw AS (SELECT *, row_number() OVER (PARTITION BY ticker, k ORDER BY ts DESC) AS r, count(*) OVER (PARTITION BY ticker, k) AS n FROM nb),
+wb AS (SELECT ticker, ts, open, high, low, close, volume, k, i FROM w0 UNION ALL SELECT ticker, ts, open, high, low, close, volume, k, 60 - r FROM nw WHERE r <= 60 AND n >= 60)"""
+    parts = []
+    for g in groups:
+        more, source, exprs = FEATURE_SQL[g]
+        parts.append(f"g_{g} AS (WITH {more} SELECT ticker, k, {', '.join(f'{e} AS {n}' for n, e in exprs.items())} FROM {source} GROUP BY ticker, k)")
+    slots = ", ".join(f"coalesce(({n})::DOUBLE, 0)" for n in SLOTS)
+    joined = f"g_{groups[0]} {' '.join(f'JOIN g_{g} USING (ticker, k)' for g in groups[1:])}"
+    return f"""WITH {bars_sql('value')}, {rolled}, {cut}, {', '.join(parts)}, {OUTCOMES},
+fp AS (SELECT ticker, k, [{slots}] AS vector FROM {joined}), ends AS (SELECT ticker, k, max(ts) AS as_of FROM wb WHERE k < 0 GROUP BY ticker, k),
+fz AS (SELECT ticker, k, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM fp), fs AS (SELECT ticker, k, avg(x) AS m, stddev_pop(x) + 1e-10 AS sd FROM fz GROUP BY ticker, k),
+fn AS (SELECT ticker, k, i, (x - m) / sd AS x FROM fz JOIN fs USING (ticker, k)), fe AS (SELECT ticker, k, sum(x * x) AS e FROM fn GROUP BY ticker, k),
+xc AS (SELECT a.ticker AS q, a.k AS qk, b.ticker, b.k, a.i - b.i AS lag, sum(a.x * b.x) AS dot FROM fn a, fn b WHERE a.k < 0 AND b.k >= 0 GROUP BY ALL),
+xd AS (SELECT q, qk, xc.ticker, xc.k, greatest(0, least(1, max(dot) / (sqrt(any_value(u.e) * any_value(v.e)) + 1e-10))) AS dtw FROM xc JOIN fe u ON u.ticker = q AND u.k = qk JOIN fe v ON v.ticker = xc.ticker AND v.k = xc.k GROUP BY q, qk, xc.ticker, xc.k),
+pr AS (SELECT q.ticker AS q, q.k AS qk, v.ticker, v.k, {COS} AS cosine, {EUC} AS euclidean FROM fp q, fp v WHERE q.k < 0 AND v.k >= 0),
+sc AS (SELECT *, 0.5 * cosine + 0.3 * euclidean + 0.2 * dtw AS composite FROM pr JOIN xd USING (q, qk, ticker, k)),
+tp AS (SELECT *, row_number() OVER (PARTITION BY q, qk ORDER BY composite DESC, ticker, k) AS first FROM sc WHERE composite >= 0.5 QUALIFY first <= 20),
+sh AS (SELECT *, count(*) OVER (PARTITION BY q, qk, ticker) / count(*) OVER (PARTITION BY q, qk) AS share FROM tp),
+rr AS (SELECT *, row_number() OVER (PARTITION BY q, qk ORDER BY composite + CASE WHEN share < 0.3 THEN 0.05 * (1 - share) ELSE 0 END DESC, first)::INT AS rank FROM sh),
+mm AS (SELECT rr.*, lab.start_time, forward_return, max_drawdown FROM rr JOIN lab USING (ticker, k)),
+sm AS (SELECT q, qk, count(*)::INT AS n_matches, min_by(composite, rank) AS similarity, greatest(0, least(1, 0.5 * min_by(composite, rank) + 0.3 * avg(composite) + 0.2 * (1 - least(stddev_pop(composite), 1)))) AS confidence,
+  avg(forward_return) FILTER (rank <= 10) AS r, avg(max_drawdown) FILTER (rank <= 10) AS d, stddev_pop(forward_return) FILTER (rank <= 10) AS s FROM mm GROUP BY q, qk),
+la AS (SELECT ticker AS q, max(k) AS qk FROM ends GROUP BY ticker)
+SELECT q AS ticker, strftime(as_of, '%Y-%m-%d %H:%M:%S') AS as_of, n_matches, {ECHO_CASE} AS echo_type, {rounded('similarity', 'similarity')}, {rounded('confidence', 'confidence')},
+  rank, mm.ticker AS match, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, {rounded('composite', 'composite')}, {rounded('forward_return', 'forward_return')}
+FROM la JOIN sm USING (q, qk) JOIN mm USING (q, qk) JOIN ends ON ends.ticker = q AND ends.k = qk"""
+
+
+def with_matches(found: DataFrame) -> DataFrame:
+    """A row for each match of each result."""
+    rows = found.select("ticker", "as_of", "n_matches", "echo_type", "similarity", "confidence", F.explode("matches").alias("m"))
+    return shown(rows.select("ticker", "as_of", "n_matches", "echo_type", "similarity", "confidence", "m.rank", F.col("m.ticker").alias("match"), "m.start_time", "m.composite", "m.forward_return"))
+
+
+@query("scan_results", echo_sql("SELECT *, -2 AS k FROM bars WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT *, -1 FROM bars WHERE ticker <> (SELECT min(ticker) FROM bars)"))
+def scan_results(spark, d):
+    """Two batches of results, the second, without one ticker, written twice; the newest of each series."""
+    bars = B.bars_events(table(spark, d, "events"))
+    archive = Archive(spark, shared_folder(spark, "archive"))
+    incremental.ingest(bars, archive)
+    path = shared_folder(spark, "results")
+    results.write_results(incremental.echoes_of(bars.where("ts < '2024-01-20'"), archive), path, 0)
+    least = bars.agg(F.min("ticker").alias("ticker"))
+    for _ in range(2):
+        results.write_results(incremental.echoes_of(bars.join(least, "ticker", "left_anti"), archive), path, 1)
+    return with_matches(results.latest(results.read_results(spark, path)))
+
+
+@query("streamed_scan", echo_sql("SELECT *, -1 AS k FROM bars"))
+def streamed_scan(spark, d):
+    """Bars as a stream of four files, scanned batch by batch against the archive; the newest result of each series."""
+    bars = B.bars_events(table(spark, d, "events"))
+    archive = Archive(spark, shared_folder(spark, "archive"))
+    incremental.ingest(bars, archive)
+    source, out = shared_folder(spark, "bars"), shared_folder(spark, "stream")
+    bars.repartitionByRange(4, "ts").write.parquet(source)
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = live.scan_stream(stream, out, lambda s: archive.patterns("1h")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    return with_matches(results.latest(results.read_results(spark, f"{out}/results")))
+
+
 @query("ingest_counts", windowed_sql("SELECT ticker, count(*)::BIGINT AS n_rows, count(DISTINCT start_time)::BIGINT AS n_ids FROM lab GROUP BY ticker", OUTCOMES))
 def ingest_counts(spark, d):
     """Patterns as they would be stored, with the ids that keep a second ingest from counting twice."""

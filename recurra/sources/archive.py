@@ -74,9 +74,10 @@ class Archive:
             rows = rows.where(F.col("slot") == self.slot(F.lit(ticker))) if "slot" in rows.columns else rows
         return rows
 
-    def bars(self, timeframe: str | None = None, ticker: str | None = None) -> DataFrame:
-        """Every bar once, as the last ingest that had it gave it."""
+    def bars(self, timeframe: str | None = None, ticker: str | None = None, slots: list[int] | None = None) -> DataFrame:
+        """Every bar once, as the last ingest that had it gave it; those of some slots alone if given."""
         rows = self.within(self.read("bars"), timeframe, ticker)
+        rows = rows if slots is None else rows.where(F.col("slot").isin(slots))
         values = F.struct("open", "high", "low", "close", "volume")
         last = rows.groupBy("ticker", "timeframe", "ts").agg(F.max_by(values, "ingest").alias("b"))
         return last.select("ticker", "timeframe", "ts", "b.*")

@@ -58,6 +58,44 @@ def bars_from_ticks(ticks: DataFrame, order: list[str], timeframe: str = "1h") -
     )
 
 
+def states_of(ticks: DataFrame, order: list[str], timeframe: str = "1m") -> DataFrame:
+    """Mergeable bars: (ticker, ts, open, opened, high, low, close, closed, volume), with the places of the first and last tick."""
+    by = F.struct(*order)
+    bucket = F.window("ts", bar_length(timeframe))["start"].alias("ts")
+    return ticks.groupBy("ticker", bucket).agg(
+        F.min_by("price", by).alias("open"), F.min(by).alias("opened"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", by).alias("close"), F.max(by).alias("closed"), F.sum("size").alias("volume"),
+    )
+
+
+def merged_states(states: DataFrame, *keys: str) -> DataFrame:
+    """States of equal keys made one; any order and any grouping of merges gives the same."""
+    return states.groupBy(*keys).agg(
+        F.min_by("open", "opened").alias("open"), F.min("opened").alias("opened"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "closed").alias("close"), F.max("closed").alias("closed"), F.sum("volume").alias("volume"),
+    )
+
+
+def bars_of_all(ticks: DataFrame, order: list[str], timeframes: tuple[str, ...] = tuple(TIMEFRAMES)) -> DataFrame:
+    """Bars of many timeframes from one pass over the ticks.
+
+    Ticks become states of the finest timeframe, which divides all others; a state goes into one bar of each timeframe,
+    and what is shuffled for the coarse ones is states merged on the map side.
+    """
+    states = states_of(ticks, order, "1m")
+    seconds = {t: _seconds(bar_length(t)) for t in timeframes}
+    at = F.unix_seconds("ts")
+    places = F.array(*(F.struct(F.lit(t).alias("timeframe"), F.timestamp_seconds(at - F.pmod(at, F.lit(n))).alias("start")) for t, n in seconds.items()))
+    placed = states.withColumn("place", F.explode(places)).withColumns({"timeframe": F.col("place.timeframe"), "start": F.col("place.start")})
+    found = merged_states(placed.drop("ts", "place"), "ticker", "timeframe", "start")
+    return found.select("ticker", "timeframe", F.col("start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def _seconds(length: str) -> int:
+    n, unit = length.split()
+    return int(n) * {"minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.removesuffix("s")]
+
+
 def event_ticks(events: DataFrame) -> DataFrame:
     size = F.get_json_object("props", "$.k").cast("double")
     stamp = F.col("ts").cast("timestamp").alias("ts")

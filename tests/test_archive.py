@@ -40,7 +40,7 @@ def test_growing_prefixes_equal_one_ingest(spark, tmp_path):
     bars = walks(spark, {"A": 260, "B": 171, "C": 60, "D": 300}).cache()
     archive = Archive(spark, f"{tmp_path}/a", slots=4)
     written = []
-    for hours in (70, 90, 91, 175, 176, 300, 301):
+    for hours in (70, 91, 175, 301):
         # D begins to trade later, and no prefix adds a bar to all series.
         prefix = bars.where(F.col("ts") < F.lit(START + dt.timedelta(hours=hours))).where((F.col("ticker") != "D") | F.lit(hours > 100))
         new = incremental.arrivals(prefix, Archive(spark, f"{tmp_path}/a")) if hours not in (175,) else prefix.join(archive.bars(), ["ticker", "timeframe", "ts"], "left_anti")
@@ -64,7 +64,11 @@ def test_late_bars_and_gaps(spark, tmp_path, order):
     assert sorted(map(tuple, archive.bars().select(*bars.columns).collect())) == sorted(map(tuple, bars.collect()))
     counted = {r.ticker: r.n for r in archive.counts().collect()}
     assert counted == {r.ticker: r["count"] for r in archive.patterns().groupBy("ticker").count().collect()}
-    assert archive.cuts() is not None and archive.read("patterns").count() > archive.patterns().count()
+    # Late bars that come before the first window is cut make nothing void.
+    assert (archive.cuts() is None) == (order == [2, 0, 1])
+    assert archive.cuts() is None or archive.read("patterns").count() > archive.patterns().count()
+    if order != [0, 1, 2]:
+        return
     archive.compact(3)
     again = Archive(spark, f"{tmp_path}/a")
     assert again.base == 3 and shown(again.patterns()) == once(bars) and again.read("patterns").count() == again.patterns().count()
@@ -182,7 +186,7 @@ def test_windows_without_matches_have_a_result(spark):
     assert found.n_matches == 0 and found.matches == [] and found.similarity == 0.0 and found.echo_type == "insufficient_data"
 
 
-@pytest.mark.parametrize("pieces", [1, 4, 9])
+@pytest.mark.parametrize("pieces", [1, 5])
 def test_streamed_scan_equals_the_scan_of_all(spark, tmp_path, pieces):
     """Cut into batches with late and repeated bars, and stopped halfway."""
     bars = walks(spark, {"A": 200, "B": 130, "C": 59, "D": 61}, 11).cache()
