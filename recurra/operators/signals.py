@@ -123,8 +123,11 @@ def alert_gate(
     good = scans.where((F.col("confidence") >= config.min_confidence) & (F.col("score") >= least["C+"]))
     good = good.where((F.col("price") <= config.max_price) | (F.col("score") >= least["A+"]))
     mega = F.col("ticker").isin(*mega_caps) if mega_caps else F.lit(False)
-    turn = F.row_number().over(Window.partitionBy("cycle", mega).orderBy("ticker"))
-    return good.withColumn("mega", mega).withColumn("turn", turn).where(~F.col("mega") | (F.col("turn") == 1)).withColumn("special", F.col("score") >= 90).drop("turn")
+    good = good.withColumn("mega", mega).withColumn("special", F.col("score") >= 90)
+    # Mega caps alone are numbered, so ordinary tickers of a cycle are not brought together.
+    turn = F.row_number().over(Window.partitionBy("cycle").orderBy("ticker"))
+    first = good.where("mega").withColumn("turn", turn).where("turn = 1").drop("turn")
+    return good.where("NOT mega").unionByName(first)
 
 
 def cooled_down(alerts: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:

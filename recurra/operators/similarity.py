@@ -38,9 +38,14 @@ def paired(patterns: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK, bu
 
 def scored(patterns: DataFrame, queries: DataFrame, cross_asset: bool = True, but_itself: bool = False) -> DataFrame:
     """Every pattern with every query of a stated set: cosine, euclidean."""
-    pairs = paired(patterns, queries, but_itself=but_itself)
-    if not cross_asset:
-        pairs = pairs.where(F.coalesce(F.col("q_ticker"), F.lit("")).isin("") | (F.col("ticker") == F.col("q_ticker")))
+    if cross_asset:
+        pairs = paired(patterns, queries, but_itself=but_itself)
+    else:
+        # Queries of a ticker meet its patterns alone, by a join; one without a ticker meets all.
+        named = F.coalesce(F.col("q_ticker"), F.lit("")) != ""
+        other = [F.col("pattern_id") != F.col("query_id")] if but_itself else []
+        own = patterns.withColumn("norm", V.norm(F.col("vector"))).join(queries.where(named).withColumn("q_norm", V.norm(F.col("q_vector"))), [F.col("ticker") == F.col("q_ticker"), *other])
+        pairs = own.unionByName(paired(patterns, queries.where(~named), but_itself=but_itself))
     a, b = F.col("q_vector"), F.col("vector")
     cosine = V.cosine_of(V.dot(a, b), F.col("q_norm"), F.col("norm"))
     return pairs.withColumn("cosine", cosine).withColumn("euclidean", V.euclidean(a, b)).drop("norm", "q_norm")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import features, labels, projection, signals, similarity
+from ..functions import records
+from ..operators import features, labels, outcomes, projection, signals, similarity
 from ..operators.windows import KEY, forward_outcomes, latest_window, rolling_windows
 from ..sources import store
 
@@ -84,3 +85,27 @@ def scan(bars: DataFrame, patterns: DataFrame, as_of: Column | None = None, conf
     usable = F.coalesce((F.col("n_matches") > 0) & (F.col("confidence") > 0), F.lit(False))
     found = found.withColumn("score", F.when(usable, score).otherwise(0.0))
     return found.withColumn("grade", F.when(usable, signals.grade(F.col("score"), config)).otherwise("F"))
+
+
+def scan_records(bars: DataFrame, patterns: DataFrame, config: EngineConfig = EngineConfig(), timeframe: str = "1h", cross_asset: bool = True, method: str = "kmeans") -> DataFrame:
+    """(ticker, found, record): a scan's whole answer for each series as a JSON record, and the numbers before they were rounded.
+
+    A series has at most top_n matches, five clusters and five failure cases, which are gathered in order.
+    """
+    matches = matches_of(bars, patterns, config, cross_asset).persist()
+    last = latest_window(bars, config.window).groupBy("ticker").agg(F.max("ts").alias("last_ts"))
+    queries = last.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"))
+    held = outcomes.clustered(matches, config.clusters, method=method)
+    best = matches.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*MATCH_FIELDS, "end_time"))).alias("matches"))
+    summary = outcomes.cluster_summary(held)
+    entry = F.struct((-F.col("probability")).alias("order"), "cluster_id", F.struct(*(c for c in summary.columns if c != "query_id")).alias("c"))
+    groups = summary.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["c"]).alias("clusters"))
+    worst = F.struct((-F.col("severity")).alias("order"), "rank", F.struct("ticker", "failure_type", "severity", "divergence_bar").alias("c"))
+    cases = outcomes.failure_cases(matches).groupBy("query_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(worst)), 1, 5), lambda e: e["c"]).alias("cases"))
+    none = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    failures = outcomes.failure_analysis(held, queries, "cluster_id").join(cases, "query_id", "left").withColumn("cases", none(cases, "cases"))
+    failures = failures.select("query_id", F.struct(*(c for c in failures.columns if c != "query_id")).alias("failures"))
+    found = projection.projections(matches, queries, timeframe, config.clusters, method).join(failures, "query_id").join(best, "query_id", "left").join(groups, "query_id", "left")
+    found = found.withColumns({"matches": none(best, "matches"), "clusters": none(groups, "clusters"), "projection": F.struct("primary", "alternatives", "overall_confidence", "time_horizon", "narrative")})
+    found = found.select(F.col("q_ticker").alias("ticker"), "timeframe", F.lit(config.window).alias("window_size"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "echo_type", "confidence", "n_matches", "matches", "distribution", "clusters", "failures", "projection")
+    return found.select("ticker", F.struct(*found.columns).alias("found"), records.as_json(records.SCAN).alias("record"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import series
+from .functions import records, series
 from .operators import encoder, features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity
 from .operators import windows as W
 from .plans import incremental
@@ -741,7 +741,7 @@ _SCORE = f"""g AS (SELECT query_id, min_by(composite, rank) AS sim, avg(forward_
 s AS (SELECT *, round(30 * sim + 0.25 * greatest(0, least(100, mean / greatest(0.01, std) * 50)) + 20 * p + 0.15 * greatest(0, 100 - least({_DAY}, 147 - {_DAY}) * (100 / 30.0::DOUBLE)) + 10 * conf, 1) AS score FROM g)"""
 
 
-@query("signals", windowed_sql(f"SELECT query_id, score, CASE {' '.join(f'WHEN score >= {v} THEN {chr(39)}{n}{chr(39)}' for n, v in signals.CONFIG.grades)} ELSE 'F' END AS grade, {rounded('100 * (1 + mean)', 'target')}, {rounded('CASE WHEN mean > 0 THEN 100 * (1 - greatest(0.02, dd * 1.5)) ELSE 100 * (1 + greatest(0.02, dd * 1.5)) END', 'stop')}, {rounded('abs(mean / greatest(0.02, dd * 1.5))', 'reward_risk')} FROM s", f"{OUTCOMES}, {MATCHES}, {_SCORE}"))
+@query("signals", windowed_sql(f"SELECT query_id, score, CASE WHEN score >= 93 THEN 'A+' WHEN score >= 87 THEN 'A' WHEN score >= 83 THEN 'B+' WHEN score >= 75 THEN 'B' WHEN score >= 67 THEN 'C+' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade, {rounded('100 * (1 + mean)', 'target')}, {rounded('CASE WHEN mean > 0 THEN 100 * (1 - greatest(0.02, dd * 1.5)) ELSE 100 * (1 + greatest(0.02, dd * 1.5)) END', 'stop')}, {rounded('abs(mean / greatest(0.02, dd * 1.5))', 'reward_risk')} FROM s", f"{OUTCOMES}, {MATCHES}, {_SCORE}"))
 def signal_scores(spark, d):
     s = _scored(spark, d)
     return shown(s.select("query_id", "score", signals.grade(F.col("score")).alias("grade"), *signals.directives(F.lit(100.0), F.col("mean"), F.col("dd"))))
@@ -764,7 +764,9 @@ def rank_tiers(spark, d):
     return table(spark, d, "part").select("p_partkey", tier.alias("tier"))
 
 
-@query("setup_names", windowed_sql(f"SELECT DISTINCT outcome_label, CASE {' '.join(f'WHEN outcome_label = {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in signals.SETUPS.items())} ELSE 'Structural Recurrence' END AS setup FROM lab", OUTCOMES))
+@query("setup_names", windowed_sql("""SELECT DISTINCT outcome_label, CASE outcome_label WHEN 'explosive_continuation' THEN 'Structural Surge' WHEN 'slow_grind_continuation' THEN 'Absorption Grind'
+  WHEN 'full_reversal' THEN 'Regime Rejection' WHEN 'fake_breakout_failure' THEN 'Expansion Trap' WHEN 'volatility_expansion_directionless' THEN 'Volatility Squeeze'
+  WHEN 'whipsaw_continuation' THEN 'Shakeout Resolution' ELSE 'Structural Recurrence' END AS setup FROM lab""", OUTCOMES))
 def setup_names(spark, d):
     return labelled(spark, d).select("outcome_label", signals.setup_name(F.col("outcome_label")).alias("setup")).distinct()
 
@@ -956,6 +958,20 @@ def streamed_scan(spark, d):
     return with_matches(results.latest(results.read_results(spark, f"{out}/results")))
 
 
+@query("scan_records")
+def scan_records(spark, d):
+    """JSON of each series' whole scan; no SQL, since engines write numbers differently: tests hold it against Python's rounding."""
+    bars = smooth(spark, d)
+    return plans.scan_records(bars, plans.patterns_of(bars), method="hierarchical").select("ticker", "record")
+
+
+@query("pattern_records", windowed_sql(f"""SELECT ticker, k::BIGINT AS k, {{'ticker': ticker, 'start_time': strftime(start_time, '%Y-%m-%dT%H:%M:%S'), 'outcome_label': outcome_label, 'time_to_resolution': time_to_resolution}}::JSON::VARCHAR AS record FROM lab""", OUTCOMES))
+def pattern_records(spark, d):
+    """The unrounded fields of stored patterns as JSON records."""
+    fields = tuple(f for f in records.PATTERN if f[0] in ("ticker", "start_time", "outcome_label")) + (("time_to_resolution", "time_to_resolution"),)
+    return labelled(spark, d).select("ticker", F.col("k").cast("long").alias("k"), records.as_json(fields).alias("record"))
+
+
 @query("ingest_counts", windowed_sql("SELECT ticker, count(*)::BIGINT AS n_rows, count(DISTINCT start_time)::BIGINT AS n_ids FROM lab GROUP BY ticker", OUTCOMES))
 def ingest_counts(spark, d):
     """Patterns as they would be stored, with the ids that keep a second ingest from counting twice."""
