@@ -145,19 +145,20 @@ def contamination(
     prints = benchmark_prints(benchmark, window, gram, item_id, item_text)
     sizes = {r["length"]: r["n"] for r in prints.groupBy("length").agg(F.count("*").alias("n")).collect()}
     known = prints.groupBy("length", "hash", F.col("near").alias("known")).agg(F.collect_set("item").alias("items"))
-    # One more row meets the row that each document sends for itself.
+    few = sum(sizes.values()) <= broadcast_prints
+    # One more row meets the row that each document sends for itself; where both sides are shuffled that row keeps a place of its own.
     itself = docs.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast("array<string>").alias("known"), F.array().cast("array<string>").alias("items"))
-    known = known.unionByName(itself)
+    known = known.unionByName(itself) if few else known
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text).cast("string")).alias("words"))
     rows = with_grams(rows.withColumn("n_words", F.greatest(F.size("words"), F.lit(0))), window, gram)
-    own = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("start"), F.array().cast("array<string>").alias("near"))).cast(PRINT)
-    few = sum(sizes.values()) <= broadcast_prints
+    place = F.lit(0).cast("bigint") if few else F.xxhash64("row")
+    own = F.array(F.struct(F.lit(0).alias("length"), place.alias("hash"), F.lit(-1).alias("start"), F.array().cast("array<string>").alias("near"))).cast(PRINT)
     passes = sieve([r["hash"] for r in prints.select("hash").distinct().collect()]) if few else everything
     every = F.concat(own, winnowed(window, gram, passes), *(whole_prints(n, passes) for n in sorted(sizes) if n < window))
     # The list is never empty; the outer form keeps Spark from testing that with a second copy of all expressions.
     sent = rows.select("row", "doc_id", "n_words", F.explode_outer(every).alias("p"))
     sent = sent.select("row", "doc_id", "n_words", "p.*")
-    met = sent.join(F.broadcast(known) if few else known.hint("merge"), ["length", "hash"])
+    met = sent.join(F.broadcast(known), ["length", "hash"]) if few else sent.join(known.hint("merge"), ["length", "hash"], "left")
     met = met.withColumn("starts", shared_starts(window, gram)).where((F.col("start") < 0) | (F.size("starts") > 0))
     grouped = met.groupBy("row", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"),
