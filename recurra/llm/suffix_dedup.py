@@ -393,9 +393,13 @@ def released(made: pa.Table) -> pa.Table:
 
 
 def suffix_bounds(docs: DataFrame, buckets: int, length: int, gram: int, text: str = "text", each: int = 200) -> np.ndarray:
-    """The least suffixes of all buckets but the first, from about `each` sampled suffixes a bucket; all that the driver gets is the sample."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    share = min(1.0, buckets * each * (length - gram + 2) / 2 / max(int(total), 1))
+    """The least suffixes of all buckets but the first, from about `each` distinct beginnings of suffixes a bucket.
+
+    Rows are drawn at random, whatever they say, and of beginnings that copies share one counts; where so many are
+    copies that too few are left, more rows are drawn, all of them at last.  The driver gets four times `each` a bucket at most.
+    """
+    total, wanted = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, buckets * each
+    share = min(1.0, wanted * (length - gram + 2) / 2 / max(int(total), 1))
 
     def run(batches):
         for batch in batches:
@@ -404,13 +408,18 @@ def suffix_bounds(docs: DataFrame, buckets: int, length: int, gram: int, text: s
                 for piece, bounds, _ in pieces(raw, offsets, length):
                     r = ta.Runs(ta.BYTES.table[piece], bounds, length, gram)
                     # Every so many of a piece, so that long texts don't fill the sample.
-                    few = strings_at(piece, r.anchor[:: max(1, len(r.anchor) // 100)], gram)
-                    yield pa.RecordBatch.from_arrays([pa.array([few.tobytes()], pa.binary())], ["found"])
+                    few = np.unique(strings_at(piece, r.anchor[:: max(1, len(r.anchor) // 100)], gram))
+                    yield pa.RecordBatch.from_arrays([pa.array([x.ljust(gram, b"\0") for x in few.tolist()], pa.binary())], ["found"])
             ta.release()
 
     chosen = docs.select(F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
-    chosen = chosen.where(F.xxhash64(F.octet_length("text"), F.substring("text", 1, 64)).bitwiseAND(0xFFFFF) < F.lit(int(share * (1 << 20)) + 1))
-    sample = np.sort(np.frombuffer(b"".join(r[0] for r in chosen.mapInArrow(run, "found binary").toLocalIterator()), f"S{gram}"))
+    while True:
+        drawn = chosen if share >= 1 else chosen.where(F.rand(17) < share)
+        several = drawn.mapInArrow(run, "found binary").distinct().orderBy(F.xxhash64("found"), "found").limit(4 * wanted)
+        sample = np.sort(np.array([bytes(r[0]) for r in several.collect()], f"S{gram}"))
+        if share >= 1 or len(sample) >= wanted / 4:
+            break
+        share = min(1.0, share * max(4.0, wanted / max(len(sample), 1)))
     cuts = sample[(np.arange(1, buckets) * len(sample)) // buckets] if len(sample) else sample
     return np.unique(cuts)
 

@@ -112,6 +112,20 @@ def test_rows_that_repeat_an_id_lose_the_same(spark, contexts):
     assert [r.n_removed for r in found] == [len(shared) + 4] * 3  # with "29 " before and " " after, which are equal too
 
 
+@pytest.mark.parametrize("copies", [0, 1500])
+def test_bounds_do_not_bend_to_copies(spark, copies):
+    """Buckets are cut through the texts that differ, however many copies of one there are."""
+    rng = random.Random(8)
+    own = lambda: " ".join(f"{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.randrange(10**6)}" for _ in range(60))
+    texts = [own() for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts + [own()] * copies)]
+    bounds = suffix_dedup.suffix_bounds(spark.createDataFrame(rows, SCHEMA).repartition(4), 16, 100, 24, each=40)
+    assert len(bounds) == 15
+    first = np.sort(np.array([t.encode()[i : i + 24] for t in texts for i in range(0, len(t) - 24, 7)], "S24"))
+    held = np.diff(np.concatenate(([0], np.searchsorted(first, bounds), [len(first)])))
+    assert held.min() > 0 and held.max() < 6 * held.mean()
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     raw = rng.integers(0, 3, 400, dtype=np.uint8)
