@@ -159,6 +159,11 @@ def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
 
 
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """XXH3 of each of a binary column's values."""
+    return np.fromiter((xxh3_64_intdigest(w, 0x5EED) for w in words.to_pylist()), U64, len(words))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     """One 64-bit XXH3 hash per word, each distinct one of some words hashed once.
 
@@ -169,8 +174,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
         b = min(len(starts), a + step)
         low, high = starts[a], ends[b - 1]
         coded = word_array(data[low:high], starts[a:b] - low, ends[a:b] - low).dictionary_encode()
-        own = np.fromiter((xxh3_64_intdigest(w, 0x5EED) for w in coded.dictionary.to_pylist()), U64, len(coded.dictionary))
-        out[a:b] = own[coded.indices.to_numpy()]
+        out[a:b] = hashes_of(coded.dictionary)[coded.indices.to_numpy()]
     return out
 
 
