@@ -10,6 +10,7 @@ from ..functions import records
 from ..operators import features, labels, outcomes, projection, signals, similarity
 from ..operators.windows import KEY, forward_outcomes, latest_window, rolling_windows
 from ..sources import store
+from ..sources.folders import settled
 
 
 def patterns_of(bars: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -74,7 +75,7 @@ def scan(bars: DataFrame, patterns: DataFrame, as_of: Column | None = None, conf
     that of the last bar.
     """
     # top_n rows a series, which a dozen aggregates read.
-    matches = matches_of(bars, patterns, config, cross_asset).persist()
+    matches = settled(matches_of(bars, patterns, config, cross_asset), "matches")
     last = latest_window(bars, config.window).groupBy("ticker").agg(F.max("ts").alias("last_ts"))
     queries = last.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"), "last_ts")
     price = matches.groupBy("query_id").agg(F.min_by("last_close", "rank").alias("price"))
@@ -92,10 +93,10 @@ def scan_records(bars: DataFrame, patterns: DataFrame, config: EngineConfig = En
 
     A series has at most top_n matches, five clusters and five failure cases, which are gathered in order.
     """
-    matches = matches_of(bars, patterns, config, cross_asset).persist()
+    matches = settled(matches_of(bars, patterns, config, cross_asset), "matches")
     last = latest_window(bars, config.window).groupBy("ticker").agg(F.max("ts").alias("last_ts"))
     queries = last.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"))
-    held = outcomes.clustered(matches, config.clusters, method=method)
+    held = settled(outcomes.clustered(matches, config.clusters, method=method), "clustered")
     best = matches.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*MATCH_FIELDS, "end_time"))).alias("matches"))
     summary = outcomes.cluster_summary(held)
     entry = F.struct((-F.col("probability")).alias("order"), "cluster_id", F.struct(*(c for c in summary.columns if c != "query_id")).alias("c"))
@@ -105,7 +106,7 @@ def scan_records(bars: DataFrame, patterns: DataFrame, config: EngineConfig = En
     none = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
     failures = outcomes.failure_analysis(held, queries, "cluster_id").join(cases, "query_id", "left").withColumn("cases", none(cases, "cases"))
     failures = failures.select("query_id", F.struct(*(c for c in failures.columns if c != "query_id")).alias("failures"))
-    found = projection.projections(matches, queries, timeframe, config.clusters, method).join(failures, "query_id").join(best, "query_id", "left").join(groups, "query_id", "left")
+    found = projection.projections_of(held, queries, timeframe, config.clusters).join(failures, "query_id").join(best, "query_id", "left").join(groups, "query_id", "left")
     found = found.withColumns({"matches": none(best, "matches"), "clusters": none(groups, "clusters"), "projection": F.struct("primary", "alternatives", "overall_confidence", "time_horizon", "narrative")})
     found = found.select(F.col("q_ticker").alias("ticker"), "timeframe", F.lit(config.window).alias("window_size"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "echo_type", "confidence", "n_matches", "matches", "distribution", "clusters", "failures", "projection")
     return found.select("ticker", F.struct(*found.columns).alias("found"), records.as_json(records.SCAN).alias("record"))
