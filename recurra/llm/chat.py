@@ -237,7 +237,30 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_chat": op9_chat}
+def as_records(turns: DataFrame) -> DataFrame:
+    """(conv_id, record): conversations as JSON in five layouts, by their ids; prompts and completions where there is one turn of each."""
+    t, kind = F.col("turns"), F.pmod(F.col("conv_id"), F.lit(5))
+    other = lambda role: F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    messages = F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")
+    named = F.transform(t, lambda x: F.struct(other(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations")
+    block = lambda text: F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content")
+    blocks = F.transform(t, lambda x: F.struct(x["role"].alias("role"), block(x["text"]))).alias("messages")
+    pair = (F.size(t) == 2) & (F.get(t, F.lit(0))["role"] == "user") & (F.get(t, F.lit(1))["role"] == "assistant")
+    asked = F.struct(F.get(t, F.lit(0))["text"].alias("prompt"), F.get(t, F.lit(1))["text"].alias("completion"))
+    record = F.when(kind == 1, F.to_json(F.struct(named))).when(kind == 2, F.to_json(F.struct(blocks))).when(kind == 3, F.to_json(F.struct(F.struct(messages).alias("data"))))
+    return turns.select("conv_id", record.when((kind == 4) & pair, F.to_json(asked)).otherwise(F.to_json(F.struct(messages))).alias("record"))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as records of mixed layouts, recognised by their fingerprints, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = record_turns(as_records(canonical_turns(rows)), "conv_id", "record")
+    back = format_chat(found).join(found.select("conv_id", "layout"), "conv_id").select("conv_id", "layout", read_chat(F.col("formatted")).alias("t"))
+    flat = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select("conv_id", "layout", F.size("t").cast("long").alias("n_turns"), F.sha2(flat.cast("binary"), 256).alias("turns_sha256"))
+
+
+QUERIES = {"op9_chat": op9_chat, "chat_layouts": chat_layouts}
 ORACLES = {
     "op9_chat": r"""
 WITH p AS (SELECT -7::BIGINT AS conv_id, unnest([0, 1])::BIGINT AS turn, unnest(['user', 'assistant']) AS role, '\### Assistant: </turn> ok' AS text),
@@ -249,5 +272,11 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(4 + length(erole) + 2 + length(esc) + 8)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id"""
+FROM e GROUP BY conv_id""",
+    "chat_layouts": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+g AS (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn, role, text) AS roles, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns FROM c GROUP BY conv_id)
+SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, sha256(replace(CASE WHEN conv_id % 5 = 1 THEN 'conversations[].from|conversations[].value'
+  WHEN conv_id % 5 = 2 THEN 'messages[].content[].text|messages[].content[].type|messages[].role' WHEN conv_id % 5 = 3 THEN 'data.messages[].content|data.messages[].role'
+  WHEN conv_id % 5 = 4 AND roles = 'user,assistant' THEN 'completion|prompt' ELSE 'messages[].content|messages[].role' END, '|', chr(10))) AS layout FROM g""",
 }

@@ -583,5 +583,5 @@ def test_registered_queries():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert hashlib.sha256(b"").hexdigest()
