@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 512, doc_id:
 
 
 #: Segments of the wide fingerprints, all of the Golay code's own 23 bits.
-WIDE = 20
+WIDE = 18
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -346,11 +346,11 @@ def near_texts(
 ) -> DataFrame:
     """(doc_id, component_id) of documents that share `similarity` of their shingles, directly or through others.
 
-    doc_id is a key of rows.  Fingerprints of 20 segments are filed under the codeword indices of every two segments,
-    so those of texts as like as that meet under some of 190 keys even with a sixth of their bits apart; every link is
+    doc_id is a key of rows.  Fingerprints of 18 segments are filed under the codeword indices of every two segments,
+    so those of texts as like as that meet under some of 153 keys even with a sixth of their bits apart; every link is
     then held to the exact similarity of the shingle sets.  Texts with equal sets are one from the start.  Under each
-    of its keys a text is compared with the least of the key and with the `beside` ones before it by fingerprint, so
-    that links grow with texts and not with the square of those under a key.
+    of its keys a text is compared with the least of the key, and then with the `beside` ones before it by fingerprint
+    that are in another group by then, so that links grow with texts and not with the square of those under a key.
     """
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = checkpoint(wide_prints(chosen, shingle))
@@ -359,15 +359,20 @@ def near_texts(
     keys = wide_keys(sets)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("first")).where("n > 1")
     filed = checkpoint(keys.join(shared, "key"))
-    star = filed.where("same <> first").select(F.col("same").alias("u"), F.col("first").alias("v"))
-    order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print", "same")
-    several = filed.where("n > 2").join(sets.select("same", "print"), "same")
-    before = F.array(*(F.lag("same", k).over(order) for k in range(1, beside + 1)))
-    near = several.select(F.col("same").alias("u"), before.alias("before")).select("u", F.explode("before").alias("v")).where("v IS NOT NULL")
-    pairs = star.unionByName(near)
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     texts = chosen.join(sets.select(F.col("least").alias("doc_id"), "same"), "doc_id")
-    member = components(alike(sets, pairs, texts, shingle, similarity))
+    apart = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    star = apart(filed.where("same <> first").select(F.col("same").alias("u"), F.col("first").alias("v")))
+    begun = checkpoint(alike(sets, star, texts, shingle, similarity))
+    # What the least ones have brought together need not be compared again.
+    grouped = components(begun).select(F.col("u").alias("same"), F.col("v").alias("met"))
+    placed = checkpoint(sets.join(grouped, "same", "left").select("same", "print", F.coalesce("met", "same").alias("met")))
+    order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print", "same")
+    several = filed.where("n > 2").join(placed, "same")
+    before = F.array(*(F.lag(F.struct("same", "met"), k).over(order) for k in range(1, beside + 1)))
+    near = several.select(F.col("same").alias("u"), "met", F.filter(before, lambda x: x["met"] != F.col("met")).alias("before"))
+    near = apart(near.select("u", F.explode("before.same").alias("v")))
+    links = begun.unionByName(alike(sets, near, texts, shingle, similarity))
+    member = components(links)
     root = sets.select("same", "least").join(member.withColumnRenamed("u", "same"), "same", "left")
     root = checkpoint(root.select("same", "least", F.coalesce("v", "same").alias("root")))
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
