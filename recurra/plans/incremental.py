@@ -30,7 +30,7 @@ def arrivals(source: DataFrame, archive: Archive, timeframe: str = "1h", config:
     rows = source.select(*BAR_COLUMNS)
     if archive.newest is None:
         return rows
-    since = F.expr(f"TIMESTAMP '{archive.newest}' - {config.window + config.horizon} * INTERVAL {bar_length(timeframe)}")
+    since = F.expr(f"timestamp_micros({archive.newest}) - {config.window + config.horizon} * INTERVAL {bar_length(timeframe)}")
     held = archive.bars(timeframe).where(F.col("ts") >= since)
     return rows.where(F.col("ts") >= since).join(held, [*SERIES, "ts", *VALUES], "left_anti")
 
@@ -94,7 +94,7 @@ def ingest(new: DataFrame, archive: Archive, number: int | None = None, config:
     archive.put("spans", spans_of(made), number)
     archive.put("tails", _tails(bars, plan, config), number)
     cuts = archive.put("cuts", plan.where("k0 < next_k").select(*SERIES, F.col("k0").alias("from_k")), number)
-    newest, n, n_cuts = bars.agg(F.max("ts")).first()[0], made.count(), cuts.count()
+    newest, n, n_cuts = bars.agg(F.max(F.unix_micros("ts"))).first()[0], made.count(), cuts.count()
     bars.unpersist()
     plan.unpersist()
     if archive.newest is not None:

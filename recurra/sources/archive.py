@@ -37,13 +37,13 @@ KINDS = {
     "tails": "ticker string, timeframe string, next_k long, last_ts timestamp, bars array<struct<ts:timestamp,open:double,high:double,low:double,close:double,volume:double>>, ingest long",
     "spans": "ticker string, timeframe string, first_k long, last_k long, first_time timestamp, last_time timestamp, ingest long",
     "cuts": "ticker string, timeframe string, from_k long, ingest long",
-    "commits": "base long, slots int, newest timestamp, n_patterns long, n_cuts long, ingest long",
+    "commits": "base long, slots int, newest long, n_patterns long, n_cuts long, ingest long",
 }
 SORTED = {"bars": "ts", "patterns": "start_time"}
 
 
 class Archive:
-    """One folder of patterns.  The number of slots is that of the first commit."""
+    """One folder of patterns.  The number of slots is that of the first commit; `newest` is its last bar's time in microseconds."""
 
     def __init__(self, spark: SparkSession, path: str, slots: int = 16):
         self.spark, self.path = spark, path.rstrip("/")
@@ -127,7 +127,7 @@ class Archive:
             rows.write.mode("overwrite").parquet(at)
         return self._read(kind).where(F.col("ingest") == number)
 
-    def commit(self, number: int, newest, n_patterns: int, n_cuts: int, base: int | None = None) -> None:
+    def commit(self, number: int, newest: int | None, n_patterns: int, n_cuts: int, base: int | None = None) -> None:
         base = self.base if base is None else base
         row = [(base, self.slots, newest, n_patterns, n_cuts)]
         schema = KINDS["commits"].removesuffix(", ingest long")
