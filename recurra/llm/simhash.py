@@ -261,6 +261,31 @@ def wide_words(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(words: np.ndarray) -> pa.Array:
+    """Wide fingerprints as arrays of longs, bit behind bit."""
+    bits = np.zeros((len(words), -(-WIDE * 23 // 64) * 64), np.uint8)
+    bits[:, : WIDE * 23] = (words[:, :, None] >> np.arange(23, dtype=np.uint32) & 1).reshape(len(words), -1)
+    longs = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
+
+
+def bytes_of(prints: pa.Array) -> np.ndarray:
+    """Packed fingerprints as rows of bytes."""
+    return np.ascontiguousarray(prints.flatten().to_numpy(zero_copy_only=False)).view(np.uint8).reshape(len(prints), -1)
+
+
+def unpacked(prints: pa.Array) -> np.ndarray:
+    bits = np.unpackbits(bytes_of(prints), axis=1, count=WIDE * 23, bitorder="little")
+    return bits.reshape(len(bits), WIDE, 23) @ (1 << np.arange(23, dtype=np.uint32))
+
+
+def furthest(similarity: float) -> int:
+    """Bits by which fingerprints of sets as like as that differ: a share of acos(cosine)/pi, and five deviations more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = WIDE * 23
+    return int(bits * share + 5 * np.sqrt(bits * share * (1 - share)))
+
+
 def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, same, print): a hash of each text's set of shingles, and its wide fingerprint."""
 
@@ -271,11 +296,10 @@ def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
                 words = wide_words(hashes, offsets)
                 total = np.append(np.uint64(0), np.cumsum(ta.mix64(hashes + np.uint64(1)), dtype=np.uint64))
                 same = ta.mix64(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
-                prints = pa.array([w.tobytes() for w in words], pa.binary())
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(same.view(np.int64)), prints], ["doc_id", "same", "print"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(same.view(np.int64)), packed(words)], ["doc_id", "same", "print"])
             ta.release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, print binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, print array<long>")
 
 
 def wide_keys(prints: DataFrame) -> DataFrame:
@@ -289,8 +313,7 @@ def wide_keys(prints: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 few = batch.slice(i, 2048)
-                words = np.frombuffer(b"".join(few.column(1).to_pylist()), np.uint32).reshape(-1, WIDE)
-                index = table_[words].astype(np.int64)
+                index = table_[unpacked(few.column(1))].astype(np.int64)
                 keys = number | (index[:, first] << 12) | index[:, second]
                 same = np.repeat(few.column(0).to_numpy(), len(pairs))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(same)], ["key", "same"])
@@ -300,17 +323,13 @@ def wide_keys(prints: DataFrame) -> DataFrame:
 
 def alike(prints: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of shingle sets whose Jaccard similarity is `similarity` or more, by comparing the sets."""
-    # Fingerprints of sets as like as that differ in a share of acos(cosine)/pi of their bits; five deviations more are let through.
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = WIDE * 23
-    most = int(bits * share + 5 * np.sqrt(bits * share * (1 - share)))
+    most = furthest(similarity)
     of = lambda name: prints.select(F.col("same").alias(name), F.col("print").alias(f"print_{name}"))
     met = pairs.join(of("u"), "u").join(of("v"), "v")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            near = np.unpackbits(a ^ b, axis=1).sum(1) <= most
+            near = np.unpackbits(bytes_of(batch.column(2)) ^ bytes_of(batch.column(3)), axis=1).sum(1) <= most
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in (0, 1)], ["u", "v"])
 
     few = checkpoint(met.select("u", "v", "print_u", "print_v").mapInArrow(close, "u long, v long"))
@@ -367,10 +386,13 @@ def near_texts(
     grouped = components(begun).select(F.col("u").alias("same"), F.col("v").alias("met"))
     placed = checkpoint(sets.join(grouped, "same", "left").select("same", "print", F.coalesce("met", "same").alias("met")))
     order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print", "same")
-    several = filed.where("n > 2").join(placed, "same")
-    before = F.array(*(F.lag(F.struct("same", "met"), k).over(order) for k in range(1, beside + 1)))
-    near = several.select(F.col("same").alias("u"), "met", F.filter(before, lambda x: x["met"] != F.col("met")).alias("before"))
-    near = apart(near.select("u", F.explode("before.same").alias("v")))
+    several = filed.where("n > 2").drop("first").join(placed, "same")
+    before = F.array(*(F.lag(F.struct("same", "met", "print"), k).over(order) for k in range(1, beside + 1)))
+    differing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # Fingerprints are compared where they meet, so pairs that are too far apart are never shuffled.
+    close = lambda x: (x["met"] != F.col("met")) & (differing(x["print"], F.col("print")) <= furthest(similarity))
+    near = several.select(F.col("same").alias("u"), "met", "print", before.alias("before"))
+    near = apart(near.select("u", F.explode(F.filter("before", close)["same"]).alias("v")))
     links = begun.unionByName(alike(sets, near, texts, shingle, similarity))
     member = components(links)
     root = sets.select("same", "least").join(member.withColumnRenamed("u", "same"), "same", "left")
