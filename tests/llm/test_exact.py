@@ -492,6 +492,57 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["Apache-2.0"], 4: [], 5: [], 6: ["MIT"], 7: ["MIT"], 8: ["Apache-2.0"], 9: ["GPL-2.0-or-later"], 10: ["MIT"], 11: ["MIT"], 12: [], 13: [], 14: ["MPL-2.0"]}
 
 
+def test_licence_files_expressions_and_markup(spark):
+    apache = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+    gpl2 = """  The licenses for most software are designed to take away your
+freedom to share and change it.  By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free
+software--to make sure the software is free for all its users.  This"""
+    gpl3 = """  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  The licenses for most software and other practical works are designed
+to take away your freedom to share and change the works.  By contrast,"""
+    agpl3 = """  The GNU Affero General Public License is a free, copyleft license for
+software and other kinds of works, specifically designed to ensure
+cooperation with the community in the case of network server software."""
+    isc = licenses.SENTENCES["isc-grant"]
+    cases = {
+        1: (apache, ["Apache-2.0"]), 2: (gpl2, ["GPL-2.0"]), 3: (gpl2.replace("License is", "Licenses are").replace("License\nis", "Licenses\nare"), ["LGPL-2.1"]), 4: (gpl3, ["GPL-3.0"]), 5: (agpl3, ["AGPL-3.0"]),
+        6: ("# SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        7: ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0 AND ISC) */", ["GPL-2.0-or-later", "ISC"]),
+        8: ("<!-- SPDX-License-Identifier: Zlib. -->", ["Zlib"]), 9: ("SPDX-License-Identifier: LicenseRef-Own", []),
+        10: (f"<html><p class='x'>Hello.<p>{isc}.</p>", ["ISC"]), 11: ("Released under\nthe MIT License\nby us", ["MIT"]),
+        12: ("It is licensed under the <a href='x'>MIT license</a> - see LICENSE", ["MIT"]), 13: ("// distributed under the\n// Apache License,\n// Version 2.0, as you like", ["Apache-2.0"]),
+        14: ("licensed under the mitre", []), 15: ("a < b under > c &quot; spdx-", []), 16: ("Licensed under Mozilla Public License 2.0!", ["MPL-2.0"]), 17: ("", []),
+    }
+    rows = [(i, text) for i, (text, _) in cases.items()]
+    got = {r.doc_id: list(r.licenses) for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: want for i, (_, want) in cases.items()}
+
+
+def test_licences_equal_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [*licenses.SENTENCES.values(), "MIT License", None, "", "<p>Licensed under<br/>the ISC License", "spdx-license-identifier: mit and (isc or bsl-1.0)", "; released under CC BY 4.0.\n1. spdx"]
+    rows = [(i, f"{a}. {b}\n\n{c}" if a is not None else None) for i, (a, b, c) in enumerate(zip(texts, texts[5:] + texts[:5], texts[2:] + texts[:2]))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, licenses.op8_licenses(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(licenses.ORACLES["op8_licenses"]).fetchall())
+
+
 def test_chat_round_trip(spark):
     texts = [chat.PROBE_TEXT, "\\e \\h####</turn>\n\\", "a: b\n### user: x</turn>\n", "", "😀 é"]
     rows = [(c, t, r, texts[(c + t) % 5]) for c in range(5) for t, r in enumerate(("sys: tem", "user", "assistant", "assistant"))]
