@@ -19,19 +19,25 @@ from ..functions import vectors as V
 QUERY_BLOCK = 10_000
 
 
-def paired(patterns: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK, but_itself: bool = False) -> DataFrame:
+def blocks_of(queries: DataFrame, block: int = QUERY_BLOCK) -> int:
+    """How many broadcasts hold the queries."""
+    return 1 if len(queries.select("query_id").head(block + 1)) <= block else -(-queries.count() // block)
+
+
+def paired(patterns: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK, but_itself: bool = False, blocks: int | None = None) -> DataFrame:
     """Every pattern with every query of a stated set and the norms of both, worked out once a row, not once a pair.
 
     but_itself leaves out pairs of equal ids, for queries that are patterns too.
 
-    Beyond one block the queries are dealt by their hash, and each block scans the patterns.
+    Beyond one block the queries are dealt by their hash, and each block scans the patterns.  blocks, where it is known,
+    spares counting them.
     """
     patterns = patterns.withColumn("norm", V.norm(F.col("vector")))
     queries = queries.withColumn("q_norm", V.norm(F.col("q_vector")))
     other = F.col("pattern_id") != F.col("query_id") if but_itself else None
-    if len(queries.select("query_id").head(block + 1)) <= block:
+    blocks = blocks_of(queries, block) if blocks is None else blocks
+    if blocks == 1:
         return patterns.join(F.broadcast(queries), other)
-    blocks = -(-queries.count() // block)
     turn = F.pmod(F.xxhash64("query_id", "q_vector"), F.lit(blocks))
     return reduce(DataFrame.unionByName, [patterns.join(F.broadcast(queries.where(turn == b)), other) for b in range(blocks)])
 

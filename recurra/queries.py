@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import records, series
-from .operators import encoder, features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity
+from .operators import encoder, features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity, warping
 from .operators import windows as W
 from .plans import incremental
 from .plans import scan as plans
@@ -478,6 +478,31 @@ def sim_dtw(spark, d):
     return shown(pairs.select("query_id", "pattern_id", series.dtw(F.col("q_vector"), F.col("vector")).alias("dtw")))
 
 
+def window_series(spark: SparkSession, d: str) -> DataFrame:
+    """The closes of each window as a series of its own."""
+    closes = F.array_sort(F.collect_list(F.when(F.col("i") < 60, F.struct("i", "close"))))["close"]
+    found = windows(spark, d).groupBy("ticker", "k").agg(closes.alias("vector"))
+    return found.select(F.concat_ws("/", "ticker", "k").alias("pattern_id"), "ticker", "k", "vector")
+
+
+# Warping along anti-diagonals, one a step: cell i of diagonal g is that of the i-th and the (g - i)-th point.
+@query("topk_warped", f"""WITH RECURSIVE {bars_sql(RUNNING)}, {WINDOWS},
+ser AS (SELECT ticker || '/' || k AS pattern_id, k, list(close ORDER BY i) AS x FROM wb WHERE i < 60 GROUP BY ticker, k),
+mom AS (SELECT *, list_avg(x) AS m, list_stddev_pop(x) + 1e-10 AS sd FROM ser),
+z AS (SELECT pattern_id, k, list_transform(x, lambda v: (v - m) / sd) AS z FROM mom),
+dg(query_id, pattern_id, s, t, g, two, before) AS (
+  SELECT q.pattern_id, p.pattern_id, q.z, p.z, 1, list_transform(range(0, 61), lambda i: CASE WHEN i = 0 THEN 0::DOUBLE ELSE 'inf'::DOUBLE END), list_transform(range(0, 61), lambda i: 'inf'::DOUBLE)
+  FROM z AS q, z AS p WHERE q.k % 20 = 0 AND q.pattern_id <> p.pattern_id
+  UNION ALL SELECT query_id, pattern_id, s, t, g + 1, before, list_transform(range(0, 61), lambda i: CASE WHEN i >= 1 AND g + 1 - i BETWEEN 1 AND 60
+    THEN (s[i] - t[g + 1 - i]) * (s[i] - t[g + 1 - i]) + least(before[i], before[i + 1], two[i]) ELSE 'inf'::DOUBLE END) FROM dg WHERE g < 120),
+sc AS (SELECT query_id, pattern_id, exp(-sqrt(before[61]) / 60) AS warp FROM dg WHERE g = 120)
+SELECT query_id, pattern_id, {rounded('warp', 'warp')}, row_number() OVER (PARTITION BY query_id ORDER BY warp DESC, pattern_id)::INT AS rank FROM sc QUALIFY rank <= 20""")
+def topk_warped(spark, d):
+    patterns = window_series(spark, d)
+    asked_ = patterns.where("k % 20 = 0").select(F.col("pattern_id").alias("query_id"), F.col("vector").alias("q_vector"))
+    return shown(warping.find_warped(patterns, asked_, but_itself=True).select("query_id", "pattern_id", "warp", "rank"))
+
+
 def _topk_sql(threshold: float, n: int) -> str:
     return f"""WITH {V_SQL}, sc AS (SELECT q.pattern_id AS query_id, v.pattern_id, 0.6 * {COS} + 0.4 * {EUC} AS composite {PAIRS}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, pattern_id) AS rank FROM sc WHERE composite >= {threshold})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recurra import config
 from recurra.config import EngineConfig, stride
 from recurra.functions import series
-from recurra.operators import encoder, features, labels, normalize, outcomes, projection, reduction, signals, similarity
+from recurra.operators import encoder, features, labels, normalize, outcomes, projection, reduction, signals, similarity, warping
 from recurra.operators import windows as W
 from recurra.plans import scan as plans
 from recurra.sources import bars as B
@@ -299,3 +299,43 @@ def test_store_and_scan(spark, tmp_path):
 def test_profiles_and_labels(spark):
     row = spark.range(1).select(labels.outcome_label("0.06", "-0.01", "0.07").alias("a"), labels.echo_type("CAST(NULL AS DOUBLE)", "0", "0").alias("b")).first()
     assert row == ("explosive_continuation", "insufficient_data")
+
+
+def test_warped_search_equals_full_warping(spark):
+    rng = np.random.default_rng(3)
+    made = [np.cumsum(rng.normal(size=n)).tolist() for n in [40] * 150 + [25] * 40 + [1, 2, 3]]
+    made += [made[0], made[0], [], [5.0] * 40, None]
+    rows = [(i, "T", v) for i, v in enumerate(made)]
+    patterns = spark.createDataFrame(rows, "pattern_id long, ticker string, vector array<double>")
+    queries = patterns.where("pattern_id % 20 = 0 OR pattern_id > 189").selectExpr("pattern_id AS query_id", "vector AS q_vector")
+    for top_n in (1, 7, 500):
+        got = {}
+        for r in warping.find_warped(patterns, queries, top_n, but_itself=True).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.pattern_id, r.warp))
+        asked = [i for i, v in enumerate(made) if v is not None and (i % 20 == 0 or i > 189)]
+        assert sorted(got) == asked
+        for q in asked:
+            others = [i for i, v in enumerate(made) if v is not None and i != q]
+            warp = {i: float(series.warped_likeness(np.array([made[q]]).reshape(1, -1), np.array([made[i]]).reshape(1, -1))[0]) for i in others}
+            best = sorted(warp.values(), reverse=True)[:top_n]
+            assert len(got[q]) == len(best)
+            np.testing.assert_allclose([w for _, w in got[q]], best, atol=1e-9)
+            assert all(abs(warp[i] - w) < 1e-9 for i, w in got[q])
+
+
+def test_most_pairs_are_not_warped(spark):
+    start = np.arange(400) * 0.7
+    made = [np.sin(s + np.linspace(0, 5 + i % 9, 60)).tolist() for i, s in enumerate(start)]
+    patterns = spark.createDataFrame([(i, "T", v) for i, v in enumerate(made)], "pattern_id long, ticker string, vector array<double>")
+    queries = patterns.where("pattern_id % 20 = 0").selectExpr("pattern_id AS query_id", "vector AS q_vector")
+    assert warping.candidates(patterns, queries, 5, True).count() < 0.5 * 20 * 399
+    assert "BatchEvalPython" not in warping.find_warped(patterns, queries, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_warping_stops_where_paths_are_too_dear():
+    rng = np.random.default_rng(5)
+    s, t = series.standard(np.cumsum(rng.normal(size=(300, 50)), 1)), series.standard(np.cumsum(rng.normal(size=(300, 35)), 1))
+    whole = series.warping_cost(s, t)
+    limit = np.where(np.arange(300) % 3, whole * rng.uniform(0.5, 1.5, 300), whole)
+    part = series.warping_cost(s, t, limit)
+    assert (part[whole <= limit] == whole[whole <= limit]).all() and (part[whole > limit] > limit[whole > limit]).all()
