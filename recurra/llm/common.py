@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint, after which Spark's cleaner is told to delete the shuffle files that it was made from."""
+    made = checkpoint(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return made
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for one written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import checkpoint, table
+from .common import checkpoint, settled, table
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the [23,12] binary Golay code (a fixed value).
@@ -377,11 +377,11 @@ def near_texts(
     sets = checkpoint(sets)
     keys = wide_keys(sets)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("first")).where("n > 1")
-    filed = checkpoint(keys.join(shared, "key"))
+    filed = settled(keys.join(shared, "key"))
     texts = chosen.join(sets.select(F.col("least").alias("doc_id"), "same"), "doc_id")
     apart = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     star = apart(filed.where("same <> first").select(F.col("same").alias("u"), F.col("first").alias("v")))
-    begun = checkpoint(alike(sets, star, texts, shingle, similarity))
+    begun = settled(alike(sets, star, texts, shingle, similarity))
     # What the least ones have brought together need not be compared again.
     grouped = components(begun).select(F.col("u").alias("same"), F.col("v").alias("met"))
     placed = checkpoint(sets.join(grouped, "same", "left").select("same", "print", F.coalesce("met", "same").alias("met")))
@@ -392,7 +392,7 @@ def near_texts(
     # Fingerprints are compared where they meet, so pairs that are too far apart are never shuffled.
     close = lambda x: (x["met"] != F.col("met")) & (differing(x["print"], F.col("print")) <= furthest(similarity))
     near = several.select(F.col("same").alias("u"), "met", "print", before.alias("before"))
-    near = apart(near.select("u", F.explode(F.filter("before", close)["same"]).alias("v")))
+    near = settled(apart(near.select("u", F.explode(F.filter("before", close)["same"]).alias("v"))))
     links = begun.unionByName(alike(sets, near, texts, shingle, similarity))
     member = components(links)
     root = sets.select("same", "least").join(member.withColumnRenamed("u", "same"), "same", "left")
