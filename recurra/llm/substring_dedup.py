@@ -34,7 +34,6 @@ off in overlapping pieces; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .bodies import by_part, changes, cut, ids_of, leads, merged, pack, sorted_rows, spread, unpack_all
-from .common import drop_folder, part_of, scratch, table, text_parts
+from .common import drop_folder, let_go, part_of, scratch, table, text_parts
 
 BLOCK = 1 << 19
 #: Minimiser, both halves of a path's digest, document, first edge.
@@ -235,15 +234,17 @@ def compacted(edges: DataFrame) -> DataFrame:
     """(edge, path, place): the first edge of each edge's path, and how many edges lie before it."""
     spark = edges.sparkSession
     links = linked(edges).select(F.col("next").alias("edge"), F.col("edge").alias("to"), F.lit(1).cast("long").alias("step"))
-    # Every edge points back to the one before it; done once the one pointed to has none before.
+    # Every edge points back to the one before it; done once a round takes no pointer further.
     table_ = edges.select("edge").join(links, "edge", "left").select("edge", F.coalesce("to", "edge").alias("to"), F.coalesce("step", F.lit(0)).cast("long").alias("step"))
-    path = scratch(spark, "debruijn-paths")
+    path, reach = scratch(spark, "debruijn-paths"), None
     table_.write.parquet(path)
     while True:
         now = spark.read.schema("edge long, to long, step long").parquet(path)
-        far = now.select(F.col("edge").alias("to"), F.col("to").alias("further"), F.col("step").alias("more")).where("more > 0")
-        if now.where("step > 0").join(far, "to", "left_semi").isEmpty():
+        before, reach = reach, now.agg(F.sum("step")).first()[0]
+        let_go(spark)  # the shuffle files of a round go with it
+        if reach == before:
             return now.select("edge", F.col("to").alias("path"), F.col("step").alias("place"))
+        far = now.select(F.col("edge").alias("to"), F.col("to").alias("further"), F.col("step").alias("more")).where("more > 0")
         ahead = now.join(far, "to", "left").select("edge", F.coalesce("further", "to").alias("to"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"))
         after = scratch(spark, "debruijn-paths")
         ahead.write.parquet(after)
@@ -325,8 +326,7 @@ def remove_repeated_spans(
     folder = scratch(spark, "debruijn-edges")
     placed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(open_, FOUND).write.parquet(folder)
     del told
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner then deletes the shuffle files of this first half
+    let_go(spark)  # the shuffle files of this first half
     found = spark.read.schema(FOUND).parquet(folder)
     at = scratch(spark, "debruijn-graph")
     repeated_edges(found).write.parquet(at)

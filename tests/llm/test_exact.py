@@ -100,6 +100,15 @@ def test_paths_compact(spark):
     assert found == {0: (7, 0, 5, 4), 5: (7, 5, 4, 3), 50: (8, 3, 2, 2)}
 
 
+def test_rounds_of_compaction_let_their_shuffles_go(spark, monkeypatch):
+    """A chain of 40 edges takes six rounds and one that changes nothing; what each has shuffled goes before the next."""
+    gone = []
+    monkeypatch.setattr(substring_dedup, "let_go", gone.append)
+    edges = spark.createDataFrame([(i, i, i + 1, 2, 7, i) for i in range(40)], "edge long, source long, target long, n long, doc long, start int")
+    assert {r.edge: (r.path, r.place) for r in substring_dedup.compacted(edges).collect()} == {i: (0, i) for i in range(40)}
+    assert len(gone) == 8
+
+
 @pytest.mark.parametrize("contexts", [1, 64])
 def test_rows_that_repeat_an_id_lose_the_same(spark, contexts):
     word = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
