@@ -27,11 +27,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import checkpoint, settled, table
+from .bodies import squeeze, stretched
+from .common import checkpoint, drop_folder, scratch, settled, table
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the [23,12] binary Golay code (a fixed value).
@@ -214,8 +215,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 512, doc_id:
     return found.join(named, "simhash").select("doc_id", "simhash", "component_id")
 
 
-#: Segments of the wide fingerprints, all of the Golay code's own 23 bits.
-WIDE = 18
+#: Counters that tell frequent shingles, by the upper bits of their hashes, and the bits of a set's parities.
+COUNTERS, PARITIES = 1 << 21, 1024
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,105 +237,85 @@ def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     return hashes[fresh], np.append(0, np.cumsum(np.bincount(whose[fresh], minlength=len(rows) - 1)))
 
 
-def wide_words(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, WIDE) segments of 23 bits: SimHash over several hashes of each shingle, some texts at a time."""
-    bits = WIDE * 23
-    seeds = ta.mix64(np.arange(-(-bits // 64), dtype=np.uint64) + np.uint64(77))
-    out = np.zeros((len(offsets) - 1, WIDE), np.uint32)
-    at = 0
-    while at < len(out):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 14), "right")) - 1)
-        own, size = hashes[offsets[at] : offsets[end]], np.diff(offsets[at : end + 1])
-        full = np.flatnonzero(size)
-        if len(full):
-            counts = np.zeros((len(full), bits), np.int32)
-            heads = (offsets[at:end] - offsets[at])[full]
-            # A long text's shingles are counted in pieces.
-            for a in range(0, len(own), 1 << 14):
-                few = ta.mix64(own[a : a + (1 << 14), None] ^ seeds)
-                flags = np.unpackbits(few.astype("<u8").view(np.uint8).reshape(len(few), -1), axis=1, count=bits, bitorder="little")
-                inside = np.flatnonzero((heads < a + len(few)) & (heads + size[full] > a))
-                counts[inside] += np.add.reduceat(flags, np.maximum(heads[inside] - a, 0), axis=0, dtype=np.int32)
-            flags = (2 * counts > size[full, None]).reshape(len(full), WIDE, 23)
-            out[at + full] = flags @ (1 << np.arange(23, dtype=np.uint32))
-        at = end
-    return out
-
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
-def packed(words: np.ndarray) -> pa.Array:
-    """Wide fingerprints as arrays of longs, bit behind bit."""
-    bits = np.zeros((len(words), -(-WIDE * 23 // 64) * 64), np.uint8)
-    bits[:, : WIDE * 23] = (words[:, :, None] >> np.arange(23, dtype=np.uint32) & 1).reshape(len(words), -1)
-    longs = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
 
+def usual(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts fall to each counter."""
+    size = COUNTERS // 32
 
-def bytes_of(prints: pa.Array) -> np.ndarray:
-    """Packed fingerprints as rows of bytes."""
-    return np.ascontiguousarray(prints.flatten().to_numpy(zero_copy_only=False)).view(np.uint8).reshape(len(prints), -1)
-
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for block in ta.blocks(batch, "text", 1 << 19):
+                np.add.at(made, counter_of(shingle_sets(block.column("text"), shingle)[0]), np.uint32(1))
+            ta.release()
+        parts = [(i, squeeze(made[i * size : (i + 1) * size])) for i in range(32) if made[i * size : (i + 1) * size].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["slice", "body"])
 
-def unpacked(prints: pa.Array) -> np.ndarray:
-    bits = np.unpackbits(bytes_of(prints), axis=1, count=WIDE * 23, bitorder="little")
-    return bits.reshape(len(bits), WIDE, 23) @ (1 << np.arange(23, dtype=np.uint32))
+    def add(group: pa.Table) -> pa.Table:
+        made = np.zeros(size, np.uint32)
+        for body in group.column("body").to_pylist():
+            made += np.frombuffer(stretched(body), np.uint32)
+        return pa.table({"slice": group.column("slice")[:1], "body": pa.array([made.tobytes()], pa.binary())})
 
+    found = docs.select("text").mapInArrow(count, "slice int, body binary").groupBy("slice").applyInArrow(add, "slice int, body binary").toArrow()
+    out = np.zeros((32, size), np.uint32)
+    for i, body in zip(found.column("slice").to_pylist(), found.column("body").to_pylist()):
+        out[i] = np.frombuffer(body, np.uint32)
+    return out.ravel()
 
-def furthest(similarity: float) -> int:
-    """Bits by which fingerprints of sets as like as that differ: a share of acos(cosine)/pi, and five deviations more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = WIDE * 23
-    return int(bits * share + 5 * np.sqrt(bits * share * (1 - share)))
 
+def set_prints(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, same, size, simhash, bits, keys) of each text's set of shingles.
 
-def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, same, print): a hash of each text's set of shingles, and its wide fingerprint."""
+    same is a hash of the set, bits has a parity of each of its parts, keys the
+    first shingles of it, rare ones before frequent ones: so many that no set as
+    like as `similarity` is without one of them among its own.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(usual(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = shared.value
         for batch in batches:
             for block in ta.blocks(batch, "text", 1 << 19):
                 hashes, offsets = shingle_sets(block.column("text"), shingle)
-                words = wide_words(hashes, offsets)
+                n, rows = np.diff(offsets), block.num_rows
+                owner = np.repeat(np.arange(rows), n)
                 total = np.append(np.uint64(0), np.cumsum(ta.mix64(hashes + np.uint64(1)), dtype=np.uint64))
-                same = ta.mix64(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(same.view(np.int64)), packed(words)], ["doc_id", "same", "print"])
+                same = ta.mix64(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64))
+                odd = np.bincount(owner * PARITIES + (hashes % np.uint64(PARITIES)).astype(np.int64), minlength=rows * PARITIES) & 1
+                bits = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+                prints, full = np.zeros(rows, np.uint64), np.flatnonzero(n)
+                if len(full):
+                    flags = np.unpackbits(ta.mix64(hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    counts = np.add.reduceat(flags, offsets[full], axis=0, dtype=np.int32)
+                    prints[full] = np.packbits(2 * counts > n[full, None], axis=1, bitorder="little").view("<u8").ravel()
+                order = np.lexsort((hashes, counters[counter_of(hashes)], owner))
+                lead = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+                keys = hashes[order][np.arange(len(hashes)) - offsets[:-1][owner] < lead[owner]].view(np.int64)
+                lists = (pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(bits)), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lead)).astype(np.int32)), pa.array(keys)))
+                arrays = [block.column("doc_id"), pa.array(same.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(prints.view(np.int64)), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "same", "size", "simhash", "bits", "keys"])
             ta.release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, print array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, size int, simhash long, bits array<long>, keys array<long>")
 
 
-def wide_keys(prints: DataFrame) -> DataFrame:
-    """(key, same): the codeword indices of every two segments of a wide fingerprint."""
-    pairs = [(i, j) for i in range(WIDE) for j in range(i)]
-    number = np.arange(len(pairs), dtype=np.int64) << 24
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = decoder()
-        first, second = np.array(pairs).T
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                few = batch.slice(i, 2048)
-                index = table_[unpacked(few.column(1))].astype(np.int64)
-                keys = number | (index[:, first] << 12) | index[:, second]
-                same = np.repeat(few.column(0).to_numpy(), len(pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(same)], ["key", "same"])
-
-    return prints.select("same", "print").mapInArrow(run, "key long, same long")
+def may_be_alike(similarity: float) -> Column:
+    """Whether sets with these sizes and parities can be as like as that: a shingle of one set alone turns one parity."""
+    apart = sum((F.bit_count(F.get("bits_u", F.lit(i)).bitwiseXOR(F.get("bits_v", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+    near = F.least("size_u", "size_v") + 1e-6 >= similarity * F.greatest("size_u", "size_v")
+    return near & (apart <= (F.col("size_u") + F.col("size_v")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
-def alike(prints: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def alike(sets: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of shingle sets whose Jaccard similarity is `similarity` or more, by comparing the sets."""
-    most = furthest(similarity)
-    of = lambda name: prints.select(F.col("same").alias(name), F.col("print").alias(f"print_{name}"))
-    met = pairs.join(of("u"), "u").join(of("v"), "v")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.unpackbits(bytes_of(batch.column(2)) ^ bytes_of(batch.column(3)), axis=1).sum(1) <= most
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in (0, 1)], ["u", "v"])
-
-    few = checkpoint(met.select("u", "v", "print_u", "print_v").mapInArrow(close, "u long, v long"))
+    of = lambda name: sets.select(*(F.col(c).alias(f"{d}{name}") for c, d in (("same", ""), ("size", "size_"), ("bits", "bits_"), ("least", "doc_"))))
+    few = settled(pairs.join(of("u"), "u").join(of("v"), "v").where(may_be_alike(similarity)).select("u", "v", "doc_u", "doc_v"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in ta.blocks(batch, "text", 1 << 19):
                 hashes, offsets = shingle_sets(block.column("text"), shingle)
@@ -342,9 +323,8 @@ def alike(prints: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, s
                 yield pa.RecordBatch.from_arrays([block.column("same"), made], ["same", "hashes"])
             ta.release()
 
-    wanted = few.select(F.col("u").alias("same")).unionByName(few.select(F.col("v").alias("same"))).distinct()
-    held = texts.join(wanted, "same", "left_semi").select("same", "text").mapInArrow(sets, "same long, hashes binary")
-    held = checkpoint(held)
+    wanted = few.select(F.col("doc_u").alias("doc_id"), F.col("u").alias("same")).unionByName(few.select(F.col("doc_v").alias("doc_id"), F.col("v").alias("same"))).distinct()
+    held = settled(texts.join(wanted, "doc_id").select("same", "text").mapInArrow(hashed, "same long, hashes binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,50 +336,75 @@ def alike(prints: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, s
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["u", "v"])
 
     of = lambda name: held.select(F.col("same").alias(name), F.col("hashes").alias(f"hashes_{name}"))
-    met = few.join(of("u"), "u").join(of("v"), "v")
-    return met.select("u", "v", "hashes_u", "hashes_v").mapInArrow(compare, "u long, v long")
+    met = few.select("u", "v").join(of("u"), "u").join(of("v"), "v")
+    return settled(met.select("u", "v", "hashes_u", "hashes_v").mapInArrow(compare, "u long, v long"))
 
 
 def near_texts(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, beside: int = 3, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, beside: int = 1, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) of documents that share `similarity` of their shingles, directly or through others.
 
-    doc_id is a key of rows.  Fingerprints of 18 segments are filed under the codeword indices of every two segments,
-    so those of texts as like as that meet under some of 153 keys even with a sixth of their bits apart; every link is
-    then held to the exact similarity of the shingle sets.  Texts with equal sets are one from the start.  Under each
-    of its keys a text is compared with the least of the key, and then with the `beside` ones before it by fingerprint
-    that are in another group by then, so that links grow with texts and not with the square of those under a key.
+    doc_id is a key of rows.  Texts with equal sets of shingles are one from the start.  Sets whose fingerprints lie
+    within three bits are compared, and so is each set with the least one under each of its keys, which are its rarest
+    shingles; then, `beside` times, with one drawn from each key that several groups still share.  That brings most
+    groups together.  All pairs that are in different groups by then are searched in full: two sets as like as that share
+    one of their keys, and at the first shared one, in the order of keys, both have enough shingles left.  So no link
+    between groups is missed, whatever was found before.  Every link is held to the exact similarity of the sets.
     """
+    spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = checkpoint(wide_prints(chosen, shingle))
-    sets = found.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"))
-    sets = checkpoint(sets)
-    keys = wide_keys(sets)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("first")).where("n > 1")
-    filed = settled(keys.join(shared, "key"))
-    texts = chosen.join(sets.select(F.col("least").alias("doc_id"), "same"), "doc_id")
-    apart = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    star = apart(filed.where("same <> first").select(F.col("same").alias("u"), F.col("first").alias("v")))
-    begun = settled(alike(sets, star, texts, shingle, similarity))
-    # What the least ones have brought together need not be compared again.
-    grouped = components(begun).select(F.col("u").alias("same"), F.col("v").alias("met"))
-    placed = checkpoint(sets.join(grouped, "same", "left").select("same", "print", F.coalesce("met", "same").alias("met")))
-    order = Window.partitionBy("key", F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("n") / 256).cast("int"))).orderBy("print", "same")
-    several = filed.where("n > 2").drop("first").join(placed, "same")
-    before = F.array(*(F.lag(F.struct("same", "met", "print"), k).over(order) for k in range(1, beside + 1)))
-    differing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    # Fingerprints are compared where they meet, so pairs that are too far apart are never shuffled.
-    close = lambda x: (x["met"] != F.col("met")) & (differing(x["print"], F.col("print")) <= furthest(similarity))
-    near = several.select(F.col("same").alias("u"), "met", "print", before.alias("before"))
-    near = settled(apart(near.select("u", F.explode(F.filter("before", close)["same"]).alias("v"))))
-    links = begun.unionByName(alike(sets, near, texts, shingle, similarity))
-    member = components(links)
+    path = scratch(spark, "near-sets")
+    set_prints(chosen, shingle, similarity).write.parquet(path)
+    found = spark.read.parquet(path)
+    sets = settled(found.groupBy("same").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "simhash", "bits", "keys"))))
+    found = checkpoint(found.select("doc_id", "same"))
+    drop_folder(spark, path)
+    under = Window.partitionBy("key")
+    share = similarity / (1 + similarity)
+    keys = sets.select("same", "size", F.posexplode("keys").alias("pos", "key"))
+    # A pair is found where the smaller set has enough shingles left for one of its own size.
+    keys = keys.select("key", "same", "size", (F.col("size") - F.col("pos")).alias("left"))
+    keys = keys.withColumn("short", F.col("left") + 1e-6 >= 2 * share * F.col("size"))
+    filed = keys.select("*", F.count("*").over(under).alias("n"), F.max("short").over(under).alias("any"), F.min("same").over(under).alias("first"))
+    filed = settled(filed.where("n > 1 AND any").drop("n", "any"))
+    apart = lambda pairs: pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    prints = checkpoint(sets.groupBy("simhash").agg(F.min("same").alias("same")))
+    first = prints.withColumnRenamed("same", "v")
+    star = sets.select(F.col("same").alias("u"), "simhash").join(first, "simhash").select("u", "v")
+    of = lambda name: prints.select(F.col("simhash").alias(f"print_{name}"), F.col("same").alias(name))
+    close = close_pairs(prints).select(F.col("u").alias("print_u"), F.col("v").alias("print_v"))
+    star = star.unionByName(close.join(of("u"), "print_u").join(of("v"), "print_v").select("u", "v"))
+    star = star.unionByName(filed.select(F.col("same").alias("u"), F.col("first").alias("v")))
+    links = alike(sets, settled(apart(star)), chosen, shingle, similarity)
+
+    def mixed_keys(links: DataFrame) -> DataFrame:
+        """What is filed under keys of several groups; what is together need not be compared again."""
+        grouped = components(links).select(F.col("u").alias("same"), F.col("v").alias("met"))
+        placed = checkpoint(sets.select("same").join(grouped, "same", "left").select("same", F.coalesce("met", "same").alias("met")))
+        mixed = filed.drop("first").join(placed, "same")
+        mixed = mixed.select("*", (F.min("met").over(under) < F.max("met").over(under)).alias("several"))
+        return settled(mixed.where("several").drop("several"))
+
+    mixed = mixed_keys(links)
+    for k in range(beside):
+        drawn = F.min(F.struct(F.xxhash64("key", "same", F.lit(k)).alias("at"), "same", "met")).over(under)
+        pairs = mixed.select("same", "met", drawn.alias("drawn")).where("met <> drawn.met").select(F.col("same").alias("u"), F.col("drawn.same").alias("v"))
+        links = links.unionByName(alike(sets, settled(apart(pairs)), chosen, shingle, similarity))
+        mixed = mixed_keys(links)
+    mixed = settled(mixed.join(sets.select("same", "bits"), "same"))
+    side = lambda name: mixed.select("key", *(F.col(c).alias(f"{d}{name}") for c, d in (("same", ""), ("size", "size_"), ("left", "left_"), ("met", "met_"), ("bits", "bits_"), ("short", "short_"))))
+    after = (F.col("size_v") < F.col("size_u")) | ((F.col("size_v") == F.col("size_u")) & (F.col("v") < F.col("u")))
+    enough = F.least("left_u", "left_v") + 1e-6 >= share * (F.col("size_u") + F.col("size_v"))
+    a, b = side("v").where("short_v"), side("u")
+    near = a.join(b, (a["key"] == b["key"]) & (F.col("met_u") != F.col("met_v")) & after & enough & may_be_alike(similarity))
+    near = settled(apart(near.select("u", "v")))
+    member = components(links.unionByName(alike(sets, near, chosen, shingle, similarity)))
     root = sets.select("same", "least").join(member.withColumnRenamed("u", "same"), "same", "left")
     root = checkpoint(root.select("same", "least", F.coalesce("v", "same").alias("root")))
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(ids, "root").select("same", "component_id")
-    return found.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+    return found.join(named, "same").select("doc_id", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,32 @@ def test_near_texts(spark, beside):
     assert all(find(i) == find(c) for i, c in got.items())
 
 
+def test_near_texts_misses_no_pair(spark):
+    """Every pair of 0.8 or more ends in one group, among texts of one template whose own words make them differ just enough."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(130)]
+    rows = []
+    for family in range(120):
+        own = [f"f{family}w{rng.randrange(10**6)}" for _ in range(25)]
+        for _ in range(2):
+            words, changed = [*own, *template], list(own)
+            for i in rng.sample(range(25), rng.choice((1, 2, 3))):
+                changed[i] = f"x{rng.randrange(10**6)}"
+            words[:25] = changed
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(25, 155)] = f"y{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    close = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(close) > 20 and all(got[a] == got[b] for a, b in close)
+    reach = list(range(len(sets)))
+    for a, b in sorted(close):
+        x, y = sorted((reach[a], reach[b]))
+        reach = [x if r == y else r for r in reach]
+    assert got == dict(enumerate(reach))
+
+
 def test_golay_code():
     table = simhash.decoder()
     assert len(np.unique(table)) == 4096 and (np.bincount(table) == 2048).all()
