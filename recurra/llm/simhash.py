@@ -357,17 +357,22 @@ def near_texts(
     path = scratch(spark, "near-sets")
     set_prints(chosen, shingle, similarity).write.parquet(path)
     found = spark.read.parquet(path)
-    sets = settled(found.groupBy("same").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "simhash", "bits", "keys"))))
-    found = checkpoint(found.select("doc_id", "same"))
+    whole = scratch(spark, "near-keys")
+    found.groupBy("same").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "simhash", "bits", "keys"))).write.parquet(whole)
+    found = settled(found.select("doc_id", "same"))
     drop_folder(spark, path)
+    wide = spark.read.parquet(whole)
     under = Window.partitionBy("key")
     share = similarity / (1 + similarity)
-    keys = sets.select("same", "size", F.posexplode("keys").alias("pos", "key"))
+    keys = wide.select("same", "size", F.posexplode("keys").alias("pos", "key"))
     # A pair is found where the smaller set has enough shingles left for one of its own size.
     keys = keys.select("key", "same", "size", (F.col("size") - F.col("pos")).alias("left"))
     keys = keys.withColumn("short", F.col("left") + 1e-6 >= 2 * share * F.col("size"))
     filed = keys.select("*", F.count("*").over(under).alias("n"), F.max("short").over(under).alias("any"), F.min("same").over(under).alias("first"))
     filed = settled(filed.where("n > 1 AND any").drop("n", "any"))
+    # From here on only what is filed is needed of the keys.
+    sets = checkpoint(wide.drop("keys"))
+    drop_folder(spark, whole)
     apart = lambda pairs: pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     prints = checkpoint(sets.groupBy("simhash").agg(F.min("same").alias("same")))
     first = prints.withColumnRenamed("same", "v")
