@@ -208,3 +208,10 @@ class Trie:
         seen = np.where(met, restore(self.p3[np.where(met, at, 0)]), 0) if len(self.p3) else 0
         p[rows] = seen + restore(self.left2[node[rows]]) * p[rows]
         return p
+
+    def rest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What is left for the probability of a word by itself after a and b."""
+        share = restore(self.left1[b])
+        known, node = self.child(self.first_before, self.before, b, a)
+        share[known] *= restore(self.left2[node[known]])
+        return share

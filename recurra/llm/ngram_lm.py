@@ -18,7 +18,10 @@ model, whatever the number of shards or the order of rows.
 
 The last resort, the probability of c alone, comes from the counts of all words
 that make up at least `lookup` of all tokens (1/lookup at most, so the broadcast
-has a bound); rarer words share what is left evenly there, and only there.
+has a bound); rarer words share what is left evenly there, and only there.  With
+`rare_apart` they don't: where a rare word ends a triple its token is sent to its
+block in two terms, where it is a middle word its count is sent there, and both
+meet with the sums of the block's rows, so every word has its own probability.
 
 Edge cases: null text is empty and is its end token alone; a null id has
 remainder -1 and belongs to training; repeated rows count as often as they
@@ -83,6 +86,10 @@ class Lexicon:
         listed = self.hashes[at] == hashes
         return listed, np.where(listed, self.counts[at], 0)
 
+    def alone(self, count: np.ndarray) -> np.ndarray:
+        """Probability of words with these counts by themselves."""
+        return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+
     def unigram(self, hashes: np.ndarray) -> np.ndarray:
         """Probability of each word by itself; with one unknown word they sum to one."""
         listed, count = self.find(hashes)
@@ -271,7 +278,12 @@ def answer(lexicon: Lexicon, discount: float, shards: int, group: pa.Table) -> p
     return pa.table({f.split()[0]: pa.array([o[i] for o in out], k) for i, (f, k) in enumerate(zip(TOLD.split(", "), kinds))})
 
 
-def trie_from_codes(lexicon: Lexicon, found: Gathered, owners: int, told: dict[tuple[int, int], bytes], shares: dict[int, float]) -> Trie:
+def last_resort(lexicon: Lexicon, words: np.ndarray, rare_apart: bool) -> np.ndarray:
+    """Probabilities of words by themselves; none for rare ones if these are added where their counts meet."""
+    return np.where(lexicon.find(words)[0] | (not rare_apart), lexicon.unigram(words), 0)
+
+
+def trie_from_codes(lexicon: Lexicon, rare_apart: bool, found: Gathered, owners: int, told: dict[tuple[int, int], bytes], shares: dict[int, float]) -> Trie:
     """The trie of a shard's part of dealt words, with the probabilities of their owners."""
     v, pair = len(found.words), found.pairs[0]
     p3, left2, p2 = np.zeros(len(found.a), np.uint16), np.zeros(len(found.a), np.uint16), np.zeros(len(pair), np.uint16)
@@ -284,11 +296,11 @@ def trie_from_codes(lexicon: Lexicon, found: Gathered, owners: int, told: dict[t
     middle = np.unique(found.b)
     left1[middle] = quantise(1 - np.array([shares[h] for h in found.words[middle].view(np.int64).tolist()]))
     heads = heads_of(found.b * v + found.a)
-    return Trie(Trie.pack(v, quantise(lexicon.unigram(found.words)), left1, pair, p2, found.a, found.b, found.c, left2[heads], p3))
+    return Trie(Trie.pack(v, quantise(last_resort(lexicon, found.words, rare_apart)), left1, pair, p2, found.a, found.b, found.c, left2[heads], p3))
 
 
-def score_shard(lexicon: Lexicon, discount: float, owners: int, group: pa.Table, replies: pa.Table) -> pa.Table:
-    """Sums of each block's rows over a shard's tokens: row, known words, base and score, packed."""
+def score_shard(lexicon: Lexicon, discount: float, owners: int, rare_apart: bool, group: pa.Table, replies: pa.Table) -> pa.Table:
+    """Sums of each block's rows over a shard's tokens: row, known words, base and score, packed; and what rare words need."""
     rows = [*zip(*(group.column(c).to_pylist() for c in ("shard", "hot", "block", "body")))]
     # What a block says of its rows goes on as it is.
     out = [(block, b"M" + body) for shard, _, block, body in rows if shard < 0]
@@ -303,23 +315,38 @@ def score_shard(lexicon: Lexicon, discount: float, owners: int, group: pa.Table,
         if dealt:
             kinds, owner, body, word, taken = (replies.column(x).to_pylist() for x in ("kind", "owner", "body", "b", "taken"))
             told = {(k, o): x for k, o, x in zip(kinds, owner, body) if k != SHARES}
-            trie = trie_from_codes(lexicon, found, owners, told, {w: t for k, w, t in zip(kinds, word, taken) if k == SHARES})
+            trie = trie_from_codes(lexicon, rare_apart, found, owners, told, {w: t for k, w, t in zip(kinds, word, taken) if k == SHARES})
         else:
-            trie = Trie(Trie.build(len(words), lexicon.unigram(words), a[seen], b[seen], c[seen], n[seen], discount))
-        score = np.concatenate([np.log10(trie.probability(a[s : s + 65536], b[s : s + 65536], c[s : s + 65536])) for s in range(0, len(a), 65536)])
+            trie = Trie(Trie.build(len(words), last_resort(lexicon, words, rare_apart), a[seen], b[seen], c[seen], n[seen], discount))
+        score = np.concatenate([trie.probability(a[s : s + 65536], b[s : s + 65536], c[s : s + 65536]) for s in range(0, len(a), 65536)])
         listed, count = lexicon.find(words)
+        rare = ~listed & rare_apart
+        open_ = np.flatnonzero(rare[c])
+        number = np.full(len(c), -1)
+        number[open_] = np.arange(len(open_))
+        last, shorter, rest = words[c[open_]], score[open_], trie.rest(a[open_], b[open_])
+        score[open_] = 1
+        score = np.log10(score)
         # A word that is not listed has no other shard, so its count is the one here.
         count = np.where(listed, count, np.bincount(b[seen], n[seen], len(words)).astype(np.int64))
         is_end = words == END_HASH
         base = np.where(is_end, np.log10(lexicon.ends + 0.5), np.log10(count + 0.5))
         known = np.where(is_end, lexicon.ends > 0, count > 0).astype(np.float64)
-        each, middle = score[found.of_token], found.middle
+        each, middle, number = score[found.of_token], found.middle, number[found.of_token]
         del a, b, c, n, seen, trie, score
         at = 0
         for block, row in found.rows:
             own = slice(at, at + len(row))
             at += len(row)
             sums.setdefault(block, []).append((row, known[middle[own]], base[middle[own]], each[own]))
+            few = np.flatnonzero(number[own] >= 0)
+            if len(few):
+                at_ = number[own][few]
+                out.append((block, b"R" + squeeze(row[few].astype(np.uint32), last[at_], shorter[at_], rest[at_])))
+            told_of = np.unique(middle[own])
+            told_of = told_of[rare[told_of]]
+            if len(told_of):
+                out.append((block, b"C" + squeeze(words[told_of], count[told_of])))
     for block, parts in sums.items():
         row, *columns = (np.concatenate(x) for x in zip(*parts))
         which, back = np.unique(row, return_inverse=True)
@@ -328,7 +355,7 @@ def score_shard(lexicon: Lexicon, discount: float, owners: int, group: pa.Table,
     return pa.table({"block": pa.array([x for x, _ in out], pa.int64()), "body": pa.array([x for _, x in out], pa.binary())})
 
 
-def row_sums(group: pa.Table) -> pa.Table:
+def row_sums(lexicon: Lexicon, group: pa.Table) -> pa.Table:
     """The rows of a block with what all shards have found."""
     bodies = group.column("body").to_pylist()
     meta = next(b for b in bodies if b[:1] == b"M")
@@ -340,6 +367,14 @@ def row_sums(group: pa.Table) -> pa.Table:
         known[row] += k
         base[row] += x
         score[row] += y
+    counts = [unpack(stretched(b[1:]), np.uint64, np.int64) for b in bodies if b[:1] == b"C"]
+    if counts:
+        words, n = (np.concatenate(x) for x in zip(*counts))
+        order = np.argsort(words)
+        words, n = words[order], n[order]
+        for body in sorted(b for b in bodies if b[:1] == b"R"):
+            row, last, shorter, rest = unpack(stretched(body[1:]), np.uint32, np.uint64, np.float64, np.float64)
+            np.add.at(score, row, np.log10(shorter + rest * lexicon.alone(n[np.searchsorted(words, last)])))
     ids = pa.array(doc_id, mask=has_id == 0)
     return pa.table({"doc_id": ids, "n_tokens": pa.array(n_tokens), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score)})
 
@@ -352,11 +387,13 @@ def lm_scores(
     doc_id: str = "doc_id",
     text: str = "text",
     shard_bytes: int = 10 << 20,
+    rare_apart: bool = False,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learning from those where `learn` holds (all without it).
 
     score is the log10 probability of the text's tokens after the two before
-    each; base_score that of single tokens with half a count added.
+    each; base_score that of single tokens with half a count added.  With
+    `rare_apart` words under `lookup` have their own last resort as well.
     """
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), learn.alias("learn"))
@@ -388,7 +425,10 @@ def lm_scores(
         return released(answer(shared.value[0], discount, shards, group))
 
     def meet(group: pa.Table, replies: pa.Table) -> pa.Table:
-        return released(score_shard(shared.value[0], discount, owners, group, replies))
+        return released(score_shard(shared.value[0], discount, owners, rare_apart, group, replies))
+
+    def finish(group: pa.Table) -> pa.Table:
+        return row_sums(shared.value[0], group)
 
     def deliver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The share of each dealt word, to all of its shards."""
@@ -410,7 +450,7 @@ def lm_scores(
         replies = told.where(kept(F.col("kind") != SHARES)).unionByName(taken.mapInArrow(deliver, TOLD))
     else:
         replies = docs.sparkSession.createDataFrame([], TOLD)
-    found = sent.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(meet, "block long, body binary").groupBy("block").applyInArrow(row_sums, RESULT)
+    found = sent.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(meet, "block long, body binary").groupBy("block").applyInArrow(finish, RESULT)
     whole = float(np.log10(lexicon.total + 0.5 * (lexicon.distinct + 1)))
     return found.select(
         "doc_id", "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score"
@@ -429,7 +469,7 @@ def released(made: pa.Table) -> pa.Table:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = lm_scores(docs, fold("doc_id") != 1)
+    found = lm_scores(docs, fold("doc_id") != 1, rare_apart=True)
     return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -437,6 +437,20 @@ def test_language_model(spark, lookup):
     assert all(r.score == pytest.approx(same[r.doc_id], abs=1e-6) for r in found)
 
 
+def test_rare_words_have_their_own_last_resort(spark):
+    """Words left out of the broadcast lexicon score as if they were in it, whatever the shards."""
+    docs = spark.createDataFrame([*corpus(4, 120), (500, None), (501, ""), (502, "never seen words"), (None, "alpha beta")], SCHEMA)
+    learn = ngram_lm.fold("doc_id") != 1
+    scores = lambda **kw: {r.doc_id: (r.score, r.base_score, r.n_known) for r in ngram_lm.lm_scores(docs, learn, **kw).collect()}
+    whole = scores(lookup=1e-9, shard_bytes=10**9)
+    for size in (10**9, 400):
+        few = scores(lookup=0.004, shard_bytes=size, rare_apart=True)
+        assert few.keys() == whole.keys()
+        for i in whole:
+            n = len((docs.where(F.col("doc_id").eqNullSafe(i)).first().text or "").split()) + 1 if i in (None, 502) else 400
+            assert few[i][0] == pytest.approx(whole[i][0], abs=0.0003 * n) and few[i][1:] == pytest.approx(whole[i][1:])
+
+
 def test_one_model_whatever_the_partitions(spark):
     """Equal scores for any number of shards and order of rows, and for equal texts."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
