@@ -22,6 +22,7 @@ repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -270,17 +271,26 @@ def spread(words: list[str], n: int, alike: float = 0.75) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """A model from at most `sample` labelled documents, those with the least hash of their ids.
 
-    Labels of ids whose crc32 mod 5 is 0 are held out; null labels and ids are left out.
+    Labels of ids whose crc32 mod 5 is 0 are held out; null labels and ids are left out.  The sample meets in a task,
+    whose memory is an executor's; the driver gets the model alone.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold(doc_id) != 0))
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label)).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "id")
-    rows = chosen.orderBy("id", "text").select("label", "text").toArrow()
-    made = train(rows.column("text").combine_chunks(), rows.column("label").to_numpy())
-    del rows
-    ta.release()
-    return made
+    rows = chosen.repartition(1).sortWithinPartitions("id", "text").select("label", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if found:
+            sampled = pa.Table.from_batches(found)
+            made = train(sampled.column("text").combine_chunks(), sampled.column("label").to_numpy())
+            del found, sampled
+            ta.release()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["model"])
+
+    made = rows.mapInArrow(learn, "model binary").first()
+    return pickle.loads(made.model) if made else None
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

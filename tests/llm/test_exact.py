@@ -658,6 +658,23 @@ def test_held_out_toxicity(spark):
         assert area > least
 
 
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    """The sample meets away from the driver, and the model is that of its rows in order."""
+    import os
+
+    rows = [(i, f"good day number {i} {'you nitwit' * (i % 3 == 0)}") for i in range(60)] + [(None, "without an id"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    learnt = sorted(((i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5), key=lambda x: (x[0], x[1] is not None, x[1]))
+    want = toxicity.train(pa.array([t for _, t in learnt], pa.string()), np.array([int(i % 3 == 0) for i, _ in learnt]))
+    made = toxicity.fit(docs, labels)
+    assert (made.weights == want.weights).all() and (made.bias, made.slope, made.offset) == (want.bias, want.slope, want.offset)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: (os.getpid(), texts.to_pylist(), labels.tolist()))
+    where, texts, _ = toxicity.fit(docs, labels)
+    assert where != os.getpid() and texts == [t for _, t in learnt]
+    assert toxicity.fit(docs.limit(0), labels) is None
+
+
 def test_toxicity_tolerates_gaps():
     rng = random.Random(0)
     usual = ["".join(rng.choice(("th", "er", "on", "an", "re", "in", "es")) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
