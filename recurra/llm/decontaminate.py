@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settled, table
 
 #: What lies between words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -142,7 +142,8 @@ def contamination(
     """(doc_id, n_words, n_hit, items): words inside benchmark windows, and the items found, sorted as strings."""
     if not 0 < gram <= window:
         raise ValueError("a gram has between 1 and `window` words")
-    prints = benchmark_prints(benchmark, window, gram, item_id, item_text)
+    # Written once: its expressions, one set for each length of items, are the dearest here to plan and compile.
+    prints = settled(benchmark_prints(benchmark, window, gram, item_id, item_text))
     sizes = {r["length"]: r["n"] for r in prints.groupBy("length").agg(F.count("*").alias("n")).collect()}
     known = prints.groupBy("length", "hash", F.col("near").alias("known")).agg(F.collect_set("item").alias("items"))
     few = sum(sizes.values()) <= broadcast_prints

@@ -186,7 +186,8 @@ def close_pairs(prints: DataFrame, crowd: int = 512) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(u, v): v is the least node that u > v is connected to; nodes that are least are left out.
 
-    Alternating large-star and small-star rounds, each written to the checkpoint folder.
+    Alternating large-star and small-star rounds, each written to the checkpoint folder; what the driver and the
+    shuffle files hold of a round goes with it.
     """
     edges = checkpoint(links)
     state = None
@@ -196,7 +197,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         down = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = settled(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges

@@ -658,6 +658,15 @@ def test_held_out_toxicity(spark):
         assert area > least
 
 
+def test_benchmark_prints_are_made_once(spark):
+    """The plan of the result reads the written fingerprints; that of the benchmark itself is compiled once, not for each use."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "no such words")], SCHEMA)
+    spark.createDataFrame([(7, "b c d e f g h i j k"), (8, "such words")], "item_id long, text string").createOrReplaceTempView("items_once")
+    found = decontaminate.contamination(docs, spark.table("items_once"))
+    assert "item_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in found.collect()} == {1: (10, ["7"]), 2: (2, ["8"])}
+
+
 def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
     """The sample meets away from the driver, and the model is that of its rows in order."""
     import os
