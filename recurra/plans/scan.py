@@ -39,7 +39,7 @@ def matches_of_windows(newest: DataFrame, patterns: DataFrame, config: EngineCon
     newest = features.fingerprint(newest, config.window)
     queries = newest.select(F.col("ticker").alias("query_id"), F.col("ticker").alias("q_ticker"), F.col("vector").alias("q_vector"))
     found = similarity.find_matches(patterns, queries, config.top_n, config.min_similarity, cross_asset, config.weights)
-    return similarity.rerank(found).drop("q_vector", "vector")
+    return similarity.rerank(found)
 
 
 #: What a result keeps of a match.

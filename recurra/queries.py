@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import records, series
+from .functions import records, tiles
 from .operators import encoder, features, labels, normalize, outcomes, projection, reduction, replay, signals, similarity, warping
 from .operators import windows as W
 from .plans import incremental
@@ -18,7 +18,7 @@ from .plans import scan as plans
 from .sources import bars as B
 from .sources import results, store
 from .sources.archive import Archive
-from .sources.folders import shared_folder
+from .sources.folders import settled, shared_folder
 from .streaming import live
 
 PLACES = 6
@@ -39,6 +39,12 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select(*(one(c) for c in df.columns))
 
 
+def shown_pairs(df: DataFrame) -> DataFrame:
+    """The same of likenesses, which are many and small, as SQL rounds: the product with a power of ten, half away from zero."""
+    near = lambda x: F.when(F.isnan(x), x).otherwise(F.signum(x) * F.floor(F.abs(x) * 10**PLACES + 0.5) / 10**PLACES) + 0.0
+    return df.withColumns({c: near(F.col(c)) for c, kind in df.dtypes if kind == "double"})
+
+
 def rounded(expr: str, name: str) -> str:
     return f"round({expr}, {PLACES}) + 0.0 AS {name}"
 
@@ -127,16 +133,18 @@ EUC = "exp(-list_distance(q.vector, v.vector) / (sqrt(len(v.vector)) + 1e-10))"
 def matched(spark: SparkSession, d: str) -> DataFrame:
     """The queries' best embeddings, each with the outcome of a window chosen by its id.
 
-    With t tickers and n windows of the (id mod t)-th, it is that ticker's window (id div t) mod n.
+    With t tickers and n windows of the (id mod t)-th, it is that ticker's window (id div t) mod n.  Matches, top_n a
+    query, are written to the shared folder, as all that is said of them reads them; so are the windows' outcomes.
     """
     found = similarity.find_matches_batch(vectors(spark, d), asked(spark, d), 20, 0.3, True)
     past = labelled(spark, d).select(F.col("ticker").alias("o_ticker"), F.col("k").alias("slot"), "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label")
+    past = settled(past, "outcomes")
     owners = past.groupBy("o_ticker").agg(F.count("*").alias("n"))
     owners = owners.withColumn("turn", F.row_number().over(Window.orderBy("o_ticker")) - 1)  # a row for each ticker, no more
-    rows = found.drop("vector", "q_vector").join(F.broadcast(owners.agg(F.count("*").alias("t"))))
+    rows = found.join(F.broadcast(owners.agg(F.count("*").alias("t"))))
     rows = rows.withColumn("turn", (F.col("pattern_id") % F.col("t")).cast("int")).join(owners, "turn")
     rows = rows.withColumn("slot", (F.floor(F.col("pattern_id") / F.col("t")) % F.col("n")).cast("int")).join(past, ["o_ticker", "slot"])
-    return rows.select("query_id", "pattern_id", "ticker", "composite", "rank", "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label")
+    return settled(rows.select("query_id", "pattern_id", "ticker", "composite", "rank", "forward_return", "max_drawdown", "max_runup", "time_to_resolution", "outcome_label"), "matches")
 
 
 MATCHES = f"""{V_SQL}, sc AS (SELECT q.pattern_id AS query_id, v.pattern_id, v.ticker, 0.6 * {COS} + 0.4 * {EUC} AS composite {PAIRS}),
@@ -459,7 +467,7 @@ for _method, _rule in _FITTED.items():
 
 @query("sim_pairs", f"WITH {V_SQL} SELECT q.pattern_id AS query_id, v.pattern_id, {rounded(COS, 'cosine')}, {rounded(EUC, 'euclidean')} {PAIRS}")
 def sim_pairs(spark, d):
-    return shown(similarity.scored(vectors(spark, d), asked(spark, d), but_itself=True).select("query_id", "pattern_id", "cosine", "euclidean"))
+    return shown_pairs(similarity.listed(vectors(spark, d), asked(spark, d), tiles.likenesses, ("cosine", "euclidean"), True))
 
 
 @query("sim_xcorr", f"""WITH {V_SQL}, z AS (SELECT pattern_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v),
@@ -468,14 +476,12 @@ c AS (SELECT a.pattern_id AS query_id, b.pattern_id, a.i - b.i AS lag, sum(a.x *
 e AS (SELECT pattern_id, sum(x * x) AS q FROM n GROUP BY pattern_id)
 SELECT query_id, c.pattern_id, {rounded('greatest(0, least(1, max(dot) / (sqrt(max(e.q) * max(f.q)) + 1e-10)))', 'xcorr')} FROM c JOIN e ON c.pattern_id = e.pattern_id JOIN e AS f ON f.pattern_id = query_id GROUP BY query_id, c.pattern_id""")
 def sim_xcorr(spark, d):
-    pairs = similarity.scored(vectors(spark, d), asked(spark, d), but_itself=True)
-    return shown(pairs.select("query_id", "pattern_id", series.xcorr(F.col("q_vector"), F.col("vector")).alias("xcorr")))
+    return shown_pairs(similarity.listed(vectors(spark, d), asked(spark, d), tiles.correlations, ("xcorr",), True, True))
 
 
 @query("sim_dtw")
 def sim_dtw(spark, d):
-    pairs = similarity.scored(vectors(spark, d), asked(spark, d), but_itself=True)
-    return shown(pairs.select("query_id", "pattern_id", series.dtw(F.col("q_vector"), F.col("vector")).alias("dtw")))
+    return shown_pairs(similarity.listed(vectors(spark, d), asked(spark, d), tiles.warpings, ("dtw",), True, True))
 
 
 def window_series(spark: SparkSession, d: str) -> DataFrame:
@@ -732,8 +738,9 @@ _HORIZON = """CASE WHEN h < 60 THEN round_even(h, 0)::BIGINT || ' minutes' WHEN
 f"""pf AS (SELECT query_id, greatest(0, least(1, 0.4 * count(failure_type) / count(*) + 0.3 * coalesce(avg(severity), 0) + 0.3 * least(1, stddev_pop(forward_return) / 0.1))) AS failure_risk_score FROM {_BAD} GROUP BY query_id), pg AS (SELECT query_id, avg(time_to_resolution) * 60 AS h, greatest(0, least(1, 0.5 * min_by(composite, rank) + 0.3 * avg(composite) + 0.2 * (1 - least(stddev_pop(composite), 1)))) AS conf FROM m GROUP BY query_id),
 px AS (SELECT *, (count(*) OVER (PARTITION BY query_id) - 1)::INT AS alternatives FROM ck JOIN pg USING (query_id) JOIN pf USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY probability DESC, cluster_id) = 1)"""))
 def projections_hierarchical(spark, d):
-    queries = asked(spark, d).select("query_id", "q_ticker").join(matched(spark, d).select("query_id").distinct(), "query_id", "left_semi")
-    found = projection.projections(matched(spark, d), queries, method="hierarchical").withColumn("alternatives", F.size("alternatives"))
+    matches = matched(spark, d)
+    queries = asked(spark, d).select("query_id", "q_ticker").join(matches.select("query_id").distinct(), "query_id", "left_semi")
+    found = projection.projections(matches, queries, method="hierarchical").withColumn("alternatives", F.size("alternatives"))
     return shown(found.select("query_id", "primary.label", "primary.probability", "primary.expected_return", "alternatives", "overall_confidence", "time_horizon"))
 
 
