@@ -79,7 +79,7 @@ def test_listed_pairs(spark, small):
                 assert r[name] == pytest.approx(float(of(np.array([a]).reshape(1, -1), np.array([b]).reshape(1, -1))[0]), abs=1e-9)
 
 
-@pytest.mark.parametrize("name", "topk_batch signals sim_pairs cluster_summary clusters clusters_hierarchical confidence distribution_stats echo_type outcome_stats rerank scenarios projections_hierarchical topk_per_query trade_cards warnings sim_dtw failure_analysis sim_xcorr topk_exact failure_cases failure_summary".split())
+@pytest.mark.parametrize("name", "topk_batch signals sim_pairs cluster_summary clusters clusters_hierarchical confidence distribution_stats echo_type outcome_stats rerank scenarios projections_hierarchical topk_per_query trade_cards warnings sim_dtw failure_analysis sim_xcorr topk_exact failure_cases failure_summary scenarios_hierarchical".split())
 def test_query_by_tiles(spark, small, name):
     con = duckdb.connect()
     for t in TABLES.split():
