@@ -372,10 +372,10 @@ def near_texts(
     filed = keys.select("*", F.count("*").over(under).alias("n"), F.max("short").over(under).alias("any"), F.min("same").over(under).alias("first"))
     filed = settled(filed.where("n > 1 AND any").drop("n", "any"))
     # From here on only what is filed is needed of the keys.
-    sets = checkpoint(wide.drop("keys"))
+    sets = settled(wide.drop("keys"))
     drop_folder(spark, whole)
     apart = lambda pairs: pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    prints = checkpoint(sets.groupBy("simhash").agg(F.min("same").alias("same")))
+    prints = settled(sets.groupBy("simhash").agg(F.min("same").alias("same")))
     first = prints.withColumnRenamed("same", "v")
     star = sets.select(F.col("same").alias("u"), "simhash").join(first, "simhash").select("u", "v")
     of = lambda name: prints.select(F.col("simhash").alias(f"print_{name}"), F.col("same").alias(name))
@@ -387,7 +387,7 @@ def near_texts(
     def mixed_keys(links: DataFrame) -> DataFrame:
         """What is filed under keys of several groups; what is together need not be compared again."""
         grouped = components(links).select(F.col("u").alias("same"), F.col("v").alias("met"))
-        placed = checkpoint(sets.select("same").join(grouped, "same", "left").select("same", F.coalesce("met", "same").alias("met")))
+        placed = settled(sets.select("same").join(grouped, "same", "left").select("same", F.coalesce("met", "same").alias("met")))
         mixed = filed.drop("first").join(placed, "same")
         mixed = mixed.select("*", (F.min("met").over(under) < F.max("met").over(under)).alias("several"))
         return settled(mixed.where("several").drop("several"))
@@ -407,7 +407,7 @@ def near_texts(
     near = settled(apart(near.select("u", "v")))
     member = components(links.unionByName(alike(sets, near, chosen, shingle, similarity)))
     root = sets.select("same", "least").join(member.withColumnRenamed("u", "same"), "same", "left")
-    root = checkpoint(root.select("same", "least", F.coalesce("v", "same").alias("root")))
+    root = settled(root.select("same", "least", F.coalesce("v", "same").alias("root")))
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(ids, "root").select("same", "component_id")
     return found.join(named, "same").select("doc_id", "component_id")
