op3_media_tiff: LZW codes are packed and read a table at a time

Symptom: op3_media_tiff took 760 CPU seconds a GB on 0.10 GB (the profiler), 695 of them in Python.
Evidence: by layout, the two LZW layouts of eight took 2.1 of 2.5 s of encoding and reading 2400 texts; codes were shifted out by a call each, prefixes were joined and hashed as bytes, and reading went byte by byte.
Fix: the table goes by code and next byte, bits of all codes of a table are laid out and read by numpy at once, and the reading loop runs over codes; files keep every byte, broken ones say what they said.
Effect: at 0.6 GB of input CPU 951 -> 692 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.60 -> 0.60 GB, longest task 78 -> 56 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 9211 -> 4728 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 6.04 -> 6.04 GB, longest task 227 -> 110 s, most memory of a task 0 -> 0 MB; with hot keys, at 0.6 GB of input CPU 686 -> 363 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 63 -> 30 s, most memory of a task 0 -> 0 MB.

@@ -60,77 +60,92 @@ def packbits_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: How many codes a table has given out where its codes become a bit longer; they have 9 bits at first and 12 at most.
+WIDER = (254, 766, 1790)
+CLEAR, END, FULL = 256, 257, 4094
+
+
+def code_widths(first: int, n: int) -> np.ndarray:
+    """Bits of a table's n codes from the one numbered `first` on."""
+    return 9 + np.searchsorted(WIDER, np.arange(first, first + n), "right")
+
+
+def code_bits(codes: list[int]) -> np.ndarray:
+    """The bits of all codes of one table, high bit first."""
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return bits[np.arange(16) >= 16 - code_widths(0, len(codes))[:, None]]
+
+
+OPENING = code_bits([CLEAR])
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first, the width growing one code early."""
-    table = {bytes([i]): i for i in range(256)}
-    bits, held, width, out = 256, 9, 9, bytearray()
-    following, prefix = 258, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits = (bits << width) | code
-        held += width
-        while held >= 8:
-            held -= 8
-            out.append((bits >> held) & 255)
-        bits &= (1 << held) - 1
-
-    for value in data:
-        longer = prefix + bytes((value,))
-        if longer in table:
+    parts, codes, table, following = [OPENING], [], {}, 258
+    known, prefix = table.get, data[0] if data else None
+    for value in data[1:]:
+        pair = prefix << 8 | value
+        longer = known(pair)
+        if longer is not None:
             prefix = longer
             continue
-        put(table[prefix])
-        table[longer] = following
-        following += 1
-        if following + 1 > 1 << width:
-            width += 1
-        if following >= 4094:
-            put(256)
-            table = {bytes([i]): i for i in range(256)}
-            following, width = 258, 9
-        prefix = bytes((value,))
-    if prefix:
-        put(table[prefix])
+        codes.append(prefix)
+        table[pair] = following
         following += 1
-        if following + 1 > 1 << width:
-            width += 1
-    put(257)
-    if held:
-        out.append((bits << (8 - held)) & 255)
-    return bytes(out)
+        if following == FULL:
+            parts.append(code_bits([*codes, CLEAR]))
+            codes, following = [], 258
+            table.clear()
+        prefix = value
+    if data:
+        codes.append(prefix)
+    return np.packbits(np.concatenate([*parts, code_bits([*codes, END])])).tobytes()
+
+
+def table_codes(data: np.ndarray, at: int, size: int) -> Iterator[tuple[list[int], int, int]]:
+    """One table's codes from bit `at` on, in parts: (codes, place behind them, what closes the table, 0 if more follows).
+
+    data has three bytes more than the `size` bits that count.
+    """
+    seen = 0
+    while n := min(4096, (size - at) // 9):
+        widths = code_widths(seen, n)
+        ends = at + np.cumsum(widths)
+        n = int(np.searchsorted(ends, size, "right"))
+        places, widths = ends[:n] - widths[:n], widths[:n]
+        byte = places >> 3
+        three = data[byte].astype(np.int64) << 16 | data[byte + 1].astype(np.int64) << 8 | data[byte + 2]
+        codes = three >> (24 - (places & 7) - widths) & ((1 << widths) - 1)
+        closing = np.flatnonzero((codes == CLEAR) | (codes == END))
+        if len(closing):
+            n = int(closing[0])
+            yield codes[:n].tolist(), int(ends[n]), int(codes[n])
+        if len(closing) or not n:
+            return
+        yield codes.tolist(), int(ends[n - 1]), 0
+        at, seen = int(ends[n - 1]), seen + n
 
 
 def lzw_decode(data: bytes) -> bytes:
     start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, width, before = list(start), [], 9, b""
-    bits = held = 0
-    for value in data:
-        bits = ((bits << 8) | value) & 0xFFFFFF
-        held += 8
-        if held < width:
-            continue
-        held -= width
-        code = (bits >> held) & ((1 << width) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, before = list(start), 9, b""
-            continue
-        if not before:
-            entry = table[code]
-        elif code < len(table):
-            entry = table[code]
-            table.append(before + entry[:1])
-        elif code == len(table):
-            entry = before + before[:1]
-            table.append(entry)
-        else:
-            raise ValueError("broken LZW data")
-        out.append(entry)
-        before = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+    values, out, at, closed = np.frombuffer(data + bytes(3), np.uint8), [], 0, CLEAR
+    while closed == CLEAR:
+        table, before, closed = list(start), b"", END
+        for codes, at, closed in table_codes(values, at, 8 * len(data)):
+            if codes and not before:
+                before = table[codes.pop(0)]
+                out.append(before)
+            for code in codes:
+                try:
+                    entry = table[code]
+                    table.append(before + entry[:1])
+                except IndexError:
+                    if code > len(table):
+                        raise ValueError("broken LZW data") from None
+                    entry = before + before[:1]
+                    table.append(entry)
+                out.append(entry)
+                before = entry
     return b"".join(out)
 
 

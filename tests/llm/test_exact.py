@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -711,3 +712,56 @@ def test_registered_queries():
     names = [n for n in e.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert hashlib.sha256(b"").hexdigest()
+
+
+def lzw_bits(data, size=4094):
+    """The bits of an LZW stream, code by code."""
+    table, following, prefix, out = {bytes([i]): i for i in range(256)}, 258, b"", f"{256:09b}"
+    put = lambda code, known: f"{code:0{max(9, known.bit_length())}b}"
+    for i in range(len(data)):
+        if prefix + data[i : i + 1] in table:
+            prefix += data[i : i + 1]
+            continue
+        out += put(table[prefix], following)
+        table[prefix + data[i : i + 1]] = following
+        following, prefix = following + 1, data[i : i + 1]
+        if following == size:
+            out += put(256, following)
+            table, following = {bytes([i]): i for i in range(256)}, 258
+    if prefix:
+        out += put(table[prefix], following)
+        following += 1
+    out += put(257, following)
+    return int(out.ljust(-(-len(out) // 8) * 8, "0"), 2).to_bytes(-(-len(out) // 8))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 252, 253, 254, 255, 256, 764, 765, 766, 767, 1788, 1789, 1790, 1791, 3834, 3835, 3836, 3837, 3838, 9000])
+def test_lzw_bytes_at_each_width(n):
+    rng = np.random.default_rng(n)
+    for data in (rng.integers(0, 256, n, dtype=np.uint8).tobytes(), rng.integers(97, 101, n, dtype=np.uint8).tobytes(), b"a" * n):
+        assert tiff.lzw_encode(data) == lzw_bits(data)
+        assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+
+
+def test_broken_lzw_says_what_it_said():
+    coded = lambda *codes: np.packbits([int(b) for c in codes for b in f"{c:09b}"]).tobytes()
+    assert tiff.lzw_decode(coded(97, 98, 258, 257, 99)) == b"abab"  # no code that clears, and one behind the end
+    assert tiff.lzw_decode(coded(256, 97, 258, 256, 256, 98)) == b"aaab"  # no end, a table without a code
+    assert tiff.lzw_decode(b"") == b"" and tiff.lzw_decode(b"\x80") == b"" and tiff.lzw_decode(coded(256)) == b""
+    with pytest.raises(ValueError, match="broken LZW data"):
+        tiff.lzw_decode(coded(256, 97, 260))
+    with pytest.raises(IndexError, match="list index out of range"):
+        tiff.lzw_decode(coded(256, 258))
+    many = np.random.default_rng(2).integers(0, 256, 9000)  # more than a table holds, and nothing clears it
+    bits = "".join(f"{c:0{min(12, max(9, (j + 258).bit_length()))}b}" for j, c in enumerate(many.tolist()))
+    assert tiff.lzw_decode(np.packbits([int(b) for b in bits]).tobytes()) == bytes(many.tolist())
+
+
+def test_lzw_makes_no_call_for_each_code():
+    data, calls = np.random.default_rng(3).integers(0, 256, 20_000, dtype=np.uint8).tobytes(), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        tiff.lzw_encode(data)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 1000
